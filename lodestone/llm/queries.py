@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, exact_dedup, language, lm_scoring, packing, quality, sharding, simhash
+from lodestone.llm import decontaminate, exact_dedup, language, lm_scoring, packing, quality, sharding, simhash, warc
 from lodestone.llm.shared import table
 
 #: Where the box keeps the vocabulary; operators take it as a parameter.
@@ -94,3 +94,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_lm_scoring")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
+@query(
+    "op9_warc",
+    """
+    WITH p AS (
+      SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+        sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM f
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
