@@ -3,23 +3,52 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``.  Each stage's output is written as Parquet to the shared folder and
 read again as the next stage's input, so a lost executor never costs more than one stage.
+
+Defined cases are those of the operators: a null text counts as empty, null ids stay and sort last,
+an empty table passes through every stage, and columns beyond those of ``documents`` are kept until
+packing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup
+from lodestone.llm import decontaminate, exact_dedup, packing, quality, simhash
+from lodestone.llm.queries import WORD_BPE
 from lodestone.llm.shared import new_folder, table
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.drop_exact_copies(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.drop_near_copies(docs)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold passages of the benchmark."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences."""
+    return packing.pack_documents(docs, WORD_BPE, with_ids=False).drop("row", "ids")
+
+
 STAGES = [
+    ("quality", good_documents),
     ("exact_dedup", without_exact_copies),
+    ("near_dedup", without_near_copies),
+    ("decontamination", without_leaks),
+    ("packing", packed),
 ]
 
 #: The classifier and the packing cannot be expressed in SQL; tests hold the result against brute force.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, exact_dedup, language, lm_scoring, packing, quality, sharding, simhash, warc
+from lodestone.llm import decontaminate, exact_dedup, language, lm_scoring, packing, quality, quotations, sharding, simhash, warc
 from lodestone.llm.shared import table
 
 #: Where the box keeps the vocabulary; operators take it as a parameter.
@@ -112,3 +112,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_quotation_linking")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotations(table(spark, sf_dir, "conversations")).drop("seq")
