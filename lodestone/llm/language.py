@@ -48,43 +48,40 @@ def segments(texts: list[bytes], length: int = SEGMENT) -> tuple[np.ndarray, np.
     return np.ascontiguousarray(codes.reshape(-1, length).T), np.repeat(np.arange(len(texts)), per)
 
 
-def _soft(x: np.ndarray) -> np.ndarray:
-    return x / (1 + np.abs(x))
-
-
 @dataclass
 class Gated:
-    """One direction: ``inputs`` (257, 3H) holds the share of each byte, ``carry`` (H, 3H) that of the state.
+    """One direction: ``inputs`` (3H, 257) holds the share of each byte, ``carry`` (3H, H) that of the state.
 
-    Columns are update gate, reset gate, candidate.
+    Rows are update gate, reset gate, candidate.  Segments lie along the last axis throughout, so that
+    gates are contiguous blocks.
     """
 
     inputs: np.ndarray
     carry: np.ndarray
 
     def read(self, codes: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States after each step (steps, segments, H), in the order of ``codes``; and what training needs."""
+        """States after each step (steps, H, segments), in the order of ``codes``; and what training needs."""
         steps, n = codes.shape
-        h = self.carry.shape[0]
-        out = np.empty((steps, n, h), np.float32)
-        state = np.zeros((n, h), np.float32)
-        gates, from_state, size = (np.empty((n, 3 * h), np.float32) for _ in range(3))
+        h = self.carry.shape[1]
+        out = np.empty((steps, h, n), np.float32)
+        state = np.zeros((h, n), np.float32)
+        gates, from_state, size = (np.empty((3 * h, n), np.float32) for _ in range(3))
+        update_reset, candidate = gates[: 2 * h], gates[2 * h :]
+        update, reset = gates[:h], gates[h : 2 * h]
         kept = []
         for t in range(steps):
-            np.take(self.inputs, codes[t], axis=0, out=gates)
-            np.matmul(state, self.carry, out=from_state)
-            update_reset = gates[:, : 2 * h]
-            update_reset += from_state[:, : 2 * h]
-            bound = size[:, : 2 * h]
+            np.take(self.inputs, codes[t], axis=1, out=gates, mode="clip")
+            np.matmul(self.carry, state, out=from_state)
+            update_reset += from_state[: 2 * h]
+            bound = size[: 2 * h]
             np.abs(update_reset, out=bound)
             bound += 1
             update_reset /= bound
             update_reset *= 0.5
             update_reset += 0.5
-            update, reset = gates[:, :h], gates[:, h : 2 * h]
-            candidate = gates[:, 2 * h :]
-            candidate += reset * from_state[:, 2 * h :]
-            bound = size[:, 2 * h :]
+            bound = size[2 * h :]
+            np.multiply(reset, from_state[2 * h :], out=bound)
+            candidate += bound
             np.abs(candidate, out=bound)
             bound += 1
             candidate /= bound
@@ -93,30 +90,30 @@ class Gated:
             fresh *= update
             fresh += candidate
             if keep:
-                kept.append((state, gates.copy(), from_state[:, 2 * h :].copy()))
+                kept.append((state, gates.copy(), from_state[2 * h :].copy()))
             state = fresh
         return out, kept
 
     def learn(self, codes: np.ndarray, kept: list, d_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of ``inputs`` and ``carry`` by backpropagation through time."""
-        h = self.carry.shape[0]
+        h = self.carry.shape[1]
         d_inputs, d_carry = np.zeros_like(self.inputs), np.zeros_like(self.carry)
         d_state = np.zeros_like(d_out[0])
         for t in range(len(kept) - 1, -1, -1):
             state, gates, from_candidate = kept[t]
-            update, reset, candidate = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
+            update, reset, candidate = gates[:h], gates[h : 2 * h], gates[2 * h :]
             d = d_state + d_out[t]
             d_candidate = d * (1 - update) * (1 - np.abs(candidate)) ** 2
             d_update = d * (state - candidate) * _gate_slope(update)
             d_reset = d_candidate * from_candidate * _gate_slope(reset)
-            back = np.concatenate([d_update, d_reset, d_candidate * reset], 1)
-            d_carry += state.T @ back
-            d_state = d * update + back @ self.carry.T
-            back[:, 2 * h :] = d_candidate
+            back = np.concatenate([d_update, d_reset, d_candidate * reset])
+            d_carry += back @ state.T
+            d_state = d * update + self.carry.T @ back
+            back[2 * h :] = d_candidate
             order = np.argsort(codes[t], kind="stable")
             sorted_codes = codes[t][order]
             first = np.flatnonzero(np.concatenate(([True], sorted_codes[1:] != sorted_codes[:-1])))
-            d_inputs[sorted_codes[first]] += np.add.reduceat(back[order], first, axis=0)
+            d_inputs[:, sorted_codes[first]] += np.add.reduceat(back[:, order], first, axis=1)
         return d_inputs, d_carry
 
 
@@ -130,16 +127,18 @@ class ByteNetwork:
     languages: list[str]
     ahead: Gated
     back: Gated
-    output: np.ndarray  # (2H + 1, languages)
+    output: np.ndarray  # (languages, 2H + 1)
 
     def positions(self, codes: np.ndarray) -> np.ndarray:
-        """Log-probabilities of every language at every position (steps, segments, languages)."""
-        h = self.ahead.carry.shape[0]
-        logits = self.ahead.read(codes)[0] @ self.output[:h]
-        logits += self.back.read(codes[::-1])[0][::-1] @ self.output[h : 2 * h]
-        logits += self.output[2 * h]
-        logits -= logits.max(-1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(-1, keepdims=True))
+        """Log-probabilities of every language at every position (steps, languages, segments)."""
+        h = self.ahead.carry.shape[1]
+        logits = self.output[:, :h] @ self.ahead.read(codes)[0]
+        logits += self.output[:, h : 2 * h] @ self.back.read(codes[::-1])[0][::-1]
+        logits += self.output[:, 2 * h :]
+        top = logits.max(1, keepdims=True)
+        logits -= top
+        np.exp(logits, out=(shares := np.empty_like(logits)))
+        logits -= np.log(shares.sum(1, keepdims=True))
         return logits
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
@@ -149,8 +148,8 @@ class ByteNetwork:
         for at in range(0, codes.shape[1], SIDE_BY_SIDE):
             part = np.ascontiguousarray(codes[:, at : at + SIDE_BY_SIDE])
             labels = self.positions(part)
-            labels *= (part != _PAD)[:, :, None]
-            np.add.at(total, of_text[at : at + SIDE_BY_SIDE], labels.sum(0))
+            labels *= (part != _PAD)[:, None, :]
+            np.add.at(total, of_text[at : at + SIDE_BY_SIDE], labels.sum(0).T)
         total /= np.maximum(np.fromiter(map(len, texts), np.int64, len(texts)), 1)[:, None]
         total = np.exp(total - total.max(1, keepdims=True))
         return total / total.sum(1, keepdims=True)
@@ -168,11 +167,11 @@ def train_network(
 
     def gated() -> Gated:
         return Gated(
-            rng.normal(0, 0.3, (_PAD + 1, 3 * h)).astype(np.float32),
-            rng.normal(0, 0.3, (h, 3 * h)).astype(np.float32),
+            rng.normal(0, 0.3, (3 * h, _PAD + 1)).astype(np.float32),
+            rng.normal(0, 0.3, (3 * h, h)).astype(np.float32),
         )
 
-    net = ByteNetwork(languages, gated(), gated(), rng.normal(0, 0.3, (2 * h + 1, k)).astype(np.float32))
+    net = ByteNetwork(languages, gated(), gated(), rng.normal(0, 0.3, (k, 2 * h + 1)).astype(np.float32))
     codes, of_text = segments(texts)
     if k == 1 or not codes.shape[1]:
         return net
@@ -199,27 +198,28 @@ def train_network(
 
 def loss(net: ByteNetwork, codes: np.ndarray, truth: np.ndarray) -> float:
     """Mean negative log-probability of the true language over all positions."""
-    labels = net.positions(codes)[:, np.arange(len(truth)), truth]
+    labels = net.positions(codes)[:, truth, np.arange(len(truth))]
     inside = codes != _PAD
     return float(-(labels * inside).sum() / inside.sum())
 
 
 def _gradients(net: ByteNetwork, codes: np.ndarray, truth: np.ndarray) -> list[np.ndarray]:
-    h = net.ahead.carry.shape[0]
+    h = net.ahead.carry.shape[1]
+    steps, n = codes.shape
     ahead, kept_ahead = net.ahead.read(codes, keep=True)
     back, kept_back = net.back.read(codes[::-1], keep=True)
-    both = np.concatenate([ahead, back[::-1], np.ones((*codes.shape, 1), np.float32)], -1)
-    logits = both @ net.output
-    logits = np.exp(logits - logits.max(-1, keepdims=True))
-    error = logits / logits.sum(-1, keepdims=True)
-    error[:, np.arange(len(truth)), truth] -= 1
+    both = np.concatenate([ahead, back[::-1], np.ones((steps, 1, n), np.float32)], 1)
+    logits = net.output @ both
+    logits = np.exp(logits - logits.max(1, keepdims=True))
+    error = logits / logits.sum(1, keepdims=True)
+    error[:, truth, np.arange(n)] -= 1
     inside = codes != _PAD
-    error *= inside[:, :, None] / np.float32(inside.sum())
-    d_output = both.reshape(-1, 2 * h + 1).T @ error.reshape(-1, error.shape[-1])
-    d_both = error @ net.output.T
+    error *= inside[:, None, :] / np.float32(inside.sum())
+    d_output = (error @ both.transpose(0, 2, 1)).sum(0)
+    d_both = net.output.T @ error
     return [
-        *net.ahead.learn(codes, kept_ahead, d_both[:, :, :h]),
-        *net.back.learn(codes[::-1], kept_back, d_both[::-1, :, h : 2 * h]),
+        *net.ahead.learn(codes, kept_ahead, d_both[:, :h]),
+        *net.back.learn(codes[::-1], kept_back, d_both[::-1, h : 2 * h]),
         d_output,
     ]
 
