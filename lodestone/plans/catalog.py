@@ -3,11 +3,694 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as t
+from lodestone.operators import answers, chunking, evaluation, lifecycle, retrieval
+from lodestone.plans import inputs
+from lodestone.sources import parsers
+from lodestone.streaming import audit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "tfidf_topk"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+_TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9_]+'), lambda x: lower(x))"
+_STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
+_COLLAPSE = _STRIP.format(r"regexp_replace({0}, '\s+', ' ', 'g')")
+_DOCS = rf"""
+d AS (SELECT doc_id AS doc_ord, 'data/' || source || '/' || doc_id || '.txt' AS source,
+  {_STRIP.format("coalesce(text, '')")} AS text FROM documents),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_ord) AS rn FROM d WHERE text <> '')
+  WHERE rn = 1)"""
+_CHUNKS = rf"""{_DOCS},
+w AS (SELECT doc_ord, source, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM k),
+n AS (SELECT *, len(ws) AS n, CAST(ceil(len(ws) / 100.0) AS BIGINT) AS cnt FROM w),
+h AS (SELECT *, least(cnt, greatest(1, CAST(floor((n - 40) / 100.0) AS BIGINT) + 1)) AS heads FROM n),
+x AS (SELECT *, unnest(range(heads)) AS win FROM h),
+c AS (SELECT doc_ord, source, win, win * 100 + 1 AS start_word,
+  CASE WHEN win = heads - 1 THEN n ELSE win * 100 + 120 END AS end_word,
+  CASE WHEN win = heads - 1 THEN flatten(list_transform(range(win, cnt), lambda j: ws[j * 100 + 1 : j * 100 + 120]))
+    ELSE ws[win * 100 + 1 : win * 100 + 120] END AS body FROM x),
+chunks AS (SELECT doc_ord, source, win AS chunk_index, regexp_extract(source, '[^/]*$') || ':' || win AS chunk_id,
+  array_to_string(body, ' ') AS text, start_word, end_word, len(body) AS word_count FROM c)"""
+_INDEX = rf"""{_CHUNKS},
+tok AS (SELECT doc_ord, chunk_index, unnest({_TOKENS.format("text")}) AS term FROM chunks),
+post AS (SELECT doc_ord, chunk_index, term, count(*) AS tf FROM tok GROUP BY ALL),
+q AS (SELECT item_id AS query_id, list_distinct({_TOKENS.format("text")}) AS terms FROM benchmark),
+qt AS (SELECT query_id, len(terms) AS asked, unnest(terms) AS term FROM q)"""
+_RANK = """row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_ord, chunk_index) AS rank"""
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            found = f(spark, sf_dir)
+            return found.select(*[F.col(c).cast("long").alias(c) if kind == "int" else F.col(c) for c, kind in found.dtypes])
+
+        QUERIES[name] = run
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return run
+
+    return register
+
+
+# --- text, documents, chunks -------------------------------------------------------------------
+
+
+@query(
+    "tokenize_counts",
+    f"""WITH x AS (SELECT doc_id, {_TOKENS.format("coalesce(text, '')")} AS ts FROM documents)
+    SELECT doc_id, len(ts) AS tokens, len(list_distinct(ts)) AS distinct_tokens FROM x""",
+)
+def tokenize_counts(spark, sf_dir):
+    found = t.tokens("text")
+    return inputs.documents(spark, sf_dir).select(
+        F.col("doc_ord").alias("doc_id"), F.size(found).alias("tokens"), F.size(F.array_distinct(found)).alias("distinct_tokens")
+    )
+
+
+@query("fingerprint_dedupe", f"WITH {_DOCS} SELECT doc_ord, source, sha1(text) AS content_fingerprint FROM k")
+def fingerprint_dedupe(spark, sf_dir):
+    return chunking.first_by_content(inputs.documents(spark, sf_dir)).select("doc_ord", "source", "content_fingerprint")
+
+
+@query(
+    "prose_windows",
+    f"""WITH {_CHUNKS} SELECT doc_ord, chunk_index, chunk_id, start_word, end_word, word_count, sha1(text) AS fingerprint
+    FROM chunks""",
+)
+def prose_windows(spark, sf_dir):
+    return inputs.chunks(spark, sf_dir).select(
+        "doc_ord", "chunk_index", "chunk_id", "start_word", "end_word", "word_count", t.fingerprint("text").alias("fingerprint")
+    )
+
+
+@query(
+    "boilerplate_chunks",
+    f"""WITH {_CHUNKS}, b AS (SELECT chunk_id, sha1(lower(text)) AS boilerplate_key FROM chunks)
+    SELECT chunk_id, boilerplate_key, count(*) OVER (PARTITION BY boilerplate_key) AS repeat_count FROM b""",
+)
+def boilerplate_chunks(spark, sf_dir):
+    return chunking.with_boilerplate(inputs.chunks(spark, sf_dir)).select("chunk_id", "boilerplate_key", "repeat_count")
+
+
+@query(
+    "corpus_duplicate_groups",
+    rf"""WITH x AS (SELECT doc_id, {_COLLAPSE.format("coalesce(text, '')")} AS text FROM documents)
+    SELECT sha1(text) AS fingerprint, count(*) AS occurrences, min(doc_id) AS first_ord FROM x WHERE text <> ''
+    GROUP BY 1 HAVING count(*) > 1""",
+)
+def corpus_duplicate_groups(spark, sf_dir):
+    return evaluation.duplicate_groups(inputs.documents(spark, sf_dir))
+
+
+@query(
+    "corpus_line_boilerplate",
+    rf"""WITH l AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+    x AS (SELECT {_COLLAPSE.format("line")} AS line FROM l)
+    SELECT sha1(line) AS fingerprint, count(*) AS occurrences FROM x WHERE len(string_split(line, ' ')) >= 4
+    GROUP BY 1 HAVING count(*) > 2""",
+)
+def corpus_line_boilerplate(spark, sf_dir):
+    return evaluation.repeated_lines(inputs.documents(spark, sf_dir))
+
+
+@query(
+    "conversation_source_units",
+    rf"""WITH t AS (SELECT conv_id, turn, {_STRIP.format("text")} AS p,
+      len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n FROM conversations),
+    u AS (SELECT *, row_number() OVER w - 1 AS unit_index, CAST(sum(n) OVER w AS BIGINT) AS unit_end FROM t WHERE p <> ''
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id AS doc_ord, unit_index, unit_end - n + 1 AS unit_start, unit_end, sha1(p) AS fingerprint FROM u""",
+)
+def conversation_source_units(spark, sf_dir):
+    return chunking.prose_units(inputs.conversations(spark, sf_dir)).select(
+        "doc_ord", "unit_index", "unit_start", "unit_end", t.fingerprint("unit_text").alias("fingerprint")
+    )
+
+
+@query("cohesion_units")
+def cohesion_units(spark, sf_dir):
+    units = chunking.prose_units(inputs.conversations(spark, sf_dir), cohesion=0.1)
+    return units.select("doc_ord", "unit_index", "unit_start", "unit_end", "cohesion_split_applied")
+
+
+_PATTERN_SQL = "\n".join(
+    f"WHEN {' OR '.join(f"contains(lower(source), '{p}') OR contains(lower(text), '{p}')" for p in patterns)} THEN '{name}'"
+    for name, patterns in (chunking.DOC_TYPE_PATTERNS | {"legal": ["license"]}).items()
+)
+
+
+@query(
+    "doc_type_infer",
+    f"""WITH {_DOCS} SELECT doc_ord, CASE WHEN contains(lower(source), 'src1/') THEN 'manual' {_PATTERN_SQL} ELSE 'note' END
+    AS doc_type FROM k""",
+)
+def doc_type_infer(spark, sf_dir):
+    docs = chunking.first_by_content(inputs.documents(spark, sf_dir))
+    kind = chunking.resolved_doc_type(
+        F.lit("unknown"), F.col("source"), F.col("text"), F.lit("text_parser"), inputs.TAXONOMY
+    )
+    return docs.select("doc_ord", kind.alias("doc_type"))
+
+
+@query(
+    "source_units",
+    """SELECT doc_id AS doc_ord, 'su_' || substr(sha1('data/' || source || '/' || doc_id || '.txt'), 1, 16) AS source_unit_id,
+    CASE doc_id % 4 WHEN 0 THEN 'structured' WHEN 1 THEN 'document' ELSE 'plain' END AS tier FROM documents""",
+)
+def source_units(spark, sf_dir):
+    method = F.get(F.array(*map(F.lit, ["csv_parser", "html_parser", "xls_parser", "text_parser"])), F.col("doc_ord") % 4)
+    return inputs.documents(spark, sf_dir).select(
+        "doc_ord", t.source_unit_id("source").alias("source_unit_id"), t.extraction_tier(method).alias("tier")
+    )
+
+
+# --- retrieval ---------------------------------------------------------------------------------
+
+
+def _lexical(metric: str) -> Query:
+    def run(spark, sf_dir):
+        asked = retrieval.query_terms(inputs.queries(spark, sf_dir))
+        scores = retrieval.lexical_scores(asked, retrieval.postings(inputs.chunks(spark, sf_dir)), metric)
+        top = retrieval.ranked(retrieval.thresholded(scores, inputs.SETTINGS.min_retrieval_score), inputs.SETTINGS.top_k)
+        return top.select("query_id", "rank", "doc_ord", "chunk_index", "score")
+
+    return run
+
+
+def _lexical_sql(base: str) -> str:
+    return f"""WITH {_INDEX}, sizes AS (SELECT doc_ord, chunk_index, count(*) AS size FROM post GROUP BY ALL),
+    s AS (SELECT query_id, doc_ord, chunk_index, asked, sum(tf) AS occ, count(*) AS shared FROM post JOIN qt USING (term) GROUP BY ALL),
+    b AS (SELECT query_id, doc_ord, chunk_index, {base} AS base FROM s JOIN sizes USING (doc_ord, chunk_index)),
+    r AS (SELECT query_id, doc_ord, chunk_index, round(base, 4) AS score FROM b WHERE base >= 0.25),
+    o AS (SELECT query_id, {_RANK}, doc_ord, chunk_index, score FROM r) SELECT * FROM o WHERE rank <= 5"""
+
+
+query("lex_overlap_topk", _lexical_sql("CAST(occ AS DOUBLE) / asked"))(_lexical("overlap"))
+query("lex_containment_topk", _lexical_sql("CAST(shared AS DOUBLE) / asked"))(_lexical("containment"))
+query("lex_jaccard_topk", _lexical_sql("CAST(shared AS DOUBLE) / (asked + size - shared)"))(_lexical("jaccard"))
+
+_TFIDF = f"""{_INDEX},
+total AS (SELECT count(*) AS n FROM chunks),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+wt AS (SELECT post.*, ln((n + 1.0) / (df + 1)) + 1 AS idf FROM post JOIN df USING (term), total),
+norms AS (SELECT doc_ord, chunk_index, sqrt(sum((tf * idf) ** 2)) AS norm FROM wt GROUP BY ALL),
+qi AS (SELECT query_id, term, ln((n + 1.0) / (coalesce(df, 0) + 1)) + 1 AS qidf FROM qt LEFT JOIN df USING (term), total),
+qn AS (SELECT query_id, sqrt(sum(qidf ** 2)) AS qnorm FROM qi GROUP BY ALL),
+dots AS (SELECT query_id, doc_ord, chunk_index, sum(tf * idf * qidf) AS dot FROM wt JOIN qi USING (term) GROUP BY ALL),
+tfidf AS (SELECT query_id, doc_ord, chunk_index, dot / (norm * qnorm) AS base FROM dots JOIN norms USING (doc_ord, chunk_index)
+  JOIN qn USING (query_id))"""
+
+
+def _tfidf_scores(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    found = inputs.chunks(spark, sf_dir)
+    asked = retrieval.query_terms(inputs.queries(spark, sf_dir))
+    return found, retrieval.tfidf_scores(asked, retrieval.postings(found), found.count())
+
+
+@query(
+    "tfidf_topk",
+    f"""WITH {_TFIDF}, r AS (SELECT query_id, doc_ord, chunk_index, round(base, 4) AS score FROM tfidf WHERE base >= 0.25),
+    o AS (SELECT query_id, {_RANK}, doc_ord, chunk_index, score FROM r) SELECT * FROM o WHERE rank <= 5""",
+)
+def tfidf_topk(spark, sf_dir):
+    _, scores = _tfidf_scores(spark, sf_dir)
+    top = retrieval.ranked(retrieval.thresholded(scores, inputs.SETTINGS.min_retrieval_score), inputs.SETTINGS.top_k)
+    return top.select("query_id", "rank", "doc_ord", "chunk_index", "score")
+
+
+@query(
+    "hybrid_rrf_topk",
+    f"""WITH {_TFIDF},
+    s AS (SELECT query_id, doc_ord, chunk_index, asked, sum(tf) AS occ FROM post JOIN qt USING (term) GROUP BY ALL),
+    l AS (SELECT query_id, doc_ord, chunk_index, round(CAST(occ AS DOUBLE) / asked, 4) AS score FROM s WHERE CAST(occ AS DOUBLE) / asked >= 0.25),
+    t AS (SELECT query_id, doc_ord, chunk_index, round(base, 4) AS score FROM tfidf WHERE base >= 0.25),
+    lr AS (SELECT *, {_RANK} FROM l), tr AS (SELECT *, {_RANK} FROM t),
+    f AS (SELECT query_id, doc_ord, chunk_index,
+      round(coalesce(1.0::DOUBLE / (60 + lr.rank), 0) + coalesce(1.0::DOUBLE / (60 + tr.rank), 0), 6) AS score
+      FROM lr FULL JOIN tr USING (query_id, doc_ord, chunk_index)),
+    o AS (SELECT query_id, {_RANK}, doc_ord, chunk_index, score FROM f) SELECT * FROM o WHERE rank <= 5""",
+)
+def hybrid_rrf_topk(spark, sf_dir):
+    found = inputs.chunks(spark, sf_dir)
+    asked = retrieval.query_terms(inputs.queries(spark, sf_dir))
+    index = retrieval.postings(found)
+    least = inputs.SETTINGS.min_retrieval_score
+    lists = [
+        retrieval.ranked(retrieval.thresholded(s, least), None)
+        for s in (retrieval.lexical_scores(asked, index), retrieval.tfidf_scores(asked, index, found.count()))
+    ]
+    top = retrieval.ranked(retrieval.rrf(*lists, k=inputs.SETTINGS.hybrid_rrf_k), inputs.SETTINGS.top_k)
+    return top.select("query_id", "rank", "doc_ord", "chunk_index", "score")
+
+
+@query(
+    "ranker_topk",
+    rf"""WITH {_CHUNKS}, tok AS (SELECT doc_ord, chunk_index, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM chunks),
+    qt AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM benchmark),
+    s AS (SELECT query_id, doc_ord, chunk_index, count(*) AS score FROM tok JOIN qt USING (term) GROUP BY ALL),
+    o AS (SELECT query_id, {_RANK}, doc_ord, chunk_index, score FROM s) SELECT * FROM o WHERE rank <= 5""",
+)
+def ranker_topk(spark, sf_dir):
+    top = retrieval.rank_by_counts(inputs.queries(spark, sf_dir), inputs.chunks(spark, sf_dir), inputs.SETTINGS.top_k)
+    return top.select("query_id", "rank", "doc_ord", "chunk_index", "score")
+
+
+@query(
+    "score_components",
+    f"""WITH {_INDEX},
+    m AS (SELECT doc_ord, chunk_index, CASE WHEN contains(lower(text), 'license') THEN 1.5 ELSE 1.0 END AS metadata_weight,
+      count(*) OVER (PARTITION BY sha1(lower(text))) AS n FROM chunks),
+    s AS (SELECT query_id, doc_ord, chunk_index, asked, count(*) AS shared FROM post JOIN qt USING (term) GROUP BY ALL),
+    b AS (SELECT query_id, doc_ord, chunk_index, CAST(shared AS DOUBLE) / asked AS base, metadata_weight,
+      CASE WHEN n <= 1 THEN 1.0 ELSE greatest(0.4, 1 / (1 + 0.25 * (n - 1))) END AS penalty
+      FROM s JOIN m USING (doc_ord, chunk_index)),
+    r AS (SELECT *, round(base * metadata_weight * penalty, 4) AS score FROM b WHERE base * metadata_weight * penalty >= 0.25),
+    o AS (SELECT *, {_RANK} FROM r)
+    SELECT query_id, rank, doc_ord, chunk_index, score, round(base, 6) AS base_similarity,
+      CAST(metadata_weight AS DOUBLE) AS metadata_weight, round(CAST(penalty AS DOUBLE), 6) AS boilerplate_penalty,
+      1.0::DOUBLE AS table_boost FROM o WHERE rank <= 5""",
+)
+def score_components(spark, sf_dir):
+    settings = replace(inputs.SETTINGS, metadata_weight_rules={"doc_type": {"legal": 1.5}})
+    asked = retrieval.query_terms(inputs.queries(spark, sf_dir))
+    found = chunking.with_boilerplate(inputs.chunks(spark, sf_dir))
+    scores = retrieval.lexical_scores(asked, retrieval.postings(found), "containment")
+    kind = F.when(F.contains(F.lower("text"), F.lit("license")), "legal").otherwise("note")
+    factors = found.withColumn("doc_type", kind).select(
+        *retrieval.KEY,
+        retrieval.metadata_weight(settings).alias("metadata_weight"),
+        retrieval.boilerplate_factor(settings).alias("boilerplate_penalty"),
+        F.lit(1.0).alias("table_boost"),
+    )
+    final = F.col("base") * F.col("metadata_weight") * F.col("boilerplate_penalty") * F.col("table_boost")
+    top = retrieval.ranked(
+        retrieval.thresholded(scores.join(factors, retrieval.KEY), settings.min_retrieval_score, final), settings.top_k
+    )
+    return top.select(
+        "query_id",
+        "rank",
+        *retrieval.KEY,
+        "score",
+        F.round("base", 6).alias("base_similarity"),
+        "metadata_weight",
+        F.round("boilerplate_penalty", 6).alias("boilerplate_penalty"),
+        "table_boost",
+    )
+
+
+@query(
+    "query_expansion",
+    f"""WITH q AS (SELECT item_id AS query_id, list_distinct({_TOKENS.format("text")}) AS terms FROM benchmark),
+    a AS (SELECT query_id, CASE WHEN list_contains(terms, 'the') THEN list_concat(terms, ['la', 'der']) ELSE terms END AS terms FROM q),
+    b AS (SELECT query_id, CASE WHEN list_contains(terms, 'la') OR list_contains(terms, 'der') THEN list_concat(terms, ['the']) ELSE terms END AS terms FROM a)
+    SELECT query_id, array_to_string(list_sort(list_distinct(terms)), ' ') AS terms FROM b""",
+)
+def query_expansion(spark, sf_dir):
+    found = retrieval.query_terms(inputs.queries(spark, sf_dir), inputs.THESAURUS)
+    return found.select("query_id", F.array_join("terms", " ").alias("terms"))
+
+
+def _vectors(metric: str) -> Query:
+    def run(spark, sf_dir):
+        rows = inputs.table(spark, sf_dir, "embeddings")
+        asked = rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+        scores = retrieval.vector_scores(asked, rows.select("vec_id", F.col("embedding").alias("vector")), metric)
+        top = retrieval.ranked(retrieval.thresholded(scores, 0.25), 5, ties=["vec_id"])
+        return top.select("query_id", "rank", "vec_id", "score")
+
+    return run
+
+
+def _vector_sql(value: str) -> str:
+    return f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {value} AS base FROM embeddings q, embeddings v WHERE q.vec_id < 10),
+    r AS (SELECT query_id, vec_id, round(base, 4) AS score FROM s WHERE base >= 0.25),
+    o AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM r)
+    SELECT * FROM o WHERE rank <= 5"""
+
+
+_DOT = "list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
+query("vec_cosine_topk", _vector_sql(_DOT))(_vectors("cosine"))
+query("vec_l2_topk", _vector_sql("1 / (1 + list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]))"))(_vectors("euclidean"))
+
+
+@query(
+    "hash_embed_buckets",
+    r"""WITH p AS (SELECT item_id AS query_id, lower(text) AS body FROM benchmark),
+    f AS (
+      SELECT query_id, 'tok:' || unnest(list_filter(regexp_split_to_array(body, '\s+'), lambda x: x <> '')) AS f, 1.0 AS w FROM p
+      UNION ALL
+      SELECT query_id, 'ch' || n || ':' || substr(j, i, n) AS f, 0.35 AS w FROM (
+        SELECT query_id, j, n, unnest(range(1, len(j) - n + 2)) AS i FROM (
+          SELECT query_id, replace(body, ' ', '_') AS j, unnest([3, 4, 5]) AS n FROM p)))
+    SELECT query_id, CAST(('0x' || substr(sha1(f), 1, 16))::UBIGINT % 256 AS BIGINT) AS idx, round(CAST(sum(w) AS DOUBLE), 4) AS weight
+    FROM f GROUP BY 1, 2""",
+)
+def hash_embed_buckets(spark, sf_dir):
+    texts = inputs.queries(spark, sf_dir).select("query_id", F.col("query").alias("text"))
+    return retrieval.hashed_features(texts, "query_id").select("query_id", "idx", F.round("weight", 4).alias("weight"))
+
+
+@query("hash_vector_topk")
+def hash_vector_topk(spark, sf_dir):
+    found = inputs.chunks(spark, sf_dir)
+    texts = found.select("chunk_id", "text")
+    asked = inputs.queries(spark, sf_dir).select("query_id", F.col("query").alias("text"))
+    vectors = retrieval.embed(texts, "chunk_id")
+    scores = retrieval.vector_scores(retrieval.embed(asked, "query_id").withColumnRenamed("vector", "query_vector"), vectors)
+    top = retrieval.ranked(retrieval.thresholded(scores, 0.25), 5, ties=["chunk_id"])
+    return top.select("query_id", "rank", "chunk_id", "score")
+
+
+# --- lifecycle ---------------------------------------------------------------------------------
+
+_RECORDS = """r AS (SELECT doc_id, strftime(TIMESTAMP '2023-01-01' + to_days(CAST(doc_id * 37 % 500 AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') AS ts,
+  doc_id * 37 % 500 AS days, CASE WHEN toxic = 1 THEN 'soft_deleted' WHEN quality = 0 THEN 'retired' ELSE 'active' END AS status FROM labels)"""
+_REASONS = f"""{_RECORDS}, j AS (SELECT d.doc_id, CASE WHEN r.doc_id IS NULL THEN 'missing_persisted_record'
+  WHEN status = 'soft_deleted' THEN 'soft_deleted' WHEN status = 'retired' THEN 'status_denied'
+  WHEN date_diff('day', TIMESTAMP '2023-01-01' + to_days(CAST(days AS INTEGER)), TIMESTAMP '2024-02-01') > 180 THEN 'freshness_stale' END AS filter_reason
+  FROM documents d LEFT JOIN r USING (doc_id))"""
+_GOVERNED = replace(
+    inputs.SETTINGS, status_deny_list=("retired",), freshness_max_age_days=180, lifecycle_require_persisted_record=True
+)
+
+
+def _now():
+    return F.to_timestamp(F.lit(inputs.NOW))
+
+
+def _filtered(spark, sf_dir):
+    return lifecycle.with_filter_reason(inputs.units(spark, sf_dir), inputs.records(spark, sf_dir), _GOVERNED, _now())
+
+
+@query("lifecycle_filter_reasons", f"WITH {_REASONS} SELECT doc_id, filter_reason FROM j")
+def lifecycle_filter_reasons(spark, sf_dir):
+    return _filtered(spark, sf_dir).select("doc_id", "filter_reason")
+
+
+@query(
+    "lifecycle_diagnostics",
+    f"""WITH {_REASONS} SELECT count(*) AS candidates,
+    {", ".join(f"count(*) FILTER (WHERE filter_reason = '{r}') AS filtered_{r}" for r in lifecycle.REASONS)},
+    count(*) FILTER (WHERE filter_reason IS NULL) AS retained FROM j""",
+)
+def lifecycle_diagnostics(spark, sf_dir):
+    return lifecycle.filter_diagnostics(_filtered(spark, sf_dir))
+
+
+@query(
+    "lifecycle_upsert_actions",
+    f"""WITH {_RECORDS}, j AS (SELECT doc_id, r.doc_id IS NOT NULL AS known, doc_id % 2 = 0 AS same, ts, status FROM documents LEFT JOIN r USING (doc_id))
+    SELECT 'unit-' || doc_id AS source_unit_id,
+      CASE WHEN NOT known THEN 'created' WHEN same THEN 'unchanged_skipped' ELSE 'updated' END AS action,
+      CASE WHEN known AND same THEN status ELSE 'active' END AS status,
+      CASE WHEN known THEN ts ELSE '2024-02-01T00:00:00Z' END AS ingestion_iso_ts,
+      CASE WHEN known AND same THEN ts ELSE '2024-02-01T00:00:00Z' END AS last_upsert_iso_ts,
+      CASE WHEN known AND same AND status = 'soft_deleted' THEN ts END AS deletion_mark_iso_ts FROM j""",
+)
+def lifecycle_upsert_actions(spark, sf_dir):
+    batch = inputs.units(spark, sf_dir).select(
+        "source_unit_id",
+        F.col("source_unit_id").alias("source"),
+        F.when(F.col("doc_id") % 2 == 0, F.sha1(F.col("doc_id").cast("string").cast("binary"))).otherwise("new").alias("content_fingerprint"),
+        F.col("doc_id").alias("seq"),
+    )
+    found = lifecycle.upsert(inputs.records(spark, sf_dir), batch, inputs.NOW, skip_unchanged=True)
+    return found.select("source_unit_id", "action", "status", "ingestion_iso_ts", "last_upsert_iso_ts", "deletion_mark_iso_ts")
+
+
+@query(
+    "soft_delete_purge",
+    f"""WITH {_RECORDS} SELECT 'unit-' || doc_id AS source_unit_id, CASE WHEN status <> 'soft_deleted' THEN 'keep'
+    WHEN date_diff('day', TIMESTAMP '2023-01-01' + to_days(CAST(days AS INTEGER)), TIMESTAMP '2024-02-01') < 90 THEN 'keep' ELSE 'purge' END AS purge FROM r""",
+)
+def soft_delete_purge(spark, sf_dir):
+    return lifecycle.purge_plan(inputs.records(spark, sf_dir), _now(), 90).select("source_unit_id", "purge")
+
+
+@query(
+    "audit_report",
+    f"""WITH {_RECORDS} SELECT 'status' AS section, status AS name, count(*) AS n FROM r GROUP BY 2
+    UNION ALL SELECT 'timestamps', unnest(['missing_ingestion_iso_ts', 'invalid_ingestion_iso_ts', 'missing_last_upsert_iso_ts', 'invalid_last_upsert_iso_ts']), 0
+    UNION ALL SELECT 'events', event_type, count(*) FROM events GROUP BY 2""",
+)
+def audit_report(spark, sf_dir):
+    return lifecycle.audit_report(inputs.records(spark, sf_dir), inputs.audit_events(spark, sf_dir))
+
+
+# --- tables ------------------------------------------------------------------------------------
+
+_TABLES = """t AS (SELECT s_nationkey AS doc_ord, list(s_suppkey || ' | ' || s_name ORDER BY s_suppkey) AS rows FROM supplier GROUP BY 1)"""
+
+
+@query("table_classify")
+def table_classify(spark, sf_dir):
+    both = inputs.table_documents(spark, sf_dir).unionByName(inputs.documents(spark, sf_dir))
+    return both.select("source", chunking.looks_tabular("text").alias("is_tabular"))
+
+
+@query(
+    "table_windows",
+    f"""WITH {_TABLES}, x AS (SELECT *, unnest(range(0, len(rows), 2)) AS start FROM t),
+    y AS (SELECT doc_ord, start, rows[start + 1 : start + 3] AS part FROM x)
+    SELECT CAST(doc_ord AS BIGINT) AS doc_ord, start + 1 AS row_start, start + len(part) AS row_end, start + 2 AS absolute_row_start,
+      start + len(part) + 1 AS absolute_row_end, len(part) AS window_row_count,
+      sha1('key | name' || chr(10) || array_to_string(part, chr(10))) AS fingerprint FROM y WHERE start = 0 OR len(part) > 1""",
+)
+def table_windows(spark, sf_dir):
+    docs = inputs.table_documents(spark, sf_dir).withColumn("known_headers", F.array(F.lit("Key | Name")))
+    found = chunking.table_windows(chunking.table_sections(docs), 3, 1)
+    return found.select(
+        "doc_ord",
+        "row_start",
+        "row_end",
+        "absolute_row_start",
+        "absolute_row_end",
+        "window_row_count",
+        t.fingerprint("text_window").alias("fingerprint"),
+    )
+
+
+@query(
+    "tabular_grounding_rows",
+    f"""WITH {_TABLES}, x AS (SELECT doc_ord, unnest(rows) AS row_text FROM t),
+    y AS (SELECT doc_ord, row_text, list_distinct({_TOKENS.format("row_text || ' key name'")}) AS ts FROM x),
+    z AS (SELECT doc_ord, row_text, list_sort(list_intersect(ts, ['supplier', '000000007', 'name', '12', '17'])) AS m FROM y)
+    SELECT CAST(doc_ord AS BIGINT) AS doc_ord, row_text, array_to_string(m, ' ') AS matched_terms FROM z WHERE len(m) >= 2""",
+)
+def tabular_grounding_rows(spark, sf_dir):
+    asked = inputs.table_documents(spark, sf_dir).withColumn("query", F.lit("Supplier 000000007 with name of 12 or 17"))
+    found = answers.ground_rows(asked, 2).select("doc_ord", F.explode("matched_rows").alias("r"))
+    return found.select("doc_ord", F.col("r.row_text").alias("row_text"), F.array_join("r.matched_terms", " ").alias("matched_terms"))
+
+
+# --- answers -----------------------------------------------------------------------------------
+
+_TOP = f"""{_INDEX},
+s AS (SELECT query_id, doc_ord, chunk_index, asked, count(*) AS shared FROM post JOIN qt USING (term) GROUP BY ALL),
+rr AS (SELECT query_id, doc_ord, chunk_index, round(CAST(shared AS DOUBLE) / asked, 4) AS score FROM s WHERE CAST(shared AS DOUBLE) / asked >= 0.9),
+o AS (SELECT *, {_RANK} FROM rr),
+e AS (SELECT query_id, rank, score, chunks.* FROM o JOIN chunks USING (doc_ord, chunk_index) WHERE rank <= 5)"""
+
+
+def _evidence(spark, sf_dir) -> DataFrame:
+    found = inputs.chunks(spark, sf_dir)
+    asked = retrieval.query_terms(inputs.queries(spark, sf_dir))
+    scores = retrieval.lexical_scores(asked, retrieval.postings(found), "containment")
+    top = retrieval.ranked(retrieval.thresholded(scores, 0.9), 5).select("query_id", "rank", "score", *retrieval.KEY)
+    return top.join(found, retrieval.KEY).withColumn("doc_type", F.lit("note"))
+
+
+@query(
+    "answers_extractive",
+    f"""WITH {_TOP}, a AS (SELECT query_id, array_to_string(list(text ORDER BY rank), chr(10)) AS answer, count(*) AS n,
+      array_to_string(list(chunk_id ORDER BY rank), ' ') AS ids FROM e WHERE rank <= 3 GROUP BY 1)
+    SELECT item_id AS query_id, sha1(coalesce(answer, 'I cannot answer confidently because no supporting evidence was retrieved.')) AS answer,
+      n IS NULL AS abstained, CASE WHEN n IS NULL THEN 'no_supporting_evidence' END AS reason_code, coalesce(ids, '') AS cited,
+      coalesce(n, 0) AS used_context_count FROM benchmark LEFT JOIN a ON query_id = item_id""",
+)
+def answers_extractive(spark, sf_dir):
+    found = answers.extractive_answers(inputs.queries(spark, sf_dir), _evidence(spark, sf_dir))
+    return found.select(
+        "query_id",
+        t.fingerprint("answer").alias("answer"),
+        "abstained",
+        "reason_code",
+        F.array_join("cited_chunk_ids", " ").alias("cited"),
+        "used_context_count",
+    )
+
+
+@query(
+    "citations_quality",
+    f"""WITH {_TOP} SELECT query_id, rank, chunk_id AS id, regexp_extract(source, '[^/]*$') AS title, source AS document,
+    substr(text, 1, 280) AS snippet, score, rank <= 3 AND (max(rank) OVER (PARTITION BY query_id) > 3 OR score >= 0.5) AS visible,
+    CASE WHEN length(text) < 10 THEN 'snippet_adequacy' ELSE '' END AS failures FROM e""",
+)
+def citations_quality(spark, sf_dir):
+    evidence = _evidence(spark, sf_dir)
+    sources = inputs.chunks(spark, sf_dir).select("chunk_id", "source")
+    judged = answers.quality_failures(answers.citations(evidence), sources)
+    return answers.split_citations(judged).select(
+        "query_id", "rank", "id", "title", "document", "snippet", "score", "visible", F.array_join("failures", " ").alias("failures")
+    )
+
+
+@query(
+    "provenance_report",
+    f"""WITH {_TOP}, j AS (SELECT query_id, length(text) < 10 AS weak FROM e)
+    SELECT query_id, count(*) AS total, count(*) FILTER (WHERE NOT weak) AS complete, 0::BIGINT AS missing_fields,
+    count(*) FILTER (WHERE weak) AS snippet_adequacy, 0::BIGINT AS source_traceability, 0::BIGINT AS duplicate_policy,
+    round(avg(CASE WHEN weak THEN 0.0 ELSE 1.0 END), 4) AS completeness FROM j GROUP BY 1""",
+)
+def provenance_report(spark, sf_dir):
+    evidence = _evidence(spark, sf_dir)
+    sources = inputs.chunks(spark, sf_dir).select("chunk_id", "source")
+    return answers.provenance(answers.quality_failures(answers.citations(evidence), sources))
+
+
+@query(
+    "confidence_labels",
+    f"""WITH {_TOP}, {_RECORDS}, xx AS (SELECT query_id, rank, least(1.0, score) AS score,
+      CASE WHEN status = 'soft_deleted' THEN 0.0 WHEN status = 'retired' THEN 0.5 ELSE 1.0 END AS alive,
+      CASE WHEN r.doc_id IS NULL THEN 1.0 ELSE greatest(0.35, 0.5 ** ((396 - days) / 365.0)) END AS decay
+      FROM e LEFT JOIN r ON doc_id = doc_ord),
+    gg AS (SELECT query_id, avg(score) FILTER (WHERE rank <= 3) AS st, avg(alive) AS al, avg(least(1.0, decay)) AS de, count(*) AS n FROM xx GROUP BY 1),
+    cc AS (SELECT query_id, least(1.0, (st * 0.45 + 0.65 * 0.25 + al * 0.2 + least(1.0, n / 3.0) * 0.1) * de) AS score FROM gg)
+    SELECT query_id, round(score, 4) AS score, CASE WHEN score >= 0.72 THEN 'high' WHEN score >= 0.45 THEN 'low' ELSE 'abstain' END AS label FROM cc""",
+)
+def confidence_labels(spark, sf_dir):
+    records = inputs.records(spark, sf_dir).select(
+        F.regexp_extract("source_unit_id", r"\d+", 0).cast("long").alias("doc_ord"), "status", "last_upsert_iso_ts", "deletion_mark_iso_ts"
+    )
+    evidence = _evidence(spark, sf_dir).join(records, "doc_ord", "left")
+    rows = evidence.withColumns(
+        {
+            "tier": t.extraction_tier(F.lit("text_parser")),
+            "deleted": F.col("deletion_mark_iso_ts").isNotNull(),
+            "ts": t.parse_ts("last_upsert_iso_ts"),
+            "is_tabular": F.lit(False),
+        }
+    )
+    found = answers.confidence(rows, inputs.SETTINGS, _now())
+    return found.select("query_id", F.round("score", 4).alias("score"), "label")
+
+
+# --- evaluation --------------------------------------------------------------------------------
+
+_SAMPLES = """(SELECT item_id AS query_id, list(doc_id) AS relevant FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1)"""
+
+
+def _samples(spark, sf_dir) -> DataFrame:
+    """Documents that hold each benchmark text; the benchmark is the stated query set."""
+    items = inputs.queries(spark, sf_dir)
+    docs = inputs.documents(spark, sf_dir)
+    pairs = docs.join(F.broadcast(items), F.contains(F.col("text"), F.col("query"))).select("query_id", "doc_ord")
+    held = pairs.groupBy("query_id").agg(F.collect_set("doc_ord").alias("relevant"))
+    return items.select("query_id").join(held, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
+
+
+@query(
+    "eval_metrics",
+    f"""WITH {_TFIDF}, r AS (SELECT query_id, doc_ord, chunk_index, round(base, 4) AS score FROM tfidf WHERE base >= 0.25),
+    o AS (SELECT query_id, {_RANK}, doc_ord FROM r), l AS {_SAMPLES},
+    p AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE list_contains(relevant, doc_ord)) AS hits,
+      min(rank) FILTER (WHERE list_contains(relevant, doc_ord)) AS first FROM o JOIN l USING (query_id) WHERE rank <= 5 GROUP BY 1),
+    a AS (SELECT query_id, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits, first FROM l LEFT JOIN p USING (query_id))
+    SELECT count(*) AS sample_count, round(avg(CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_rate_at_k,
+      round(avg(coalesce(1.0::DOUBLE / first, 0)), 4) AS mrr_at_k, round(avg(CAST(hits AS DOUBLE) / greatest(1, n)), 4) AS context_precision_at_k,
+      round(avg(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS abstention_rate FROM a""",
+)
+def eval_metrics(spark, sf_dir):
+    return evaluation.retrieval_metrics(_samples(spark, sf_dir), tfidf_topk(spark, sf_dir))
+
+
+@query(
+    "faithfulness_proxy",
+    f"""WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+    x AS (SELECT conv_id, turn, list_distinct(list_filter({_TOKENS.format("text")}, lambda x: length(x) >= 3 AND NOT list_contains({list(t.PROXY_STOPWORDS)}, x))) AS a,
+      list_distinct(list_filter({_TOKENS.format("before")}, lambda x: length(x) >= 3 AND NOT list_contains({list(t.PROXY_STOPWORDS)}, x))) AS b FROM p WHERE before IS NOT NULL)
+    SELECT conv_id, turn, CASE WHEN len(a) > 0 THEN round(CAST(len(list_intersect(a, b)) AS DOUBLE) / len(a), 4) END AS faithfulness FROM x""",
+)
+def faithfulness_proxy(spark, sf_dir):
+    """Every turn as an answer, the turn before it as its context."""
+    turns = inputs.table(spark, sf_dir, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = turns.withColumn("before", before).where("before is not null")
+    return rows.select("conv_id", "turn", F.round(evaluation.faithfulness("text", "before"), 4).alias("faithfulness"))
+
+
+@query("fallback_match")
+def fallback_match(spark, sf_dir):
+    entries = [
+        {"id": "first", "question_examples": ["the of and in"], "confidence_threshold": None},
+        {"id": "generic_fallback", "question_examples": []},
+    ]
+    return evaluation.fallback_matches(inputs.queries(spark, sf_dir), entries)
+
+
+# --- sources and streams -----------------------------------------------------------------------
+
+
+@query("html_text")
+def html_text(spark, sf_dir):
+    files = inputs.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content")
+    )
+    return parsers.parse_files(files).select("source", "status", "text")
+
+
+@query("json_flatten")
+def json_flatten(spark, sf_dir):
+    files = inputs.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("events/"), F.col("event_id"), F.lit(".json")).alias("path"), F.col("props").cast("binary").alias("content")
+    )
+    return parsers.parse_files(files).select("source", "status", "text")
+
+
+@query(
+    "ingestion_diagnostics",
+    """SELECT count(*) AS total, count(*) FILTER (WHERE doc_id % 10 <> 0) AS loaded, count(*) FILTER (WHERE doc_id % 10 = 0) AS skipped,
+    count(*) FILTER (WHERE doc_id % 10 = 0) AS unsupported, 0::BIGINT AS internal FROM documents""",
+)
+def ingestion_diagnostics(spark, sf_dir):
+    suffix = F.when(F.col("doc_id") % 10 == 0, ".bin").otherwise(".txt")
+    files = inputs.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("data/"), F.col("doc_id"), suffix).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")
+    )
+    return parsers.diagnostics(parsers.parse_files(files))
+
+
+@query(
+    "events_tumbling",
+    """SELECT date_trunc('hour', ts) AS window_start, event_type AS action, count(*) AS n FROM events GROUP BY 1, 2""",
+)
+def events_tumbling(spark, sf_dir):
+    return audit.tumbling(inputs.audit_events(spark, sf_dir))
+
+
+@query(
+    "events_sliding",
+    """WITH x AS (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS window_start, event_type FROM events)
+    SELECT window_start, event_type AS action, count(*) AS n FROM x GROUP BY 1, 2""",
+)
+def events_sliding(spark, sf_dir):
+    return audit.sliding(inputs.audit_events(spark, sf_dir))
+
+
+@query(
+    "events_sessions",
+    """WITH x AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    y AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x)
+    SELECT 'unit-' || user_id AS source_unit_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM y GROUP BY user_id, s""",
+)
+def events_sessions(spark, sf_dir):
+    return audit.sessions(inputs.audit_events(spark, sf_dir))
