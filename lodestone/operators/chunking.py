@@ -144,7 +144,7 @@ def prose_windows(units: DataFrame, size: int = 120, overlap: int = 20, least: i
         F.transform(F.sequence("window", F.col("count") - 1), lambda j: F.slice("ws", j * step + 1, size))
     )
     body = F.when(last, tail).otherwise(F.slice("ws", F.col("window") * step + 1, size))
-    end = F.when(last, n).otherwise(F.col("window") * step + size)
+    end = F.when(last, n).otherwise(F.least(n, F.col("window") * step + size))
     return rows.select(
         *[c for c in units.columns],
         "window",

@@ -10,7 +10,9 @@ from lodestone.operators import answers, evaluation, lifecycle, retrieval
 from lodestone.sources import parsers
 from lodestone.streaming import audit
 
-NOW = F.to_timestamp(F.lit("2024-02-01T00:00:00Z"))
+def now():
+    return F.to_timestamp(F.lit("2024-02-01T00:00:00Z"))
+
 RECORD = "source_unit_id string, source string, content_fingerprint string, ingestion_iso_ts string, last_upsert_iso_ts string, deletion_mark_iso_ts string, status string"
 
 
@@ -74,7 +76,7 @@ def test_filters(spark):
         [record("a"), record("b", mark="x"), record("c", "Retired"), record("d", ts="2020-01-01T00:00:00Z"), record("e", ts="bad")], RECORD
     )
     settings = Settings(status_deny_list=("retired",), freshness_max_age_days=100, freshness_invalid_ts_policy="exclude", lifecycle_require_persisted_record=True)
-    found = lifecycle.with_filter_reason(units, records, settings, NOW)
+    found = lifecycle.with_filter_reason(units, records, settings, now())
     assert {r.source_unit_id: r.filter_reason for r in found.collect()} == {
         "a": None, "b": "soft_deleted", "c": "status_denied", "d": "freshness_stale", "e": "freshness_invalid_timestamp",
         "none": "missing_persisted_record", "": "missing_source_unit_id",
@@ -95,9 +97,9 @@ def test_upserts(spark):
 def test_soft_delete_and_purge(spark):
     records = spark.createDataFrame([record("a"), record("b"), record("c", "soft_deleted", mark="bad")], RECORD)
     deleted = lifecycle.soft_delete(records, spark.createDataFrame([("a",), ("zz",)], "source_unit_id string"), "2023-01-01T00:00:00Z")
-    plan = {r.source_unit_id: r.purge for r in lifecycle.purge_plan(deleted, NOW, 30).collect()}
+    plan = {r.source_unit_id: r.purge for r in lifecycle.purge_plan(deleted, now(), 30).collect()}
     assert plan == {"a": "purge", "b": "keep", "c": "invalid_mark"}
-    assert [r.source_unit_id for r in lifecycle.purge(deleted, NOW).collect()] == ["b"]
+    assert [r.source_unit_id for r in lifecycle.purge(deleted, now()).collect()] == ["b"]
 
 
 def test_grounding(spark):
@@ -134,7 +136,7 @@ def test_confidence(spark):
     schema = "query_id long, rank int, score double, tier string, status string, deleted boolean, ts timestamp, is_tabular boolean, doc_type string"
     rows = spark.createDataFrame([(1, i, 1.0, "structured", "active", False, None, True, "x") for i in (1, 2, 3)] + [(2, 1, 0.1, "plain", "retired", False, None, False, "x")], schema)
     intents = spark.createDataFrame([(2, ["tabular"])], "query_id long, intents array<string>")
-    found = {r.query_id: r for r in answers.confidence(rows, Settings(), NOW, intents).collect()}
+    found = {r.query_id: r for r in answers.confidence(rows, Settings(), now(), intents).collect()}
     assert found[1].label == "high" and found[1].score == pytest.approx(1.0)
     assert (found[2].label, found[2].reason) == ("abstain", "tabular_evidence_missing")
 
