@@ -232,3 +232,88 @@ def confidence(evidence: DataFrame, settings: Settings, now: Column, intents: Da
         .otherwise("insufficient_evidence_quality")
         .alias("reason"),
     )
+
+
+def fixed_answers(queries: DataFrame, evidence: DataFrame, mode: str) -> DataFrame:
+    """Answers of the modes ``mock`` (echoes the query, cites the first three) and ``live`` (no provider connected)."""
+    used = evidence.where("rank <= 3").groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("used")
+    )
+    out = queries.select("query_id", "query").join(used, "query_id", "left")
+    none = F.array().cast("array<string>")
+    ids = F.array_distinct(F.transform("used", lambda u: u["chunk_id"]))
+    if mode == "live":
+        said, reason, cited, n = F.lit(LIVE_UNCONFIGURED), F.lit("live_adapter_unconfigured"), none, F.lit(0)
+    else:
+        said = F.concat(F.lit("[mock] received query: "), F.col("query"))
+        reason, cited, n = F.lit(None).cast("string"), F.coalesce(ids, none), F.coalesce(F.size("used"), F.lit(0))
+    return out.select(
+        "query_id",
+        said.alias("answer"),
+        F.lit(False).alias("abstained"),
+        reason.alias("reason_code"),
+        cited.alias("cited_chunk_ids"),
+        F.greatest(n, F.lit(0)).alias("used_context_count"),
+    )
+
+
+#: The answer while no provider is connected.
+LIVE_UNCONFIGURED = (
+    "Live generation mode is enabled, but no provider adapter is configured yet. "
+    "Connect a provider-specific implementation for production inference."
+)
+
+
+def used_citations(evidence: DataFrame, answered: DataFrame) -> DataFrame:
+    """Evidence that an answer cites, the first row of each chunk, in rank order."""
+    cited = answered.select("query_id", F.explode("cited_chunk_ids").alias("chunk_id"))
+    order = Window.partitionBy("query_id", "chunk_id").orderBy("rank")
+    first = evidence.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    return first.join(cited, ["query_id", "chunk_id"], "left_semi")
+
+
+def envelopes(queries: DataFrame, answered: DataFrame, cited: DataFrame, trust: DataFrame) -> DataFrame:
+    """One JSON object per query: contract_version, message, answer, abstained, confidence, citations,
+    collapsed_citations."""
+    shown = split_citations(cited)
+    fields = F.struct("rank", *CITATION_FIELDS)
+    listed = shown.groupBy("query_id").agg(  # at most top_k rows of a query
+        F.array_sort(F.collect_list(F.when(F.col("visible"), fields))).alias("citations"),
+        F.array_sort(F.collect_list(F.when(~F.col("visible"), fields))).alias("collapsed_citations"),
+    )
+    rows = (
+        queries.select("query_id", "query")
+        .join(answered, "query_id")
+        .join(listed, "query_id", "left")
+        .join(trust.select("query_id", F.col("label").alias("confidence"), F.col("score").alias("confidence_score")), "query_id", "left")
+    )
+    shown_n = F.when(F.col("citations").isNotNull(), F.size("citations"))
+    hidden_n = F.when(F.col("collapsed_citations").isNotNull(), F.size("collapsed_citations"))
+    return rows.select(
+        "query_id",
+        F.to_json(
+            F.struct(
+                F.lit("1.0").alias("contract_version"),
+                F.struct(
+                    F.col("answer").alias("text"),
+                    F.struct(
+                        F.coalesce(shown_n, F.lit(0)).alias("count"),
+                        (F.coalesce(shown_n, F.lit(0)) + F.coalesce(hidden_n, F.lit(0))).alias("total_count"),
+                        F.coalesce(hidden_n, F.lit(0)).alias("hidden_count"),
+                        F.when(F.coalesce(shown_n, F.lit(0)) + F.coalesce(hidden_n, F.lit(0)) > 0, "citations available")
+                        .otherwise("no citations")
+                        .alias("label"),
+                    ).alias("citations_summary"),
+                    F.struct("abstained", "reason_code", "used_context_count", "cited_chunk_ids").alias("generation"),
+                ).alias("message"),
+                "query",
+                "answer",
+                "abstained",
+                "reason_code",
+                F.when(F.col("abstained"), "abstain").otherwise(F.coalesce("confidence", F.lit("abstain"))).alias("confidence"),
+                F.coalesce("confidence_score", F.lit(0.0)).alias("confidence_score"),
+                "citations",
+                "collapsed_citations",
+            )
+        ).alias("envelope"),
+    )
