@@ -101,9 +101,24 @@ def byte_bpe(path: str, pattern: str, limit: int = CACHE_WORDS) -> WordCache:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encode_text = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    tail = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}']+)").fullmatch
+    seen: dict[str, bytes] = {}
+
+    def packed(text: str) -> bytes:
+        """Ids of a piece that the pattern never joins with its neighbours."""
+        ids = seen.get(text)
+        if ids is None:
+            if len(seen) >= limit:
+                seen.clear()
+            found = encode_text(text)
+            ids = seen[text] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
     def encode(chunk: bytes) -> bytes:
-        ids = encode_text(" " + chunk.decode("utf-8", "replace"))
-        return struct.pack(f"<{len(ids)}I", *ids)
+        text = chunk.decode("utf-8", "replace")
+        if (cut := tail(text)) is not None:
+            return packed(" " + cut[1]) + packed(cut[2])
+        return packed(" " + text)
 
     return WordCache(encode, limit)
 
