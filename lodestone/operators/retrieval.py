@@ -122,6 +122,19 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, metric: str = "cosine"
     )
 
 
+#: Queries that one task holds at a time.
+QUERY_BLOCK = 256
+
+
+def vector_scores_in_blocks(queries: DataFrame, vectors: DataFrame, metric: str = "cosine", keys: tuple[str, ...] = ("vec_id",)) -> DataFrame:
+    """Scores of all pairs like ``vector_scores``, for any number of queries: blocks of them meet the vectors, none is broadcast."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = queries.select("query_id", "query_vector").repartition(blocks)
+    return vectors.hint("shuffle_replicate_nl").crossJoin(dealt).select(
+        "query_id", *keys, t.vector_similarity("query_vector", "vector", metric).alias("base")
+    )
+
+
 def hashed_features(texts: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
     """(key, idx, weight): hashed words at 1.0 and character n-grams at 0.35, not yet normalised."""
     dim = max(16, settings.vector_dimension)

@@ -342,6 +342,30 @@ query("vec_cosine_topk", _vector_sql(_DOT))(_vectors("cosine"))
 query("vec_l2_topk", _vector_sql("1 / (1 + list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]))"))(_vectors("euclidean"))
 
 
+def _vector_search(metric: str) -> Query:
+    """Every row whose id is divisible by 20 against all rows."""
+
+    def run(spark, sf_dir):
+        rows = inputs.table(spark, sf_dir, "embeddings")
+        asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+        scores = retrieval.vector_scores_in_blocks(asked, rows.select("vec_id", F.col("embedding").alias("vector")), metric)
+        top = retrieval.ranked(retrieval.thresholded(scores, 0.25), 5, ties=["vec_id"])
+        return top.select("query_id", "rank", "vec_id", "score")
+
+    return run
+
+
+def _vector_search_sql(value: str) -> str:
+    return f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {value} AS base FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
+    r AS (SELECT query_id, vec_id, round(base, 4) AS score FROM s WHERE base >= 0.25),
+    o AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM r)
+    SELECT * FROM o WHERE rank <= 5"""
+
+
+query("vec_cosine_search", _vector_search_sql(_DOT))(_vector_search("cosine"))
+query("vec_l2_search", _vector_search_sql("1 / (1 + list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]))"))(_vector_search("euclidean"))
+
+
 @query(
     "hash_embed_buckets",
     r"""WITH p AS (SELECT item_id AS query_id, lower(text) AS body FROM benchmark),

@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,17 @@ def test_registered_names():
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["query_id", "rank", "doc_ord", "chunk_index", "score"]
+
+
+def test_vector_search_asks_every_twentieth_row(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    path = "/root/testdata/sf0.001"
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()}
+    found = __spark_entry__.queries()["vec_cosine_search"](spark, path)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, found.collect()))
+    want = []
+    for q in sorted(i for i in vectors if i % 20 == 0):
+        scores = [(-round(float(vectors[q] @ v), 4), i) for i, v in vectors.items() if vectors[q] @ v >= 0.25]
+        want += [(q, rank, i) for rank, (_, i) in enumerate(sorted(scores)[:5], 1)]
+    assert len({q for q, *_ in want}) == 25 and [r[:3] for r in got] == want
