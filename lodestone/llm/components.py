@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import materialise
+from lodestone.llm.shared import discard, materialise, new_folder
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,13 +40,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-loops and repeated edges are allowed; an empty table gives an empty one.
     """
+    spark = edges.sparkSession
+    folder = new_folder(spark, "edges")
     current = materialise(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
+        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", path=folder
     )
     state = _state(current)
     while state[0]:
         # The distinct of the step's result is hash partitioned and combines before its shuffle.
-        current = materialise(_small_star(_large_star(current).distinct()).distinct(), "edges")
+        last, folder = folder, new_folder(spark, "edges")
+        current = materialise(_small_star(_large_star(current).distinct()).distinct(), "edges", path=folder)
+        discard(spark, last)
         before, state = state, _state(current)
         if state == before:
             break

@@ -6,40 +6,43 @@
    a few entries per task.
 2. *Directory.*  Entry counts per hash prefix form the directory.  It starts with one bucket;
    an overfull bucket is split on its next bit and the directory doubles whenever that bit is
-   deeper than its depth.  Only counts of prefixes reach the driver, never entries.
-3. *Owner tasks.*  Buckets are contiguous key ranges.  The owner of a range streams its entries in
-   key order, chains those that share a key and compares bytes; equal entries take the identity of
-   the smallest row.  Only the chain of the current key is in memory.
-4. Rows look up their entry, and group sizes are sums over entries.
+   deeper than its depth.  Doubling costs nothing, as only buckets are stored and cells follow from
+   them.  Only counts of prefixes reach the driver, at most ``ROUND_COUNTS`` of them in a round.
+3. *Owner tasks.*  Buckets are contiguous key ranges, and an owner takes neighbouring ones.  It streams
+   their entries in key order, chains those that share a key and compares bytes; equal entries take
+   the identity of the smallest row.  Only the chain of the current key is in memory, so a bucket may
+   grow: beyond ``MAX_BUCKETS`` times the capacity in all, the capacity grows instead of the directory.
+4. Group sizes are sums over index entries; rows look up their entry, which no other task's rows share.
 
 Equality is that of bytes throughout; the hash only narrows what is compared.
 
 Defined cases: a null text counts as empty; a null id sorts after every other id; rows that repeat
-an id are told apart, and exactly one row of each group is kept; an empty table gives an empty
-table; other columns of the input are ignored.
+an id are told apart, and exactly one row of each group is kept, of those with the smallest id the
+first as read; an empty table gives an empty table; other columns of the input are ignored, whatever
+their names and types.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import materialise, small_batches, text_bytes
+from lodestone.llm.shared import column, materialise, numbered, small_batches, text_bytes
 
-#: Entries that one bucket, and so one pass of an owner task, should hold.
-BUCKET_ENTRIES = 4096
-#: Bits that one counting pass adds to the known prefixes.
+#: Distinct keys that one bucket should hold, and neighbouring buckets that an owner takes.
+BUCKET_ENTRIES, OWNED_BUCKETS = 4096, 4
+#: Bits that one counting pass adds to the known prefixes, at most.
 PREFIX_BITS = 12
+#: Overfull buckets there can be at a time, and counts that reach the driver in one round.
+MAX_BUCKETS, ROUND_COUNTS = 1 << 16, 1 << 18
 #: Text bytes that a task keeps in its local chains before it sends them on and starts anew.
 LOCAL_BYTES = 64 << 20
 
@@ -88,7 +91,6 @@ def default_hash(text: bytes) -> int:
 
 def _local_chains(hash_text):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = TaskContext.get().partitionId() << 33
         chains: dict[int, list[list]] = {}  # key -> [text, entry, smallest (id, row), copies, sha]
         held = 0
 
@@ -105,7 +107,7 @@ def _local_chains(hash_text):
         for batch in batches:
             rows, entries, shas = [], [], []
             ids = batch.column(0).to_pylist()
-            for doc_id, raw in zip(ids, batch.column(1).to_pylist()):
+            for doc_id, raw, serial in zip(ids, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 text = normalise_blanks(raw)
                 key = hash_text(text)
                 at = (_NO_ID if doc_id is None else doc_id, serial)
@@ -120,7 +122,6 @@ def _local_chains(hash_text):
                 rows.append(serial)
                 entries.append(link[1])
                 shas.append(link[4])
-                serial += 1
             n = len(rows)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -152,31 +153,31 @@ _NO_ID = 1 << 63
 class Directory:
     """Extendible-hash directory over the top bits of unsigned 64-bit keys.
 
-    ``cells[i]`` is the bucket of the prefix ``i`` of ``depth`` bits; a bucket is (local depth, prefix).
+    Cell ``i`` of the 2**``depth`` cells is the bucket of the prefix ``i``; a bucket is (local depth,
+    prefix) and fills all cells that begin with its prefix.  Memory goes with buckets, not with cells.
     """
 
     def __init__(self) -> None:
         self.depth = 0
-        self.cells: list[tuple[int, int]] = [(0, 0)]
-
-    def double(self) -> None:
-        self.cells = [bucket for bucket in self.cells for _ in (0, 1)]
-        self.depth += 1
+        self._buckets: set[tuple[int, int]] = {(0, 0)}
 
     def split(self, bucket: tuple[int, int]) -> tuple[tuple[int, int], tuple[int, int]]:
         """Deepen an overfull bucket by one bit; only a bucket at full depth doubles the directory."""
         local, prefix = bucket
+        self._buckets.remove(bucket)
         if local == self.depth:
-            self.double()
+            self.depth += 1
         halves = (local + 1, prefix << 1), (local + 1, prefix << 1 | 1)
-        width = 1 << (self.depth - local - 1)
-        start = prefix << (self.depth - local)
-        for half, place in zip(halves, (start, start + width)):
-            self.cells[place : place + width] = [half] * width
+        self._buckets.update(halves)
         return halves
 
+    @property
+    def cells(self) -> list[tuple[int, int]]:
+        """All cells one by one; for directories of small depth."""
+        return [bucket for bucket in self.buckets() for _ in range(1 << (self.depth - bucket[0]))]
+
     def buckets(self) -> list[tuple[int, int]]:
-        return list(dict.fromkeys(self.cells))
+        return sorted(self._buckets, key=lambda bucket: bucket[1] << (64 - bucket[0]))
 
     def starts(self) -> list[int]:
         """First key of each bucket, in order."""
@@ -186,37 +187,38 @@ class Directory:
 def build_directory(keys: DataFrame, capacity: int = BUCKET_ENTRIES, step: int = PREFIX_BITS) -> Directory:
     """Split buckets until none holds more than ``capacity`` distinct keys or its keys cannot be told apart.
 
-    Each round counts keys by their next ``step`` bits, for the overfull prefixes alone; what the
-    driver holds is proportional to the number of buckets.
+    Each round counts keys by their next bits, for the overfull prefixes alone, by as many bits as keep
+    the counts of a round within ``ROUND_COUNTS``.  The capacity is raised to a ``MAX_BUCKETS``-th of all
+    keys if that is more, so at most ``MAX_BUCKETS`` prefixes are overfull at a time.
     """
     directory = Directory()
     spark = keys.sparkSession
-    overfull: list[tuple[int, int]] | None = None
+    keys = materialise(keys.select("key").distinct(), "dedup-keys")
+    overfull = [(0, 0)]
     depth = 0
-    while depth < 64 and (overfull is None or overfull):
-        wide = min(64, depth + step)
-        prefix = F.shiftrightunsigned("key", 64 - wide)
-        counted = keys.select("key").distinct().select(prefix.alias("prefix"))
-        if overfull is not None:
-            parents = spark.createDataFrame([(p,) for _, p in overfull], "parent long")
-            counted = counted.withColumn("parent", F.shiftrightunsigned("prefix", wide - depth)).join(
-                F.broadcast(parents) if len(overfull) < 100_000 else parents, "parent", "left_semi"
-            )
-        fine = sorted(tuple(r) for r in counted.groupBy("prefix").count().collect())
-        if wide == 64:  # signed prefixes at full width
-            fine = sorted((p % (1 << 64), n) for p, n in fine)
-        names = [p for p, _ in fine]
-        totals = [0]
-        for _, n in fine:
-            totals.append(totals[-1] + n)
+    while depth < 64 and overfull:
+        wide = min(64, depth + min(step, max(1, (ROUND_COUNTS // len(overfull)).bit_length() - 1)))
+        counted = keys.select(F.shiftrightunsigned("key", 64 - wide).alias("prefix"))
+        if depth:
+            parents = spark.createDataFrame([(_signed(p),) for _, p in overfull], "parent long")
+            above = F.shiftrightunsigned("prefix", wide - depth)
+            counted = counted.withColumn("parent", above).join(F.broadcast(parents), "parent", "left_semi")
+        fine = counted.groupBy("prefix").agg(F.count("*").alias("n")).toArrow()
+        names = fine["prefix"].to_numpy().view(np.uint64)
+        order = np.argsort(names)
+        names = names[order]
+        totals = np.concatenate(([0], np.cumsum(fine["n"].to_numpy()[order])))
+        if not depth:
+            capacity = max(capacity, -(-int(totals[-1]) // MAX_BUCKETS))
 
         def load(bucket: tuple[int, int]) -> int:
             local, p = bucket
-            low = bisect_right(names, (p << (wide - local)) - 1)
-            return totals[bisect_right(names, ((p + 1) << (wide - local)) - 1)] - totals[low]
+            low, high = p << (wide - local), (p + 1 << (wide - local)) - 1
+            at = np.searchsorted(names, np.array([low], np.uint64), "left")[0]
+            to = np.searchsorted(names, np.array([high], np.uint64), "right")[0]
+            return int(totals[to] - totals[at])
 
-        waiting = [(0, 0)] if overfull is None else list(overfull)
-        overfull = []
+        waiting, overfull = overfull, []
         while waiting:
             bucket = waiting.pop()
             if load(bucket) > capacity:
@@ -228,6 +230,10 @@ def build_directory(keys: DataFrame, capacity: int = BUCKET_ENTRIES, step: int =
     return directory
 
 
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def _owner_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, chain = None, []  # of the current key: [text, keep_row, keep_id]
     for batch in batches:
@@ -258,36 +264,33 @@ def _owner_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def exact_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    capacity: int = BUCKET_ENTRIES,
-    hash_text=default_hash,
-) -> DataFrame:
-    """One row per input row: row, doc_id, keep_id, group_size, kept, text_sha256, bucket, place.
-
-    ``row`` tells repeated ids apart; ``place`` is the position in the chain of the row's key;
-    ``hash_text`` can be replaced, as the result does not depend on it.
-    """
+def _indexed(
+    docs: DataFrame, id_col: str, text_col: str, capacity: int, hash_text, row_col: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(members, index): rows with the entry they belong to, and entries with the row that stays."""
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    source = docs.select(
+        column(id_col).cast("long").alias("doc_id"),
+        text_bytes(text_col).alias("text"),
+        (F.monotonically_increasing_id() if row_col is None else column(row_col)).alias("row"),
+    )
     local = materialise(source.mapInArrow(_local_chains(hash_text), _LOCAL), "dedup-local", ("head",))
     entries = local.where("head").select("key", "row", "doc_id", "entry", "copies", "text")
     members = local.where("not head").select("row", "doc_id", "entry", "text_sha256")
 
-    starts = build_directory(entries, capacity).starts()
+    starts = np.array(build_directory(entries, capacity).starts(), np.uint64)
     shared_starts = spark.sparkContext.broadcast(starts)
 
     @F.pandas_udf("int")
     def bucket_of(keys: pd.Series) -> pd.Series:
-        edges = np.array(shared_starts.value, dtype=np.uint64)
-        return pd.Series((np.searchsorted(edges, keys.to_numpy().view(np.uint64), "right") - 1).astype(np.int32))
+        found = np.searchsorted(shared_starts.value, keys.to_numpy().view(np.uint64), "right") - 1
+        return pd.Series(found.astype(np.int32))
 
+    owners = -(-len(starts) // OWNED_BUCKETS)
     owned = (
         entries.withColumn("bucket", bucket_of("key"))
-        .repartition("bucket")
+        .repartitionById(owners, F.floor(F.col("bucket") / F.lit(OWNED_BUCKETS)).cast("int"))
         .sortWithinPartitions("bucket", "key", F.col("doc_id").asc_nulls_last(), "row")
     )
     index = materialise(
@@ -296,43 +299,39 @@ def exact_groups(
         ),
         "dedup-index",
     )
-    sizes = index.groupBy("keep_row").agg(F.sum("copies").alias("group_size"))
-    return (
-        members.join(index.select("entry", "keep_row", "keep_id", "bucket", "place"), "entry")
-        .join(sizes, "keep_row")
-        .select(
-            "row",
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("row") == F.col("keep_row")).alias("kept"),
-            "text_sha256",
-            "bucket",
-            "place",
-        )
-    )
+    return members, index
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without exact copies, all columns kept.
+def exact_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    capacity: int = BUCKET_ENTRIES,
+    hash_text=default_hash,
+) -> DataFrame:
+    """One row per input row: row, doc_id, keep_id, group_size, kept, text_sha256, bucket, place.
 
-    A row is named by its id and the digest of its normalised text; of rows that repeat both, the
-    first by the other columns stays.
+    ``row`` tells repeated ids apart; ``place`` is the position in the chain of the row's key;
+    ``hash_text`` can be replaced, as the result does not depend on it.
     """
-    names = docs.columns
-    groups = exact_groups(docs, id_col, text_col)
-    kept = groups.where("kept").select(_id_key("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    blank_runs = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-    named = docs.withColumns({"__id": _id_key(id_col), "__digest": F.sha2(blank_runs.cast("binary"), 256)})
-    order = [c for c in names if c not in (id_col, text_col)] or [id_col]
-    same = Window.partitionBy("__id", "__digest").orderBy(*order)
-    return (
-        named.join(kept, ["__id", "__digest"], "left_semi")
-        .withColumn("__nth", F.row_number().over(same))
-        .where("__nth = 1")
-        .select(*names)
+    members, index = _indexed(docs, id_col, text_col, capacity, hash_text)
+    sizes = index.groupBy("keep_row").agg(F.sum("copies").alias("group_size"))
+    sized = index.join(sizes, "keep_row").select("entry", "keep_row", "keep_id", "group_size", "bucket", "place")
+    return members.join(sized, "entry").select(
+        "row",
+        "doc_id",
+        "keep_id",
+        "group_size",
+        (F.col("row") == F.col("keep_row")).alias("kept"),
+        "text_sha256",
+        "bucket",
+        "place",
     )
 
 
-def _id_key(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("long").cast("string"), F.lit(""))
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without exact copies, all columns kept; rows are told apart by number."""
+    rows, (doc_id, text), restore = numbered(docs, "dedup-rows", id_col, text_col)
+    _, index = _indexed(rows, doc_id, text, BUCKET_ENTRIES, default_hash, "row")
+    kept = index.select(F.col("keep_row").alias("row")).distinct()
+    return restore(rows.join(kept, "row", "left_semi"))

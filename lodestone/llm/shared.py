@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,15 +26,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_WORKSPACE: ContextVar[str] = ContextVar("workspace", default="")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/lodestone/{_WORKSPACE.get()}{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no table reads any longer."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside are deleted at its end, so nothing may read them after it."""
+    name = f"work-{uuid.uuid4().hex}"
+    before = _WORKSPACE.set(f"{_WORKSPACE.get()}{name}/")
+    path = f"{shared_folder(spark)}/lodestone/{_WORKSPACE.get()}".rstrip("/")
+    try:
+        yield
+    finally:
+        _WORKSPACE.reset(before)
+        discard(spark, path)
 
 
-def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor
     costs only the tasks that were running on it."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = path or new_folder(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -40,6 +66,23 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(docs: DataFrame, name: str, *used: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """(table, names, restore): ``docs`` written with a ``row`` number, so that rows have exact names.
+
+    Columns of the table are called by position, so no name of the input can clash or break; ``names``
+    are those of the columns ``used``, and ``restore`` gives rows of the table the input's columns.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    table = materialise(plain.withColumn("row", F.monotonically_increasing_id()), name)
+    restore = lambda rows: rows.select(*plain.columns).toDF(*docs.columns)
+    return table, [f"c{docs.columns.index(u)}" for u in used], restore
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts can hold."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
@@ -48,12 +91,12 @@ def small_batches(spark: SparkSession) -> None:
 
 def text_bytes(text: str | Column) -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
+    return F.coalesce(column(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
 
 
 def id_crc32(doc_id: str | Column) -> Column:
     """CRC-32 of the decimal text of an id, as the fold rules use it; null ids fall in no fold."""
-    return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary"))
+    return F.crc32((column(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

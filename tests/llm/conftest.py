@@ -38,3 +38,18 @@ AWKWARD = [
 @pytest.fixture(scope="session")
 def awkward(docs_of):
     return docs_of(AWKWARD)
+
+
+@pytest.fixture(scope="session")
+def odd_columns(spark):
+    """Columns that clash with names used inside, hold a dot, or cannot be ordered."""
+    rows = [
+        (1, "a b c d e f", "u", 1, {"k": "x"}, "row"),
+        (2, "a  b c d e f", "v", 2, {"k": "x"}, "row"),
+        (4, "quite another text", "w", 4, {"k": "x"}, "row"),
+        (None, None, "z", 5, {"k": "x"}, "row"),
+        (None, "", "z", 5, {"k": "x"}, "row"),
+    ]
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, `__id` string, `a.b` int, tags map<string,string>, `row` string"
+    )

@@ -75,3 +75,24 @@ def test_rows_left_keep_their_columns(spark, awkward):
     rows = left.collect()
     assert len(rows) == len({normal(t) for _, t in AWKWARD})
     assert {r.doc_id for r in rows if normal(r.text) == b"a b c"} == {3}
+
+
+def test_columns_of_any_name_and_type_are_kept(odd_columns):
+    left = exact_dedup.drop_exact_copies(odd_columns)
+    assert left.schema == odd_columns.schema
+    rows = [r.asDict() for r in left.collect()]
+    assert sorted((str(r["doc_id"]), r["__id"], r["a.b"], r["tags"]["k"]) for r in rows) == [
+        ("1", "u", 1, "x"),
+        ("4", "w", 4, "x"),
+        ("None", "z", 5, "x"),
+    ]
+    assert exact_dedup.drop_exact_copies(odd_columns.where("false")).count() == 0
+
+
+def test_directory_stays_small_however_deep():
+    d = exact_dedup.Directory()
+    bucket = (0, 0)
+    for _ in range(64):
+        bucket = d.split(bucket)[1]
+    assert d.depth == 64 and len(d.buckets()) == 65
+    assert d.starts() == sorted(d.starts())
