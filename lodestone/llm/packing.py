@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import subwords
-from lodestone.llm.shared import materialise, small_batches, text_bytes
+from lodestone.llm.shared import column, materialise, small_batches, text_bytes
 
 SEQUENCE = 2048
 END_ID = 1
@@ -71,9 +71,13 @@ def _pieces(tokenizer_path: str, sequence: int, end_id: int, with_ids: bool):
         cache = _cache(tokenizer_path)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = cache.ids_of(text) + end
+            found = cache.batch(batch.column(1))
+            data = found.ids.tobytes()
+            ends = (4 * found.ends).tolist()
+            out, begin = [], 0
+            for doc_id, stop in zip(batch.column(0).to_pylist(), ends):
+                ids = data[begin:stop] + end
+                begin = stop
                 total = len(ids) // 4
                 for start in range(0, total, sequence):
                     piece = ids[4 * start : 4 * (start + sequence)]
@@ -128,7 +132,7 @@ def pack_documents(
     ``row`` tells repeated ids apart.  A group never holds 2**24 pieces unless its expected size does.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    source = docs.select(column(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
     pieces = materialise(source.mapInArrow(_pieces(tokenizer_path, sequence, end_id, with_ids), PIECES), "pieces")
     groups = -(-pieces.count() // group_pieces) or 1
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("row", "start", "ids_crc32"), F.lit(groups)))

@@ -1,40 +1,125 @@
 """Subword ids through a bounded cache of words.
 
 Blank-separated chunks of a text are tokenised independently by every tokenizer used here, so a
-text's ids are the joined ids of its chunks.  Most chunks repeat; a worker keeps the ids of the
-chunks it has seen as little-endian unsigned 32-bit bytes and calls the tokenizer on new ones only.
+text's ids are the joined ids of its chunks.  A batch of texts is cut and its distinct chunks are
+found by Arrow; the cache is asked once for each distinct chunk, the tokenizer once for each that
+neither generation of the cache holds, and the ids of the batch are gathered from those spans.
 """
 
 from __future__ import annotations
 
-import struct
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable
+from itertools import compress
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Chunks kept by one worker; beyond that the cache starts anew.
+#: Chunks kept by one worker in each of two generations.
 CACHE_WORDS = 400_000
 
 
-class WordCache(dict):
-    """Maps a chunk (bytes) to the bytes of its ids."""
+class WordCache:
+    """Maps chunks (bytes) to the bytes of their ids, little-endian unsigned 32-bit each.
 
-    def __init__(self, encode: Callable[[bytes], bytes], limit: int = CACHE_WORDS) -> None:
-        super().__init__()
+    A full generation becomes the older one and its predecessor goes; what is used moves to the younger.
+    """
+
+    def __init__(self, encode: Callable[[bytes], bytes], limit: int = CACHE_WORDS, any_case: bool = False) -> None:
         self.encode = encode
         self.limit = limit
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self[chunk] = self.encode(chunk)
-        return ids
+        #: Whether ids do not depend on the case of A-Z, special tokens aside.
+        self.any_case = any_case
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    def ids_of_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each of some distinct chunks."""
+        found = list(map(self._young.get, chunks))
+        absent = [ids is None for ids in found]
+        if any(absent):
+            missing = list(compress(chunks, absent))
+            ids = list(map(self._old.get, missing))
+            encode = self.encode
+            ids = [encode(chunk) if known is None else known for chunk, known in zip(missing, ids)]
+            fresh = iter(ids)
+            found = [next(fresh) if none else known for none, known in zip(absent, found)]
+            self._make_room(len(missing))
+            self._young.update(zip(missing, ids))
+        return found
+
+    def _make_room(self, n: int) -> None:
+        if len(self._young) + n > self.limit:
+            self._old, self._young = self._young, {}
+
+    def keep(self, chunk: bytes, ids: bytes) -> None:
+        self._make_room(1)
+        self._young[chunk] = ids
+
+    def known(self, chunk: bytes) -> bytes | None:
+        found = self._young.get(chunk)
+        return self._old.get(chunk) if found is None else found
 
     def ids_of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        chunks = text.split()
+        distinct = list(dict.fromkeys(chunks))
+        ids = dict(zip(distinct, self.ids_of_chunks(distinct)))
+        return b"".join(map(ids.__getitem__, chunks))
+
+    def batch(self, texts: pa.Array) -> Batch:
+        return Batch(self, texts)
+
+
+class Batch:
+    """Chunks and ids of some texts (a binary array that holds UTF-8), in their order.
 
+    ``ids`` are those of all texts; ``ends`` where each text's ids end; ``chunk_ends`` where each
+    chunk's ids end; ``text_chunks`` where each text's chunks end; chunk ``i`` is
+    ``distinct[which[i]]``.
+    """
 
+    def __init__(self, cache: WordCache, texts: pa.Array) -> None:
+        texts = texts.view(pa.string())
+        if cache.any_case and not pc.any(pc.match_substring(texts, SPECIAL)).as_py():
+            texts = pc.ascii_lower(texts)
+        self.distinct, self.which, self.text_chunks = distinct_chunks(texts)
+        spans = cache.ids_of_chunks(self.distinct)
+        pool = np.frombuffer(b"".join(spans), np.uint32)
+        sizes = np.fromiter(map(len, spans), np.int64, len(spans)) // 4
+        starts = np.cumsum(sizes) - sizes
+        size = sizes[self.which]
+        self.chunk_ends = np.cumsum(size)
+        total = int(self.chunk_ends[-1]) if len(size) else 0
+        shift = starts[self.which] - (self.chunk_ends - size)
+        self.ids = pool[np.repeat(shift, size) + np.arange(total)]
+        ends = np.concatenate(([0], self.chunk_ends))
+        self.ends = ends[self.text_chunks]
+
+
+def distinct_chunks(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct chunks, number of each chunk's among them, where each text's chunks end)."""
+    cut = pc.ascii_split_whitespace(texts)
+    coded = cut.flatten().dictionary_encode()
+    distinct = coded.dictionary.view(pa.binary()).to_pylist()
+    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = cut.offsets.to_numpy().astype(np.int64)
+    ends = offsets[1:] - offsets[0]
+    if b"" in distinct:  # blanks at either end of a text cut off an empty chunk
+        empty = distinct.index(b"")
+        kept = which != empty
+        ends = np.concatenate(([0], np.cumsum(kept)))[ends]
+        which = which[kept]
+        which -= which > empty
+        del distinct[empty]
+    return distinct, which, ends
+
+
+#: What special tokens of the vocabulary files begin with.
+SPECIAL = "<|"
 #: Fixed values of the vocabulary file: how it cuts a normalised text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -42,50 +127,54 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 def word_bpe(path: str, limit: int = CACHE_WORDS) -> WordCache:
     """Ids of the lower-casing word BPE in the tokenizers file at ``path``.
 
-    Words of ASCII letters go straight to the library's BPE model, since normalising and cutting
-    leave them as they are but for case; every other chunk takes the library's full path.
+    Words of letters go straight to the library's BPE model, since normalising and cutting leave them as
+    they are but for case; every other chunk takes the library's full path.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model
-    letters = regex.compile(rb"[A-Za-z]+").fullmatch
-    tail = regex.compile(rb"([A-Za-z]+)([^A-Za-z0-9'\s\x80-\xff]+)").fullmatch
+    tokenize = tokenizer.model.tokenize
+    special = SPECIAL.encode()
+    marked = regex.compile(rb"(.*[A-Za-z0-9\x80-\xff])([!-/:-@\[-`{-~]+)", regex.DOTALL).fullmatch
     letter_bytes = _byte_letters()
-    accented = regex.compile(r"\p{L}+").fullmatch
-    pack = struct.Struct
-    structs: dict[int, struct.Struct] = {}
-    seen: dict[bytes, bytes] = {}
+    letters = regex.compile(r"\p{L}+").fullmatch
+    ends_in_word = regex.compile(r"[\p{L}\p{N}]").match
+    marks: dict[bytes, bytes] = {}
 
     def packed(ids: list[int]) -> bytes:
-        n = len(ids)
-        if n not in structs:
-            structs[n] = pack(f"<{n}I")
-        return structs[n].pack(*ids)
-
-    def word(piece: bytes) -> bytes:
-        """Ids of one word that is lower case already."""
-        ids = seen.get(piece)
-        if ids is None:
-            if len(seen) >= limit:
-                seen.clear()
-            ids = seen[piece] = packed([t.id for t in model.tokenize(piece.decode("latin-1").translate(letter_bytes))])
-        return ids
+        found = array("I", ids)  # four bytes wherever Spark runs
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
+
+    def word(piece: str) -> bytes:
+        """Ids of one word that is lower case already, each byte as its letter."""
+        return packed([t.id for t in tokenize(piece)])
 
     def encode(chunk: bytes) -> bytes:
-        if letters(chunk):
-            return word(chunk.lower())
-        if (cut := tail(chunk)) is not None:
-            return word(cut[1].lower()) + word(cut[2])
+        if chunk.isalpha():
+            return word(chunk.lower().decode())
         text = chunk.decode("utf-8", "replace")
-        if accented(text):
-            text = unicodedata.normalize("NFC", text)
-            lower = "".join(map(str.lower, text))
-            if accented(lower):
-                return word(lower.encode())
+        if letters(text):
+            lower = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+            if letters(lower):
+                return word(lower.encode().decode("latin-1").translate(letter_bytes))
+        # Punctuation after a word is a word of its own, and the word before it may be known.
+        elif special not in chunk and (cut := marked(chunk)) is not None:
+            stem, mark = cut.groups()
+            if ends_in_word(stem.decode("utf-8", "replace")[-1]):
+                if (after := marks.get(mark)) is None:
+                    if len(marks) >= limit:
+                        marks.clear()
+                    after = marks[mark] = word(mark.decode())
+                if (before := cache.known(stem)) is None:
+                    before = encode(stem)
+                    cache.keep(stem, before)
+                return before + after
         return packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    return WordCache(encode, limit)
+    cache = WordCache(encode, limit, any_case=True)
+    return cache
 
 
 def byte_bpe(path: str, pattern: str, limit: int = CACHE_WORDS) -> WordCache:
@@ -101,24 +190,8 @@ def byte_bpe(path: str, pattern: str, limit: int = CACHE_WORDS) -> WordCache:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encode_text = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    tail = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}']+)").fullmatch
-    seen: dict[str, bytes] = {}
-
-    def packed(text: str) -> bytes:
-        """Ids of a piece that the pattern never joins with its neighbours."""
-        ids = seen.get(text)
-        if ids is None:
-            if len(seen) >= limit:
-                seen.clear()
-            found = encode_text(text)
-            ids = seen[text] = struct.pack(f"<{len(found)}I", *found)
-        return ids
-
     def encode(chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if (cut := tail(text)) is not None:
-            return packed(" " + cut[1]) + packed(cut[2])
-        return packed(" " + text)
+        return np.array(encode_text(" " + chunk.decode("utf-8", "replace")), np.uint32).tobytes()
 
     return WordCache(encode, limit)
 
