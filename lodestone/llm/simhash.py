@@ -3,18 +3,19 @@
 *Fingerprints.*  Words of the text with A-Z in lower case, shingles of three words with repeats, XXH64
 of each, majority of every bit.  Equal fingerprints are one node from here on.
 
-*Owners.*  Two fingerprints within three bits agree in one of four 16-bit blocks, so each node goes
-to four groups, keyed by a block and its value.  Groups above ``group_nodes`` are cut again by four
-blocks of the remaining 48 bits: the same argument holds for those, so no link is lost.  Groups then
-share 28 bits; one that is still large holds near copies, and its owner takes it whole, at eight
-bytes a fingerprint.
-
-*Index.*  The owner sorts a group by Gray rank, so that neighbours differ in few bits.  Leaves are runs
-of neighbours; a node of the index keeps the bits that all fingerprints below it share (a mask and
-their values), and its parent factors out what its children share.  The search goes down pairs of
-nodes: differences in bits that both masks hold bound those of all pairs below, so pairs of whole
-groups with more than three such differences are dropped at once.  Linked pairs become components
-within the owner right away, and only a spanning star of each leaves it, never all pairs.
+*Index.*  Fingerprints are sorted by Gray rank, so that neighbours differ in few bits.  Leaves are runs of
+neighbours; a node of the index keeps the bits that all fingerprints below it share (a mask and their
+values), and its parent factors out what its children share, up to one node over all.  The search goes
+down pairs of nodes: differences in bits that both masks hold bound those of all pairs below, so pairs of
+whole groups with more than three such differences are dropped at once.  Linked pairs become
+components right away, and only a spanning star of each leaves the task, never all pairs.
+
+*Owners.*  One task searches an index of about ``group_nodes`` fingerprints.  A larger table is dealt to
+more: two fingerprints within three bits agree in one of four blocks of 16 bits, so each goes to four owners,
+named by the block and as many leading bits of its value as the number of owners asks for.  Groups that
+near copies make much larger are dealt again, up to ``REDEALS`` times, by blocks of the bits that their members
+do not share, for which the same argument holds, so no link is lost.  What is large after that agrees in 37
+of 64 bits; its owner holds eight bytes of each distinct fingerprint, and 27 free bits bound their number.
 
 *Components* of all owners' stars are joined by ``lodestone.llm.components``.
 
@@ -27,23 +28,28 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.components import components
-from lodestone.llm.shared import materialise, small_batches, text_bytes
+from lodestone.llm.components import components, join_hubs
+from lodestone.llm.shared import column, materialise, new_folder, numbered, small_batches, text_bytes
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Nodes that a group should hold; larger ones are cut by further blocks.
-GROUP_NODES = 4096
+#: Fingerprints that an owner's index should hold, and how many times that it may.
+GROUP_NODES, OVERFULL = 16_384, 4
+#: Times that overfull groups are dealt again; each time makes four copies of their rows.
+REDEALS = 2
+#: Fingerprints that an owner task takes, whole groups only, and owner tasks, at most.
+OWNED_NODES, OWNERS = 8192, 50_000
 #: Fingerprints in a leaf, children of an upper node, and pairs looked at in one step.
-LEAF, FAN, STEP = 16, 8, 1 << 16
+LEAF, FAN, STEP = 4, 4, 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -87,6 +93,7 @@ class GrayIndex:
 
     def __init__(self, groups: np.ndarray, values: np.ndarray) -> None:
         self.values = values
+        self.compared = 0  # pairs of nodes and of fingerprints that the search has looked at
         n = len(values)
         cut = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))) if n else np.empty(0, np.int64)
         self.levels = []
@@ -119,6 +126,7 @@ class GrayIndex:
 
     def _below(self, level: int, a: np.ndarray, b: np.ndarray, radius: int):
         first, last, mask, value = self.levels[level]
+        self.compared += len(a)
         apart = np.bitwise_count((value[a] ^ value[b]) & mask[a] & mask[b])
         near = apart <= radius
         a, b = a[near], b[near]
@@ -139,6 +147,7 @@ class GrayIndex:
                 for k in range(0, len(i), STEP):
                     yield from self._below(level - 1, i[k : k + STEP], j[k : k + STEP], radius)
             else:
+                self.compared += len(i)
                 close = np.bitwise_count(self.values[i] ^ self.values[j]) <= radius
                 if close.any():
                     yield i[close], j[close]
@@ -165,7 +174,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], names=["doc_id", "text_key", "print"]
+            [batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], names=["doc_id", "row", "print"]
         )
 
 
@@ -199,105 +208,113 @@ def _owner_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(np.concatenate(held_groups), np.concatenate(held))
 
 
-def _blocks(free: int) -> list[int]:
-    """Four masks that part the bits of ``free``."""
-    bits = [i for i in range(64) if free >> i & 1]
-    step = -(-len(bits) // 4)
-    return [sum(1 << i for i in bits[k * step : (k + 1) * step]) for k in range(4)]
+def _blocks(free: int, bits: int) -> list[int]:
+    """The first ``bits`` bits of each of four blocks that part the bits of ``free``."""
+    places = [i for i in range(64) if free >> i & 1]
+    step = -(-len(places) // 4)
+    return [sum(1 << i for i in places[k * step : (k + 1) * step][:bits]) for k in range(4)]
 
 
 def _signed(mask: int) -> Column:
     return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
 
 
-def _cut(rows: DataFrame, used: list[int]) -> DataFrame:
-    """Copies of (path, print) rows, one for each block of the bits that their path has not used.
+_ALL = (1 << 64) - 1
 
-    ``path`` numbers the masks taken so far; ``group`` names the path and the values under its masks.
+
+def _deal(rows: DataFrame, shared: list[int], bits: int) -> tuple[DataFrame, list[int]]:
+    """Four copies of every (path, print) row, one for each block of the bits that its group does not share.
+
+    ``shared[path]`` are the bits that the rows of a path agree in within their group.  Returns
+    (path, group, print) rows and the shared bits of the new paths.
     """
-    blocks = F.array(
+    masks = [mask | block for mask in shared for block in _blocks(~mask & _ALL, bits)]
+    steps = F.array(
         *[
-            F.array(
-                *[
-                    F.struct(F.lit(4 * number + k).alias("path"), _signed(mask | block).alias("mask"))
-                    for k, block in enumerate(_blocks(~mask & (1 << 64) - 1))
-                ]
-            )
-            for number, mask in enumerate(used)
+            F.array(*[F.struct(F.lit(p).alias("path"), _signed(masks[p]).alias("mask")) for p in range(4 * n, 4 * n + 4)])
+            for n in range(len(shared))
         ]
     )
-    return rows.select("print", F.explode(F.get(blocks, F.col("path"))).alias("next")).select(
+    return rows.select("print", F.explode(F.get(steps, F.col("path"))).alias("next")).select(
         F.col("next.path").alias("path"),
         F.xxhash64(F.col("next.path"), F.col("print").bitwiseAND(F.col("next.mask"))).alias("group"),
         "print",
-    )
-
-
-def _grouped(nodes: DataFrame, group_nodes: int) -> DataFrame:
-    """(group, print) rows in which any two prints within the radius share a group."""
-    rows = _cut(nodes.select(F.lit(0).alias("path"), "print"), [0])
-    large = materialise(
-        rows.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > group_nodes).select("group"), "large"
-    )
-    first = [block for block in _blocks((1 << 64) - 1)]
-    again = _cut(rows.join(large, "group", "left_semi").select("path", "print"), first)
-    return rows.join(large, "group", "left_anti").select("group", "print").unionByName(again.select("group", "print"))
+    ), masks
+
+
+def _grouped(nodes: DataFrame, group_nodes: int) -> tuple[DataFrame, int]:
+    """((group, print) rows in which any two prints within the radius share a group, their number)."""
+    spark = nodes.sparkSession
+    n = nodes.count()
+    start = nodes.select(F.lit(0).alias("path"), "print")
+    bits = min(16, max(0, (-(-n // group_nodes) - 1).bit_length()))
+    if not bits:
+        return start.select(F.lit(0).cast("long").alias("group"), "print"), n
+    rows, shared = _deal(start, [0], bits)
+    done, total = [], 4 * n
+    for _ in range(REDEALS):
+        sizes = rows.groupBy("path", "group").agg(F.count("*").alias("n")).where(F.col("n") > OVERFULL * group_nodes)
+        large = materialise(sizes, "large-groups")
+        held = large.agg(F.sum("n")).first()[0]
+        if held is None:
+            break
+        names = large.select("path", "group")
+        done.append(rows.join(names, ["path", "group"], "left_anti"))
+        free = 64 - max(mask.bit_count() for mask in shared)
+        rows, shared = _deal(rows.join(names, ["path", "group"], "left_semi").select("path", "print"), shared, free // 4)
+        rows = materialise(rows, "dealt-again")
+        total += 3 * held
+    return reduce(DataFrame.unionByName, [part.select("group", "print") for part in [*done, rows]]), total
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_nodes: int = GROUP_NODES
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    group_nodes: int = GROUP_NODES,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id, linked (whether the
-    component holds more than one fingerprint), root (the component's own name), text_key."""
+    component holds more than one fingerprint), root (the component's own name), row (its number)."""
     small_batches(docs.sparkSession)
     source = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"), _text_key(text_col).alias("key")
+        column(id_col).cast("long").alias("doc_id"),
+        text_bytes(text_col).alias("text"),
+        (F.monotonically_increasing_id() if row_col is None else column(row_col)).alias("row"),
     )
-    prints = materialise(source.mapInArrow(_fingerprints, "doc_id long, text_key long, print long"), "prints")
+    prints = materialise(source.mapInArrow(_fingerprints, "doc_id long, row long, print long"), "prints")
+    prints = prints.withColumn("part", F.shiftright("row", 33))
     nodes = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "print-nodes")
 
-    grouped = _grouped(nodes, group_nodes)
-    owned = grouped.repartition("group").sortWithinPartitions("group")
-    stars = owned.mapInArrow(_owner_links, "a long, b long")
-    roots = components(stars)
+    grouped, total = _grouped(nodes, group_nodes)
+    owners = min(OWNERS, -(-total // OWNED_NODES) or 1)
+    owned = grouped.repartition(owners, "group").sortWithinPartitions("group")
+    roots = components(owned.mapInArrow(_owner_links, "a long, b long"))
     named = nodes.join(roots, nodes["print"] == roots["node"], "left").select(
         "print", "first", F.coalesce("root", "print").alias("root"), F.col("root").isNotNull().alias("linked")
     )
-    firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = named.join(firsts, "root").select("print", "root", "component_id", "linked")
-    return prints.join(labels, "print").select(
+    named = materialise(named, "print-roots")
+    firsts = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("degree"))
+    labels = join_hubs(named.select("print", "root", "linked"), firsts, "root", total)
+    # A fingerprint that many rows share is met once for each part of the table, then part by part.
+    local = prints.select("part", "print").distinct().join(labels, "print")
+    return prints.join(local, ["part", "print"]).select(
         "doc_id",
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         "component_id",
         "linked",
         "root",
-        "text_key",
+        "row",
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of near-duplicates, that with the smallest id; all columns kept.
 
-    Null ids come last; of rows that repeat the smallest id one stays.
+    Null ids come last; of rows that repeat the smallest id the first as read stays.
     """
-    names = docs.columns
-    named = {"__id": _id_key(id_col), "__key": _text_key(text_col)}
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
-    kept = near_duplicates(docs, id_col, text_col).groupBy("root").agg(least)
-    kept = kept.select(_id_key("least.doc_id").alias("__id"), F.col("least.text_key").alias("__key"))
-    same = Window.partitionBy("__id", "__key").orderBy(*[c for c in names if c != text_col])
-    return (
-        docs.withColumns(named)
-        .join(kept, ["__id", "__key"], "left_semi")
-        .withColumn("__nth", F.row_number().over(same))
-        .where("__nth = 1")
-        .select(*names)
-    )
-
-
-def _id_key(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("long").cast("string"), F.lit(""))
-
-
-def _text_key(column: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+    rows, (doc_id, text), restore = numbered(docs, "near-rows", id_col, text_col)
+    found = near_duplicates(rows, doc_id, text, row_col="row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    kept = found.groupBy("root").agg(least).select(F.col("least.row").alias("row"))
+    return restore(rows.join(kept, "row", "left_semi"))

@@ -4,9 +4,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestone.llm import simhash
-from lodestone.llm.components import components
+from lodestone.llm.components import components, join_hubs
 from tests.llm.conftest import AWKWARD
 
 
@@ -92,6 +93,38 @@ def test_index_equals_all_pairs():
     assert sorted(found) == expected
 
 
+def test_upper_nodes_exist_and_prune():
+    prints = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 8000, dtype=np.uint64))
+    prints = np.unique(np.concatenate([prints, prints[:50] ^ np.uint64(0b101 << 40)]))
+    prints = prints[np.argsort(simhash.gray_rank(prints))]
+    index = simhash.GrayIndex(np.zeros(len(prints), np.int64), prints)
+    assert len(index.levels) >= 6 and len(index.levels[-1][0]) == 1
+    shared = [np.bitwise_count(mask).mean() for _, _, mask, _ in index.levels]
+    assert all(low > high for low, high in zip(shared, shared[1:]))
+    found = sum(len(i) for i, _ in index.links(3))
+    assert found == 50
+    assert index.compared < 0.2 * len(prints) ** 2 / 2
+
+
+def test_owners_get_every_link_however_the_table_is_dealt(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
+    near = base[0] ^ (np.uint64(1) << rng.integers(0, 20, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(20, 64, 300, dtype=np.uint64))
+    prints = np.unique(np.concatenate([base, near]))
+    nodes = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "print long")
+    grouped, total = simhash._grouped(nodes, 4)
+    groups = {}
+    for r in grouped.collect():
+        groups.setdefault(r.group, set()).add(r.print % (1 << 64))
+    held = {frozenset(p) for g in groups.values() for p in [(a, b) for a in g for b in g if a < b]}
+    values = prints.tolist()
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                assert frozenset((a, b)) in held
+    assert max(map(len, groups.values())) < len(prints) / 2 and total >= sum(map(len, groups.values()))
+
+
 def test_gray_neighbours_differ_in_one_bit():
     codes = np.arange(64, dtype=np.uint64)
     order = codes[np.argsort(simhash.gray_rank(codes))]
@@ -105,6 +138,21 @@ def test_distributed_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hubs_are_dealt_to_many_tasks(spark):
+    rows = spark.createDataFrame([(i % 7 and 1, i) for i in range(900)] + [(2, 1), (3, 5)], "a long, b long")
+    facts = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    plain = sorted(tuple(r) for r in rows.join(facts.drop("degree"), "a").collect())
+    for limit in (5, 10_000):
+        found = join_hubs(rows, facts, "a", 0, limit)
+        assert sorted(tuple(r) for r in found.select("a", "b", "m").collect()) == plain
+
+
+def test_columns_of_any_name_and_type_are_kept(odd_columns):
+    left = simhash.drop_near_copies(odd_columns)
+    assert left.schema == odd_columns.schema
+    assert sorted(r["__id"] for r in left.collect()) == ["u", "w", "z"]
+
+
 def test_one_row_of_each_component_stays(docs_of, awkward):
     rows = near_texts(90, 2) + AWKWARD
     table = docs_of(rows).repartition(3)
