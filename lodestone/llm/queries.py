@@ -102,10 +102,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH p AS (
       SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
         sha256(coalesce(html, '')) AS payload_digest FROM pages),
-    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first,
+      row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS nth FROM p)
     SELECT page_id, payload_bytes, payload_digest,
-      CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-      CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+      CASE WHEN payload_bytes >= 100 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 100 AND nth > 1 THEN first END AS refers_to
     FROM f
     """,
 )

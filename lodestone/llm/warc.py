@@ -2,10 +2,13 @@
 
 *Writer.*  Every record is a gzip member of its own.  Of records with equal payloads of at least
 ``REVISIT_BYTES`` bytes, that with the smallest page id is a response and the others are revisits that
-refer to it.  A task writes one archive under a temporary name and renames it when it is complete, so a
-repeated task replaces the same archive with the same content.
+refer to it.  Rows are written once with their number, digest and size; from then on payloads stay where they
+are.  Which digests repeat, and whose row is the response, is found from one small row for each digest and
+part of the table, and a writer looks up the digests of the parts it reads, so a page that a third of all
+rows share is no burden on any task.  A task writes one archive under a temporary name and renames it when
+it is complete, so a repeated task replaces the same archive with the same content.
 
-*Reader.*  Archives are cut into byte ranges.  A task looks for the gzip magic in its range and takes a
+*Reader.*  Archives are cut into byte ranges, each of them work of its own.  A task looks for the gzip magic in its range and takes a
 candidate for a member only if it inflates and its first bytes are a WARC header.  It owns the records
 that start inside its range and reads on past the range's end to finish the last one.  After a
 record the next candidate is where its member ended.  Payloads are inflated and digested in pieces.
@@ -13,9 +16,9 @@ record the next candidate is where its member ended.  Payloads are inflated and
 Files are reached through pyarrow's file systems by URI, in the shared folder or wherever archives lie.
 
 Defined cases: a null payload is empty; null urls are empty; a null page id gives a record without a page
-id, which is a response to no one and refers to none; repeated rows with one page id are written each,
-and those after the first in the order of their urls are revisits where the payload is large enough; an
-empty table gives no archives and no rows; other columns are ignored.
+id, which sorts after all others; of rows that repeat page id and payload one is the response, the first as
+read, and the others are revisits where the payload is large enough; revisits of a response without a page
+id refer to null; an empty table gives no archives and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +30,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
+import pyarrow.parquet
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import materialise, new_folder, small_batches
+from lodestone.llm.shared import column, materialise, new_folder, small_batches, text_bytes
 
 REVISIT_BYTES = 100
+#: Reader tasks, at most; each takes an equal share of the ranges.
+READERS = 100_000
 #: Bytes of a range, and of one read.
 RANGE, READ = 8 << 20, 1 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -42,11 +48,14 @@ _VERSION = b"WARC/1.1\r\n"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 
 
-def record(page_id, url, payload: bytes, digest: str, size: int, refers_to) -> bytes:
-    """One gzip member; revisits carry no payload."""
-    kind = "response" if refers_to is None else "revisit"
-    body = payload if refers_to is None else b""
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}")
+def record(
+    page_id, url, payload: bytes, digest: str, size: int, refers_to, revisit: bool | None = None, name: str | None = None
+) -> bytes:
+    """One gzip member; revisits carry no payload.  ``name`` tells records of one page id apart."""
+    revisit = refers_to is not None if revisit is None else revisit
+    kind = "revisit" if revisit else "response"
+    body = b"" if revisit else payload
+    name = uuid.uuid5(uuid.NAMESPACE_URL, name or f"page:{page_id}")
     lines = [
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:uuid:{name}>",
@@ -57,8 +66,9 @@ def record(page_id, url, payload: bytes, digest: str, size: int, refers_to) -> b
     ]
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
-    if refers_to is not None:
+    if revisit:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+    if refers_to is not None:
         lines.append(f"X-Refers-To-Page-ID: {refers_to}")
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     head = _VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n"
@@ -69,18 +79,42 @@ def _one_line(url: str | None) -> str:
     return "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "")
 
 
-def _write(folder: str):
+#: A row's number holds the part of the table that it was written in.
+PART_BITS = 33
+
+
+def _repeats(folder: str, part: int) -> dict[str, tuple[int, int | None]]:
+    """Digests of a part that repeat anywhere, with row and page id of their response."""
+    fs, base = pyarrow.fs.FileSystem.from_uri(f"{folder}/part={part}")
+    found = {}
+    for info in fs.get_file_info(pyarrow.fs.FileSelector(base, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as source:
+                rows = pyarrow.parquet.ParquetFile(source).read(["digest", "first_row", "first_page"])
+            found |= {d: (r, p) for d, r, p in zip(*(c.to_pylist() for c in rows.columns))}
+    return found
+
+
+def _write(folder: str, repeats: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         number = TaskContext.get().partitionId()
         final, draft = f"{base}/part-{number:06d}.warc.gz", f"{base}/_draft-{uuid.uuid4().hex}"
         out, size = None, 0
+        part, responses = None, {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, payload, digest, length, row in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(draft, compression=None)
-                data = record(*row)
+                if row >> PART_BITS != part:
+                    part = row >> PART_BITS
+                    responses = _repeats(repeats, part)
+                first = responses.get(digest) if length >= REVISIT_BYTES else None
+                revisit = first is not None and first[0] != row
+                data = record(
+                    page_id, url, payload, digest, length, first[1] if revisit else None, revisit, f"page:{page_id}:{row}"
+                )
                 out.write(data)
                 size += len(data)
         if out is not None:
@@ -97,33 +131,32 @@ def _write(folder: str):
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write the rows of ``pages`` (page_id, url, html); returns (archive, size)."""
-    small_batches(pages.sparkSession)
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.coalesce(F.col("url"), F.lit("")).alias("url"),
-        payload.alias("payload"),
-        F.sha2(payload, 256).alias("digest"),
-        F.octet_length(payload).cast("long").alias("size"),
-    )
-    large = rows.where(F.col("page_id").isNotNull() & (F.col("size") >= REVISIT_BYTES))
-    # Partial aggregation leaves one row for each digest and task before the shuffle.
-    heads = large.groupBy("digest").agg(
-        F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies")
-    )
-    heads = heads.where("copies > 1").select("digest", "first")
-    joined = rows.join(heads, "digest", "left").withColumn(
-        "refers_to",
-        F.when(
-            (F.col("size") >= REVISIT_BYTES)
-            & F.col("page_id").isNotNull()
-            & ((F.col("page_id") != F.col("first.page_id")) | (F.col("url") != F.col("first.url"))),
-            F.col("first.page_id"),
+    spark = pages.sparkSession
+    small_batches(spark)
+    payload = text_bytes("html")
+    rows = materialise(
+        pages.select(
+            column("page_id").cast("long").alias("page_id"),
+            F.coalesce(column("url"), F.lit("")).alias("url"),
+            payload.alias("payload"),
+            F.sha2(payload, 256).alias("digest"),
+            F.octet_length(payload).cast("long").alias("size"),
+            F.monotonically_increasing_id().alias("row"),
         ),
+        "warc-rows",
     )
+    # One row for each digest and part, so a digest that many rows share is as small as any.
+    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
+    local = rows.where(F.col("size") >= REVISIT_BYTES).groupBy(F.shiftright("row", PART_BITS).alias("part"), "digest")
+    local = materialise(local.agg(F.min(place).alias("first"), F.count("*").alias("copies")), "warc-digests")
+    heads = local.groupBy("digest").agg(F.min("first").alias("first"), F.sum("copies").alias("copies")).where("copies > 1")
+    repeats = new_folder(spark, "warc-repeats")
+    found = local.select("part", "digest").join(heads, "digest")
+    found = found.select("part", "digest", F.col("first.row").alias("first_row"), F.col("first.page_id").alias("first_page"))
+    found.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(repeats)
     return materialise(
-        joined.select("page_id", "url", "payload", "digest", "size", "refers_to").mapInArrow(
-            _write(folder), "archive string, size long"
+        rows.select("page_id", "url", "payload", "digest", "size", "row").mapInArrow(
+            _write(folder, repeats), "archive string, size long"
         ),
         "archives",
     )
@@ -245,10 +278,12 @@ def read_archives(spark: SparkSession, archives: DataFrame, range_bytes: int = R
     """Every record of ``archives`` (archive, size): page_id, url, payload_bytes, payload_digest,
     record_type, refers_to, archive, offset."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))
-    ranges = archives.where("size > 0").select("archive", "size", F.explode(starts).alias("start"))
+    cut = archives.where("size > 0")
+    n = cut.agg(F.coalesce(F.sum(F.ceil(F.col("size") / F.lit(range_bytes))), F.lit(0))).first()[0]
+    ranges = cut.select("archive", "size", F.explode(starts).alias("start"))
     ranges = ranges.select("archive", "start", F.least(F.col("start") + range_bytes, "size").alias("stop"))
-    # Ranges are a few bytes each; every one becomes work of its own.
-    return ranges.repartition(F.col("archive"), F.col("start")).mapInArrow(_scan, RECORDS)
+    # Ranges are a few bytes each; a stated number of tasks keeps them from being put together again.
+    return ranges.repartition(max(1, min(n, READERS))).mapInArrow(_scan, RECORDS)
 
 
 def round_trip(pages: DataFrame, range_bytes: int = RANGE) -> DataFrame:

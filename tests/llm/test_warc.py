@@ -12,24 +12,23 @@ from lodestone.llm.shared import new_folder
 ROWS = (
     [(i, f"http://a/{i}", random.Random(i).choice(["<p>" + "x" * 200, "short", None, "", "é" * 60, f"page {i} " * 40])) for i in range(80)]
     + [(500, None, "<p>" + "x" * 200), (None, "http://n", "<p>" + "x" * 200), (501, "a b\nc", "q" * 300_000)]
-    + [(502, "u1", "z" * 150), (502, "u2", "z" * 150)]
+    + [(502, "u1", "z" * 150), (502, "u2", "z" * 150), (502, "u1", "z" * 150), (503, "u2", "z" * 150)]
+    + [(None, "n1", "only without ids " * 10), (None, "n1", "only without ids " * 10)]
 )
 
 
 def expected(rows):
-    first = {}
-    for page, url, html in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
-        data = (html or "").encode()
-        if page is not None and len(data) >= 100:
-            first.setdefault(data, (page, url or ""))
+    """Of equal payloads of at least 100 bytes one row of the smallest page id is response, all others revisit it."""
+    groups = {}
+    for page, _, html in rows:
+        groups.setdefault((html or "").encode(), []).append(page)
     out = []
-    for page, url, html in rows:
-        data = (html or "").encode()
-        head = first.get(data)
-        revisit = page is not None and head is not None and (page, url or "") != head
-        out.append(
-            (str(page), len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", str(head[0] if revisit else None))
-        )
+    for data, pages in groups.items():
+        pages.sort(key=lambda p: (p is None, p or 0))
+        for nth, page in enumerate(pages):
+            revisit = len(data) >= 100 and nth > 0
+            kind = "revisit" if revisit else "response"
+            out.append((str(page), len(data), hashlib.sha256(data).hexdigest(), kind, str(pages[0] if revisit else None)))
     return sorted(out)
 
 
@@ -45,6 +44,22 @@ def test_round_trip(pages, size):
     assert sorted(got) == expected(ROWS)
 
 
+def test_ranges_are_read_by_several_tasks(spark, pages):
+    archives = warc.write_archives(pages.coalesce(1), new_folder(spark, "warc"))
+    ranges = -(-archives.first().size // 700)
+    assert warc.read_archives(spark, archives, 700).rdd.getNumPartitions() == ranges > 4
+
+
+def test_record_names_are_unique(spark, pages):
+    archives = warc.write_archives(pages.repartition(2), new_folder(spark, "warc")).collect()
+    names = []
+    for a in archives:
+        fs, path = pyarrow.fs.FileSystem.from_uri(a.archive)
+        data = gzip.decompress(fs.open_input_stream(path, compression=None).read())
+        names += [x for x in data.split(b"\r\n") if x.startswith(b"WARC-Record-ID")]
+    assert len(names) == len(set(names)) == len(ROWS)
+
+
 def test_payloads_survive_and_members_are_plain_gzip(spark, pages):
     archives = warc.write_archives(pages.coalesce(1), new_folder(spark, "warc")).collect()
     fs, path = pyarrow.fs.FileSystem.from_uri(archives[0].archive)
