@@ -14,9 +14,10 @@ Benchmark seeds are hashed in blocks of at most ``block_tokens`` tokens; each bl
 broadcast that is joined with all documents, so a benchmark of any size works.  Documents outside
 the block's vocabulary cost one dictionary lookup per word.
 
-Defined cases: null and empty texts hold no tokens and no leaks; null ids stay null; items of fewer
-than five tokens are never reported; items with equal texts are reported each; repeated rows are reported each; an empty benchmark gives an empty result;
-other columns are ignored.
+Defined cases: null and empty texts hold no tokens and no leaks; null ids stay null; items of fewer than
+five tokens are reported where they occur as they stand, those without tokens never; items with equal texts
+are reported each; repeated rows are reported each; an empty benchmark gives an empty result; other columns
+are ignored.  ``min_item`` leaves out items of fewer tokens than that; none by default.
 """
 
 from __future__ import annotations
@@ -26,16 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import materialise, small_batches
+from lodestone.llm.shared import column, materialise, numbered, small_batches
 
 #: Tokens of the window that a leak must agree in, and the share that must agree.
 WINDOW = 13
 SIMILARITY = 0.8
-#: Items with fewer tokens cannot be told from ordinary prose and are never reported.
-MIN_ITEM = 5
 #: Masks that between them hit any window of 13 tokens with up to two substitutions.
 SEEDS = ("11101011", "11001111")
 #: Benchmark tokens in one broadcast.
@@ -217,13 +216,13 @@ def _documents_hit(seeds: Seeds, parts: list[np.ndarray]) -> list[int]:
     return np.unique(np.concatenate(found)).tolist() if found else []
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_tokens: int) -> Iterator[list]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_tokens: int, min_item: int) -> Iterator[list]:
     """Benchmark items in bounded blocks, one item at a time from one partition after another."""
     block, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).orderBy("i", "t")
+    rows = benchmark.select(column(item_col).cast("long").alias("i"), column(text_col).alias("t")).orderBy("i", "t")
     for row in rows.toLocalIterator():
         words = tokens(row.t)
-        if len(words) < MIN_ITEM:
+        if len(words) < max(1, min_item):
             continue
         if block and size + len(words) > block_tokens:
             yield block
@@ -242,34 +241,25 @@ def benchmark_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     block_tokens: int = BLOCK_TOKENS,
+    min_item: int = 1,
 ) -> DataFrame:
     """One row for each row of ``docs`` and benchmark item that it leaks: doc_id, item_id,
     overlap_tokens, matched_tokens, doc_start, item_start (places count tokens from 0)."""
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     found = None
-    for block in _blocks(benchmark, item_col, item_text_col, block_tokens):
+    for block in _blocks(benchmark, item_col, item_text_col, block_tokens, min_item):
         shared = spark.sparkContext.broadcast(Seeds(block))
         part = source.mapInArrow(_leaks(shared), SCHEMA)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if found is None else found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text leaks no benchmark item, all columns kept."""
-    leaked = materialise(
-        benchmark_leaks(
-            docs.withColumn("__row", _row_key(id_col, text_col)).select("__row", text_col),
-            benchmark,
-            "__row",
-            text_col,
-        ).select(F.col("doc_id").alias("__row")).distinct(),
-        "leaks",
-    )
-    return docs.withColumn("__row", _row_key(id_col, text_col)).join(leaked, "__row", "left_anti").select(*docs.columns)
-
-
-def _row_key(id_col: str, text_col: str) -> Column:
-    """Names a row by id and text, so that rows which repeat an id are judged one by one."""
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_item: int = 1
+) -> DataFrame:
+    """The rows of ``docs`` whose text leaks no benchmark item, all columns kept; rows are told apart by number."""
+    rows, (text,), restore = numbered(docs, "leak-rows", text_col)
+    leaked = benchmark_leaks(rows, benchmark, "row", text, min_item=min_item).select(F.col("doc_id").alias("row"))
+    return restore(rows.join(materialise(leaked.distinct(), "leaks"), "row", "left_anti"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import id_crc32, small_batches, text_bytes
+from lodestone.llm.shared import column, id_crc32, small_batches, text_bytes
 
 SEGMENT = 64
 HIDDEN = 8
@@ -156,7 +156,7 @@ class ByteNetwork:
 
 
 def train_network(
-    texts: list[bytes], labels: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 1
+    texts: list[bytes], labels: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 1, sample_segments: int = SAMPLE_SEGMENTS
 ) -> ByteNetwork | None:
     """Fit by Adam on segments of the texts; every language weighs the same.  None without any text."""
     languages = sorted(set(labels))
@@ -177,7 +177,7 @@ def train_network(
         return net
     number = np.array([languages.index(x) for x in labels])
     chosen = np.concatenate(
-        [rng.permutation(np.flatnonzero(of_text == i))[:SAMPLE_SEGMENTS] for i in range(len(texts))]
+        [rng.permutation(np.flatnonzero(of_text == i))[:sample_segments] for i in range(len(texts))]
     )
     by_language = [chosen[number[of_text[chosen]] == j] for j in range(k)]
     by_language = [(j, s) for j, s in enumerate(by_language) if len(s)]
@@ -230,38 +230,42 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def train(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    sample_docs: int = SAMPLE_DOCS,
+    sample_segments: int = SAMPLE_SEGMENTS,
 ) -> ByteNetwork | None:
-    """Fit on about ``sample_docs`` documents of each language, picked by a hash of the id.
+    """Fit on about ``sample_docs`` documents of each language, picked by a hash of the id, and on
+    ``sample_segments`` segments from all over each of them.
 
-    Languages are counted over all training documents; the sample alone is bounded.
+    Languages are counted over all training documents; the sample alone is bounded.  Of rows that repeat id
+    and language that with the smallest text is learned from.
     """
     small_batches(docs.sparkSession)
-    doc_id = F.col(id_col).cast("long")
-    known = docs.where(F.col(lang_col).isNotNull() & doc_id.isNotNull() & ~held_out(doc_id))
-    counts = sorted(tuple(r) for r in known.groupBy(F.col(lang_col).alias("lang")).count().collect())
+    doc_id = column(id_col).cast("long")
+    known = docs.where(column(lang_col).isNotNull() & doc_id.isNotNull() & ~held_out(doc_id))
+    counts = sorted(tuple(r) for r in known.groupBy(column(lang_col).alias("lang")).count().collect())
     if not counts:
         return None
     share = F.lit(0.0)
     for lang, n in counts:
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, sample_docs / n))).otherwise(share)
+        share = F.when(column(lang_col) == lang, F.lit(min(1.0, sample_docs / n))).otherwise(share)
     place = F.pmod(F.xxhash64(doc_id, F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = (
-        known.where(place < share)
-        .select(doc_id.alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-        # Training looks at a few segments of a text, so no more than their bytes need to be gathered.
-        .select("i", "lang", _spread("text").alias("text"))
-        .limit(2 * sample_docs * len(counts))  # an id may repeat without bound
-        .collect()
+    # Training looks at a few segments of a text, so no more than their bytes need to be gathered.
+    picked = known.where(place < share).select(
+        doc_id.alias("i"), column(lang_col).alias("lang"), _spread(text_col, sample_segments).alias("text")
     )
+    rows = picked.groupBy("i", "lang").agg(F.min("text").alias("text")).collect()
     rows = sorted((r.i, r.lang, bytes(r.text)) for r in rows)
-    return train_network([t for _, _, t in rows], [lang for _, lang, _ in rows])
+    return train_network([t for _, _, t in rows], [lang for _, lang, _ in rows], sample_segments=sample_segments)
 
 
-def _spread(text_col: str) -> Column:
+def _spread(text_col: str, pieces: int) -> Column:
     """Pieces from all over a text, of a bounded total size."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    n = 16
+    text = F.coalesce(column(text_col), F.lit(""))
+    n = pieces + 4
     length = F.length(text)
     parts = [text.substr((length * i / n).cast("int") + 1, F.lit(2 * SEGMENT)) for i in range(n)]
     return F.when(length <= n * 2 * SEGMENT, text).otherwise(F.concat(*parts)).cast("binary")
@@ -285,7 +289,7 @@ def predict(docs: DataFrame, net: ByteNetwork | None, id_col: str = "doc_id", te
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    doc_id = F.col(id_col).cast("long")
+    doc_id = column(id_col).cast("long")
     return docs.select(
         doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), text_bytes(text_col).alias("text")
     ).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import id_crc32, small_batches, text_bytes
+from lodestone.llm.shared import column, id_crc32, small_batches, text_bytes
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_DOCS = 4000
@@ -250,10 +250,10 @@ def train(
     """Fit on the ``sample_docs`` labelled documents with the smallest id hashes, held-out ones excepted.
 
     The sample is the only thing bounded here; a document with contradicting labels takes their
-    rounded mean.
+    rounded mean, and of rows that repeat an id that with the smallest text digest is learned from.
     """
     small_batches(docs.sparkSession)
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label"))
+    known = labels.select(column(id_col).cast("long").alias("doc_id"), column(label_col).alias("label"))
     known = known.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     chosen = [
         (r.doc_id, float(r.label >= 0.5))
@@ -266,10 +266,13 @@ def train(
     if not chosen:
         return fit(np.zeros((0, FEATURES)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
     wanted = docs.sparkSession.createDataFrame([(i,) for i, _ in chosen], "doc_id long")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    source = docs.select(column(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    digest = F.sha2("text", 256).alias("digest")
     rows = (
         source.join(F.broadcast(wanted), "doc_id", "left_semi")  # at most sample_docs ids
-        .limit(2 * sample_docs)  # an id may repeat without bound
+        .groupBy("doc_id")
+        .agg(F.min(F.struct(digest, "text")).alias("least"))
+        .select("doc_id", "least.text")
         .mapInArrow(_sample_features, "doc_id long, features binary, sizes binary")
         .collect()
     )
@@ -301,7 +304,7 @@ def score(docs: DataFrame, model: LineField, id_col: str = "doc_id", text_col: s
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    doc_id = F.col(id_col).cast("long")
+    doc_id = column(id_col).cast("long")
     return docs.select(
         doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), text_bytes(text_col).alias("text")
     ).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -314,4 +317,4 @@ def keep_good(docs: DataFrame, model: LineField, text_col: str = "text") -> Data
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores([t.encode() for t in texts]))
 
-    return docs.where(scored(F.coalesce(F.col(text_col), F.lit(""))) >= THRESHOLD)
+    return docs.where(scored(F.coalesce(column(text_col), F.lit(""))) >= THRESHOLD)

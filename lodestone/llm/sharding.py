@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import materialise, text_bytes
+from lodestone.llm.shared import column, materialise, text_bytes
 
 SHARDS = 16
 ROUNDS = 4
@@ -106,7 +106,7 @@ def shard_rows(
     spark = docs.sparkSession
     text = text_bytes(text_col)
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        column(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
     )

@@ -4,12 +4,12 @@ import random
 from lodestone.llm import decontaminate as dc
 
 
-def brute(docs, items):
+def brute(docs, items, least=1):
     found = set()
     for (doc_id, text), (item_id, item_text) in itertools.product(docs, items):
         a, b = dc.tokens(text), dc.tokens(item_text)
         w = min(dc.WINDOW, len(b))
-        if len(b) < dc.MIN_ITEM:
+        if len(b) < least:
             continue
         for i in range(len(a) - w + 1):
             for j in range(len(b) - w + 1):
@@ -19,7 +19,7 @@ def brute(docs, items):
 
 
 def test_seeds_hit_every_allowed_substitution():
-    for window in range(dc.MIN_ITEM, dc.WINDOW + 1):
+    for window in range(1, dc.WINDOW + 1):
         holes = window - dc.needed(window)
         for places in itertools.combinations(range(window), holes):
             assert any(
@@ -43,12 +43,14 @@ def test_leaks_equal_brute_force(spark, docs_of):
     docs += [(300, None), (301, ""), (None, items[7][1]), (302, "\n\n".join(items[8][1].split()) + "!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     table = docs_of(docs)
-    expected = brute(docs, items)
+    expected = brute(docs, items, 5)
     for block in (dc.BLOCK_TOKENS, 25):
-        found = dc.benchmark_leaks(table, bench, block_tokens=block).collect()
+        found = dc.benchmark_leaks(table, bench, block_tokens=block, min_item=5).collect()
         assert {(r.doc_id, r.item_id) for r in found} == expected
     assert len(expected) > 30
-    clean = dc.drop_leaks(table, bench)
+    short = dc.benchmark_leaks(table, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in short} == brute(docs, items) > expected
+    clean = dc.drop_leaks(table, bench, min_item=5)
     assert clean.columns == table.columns
     leaked = {d for d, _ in expected}
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in docs if i not in leaked)
@@ -61,3 +63,17 @@ def test_empty_tables(spark, docs_of):
     assert dc.benchmark_leaks(docs, bench.where("false")).count() == 0
     assert dc.benchmark_leaks(docs.where("false"), bench).count() == 0
     assert dc.drop_leaks(docs, bench.where("false")).count() == 1
+
+
+def test_columns_of_any_name_and_type_are_kept(spark, odd_columns):
+    bench = spark.createDataFrame([(1, "quite another text")], "item_id long, text string")
+    left = dc.drop_leaks(odd_columns, bench)
+    assert left.schema == odd_columns.schema
+    assert sorted(r["__id"] for r in left.collect()) == ["u", "v", "z", "z"]
+
+
+def test_very_long_text(spark, docs_of):
+    words = " ".join(f"x{i}" for i in range(200_000))
+    bench = spark.createDataFrame([(1, " ".join(f"x{i}" for i in range(199_900, 199_920)))], "item_id long, text string")
+    found = dc.benchmark_leaks(docs_of([(1, words)]), bench).first()
+    assert (found.doc_start, found.overlap_tokens) == (199_900, 20)

@@ -68,3 +68,12 @@ def test_run_applies_all_stages(spark, folder):
     assert set(found.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
     assert 0 < found.select("doc_id").distinct().count() < 240
     assert not {r.doc_id for r in found.select("doc_id").collect()} & {2000, 2001, 2002, 2003, 2004, 2005}
+
+
+def test_empty_table_and_extra_columns_pass_every_stage_but_the_last(spark, folder, odd_columns):
+    stages = [stage for name, stage in corpus_pipeline.STAGES if name != "packing"]
+    for docs in (odd_columns, odd_columns.where("false")):
+        for stage in stages:
+            docs = stage(spark, docs, folder)
+        assert docs.schema == odd_columns.schema
+    assert docs.count() == 0
