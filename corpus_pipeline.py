@@ -2,11 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``.  Each stage's output is written as Parquet to the shared folder and
-read again as the next stage's input, so a lost executor never costs more than one stage.
+read again as the next stage's input, so a lost executor never costs more than one stage.  What a stage
+writes on its way is deleted when its output is there, and that when the next stage's is.
 
 Defined cases are those of the operators: a null text counts as empty, null ids stay and sort last,
 an empty table passes through every stage, and columns beyond those of ``documents`` are kept until
-packing.
+packing, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, exact_dedup, packing, quality, simhash
 from lodestone.llm.queries import WORD_BPE
-from lodestone.llm.shared import new_folder, table
+from lodestone.llm.shared import discard, new_folder, table, workspace
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +58,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with workspace(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
