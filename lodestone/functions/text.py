@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Blanks as Unicode-aware text processing understands them.
-WS = r"(?U)[\s\x1c-\x1f]"
+#: Blanks as Unicode-aware text processing understands them, spelled out: a plain class is matched faster.
+WS = r"[\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 TOKEN = "[A-Za-z0-9_]+"
 
 #: Stop-words of row grounding.

@@ -6,6 +6,8 @@ looks at a fixed number of its query's rows, so what is gathered for a query is
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,36 @@ def ground_rows(evidence: DataFrame, least: int = 1) -> DataFrame:
 _ROWS = "array<struct<row_text:string,matched_terms:array<string>>>"
 
 
+def ground(queries: DataFrame, evidence: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(context, trace): evidence that answers may rest on, and one row of trace for each query.
+
+    ``queries`` is (query_id, query, tabular), ``evidence`` has is_tabular.  A query without tabular intent keeps
+    all of its evidence; one with it keeps the table chunks that a row of theirs grounds.
+    """
+    rows = evidence.join(queries.select("query_id", "query", "tabular"), "query_id")
+    judged = ground_rows(rows, least).withColumn(
+        "tabular_grounded", F.col("tabular") & F.coalesce("is_tabular", F.lit(False)) & F.col("tabular_grounded")
+    )
+    found = judged.groupBy("query_id").agg(
+        F.count("*").alias("candidates"),
+        F.count_if("tabular_grounded").alias("matched_chunks"),
+        F.sum(F.when(F.col("tabular_grounded"), F.col("matched_row_count")).otherwise(0)).alias("matched_rows"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    no_terms = F.size(t.grounding_terms("query")) == 0
+    trace = queries.join(found, "query_id", "left").select(
+        "query_id",
+        F.col("tabular").alias("tabular_intent"),
+        zero("candidates"),
+        zero("matched_chunks"),
+        zero("matched_rows"),
+        F.when(F.col("tabular") & no_terms, "no_query_terms")
+        .when(F.col("tabular") & (F.coalesce("matched_chunks", F.lit(0)) == 0), "no_matched_rows")
+        .alias("reason"),
+    )
+    return judged.where(~F.col("tabular") | F.col("tabular_grounded")).drop("query", "tabular"), trace
+
+
 def citable(text: Column | str) -> Column:
     body = t.strip(text)
     return (F.length(body) >= 10) & (F.size(t.tokens(body)) >= 2)
@@ -110,9 +142,12 @@ def _answer(out: DataFrame, reason: Column, text: Column) -> DataFrame:
 
 
 def citations(evidence: DataFrame) -> DataFrame:
-    """Citation rows of evidence: id, title, document, snippet, score, chunk_id, doc_type beside query_id and rank."""
+    """Citation rows of evidence: id, title, document, snippet, score, chunk_id, doc_type beside query_id and rank,
+    and what a grounded table chunk matched where the evidence has it."""
     given = t.strip(F.coalesce("chunk_id", F.lit("")))
+    grounded = [c for c in ("tabular_grounded", "matched_row_count", "matched_terms") if c in evidence.columns]
     return evidence.select(
+        *grounded,
         "query_id",
         "rank",
         F.when(given != "", given).otherwise(F.concat(F.lit("chunk-"), F.col("rank"))).alias("id"),
@@ -125,15 +160,17 @@ def citations(evidence: DataFrame) -> DataFrame:
     )
 
 
-def quality_failures(cited: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def quality_failures(cited: DataFrame, sources: DataFrame | None = None, fields_first: bool = True) -> DataFrame:
     """Adds ``failures``: missing_fields, snippet_adequacy, source_traceability, duplicate_policy.
 
+    ``fields_first`` judges citations that lack a field by that alone; otherwise fields are no matter.
+
     ``sources`` (chunk_id, source) makes citations traceable.  A repeat of (chunk, document) fails whether or not
     the first one passed.
     """
     blank = lambda c: F.coalesce(t.strip(F.col(c).cast("string")), F.lit("")) == ""
     missing = F.lit(False)
-    for c in CITATION_FIELDS:
+    for c in CITATION_FIELDS if fields_first else ():
         missing = missing | blank(c)
     document = F.lower(t.collapse(F.coalesce("document", F.lit(""))))
     out = cited.withColumns({"__missing": missing, "__doc": document})
@@ -150,7 +187,7 @@ def quality_failures(cited: DataFrame, sources: DataFrame | None = None) -> Data
         ("missing_fields", F.col("__missing")),
         ("snippet_adequacy", ~F.col("__missing") & weak),
         ("source_traceability", ~F.col("__missing") & untraced),
-        ("duplicate_policy", ~F.col("__missing") & (F.col("__nth") > 1)),
+        ("duplicate_policy", ~F.col("__missing") & ~blank("chunk_id") & (F.col("__doc") != "") & (F.col("__nth") > 1)),
     ]
     failed = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named]))
     return out.withColumn("failures", failed).select(*cited.columns, "failures")
@@ -173,12 +210,36 @@ def split_citations(cited: DataFrame) -> DataFrame:
     return cited.withColumn("visible", (F.col("rank") <= 3) & (more | (F.col("score") >= 0.5)))
 
 
-def confidence(evidence: DataFrame, settings: Settings, now: Column, intents: DataFrame | None = None) -> DataFrame:
+def query_intents(queries: DataFrame, thesaurus: dict | None = None) -> DataFrame:
+    """(query_id, intents): names of the intent groups that share a token with the query."""
+    found = F.array().cast("array<string>")
+    for name, values in ((thesaurus or {}).get("intent_groups") or {}).items():
+        label = str(name).strip().lower()
+        terms = sorted({x.lower() for v in (values if isinstance(values, list) else []) for x in re.findall(t.TOKEN, str(v))})
+        if label and terms:
+            hit = F.arrays_overlap(t.tokens("query"), F.array(*map(F.lit, terms)))
+            found = F.when(hit, F.array_union(found, F.array(F.lit(label)))).otherwise(found)
+    return queries.select("query_id", found.alias("intents"))
+
+
+#: Weights of retrieval, extraction, lifecycle and coverage in the confidence, and its thresholds.
+SHARES, HIGH, LOW = (0.45, 0.25, 0.20, 0.10), 0.72, 0.45
+
+
+def normalised_label(label: Column | str) -> Column:
+    """``high``, ``low`` or ``abstain``; whatever else there is abstains."""
+    found = F.lower(t.strip(F.col(label) if isinstance(label, str) else label))
+    return F.when(found.isin("high", "low"), found).otherwise("abstain")
+
+
+def confidence(
+    evidence: DataFrame, settings: Settings, now: Column, intents: DataFrame | None = None, queries: DataFrame | None = None
+) -> DataFrame:
     """(query_id, score, label, reason) from the first rows of each query's evidence.
 
     ``evidence`` has rank, score, tier, status, deleted, ts, is_tabular, doc_type; ``intents`` is (query_id, intents),
     an array in which ``tabular`` stands for the intent that needs table evidence.  Queries without evidence
-    have no row here.
+    abstain; they have a row if ``queries`` names them.
     """
     tier = F.when(F.col("tier") == "structured", 1.0).when(F.col("tier") == "document", 0.8).when(F.col("tier") == "plain", 0.65).otherwise(0.6)
     state = F.lower(t.strip(F.coalesce("status", F.lit(""))))
@@ -207,7 +268,10 @@ def confidence(evidence: DataFrame, settings: Settings, now: Column, intents: Da
         intents, "query_id", "left"
     ).withColumn("intents", F.coalesce("intents", F.array().cast("array<string>")))
     score = (
-        F.col("strength") * 0.45 + F.col("extraction") * 0.25 + F.col("lifecycle") * 0.20 + F.least(F.lit(1.0), F.col("n") / 3) * 0.10
+        F.col("strength") * SHARES[0]
+        + F.col("extraction") * SHARES[1]
+        + F.col("lifecycle") * SHARES[2]
+        + F.least(F.lit(1.0), F.col("n") / 3) * SHARES[3]
     )
     if settings.confidence_temporal_decay_enabled:
         score = score * F.col("decay")
@@ -222,16 +286,24 @@ def confidence(evidence: DataFrame, settings: Settings, now: Column, intents: Da
         score = score * F.when(wanted > 0, F.greatest(F.lit(low), F.least(F.lit(1.5), factor))).otherwise(1.0)
     no_table = F.array_contains("intents", "tabular") & ~F.col("any_table")
     score = F.when(no_table, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
-    return out.withColumn("score", score).select(
+    judged = out.withColumn("score", score).select(
         "query_id",
         "score",
-        F.when(no_table, "abstain").when(F.col("score") >= 0.72, "high").when(F.col("score") >= 0.45, "low").otherwise("abstain").alias("label"),
+        F.when(no_table, "abstain").when(F.col("score") >= HIGH, "high").when(F.col("score") >= LOW, "low").otherwise("abstain").alias("label"),
         F.when(no_table, "tabular_evidence_missing")
-        .when(F.col("score") >= 0.72, "strong_grounded_evidence")
-        .when(F.col("score") >= 0.45, "limited_or_mixed_evidence")
+        .when(F.col("score") >= HIGH, "strong_grounded_evidence")
+        .when(F.col("score") >= LOW, "limited_or_mixed_evidence")
         .otherwise("insufficient_evidence_quality")
         .alias("reason"),
     )
+    if queries is None:
+        return judged
+    return queries.select("query_id").join(judged, "query_id", "left").select(
+        "query_id",
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.coalesce("label", F.lit("abstain")).alias("label"),
+        F.coalesce("reason", F.lit("no_evidence")).alias("reason"),
+    )
 
 
 def fixed_answers(queries: DataFrame, evidence: DataFrame, mode: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.config import Settings
 from lodestone.functions import text as t
@@ -31,12 +32,13 @@ def window_policy(size: int, overlap: int, least: int) -> tuple[int, int, int]:
 def first_by_content(docs: DataFrame) -> DataFrame:
     """Non-blank documents, the first (by ``doc_ord``) of each content; adds ``content_fingerprint``.
 
-    Groups of copies meet as one aggregate row each, never as rows of one task.
+    Every task keeps one row of a content before the shuffle, so a group of copies is as small as any other.
+    Rows that repeat a ``doc_ord`` are told apart by content; of rows alike in both one stays.
     """
     rows = docs.withColumn("text", t.strip("text")).where("text <> ''")
     rows = rows.withColumn("content_fingerprint", t.fingerprint("text"))
-    first = rows.groupBy("content_fingerprint").agg(F.min("doc_ord").alias("doc_ord"))
-    return rows.join(first.select("doc_ord"), "doc_ord", "left_semi")
+    first = Window.partitionBy("content_fingerprint").orderBy("doc_ord")
+    return rows.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
 
 
 def doc_type(source: Column, text: Column, taxonomy: dict | None = None) -> Column:
@@ -84,6 +86,12 @@ def resolved_doc_type(explicit: Column, source: Column, text: Column, method: Co
     return F.when((given != "") & ~given.isin(DOC_TYPE_PLACEHOLDERS), given).otherwise(doc_type(source, body, taxonomy))
 
 
+def _by_document(rows: DataFrame):
+    """Windows over documents; deduplicated ones lie by content already, so their texts are not moved again."""
+    keys = [k for k in ("content_fingerprint", "doc_ord") if k in rows.columns]
+    return Window.partitionBy(*keys)
+
+
 def prose_units(docs: DataFrame, cohesion: float = 0.0) -> DataFrame:
     """One row per paragraph, or per run of cohesive sentences: doc columns, unit_index, unit_text,
     unit_start, unit_end (words from 1), cohesion_split_applied."""
@@ -97,7 +105,7 @@ def prose_units(docs: DataFrame, cohesion: float = 0.0) -> DataFrame:
     else:
         rows = rows.withColumns({"part": F.lit(0), "unit_text": F.col("whole")})
         split = F.lit(False)
-    order = Window.partitionBy("doc_ord").orderBy("paragraph", "part")
+    order = _by_document(docs).orderBy("paragraph", "part")
     n = F.size(t.words("unit_text"))
     return (
         rows.withColumns({"cohesion_split_applied": split, "n": n})
@@ -131,40 +139,42 @@ def prose_windows(units: DataFrame, size: int = 120, overlap: int = 20, least: i
     enough takes all that follow it, with the words they repeat.
     """
     size, overlap, step = window_policy(size, overlap, 20)
-    n = F.size("ws")
-    count = F.ceil(n / step).cast("int")
-    full = F.greatest(F.lit(1), F.floor((n - least) / step).cast("int") + 1)
-    heads = F.least(count, full)
-    rows = units.withColumn("ws", t.words("unit_text")).where(F.size("ws") > 0)
-    rows = rows.withColumns({"count": count, "heads": heads}).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("heads") - 1)).alias("window")
-    )
-    last = F.col("window") == F.col("heads") - 1
-    tail = F.flatten(
-        F.transform(F.sequence("window", F.col("count") - 1), lambda j: F.slice("ws", j * step + 1, size))
-    )
-    body = F.when(last, tail).otherwise(F.slice("ws", F.col("window") * step + 1, size))
-    end = F.when(last, n).otherwise(F.least(n, F.col("window") * step + size))
-    return rows.select(
-        *[c for c in units.columns],
-        "window",
-        F.array_join(body, " ").alias("text_window"),
-        (F.col("window") * step + 1).alias("start_word"),
-        end.alias("end_word"),
-        F.size(body).alias("word_count"),
-        F.lit(overlap).alias("overlap_words"),
-    )
+
+    def windows(ws):
+        n = F.size(ws)
+        count = F.ceil(n / step).cast("int")
+        heads = F.least(count, F.greatest(F.lit(1), F.floor((n - least) / step).cast("int") + 1))
+
+        def window(j):
+            part = lambda k: F.slice(ws, k * step + 1, size)
+            last = j == heads - 1
+            body = F.when(last, F.flatten(F.transform(F.sequence(j, count - 1), part))).otherwise(part(j))
+            return F.struct(
+                j.alias("window"),
+                F.array_join(body, " ").alias("text_window"),
+                (j * step + 1).alias("start_word"),
+                F.when(last, n).otherwise(F.least(n, j * step + size)).alias("end_word"),
+                F.size(body).alias("word_count"),
+            )
+
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), heads - 1), window))
+
+    # The words are bound once for all windows of a unit, and each window leaves with its own words alone.
+    found = F.get(F.transform(F.array(t.words("unit_text")), windows), F.lit(0))
+    rows = units.select(*units.columns, F.explode(found).alias("w"))
+    return rows.select(*units.columns, "w.*", F.lit(overlap).alias("overlap_words"))
 
 
 def prose_chunks(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_ord, source, chunk_index, chunk_id, text, word places, kind) of prose documents."""
-    units = prose_units(docs.select("doc_ord", "source", "text"), settings.cohesion_threshold).drop("text")
+    """One row per window of prose documents (doc_ord, source, text and what else they hold): the document's
+    columns but its text, chunk_index, chunk_id, text, word places, unit places."""
+    kept = [c for c in docs.columns if c != "text"]
+    units = prose_units(docs, settings.cohesion_threshold).drop("text")
     windows = prose_windows(units, settings.chunk_size, settings.overlap, settings.min_chunk_words)
-    order = Window.partitionBy("doc_ord").orderBy("unit_index", "window")
+    order = _by_document(docs).orderBy("unit_index", "window")
     unit = t.source_unit_id("source")
     return windows.withColumn("chunk_index", F.row_number().over(order) - 1).select(
-        "doc_ord",
-        "source",
+        *[c for c in kept if c != "source_unit_id"],
         "chunk_index",
         F.concat(t.basename("source"), F.lit(":"), F.col("chunk_index")).alias("chunk_id"),
         F.col("text_window").alias("text"),
@@ -173,17 +183,30 @@ def prose_chunks(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         "start_word",
         "end_word",
         "word_count",
+        "overlap_words",
+        "unit_start",
+        "unit_end",
         (F.col("unit_start") + F.col("start_word") - 1).alias("absolute_start_word"),
         (F.col("unit_start") + F.col("end_word") - 1).alias("absolute_end_word"),
         "cohesion_split_applied",
     )
 
 
-def with_boilerplate(chunks: DataFrame) -> DataFrame:
-    """Adds how often a chunk's normalised text occurs in the whole table."""
-    keyed = chunks.withColumn("boilerplate_key", t.boilerplate_key("text"))
-    counts = keyed.groupBy("boilerplate_key").agg(F.count("*").alias("repeat_count"))
-    return keyed.join(counts, "boilerplate_key").withColumn("is_repeated", F.col("repeat_count") > 1)
+def repeated_keys(chunks: DataFrame) -> DataFrame:
+    """(boilerplate_key, repeat_count) of the normalised texts that occur more than once in the whole table."""
+    counts = chunks.groupBy("boilerplate_key").agg(F.count("*").alias("repeat_count"))
+    return counts.where("repeat_count > 1")
+
+
+def with_boilerplate(chunks: DataFrame, repeats: DataFrame | None = None) -> DataFrame:
+    """Adds boilerplate_key, repeat_count and is_repeated; ``repeats`` if they are known already.
+
+    Only texts that do repeat are joined back, so the shared keys are few beside the chunks.
+    """
+    keyed = chunks if "boilerplate_key" in chunks.columns else chunks.withColumn("boilerplate_key", t.boilerplate_key("text"))
+    found = keyed.join(repeated_keys(keyed) if repeats is None else repeats, "boilerplate_key", "left")
+    found = found.withColumn("repeat_count", F.coalesce("repeat_count", F.lit(1).cast("long")))
+    return found.withColumn("is_repeated", F.col("repeat_count") > 1)
 
 
 def looks_tabular(text: Column | str) -> Column:
@@ -226,19 +249,87 @@ def _profile(found: Column, mark: str, least: int) -> Column:
     return F.coalesce((n >= least) & good, F.lit(False))
 
 
+#: What is known of a table in a document.
+TABLE = (
+    "struct<table_id:string,row_count:int,column_count:int,header_fields:array<string>,has_header:boolean,sheet_name:string,"
+    "page_index:int,slide_index:int,line_start_index:int,line_end_index:int,data_row_start_index:int,data_row_end_index:int>"
+)
+
+
+def structs(rows: DataFrame, name: str, kind: str) -> Column:
+    """An array of structs as ``kind`` has them: fields by their names in any order, null where they are absent."""
+    wanted = T._parse_datatype_string(kind)
+    if name not in rows.columns or not isinstance(rows.schema[name].dataType, T.ArrayType):
+        return F.lit(None).cast(T.ArrayType(wanted))
+    held = rows.schema[name].dataType.elementType.fieldNames()
+    field = lambda m, f: (m[f.name] if f.name in held else F.lit(None)).cast(f.dataType).alias(f.name)
+    return F.transform(name, lambda m: F.struct(*[field(m, f) for f in wanted]))
+
+
+def header_lines(tables: Column) -> Column:
+    """Header lines that table descriptions name, those of two fields or more."""
+    fields = F.transform(
+        F.coalesce(tables, F.array().cast(f"array<{TABLE}>")),
+        lambda m: F.filter(
+            F.transform(F.coalesce(m["header_fields"], F.array().cast("array<string>")), t.strip), lambda x: F.coalesce(x, F.lit("")) != ""
+        ),
+    )
+    return F.transform(F.filter(fields, lambda f: F.size(f) >= 2), lambda f: F.array_join(f, " | "))
+
+
+def _range_sections(found: Column, tables: Column) -> Column:
+    """Sections by the line ranges of table descriptions; descriptions without a range give none."""
+
+    def section(m):
+        first = m["line_start_index"]
+        inside = F.slice(found, first, m["line_end_index"] - first + 1)
+        headed = F.coalesce(m["has_header"], F.lit(False)) & (F.size(inside) >= 2)
+        named = F.size(F.filter(F.coalesce(m["header_fields"], F.array().cast("array<string>")), lambda x: t.strip(x) != "")) > 0
+        blank = lambda c: F.when(t.strip(c) != "", t.strip(c))
+        return F.struct(
+            F.when(headed, F.get(inside, F.lit(0))).alias("header"),
+            F.when(headed, F.slice(inside, 2, F.greatest(F.size(inside) - 1, F.lit(0)))).otherwise(inside).alias("rows"),
+            F.lit(0).alias("section_index"),
+            F.when(headed, F.when(named, "table_metadata").otherwise("explicit_range")).otherwise("none").alias("header_source"),
+            F.lit(1).alias("header_repeat_index"),
+            F.lit(1).alias("header_repeat_count"),
+            blank(m["table_id"]).alias("table_id"),
+            blank(m["sheet_name"]).alias("sheet_name"),
+            first.alias("line_start"),
+            m["line_end_index"].alias("line_end"),
+            F.coalesce(m["data_row_start_index"], F.when(m["has_header"], 2).otherwise(1)).alias("data_row_start"),
+            F.coalesce(m["data_row_end_index"], F.size(inside)).alias("data_row_end"),
+        )
+
+    ranged = F.filter(
+        F.coalesce(tables, F.array().cast(f"array<{TABLE}>")),
+        lambda m: (m["line_start_index"] > 0) & (m["line_end_index"] >= m["line_start_index"]) & (m["line_start_index"] <= F.size(found)),
+    )
+    kept = F.filter(F.transform(ranged, section), lambda s: F.size(s["rows"]) > 0)
+    return F.transform(kept, lambda s, i: s.withField("section_index", i))
+
+
 def table_sections(docs: DataFrame) -> DataFrame:
     """One row per section of a table document: header, rows and where they came from.
 
-    With ``known_headers`` (an array of header lines, may be null) lines equal to one open sections and
-    what stands before the first is left out; otherwise the whole text is one section whose first
-    line is a header if it looks like one.
+    ``table_metadata`` (may be null or absent) with line ranges cuts the text into their sections.  Else
+    lines equal to a known header, from ``known_headers`` (an array of lines) or the metadata, open sections and
+    what stands before the first is left out.  Else the whole text is one section whose first line is a header
+    if it looks like one.
     """
-    found = docs.withColumns({"lines": t.lines("text"), "known": F.transform("known_headers", t.table_line)})
+    tables = structs(docs, "table_metadata", TABLE)
+    given = F.col("known_headers") if "known_headers" in docs.columns else header_lines(tables)
+    found = docs.withColumns({"lines": t.lines("text"), "known": F.transform(given, t.table_line)})
     marks = F.filter(
         F.transform("lines", lambda x, i: F.when(F.array_contains("known", t.table_line(x)), i)), lambda i: i.isNotNull()
     )
     found = found.withColumn("starts", F.coalesce(marks, F.array().cast("array<int>")))
     names = F.transform("starts", lambda i: t.table_line(F.get("lines", i)))
+    nothing = [
+        F.lit(None).cast("string").alias("table_id"),
+        F.lit(None).cast("string").alias("sheet_name"),
+        *[F.lit(None).cast("int").alias(c) for c in ("line_start", "line_end", "data_row_start", "data_row_end")],
+    ]
 
     def section(start, position):
         stop = F.coalesce(F.get("starts", position + 1), F.size("lines"))
@@ -255,6 +346,7 @@ def table_sections(docs: DataFrame) -> DataFrame:
                 )
             ).alias("header_repeat_index"),
             F.size(F.filter("names", lambda x: x == name)).alias("header_repeat_count"),
+            *nothing,
         )
 
     def _has_rows(start):
@@ -269,32 +361,55 @@ def table_sections(docs: DataFrame) -> DataFrame:
         F.when(headed, "inferred").otherwise("none").alias("header_source"),
         headed.cast("int").alias("header_repeat_index"),
         headed.cast("int").alias("header_repeat_count"),
+        *nothing,
+    )
+    found = found.withColumn("names", names).withColumn("ranged", _range_sections(F.col("lines"), tables))
+    sections = (
+        F.when(F.size("ranged") > 0, F.col("ranged"))
+        .when(F.size(known) > 0, known)
+        .otherwise(F.filter(F.array(one), lambda s: F.size(s["rows"]) > 0))
+    )
+    kept = [c for c in docs.columns if c != "known_headers"]
+    return found.select(*kept, F.explode(sections).alias("section")).select(
+        *kept, "section.*", F.size("section.rows").alias("section_row_count")
     )
-    found = found.withColumn("names", names)
-    sections = F.when(F.size(known) > 0, known).otherwise(F.filter(F.array(one), lambda s: F.size(s["rows"]) > 0))
-    return found.select(
-        *[c for c in docs.columns if c != "known_headers"], F.explode(sections).alias("section")
-    ).select(*[c for c in docs.columns if c != "known_headers"], "section.*", F.size("section.rows").alias("section_row_count"))
 
 
 def table_windows(sections: DataFrame, rows_per: int = 25, overlap: int = 5) -> DataFrame:
     """Row windows of sections, each under its header; a last window of repeated rows alone is left out."""
     size, overlap, step = window_policy(rows_per, overlap, 1)
     n = F.size("rows")
+    headed = F.col("header").isNotNull().cast("int")
+    first = F.coalesce("line_start", F.lit(1))
+    placed = sections.withColumns(
+        {
+            "section_line_start": first,
+            "section_line_end": F.coalesce("line_end", first + n + headed - 1),
+            "section_data_row_start": F.coalesce("data_row_start", headed + 1),
+            "section_data_row_end": F.coalesce("data_row_end", n),
+        }
+    ).drop("line_start", "line_end", "data_row_start", "data_row_end")
+    head = F.when(F.col("header").isNotNull(), F.array("header")).otherwise(F.array().cast("array<string>"))
     starts = F.filter(
         F.sequence(F.lit(0), n - 1, F.lit(step)), lambda s: (s == 0) | (F.least(n - s, F.lit(size)) > overlap)
     )
-    found = sections.select("*", F.explode(starts).alias("start"))
-    body = F.slice("rows", F.col("start") + 1, size)
-    head = F.when(F.col("header").isNotNull(), F.array("header")).otherwise(F.array().cast("array<string>"))
-    shift = F.col("header").isNotNull().cast("int")
+
+    def window(start):
+        body = F.slice("rows", start + 1, size)
+        return F.struct(
+            F.array_join(F.concat(head, body), "\n").alias("text_window"),
+            (start + 1).alias("row_start"),
+            (start + F.size(body)).alias("row_end"),
+            F.size(body).alias("window_row_count"),
+        )
+
+    # Every window leaves with its own rows alone.
+    found = placed.select(*[c for c in placed.columns if c != "rows"], F.explode(F.transform(starts, window)).alias("w"))
+    shift = F.col("section_line_start") + F.col("header").isNotNull().cast("int") - 1
     return found.select(
-        *[c for c in sections.columns if c != "rows"],
-        F.array_join(F.concat(head, body), "\n").alias("text_window"),
-        (F.col("start") + 1).alias("row_start"),
-        (F.col("start") + F.size(body)).alias("row_end"),
-        (F.col("start") + 1 + shift).alias("absolute_row_start"),
-        (F.col("start") + F.size(body) + shift).alias("absolute_row_end"),
-        F.size(body).alias("window_row_count"),
+        *[c for c in found.columns if c != "w"],
+        "w.*",
+        (shift + F.col("w.row_start")).alias("absolute_row_start"),
+        (shift + F.col("w.row_end")).alias("absolute_row_end"),
         F.lit(overlap).alias("overlap_rows"),
     )

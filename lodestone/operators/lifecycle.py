@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,8 +162,48 @@ def purge(records: DataFrame, now: Column, older_than_days: float | None = None)
     return purge_plan(records, now, older_than_days).where("purge <> 'purge'").drop("purge")
 
 
+def purge_report(records: DataFrame, now: Column, older_than_days: float | None = None) -> DataFrame:
+    """One row: inspected, purged, skipped for a missing or unreadable mark, remaining after the purge."""
+    plan = purge_plan(records, now, older_than_days)
+    gone = F.count_if(F.col("purge") == "purge")
+    return plan.agg(
+        F.count("*").alias("inspected_records"),
+        gone.alias("purged_count"),
+        F.count_if(F.col("purge") == "missing_mark").alias("skipped_missing_deletion_mark_iso_ts"),
+        F.count_if(F.col("purge") == "invalid_mark").alias("skipped_invalid_deletion_mark_iso_ts"),
+        (F.count("*") - gone).alias("remaining_records"),
+    )
+
+
+def events_of(state: DataFrame, now: str) -> DataFrame:
+    """Audit events of an upserted state: one for each unit that the batch named."""
+    return state.where("action is not null").select(
+        F.lit(now).alias("event_iso_ts"),
+        "action",
+        "source_unit_id",
+        F.create_map(F.lit("source"), F.col("source"), F.lit("status"), F.col("status")).alias("details"),
+    )
+
+
+def purge_events(records: DataFrame, now: Column, stamp: str, older_than_days: float | None = None) -> DataFrame:
+    """Audit events of a purge."""
+    gone = purge_plan(records, now, older_than_days).where("purge = 'purge'")
+    details = F.create_map(*[x for c in ("source", "status", "deletion_mark_iso_ts") for x in (F.lit(c), F.col(c))])
+    return gone.select(F.lit(stamp).alias("event_iso_ts"), F.lit("hard_purged").alias("action"), "source_unit_id", details.alias("details"))
+
+
+def get(records: DataFrame, source_unit_id: str) -> dict | None:
+    """The record of one unit."""
+    found = records.where(F.col("source_unit_id") == source_unit_id).first()
+    return None if found is None else found.asDict()
+
+
+#: What an upsert can do to a unit.
+INGESTED = ("created", "updated", "unchanged_skipped")
+
+
 def audit_report(records: DataFrame, events: DataFrame) -> DataFrame:
-    """(section, name, n): statuses, timestamp problems and event counts."""
+    """(section, name, n): totals, statuses, timestamp problems, event counts, and events of ingestion, zeros kept."""
     status = F.lower(t.strip(F.coalesce("status", F.lit(""))))
     statuses = records.groupBy(F.lit("status").alias("section"), F.when(status == "", "unknown").otherwise(status).alias("name")).agg(F.count("*").alias("n"))
     blank = lambda c: F.coalesce(t.strip(c), F.lit("")) == ""
@@ -171,8 +213,22 @@ def audit_report(records: DataFrame, events: DataFrame) -> DataFrame:
         for kind, cond in (("missing", blank(c)), ("invalid", ~blank(c) & t.parse_ts(c).isNull()))
     ]
     marks = records.agg(*[F.count_if(cond).alias(name) for name, cond in checks])
-    problems = marks.select(
-        F.explode(F.array(*[F.struct(F.lit("timestamps").alias("section"), F.lit(n).alias("name"), F.col(n).alias("n")) for n, _ in checks])).alias("x")
-    ).select("x.*")
-    actions = events.groupBy(F.lit("events").alias("section"), F.col("action").alias("name")).agg(F.count("*").alias("n"))
-    return statuses.unionByName(problems).unionByName(actions)
+    problems = _rows(marks, "timestamps")
+    marked = (status == "soft_deleted") | (F.coalesce("deletion_mark_iso_ts", F.lit("")) != "")
+    totals = records.agg(
+        F.count("*").alias("total_records"), F.count_if(status == "active").alias("active_count"), F.count_if(marked).alias("soft_deleted_count")
+    )
+    action = F.lower(t.strip(F.coalesce("action", F.lit(""))))
+    counted = events.groupBy(F.when(action == "", "unknown").otherwise(action).alias("name")).agg(F.count("*").alias("n"))
+    actions = counted.select(F.lit("events").alias("section"), "name", "n")
+    again = counted.agg(*[F.coalesce(F.sum(F.when(F.col("name") == a, F.col("n"))), F.lit(0)).alias(a) for a in INGESTED])
+    return reduce(
+        DataFrame.unionByName,
+        [_rows(totals, "state"), statuses, problems, actions, _rows(again, "reingestion")],
+    )
+
+
+def _rows(one: DataFrame, section: str) -> DataFrame:
+    """The columns of a single row as (section, name, n)."""
+    named = F.array(*[F.struct(F.lit(section).alias("section"), F.lit(c).alias("name"), F.col(c).alias("n")) for c in one.columns])
+    return one.select(F.explode(named).alias("x")).select("x.*")

@@ -8,9 +8,19 @@ top rows are known.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from lodestone import storage
 from lodestone.config import Settings
 from lodestone.functions import text as t
 
@@ -45,10 +55,21 @@ def query_terms(queries: DataFrame, thesaurus: dict | None = None) -> DataFrame:
     plain = F.array_sort(F.array_distinct(t.tokens("query")))
     if not (thesaurus or {}).get("terms"):
         return queries.withColumn("terms", plain)
-    expand = F.udf(lambda q: expand_terms(q or "", thesaurus), "array<string>", useArrow=True)
+    expand = _expander(thesaurus)
     return queries.withColumn("terms", expand("query"))  # a fold in the order of entries, over the few queries
 
 
+def _expander(thesaurus: dict):
+    """Expansion is a fold over the entries in order, so it runs in Python, once for each distinct query of a batch."""
+
+    @F.pandas_udf("array<string>")
+    def expand(queries: pd.Series) -> pd.Series:
+        found = {q: expand_terms(q or "", thesaurus) for q in queries.unique()}
+        return queries.map(found.get)
+
+    return expand
+
+
 def tabular_intent(query: Column | str, thesaurus: dict | None) -> Column:
     """Whether a query token is a term of the intent group ``tabular``."""
     group = ((thesaurus or {}).get("intent_groups") or {}).get("tabular") or []
@@ -87,22 +108,38 @@ def _small(asked: DataFrame) -> bool:
     return asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
 
 
+#: Share of all chunks from which on a term is a frequent one.  A chunk has some hundred terms, so there are
+#: at most a few thousand frequent ones however large the table.
+FREQUENT = 0.05
+
+
+def _with_idf(index: DataFrame, weights: DataFrame, n: Column) -> DataFrame:
+    """Postings with the idf of their term; frequent terms come by a small broadcast, no task gets all of "the"."""
+    often = weights.where(F.col("df") > n * FREQUENT).select("term", F.col("idf").alias("often"))
+    seldom = weights.where(F.col("df") <= n * FREQUENT).select("term", F.col("idf").alias("seldom"))
+    marked = index.join(F.broadcast(often), "term", "left")
+    frequent = marked.where("often is not null").withColumnRenamed("often", "idf")
+    rest = marked.where("often is null").drop("often").join(seldom, "term").withColumnRenamed("seldom", "idf")
+    return frequent.select(*index.columns, "idf").unionByName(rest.select(*index.columns, "idf"))
+
+
 def tfidf_scores(queries: DataFrame, index: DataFrame, candidates: int) -> DataFrame:
     """(query_id, doc_ord, chunk_index, base): cosine of idf-weighted queries and tf-idf chunks.
 
     Document frequencies are those of ``index``, the candidates left by the lifecycle filter; ``candidates``
-    counts chunks without tokens too.
+    counts chunks without tokens too.  All postings enter the norms; dots need those of asked terms alone.
     """
     n = F.lit(float(candidates))
-    idf = lambda df: F.log((n + 1) / (df + 1)) + 1
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = index.join(df.select("term", idf(F.col("df")).alias("idf")), "term")
-    norms = weighted.groupBy(*KEY).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
-    asked = queries.select("query_id", F.explode("terms").alias("term")).join(df, "term", "left")
-    asked = asked.select("query_id", "term", idf(F.coalesce("df", F.lit(0))).alias("q_idf"))
-    lengths = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q_idf") ** 2)).alias("q_norm"))
-    dots = weighted.join(asked, "term").groupBy("query_id", *KEY).agg(
-        F.sum(F.col("tf") * F.col("idf") * F.col("q_idf")).alias("dot")
+    weights = df.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
+    norms = _with_idf(index, weights, n).groupBy(*KEY).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
+    terms = queries.select("query_id", F.explode("terms").alias("term"))
+    unseen = F.log(n + 1) + 1
+    asked = terms.join(weights, "term", "left").select("query_id", "term", F.coalesce("idf", unseen).alias("idf"))
+    lengths = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("q_norm"))
+    small = F.broadcast(asked) if _small(terms) else asked
+    dots = index.join(small, "term").groupBy("query_id", *KEY).agg(
+        F.sum(F.col("tf") * F.col("idf") * F.col("idf")).alias("dot")
     )
     return (
         dots.join(norms, KEY)
@@ -111,28 +148,71 @@ def tfidf_scores(queries: DataFrame, index: DataFrame, candidates: int) -> DataF
     )
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame, metric: str = "cosine") -> DataFrame:
-    """(query_id, keys of vectors, base): the stated queries against all vectors, in one pass over those.
-
-    ``queries`` is (query_id, query_vector).
+#: Queries and vectors that a task multiplies at a time, and products that make one task.
+QUERY_BLOCK, VECTOR_BLOCK, TASK_PRODUCTS = 1024, 4096, 1 << 28
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows padded with zeros to one width, their own widths) of a column of number arrays."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    widths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.zeros((len(widths), int(widths.max(initial=0))))
+    out[np.repeat(np.arange(len(widths)), widths), np.arange(len(values)) - np.repeat(np.cumsum(widths) - widths, widths)] = values
+    return out, widths
+
+
+def _products(path: str, metric: str, least: float, out: pa.Schema):
+    def similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        width = max(a.shape[1], b.shape[1])
+        a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
+        found = a @ b.T
+        if metric in ("euclidean", "l2"):
+            squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * found
+            found = 1 / (1 + np.sqrt(np.maximum(squares, 0)))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(path)
+        files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".parquet")]
+        for whole in batches:
+            for at in range(0, whole.num_rows, VECTOR_BLOCK):
+                batch = whole.slice(at, VECTOR_BLOCK)
+                vectors, widths = _matrix(batch.column("vector"))
+                for file in files:
+                    with fs.open_input_file(file) as source:
+                        for asked in pyarrow.parquet.ParquetFile(source).iter_batches(QUERY_BLOCK):
+                            queries, query_widths = _matrix(asked.column("query_vector"))
+                            found = similarities(vectors, queries)
+                            found[widths[:, None] != query_widths[None, :]] = 0.0
+                            i, j = np.nonzero(found >= least)
+                            if len(i):
+                                rows, picked = pa.array(i), pa.array(j)
+                                columns = [asked.column("query_id").take(picked), *[batch.column(n).take(rows) for n in out.names[1:-1]]]
+                                arrays = [*columns, pa.array(found[i, j])]
+                                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(arrays, out)], schema=out)
+
+    return run
+
+
+def vector_scores(queries: DataFrame, vectors: DataFrame, metric: str = "cosine", least: float = 0.0) -> DataFrame:
+    """(query_id, keys of vectors, base) of the pairs from ``least`` on: the stated queries (query_id, query_vector)
+    against all vectors; vectors of different lengths score zero.
+
+    Queries are written once, and every task multiplies its vectors with them block by block: none is
+    broadcast, no pair below ``least`` leaves its task, and the work is cut by products, not by rows.
     """
+    spark = vectors.sparkSession
     keys = [c for c in vectors.columns if c != "vector"]
-    return vectors.crossJoin(F.broadcast(queries)).select(
-        "query_id", *keys, t.vector_similarity("query_vector", "vector", metric).alias("base")
-    )
-
-
-#: Queries that one task holds at a time.
-QUERY_BLOCK = 256
-
-
-def vector_scores_in_blocks(queries: DataFrame, vectors: DataFrame, metric: str = "cosine", keys: tuple[str, ...] = ("vec_id",)) -> DataFrame:
-    """Scores of all pairs like ``vector_scores``, for any number of queries: blocks of them meet the vectors, none is broadcast."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    dealt = queries.select("query_id", "query_vector").repartition(blocks)
-    return vectors.hint("shuffle_replicate_nl").crossJoin(dealt).select(
-        "query_id", *keys, t.vector_similarity("query_vector", "vector", metric).alias("base")
-    )
+    as_numbers = lambda c: F.col(c).cast("array<double>").alias(c)
+    path = storage.new_folder(spark, "query-vectors")
+    held = storage.written(queries.where("query_vector is not null").select("query_id", as_numbers("query_vector")), path)
+    rows = vectors.where("vector is not null").select(*keys, as_numbers("vector"))
+    tasks = min(100_000, -(-held.count() * vectors.count() // TASK_PRODUCTS))
+    if tasks > 1:
+        rows = rows.repartition(tasks)
+    out = T.StructType([held.schema["query_id"], *[rows.schema[k] for k in keys], T.StructField("base", T.DoubleType())])
+    return rows.mapInArrow(_products(path, metric, least, to_arrow_schema(out)), out)
 
 
 def hashed_features(texts: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
@@ -235,8 +315,17 @@ def rrf(first: DataFrame, second: DataFrame, k: int = 60) -> DataFrame:
 
 
 def rank_by_counts(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The plain ranker: occurrences of the distinct blank-separated words of the query, no threshold or governance."""
+    """The plain ranker: occurrences of the distinct blank-separated words of the query, no threshold or governance.
+
+    A query with fewer than ``k`` hits is filled up with chunks that score zero, in corpus order; for that
+    the first ``k`` chunks and those behind its hits are enough, so nothing is crossed with the corpus.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct(t.words(F.lower("query")))).alias("term"))
     held = chunks.select(*KEY, F.explode(t.words(F.lower("text"))).alias("term")).groupBy(*KEY, "term").count()
     hits = held.join(asked, "term").groupBy("query_id", *KEY).agg(F.sum("count").alias("score"))
-    return ranked(hits, k)
+    best = ranked(hits, k).drop("rank")
+    # Of the first 2k chunks fewer than k can be hits of a query that needs filling up.
+    first = chunks.select(*KEY).orderBy(*KEY).limit(2 * k)
+    zeros = queries.select("query_id").crossJoin(F.broadcast(first)).withColumn("score", F.lit(0).cast("long"))
+    rest = zeros.join(best.select("query_id", *KEY), ["query_id", *KEY], "left_anti")
+    return ranked(best.unionByName(rest.select(*best.columns)), k)

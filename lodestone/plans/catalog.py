@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone import service, storage
 from lodestone.functions import text as t
-from lodestone.operators import answers, chunking, evaluation, lifecycle, retrieval
+from lodestone.operators import answers, builder, chunking, evaluation, lifecycle, provenance, retrieval, retrievers
 from lodestone.plans import inputs
 from lodestone.sources import parsers
 from lodestone.streaming import audit
@@ -28,17 +27,22 @@ d AS (SELECT doc_id AS doc_ord, 'data/' || source || '/' || doc_id || '.txt' AS
   {_STRIP.format("coalesce(text, '')")} AS text FROM documents),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_ord) AS rn FROM d WHERE text <> '')
   WHERE rn = 1)"""
-_CHUNKS = rf"""{_DOCS},
+def _windows_sql(size: int, step: int, least: int) -> str:
+    """CTEs up to ``chunks``: windows of all documents."""
+    return rf"""{_DOCS},
 w AS (SELECT doc_ord, source, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM k),
-n AS (SELECT *, len(ws) AS n, CAST(ceil(len(ws) / 100.0) AS BIGINT) AS cnt FROM w),
-h AS (SELECT *, least(cnt, greatest(1, CAST(floor((n - 40) / 100.0) AS BIGINT) + 1)) AS heads FROM n),
+n AS (SELECT *, len(ws) AS n, CAST(ceil(len(ws) / {step}.0) AS BIGINT) AS cnt FROM w),
+h AS (SELECT *, least(cnt, greatest(1, CAST(floor((n - {least}) / {step}.0) AS BIGINT) + 1)) AS heads FROM n),
 x AS (SELECT *, unnest(range(heads)) AS win FROM h),
-c AS (SELECT doc_ord, source, win, win * 100 + 1 AS start_word,
-  CASE WHEN win = heads - 1 THEN n ELSE win * 100 + 120 END AS end_word,
-  CASE WHEN win = heads - 1 THEN flatten(list_transform(range(win, cnt), lambda j: ws[j * 100 + 1 : j * 100 + 120]))
-    ELSE ws[win * 100 + 1 : win * 100 + 120] END AS body FROM x),
+c AS (SELECT doc_ord, source, win, win * {step} + 1 AS start_word,
+  CASE WHEN win = heads - 1 THEN n ELSE least(n, win * {step} + {size}) END AS end_word,
+  CASE WHEN win = heads - 1 THEN flatten(list_transform(range(win, cnt), lambda j: ws[j * {step} + 1 : j * {step} + {size}]))
+    ELSE ws[win * {step} + 1 : win * {step} + {size}] END AS body FROM x),
 chunks AS (SELECT doc_ord, source, win AS chunk_index, regexp_extract(source, '[^/]*$') || ':' || win AS chunk_id,
   array_to_string(body, ' ') AS text, start_word, end_word, len(body) AS word_count FROM c)"""
+
+
+_CHUNKS = _windows_sql(120, 100, 40)
 _INDEX = rf"""{_CHUNKS},
 tok AS (SELECT doc_ord, chunk_index, unnest({_TOKENS.format("text")}) AS term FROM chunks),
 post AS (SELECT doc_ord, chunk_index, term, count(*) AS tf FROM tok GROUP BY ALL),
@@ -92,13 +96,24 @@ def prose_windows(spark, sf_dir):
     )
 
 
+@query(
+    "prose_windows_tail_merge",
+    f"""WITH {_windows_sql(50, 40, 30)} SELECT doc_ord, chunk_index, start_word, end_word, word_count, sha1(text) AS fingerprint
+    FROM chunks""",
+)
+def prose_windows_tail_merge(spark, sf_dir):
+    docs = chunking.first_by_content(inputs.documents(spark, sf_dir))
+    found = chunking.prose_chunks(docs, inputs.SETTINGS.replace(chunk_size=50, overlap=10, min_chunk_words=30))
+    return found.select("doc_ord", "chunk_index", "start_word", "end_word", "word_count", t.fingerprint("text").alias("fingerprint"))
+
+
 @query(
     "boilerplate_chunks",
     f"""WITH {_CHUNKS}, b AS (SELECT chunk_id, sha1(lower(text)) AS boilerplate_key FROM chunks)
     SELECT chunk_id, boilerplate_key, count(*) OVER (PARTITION BY boilerplate_key) AS repeat_count FROM b""",
 )
 def boilerplate_chunks(spark, sf_dir):
-    return chunking.with_boilerplate(inputs.chunks(spark, sf_dir)).select("chunk_id", "boilerplate_key", "repeat_count")
+    return inputs.index(spark, sf_dir).counted().select("chunk_id", "boilerplate_key", "repeat_count")
 
 
 @query(
@@ -176,134 +191,133 @@ def source_units(spark, sf_dir):
 # --- retrieval ---------------------------------------------------------------------------------
 
 
-def _lexical(metric: str) -> Query:
-    def run(spark, sf_dir):
-        asked = retrieval.query_terms(inputs.queries(spark, sf_dir))
-        scores = retrieval.lexical_scores(asked, retrieval.postings(inputs.chunks(spark, sf_dir)), metric)
-        top = retrieval.ranked(retrieval.thresholded(scores, inputs.SETTINGS.min_retrieval_score), inputs.SETTINGS.top_k)
-        return top.select("query_id", "rank", "doc_ord", "chunk_index", "score")
+_KIND = f"CASE WHEN contains(lower(source), 'src1/') THEN 'manual' {_PATTERN_SQL} ELSE 'note' END"
+_WEIGHT = f"CASE doc_type {' '.join(f"WHEN '{k}' THEN {w}" for k, w in inputs.WEIGHTS.items())} ELSE 1.0 END"
+_STAYS = "doc_ord NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
 
-    return run
 
+def _kept_sql(stays: str = _STAYS, weight: str = _WEIGHT, strength: float = 0.25) -> str:
+    """CTEs ``kept`` (chunks that stay, with their factors) and ``kpost`` (their postings), on top of ``_INDEX``."""
+    return f"""{_INDEX},
+kinds AS (SELECT doc_ord, {_KIND} AS doc_type FROM k),
+counted AS (SELECT doc_ord, chunk_index, count(*) OVER (PARTITION BY sha1(lower(text))) AS n FROM chunks),
+kept AS (SELECT doc_ord, chunk_index, CAST({weight} AS DOUBLE) AS weight,
+  CAST(CASE WHEN n <= 1 THEN 1.0 ELSE greatest(0.4, 1 / (1 + {strength} * (n - 1))) END AS DOUBLE) AS penalty
+  FROM counted JOIN kinds USING (doc_ord) WHERE {stays}),
+kpost AS (SELECT post.* FROM post JOIN kept USING (doc_ord, chunk_index))"""
 
-def _lexical_sql(base: str) -> str:
-    return f"""WITH {_INDEX}, sizes AS (SELECT doc_ord, chunk_index, count(*) AS size FROM post GROUP BY ALL),
-    s AS (SELECT query_id, doc_ord, chunk_index, asked, sum(tf) AS occ, count(*) AS shared FROM post JOIN qt USING (term) GROUP BY ALL),
-    b AS (SELECT query_id, doc_ord, chunk_index, {base} AS base FROM s JOIN sizes USING (doc_ord, chunk_index)),
-    r AS (SELECT query_id, doc_ord, chunk_index, round(base, 4) AS score FROM b WHERE base >= 0.25),
-    o AS (SELECT query_id, {_RANK}, doc_ord, chunk_index, score FROM r) SELECT * FROM o WHERE rank <= 5"""
 
+def _lexical_cte(base: str) -> str:
+    """CTE ``lex``: final scores of the lexical list from the threshold on."""
+    return f"""sizes AS (SELECT doc_ord, chunk_index, count(*) AS size FROM post GROUP BY ALL),
+s AS (SELECT query_id, doc_ord, chunk_index, asked, sum(tf) AS occ, count(*) AS shared FROM kpost JOIN qt USING (term) GROUP BY ALL),
+lb AS (SELECT query_id, doc_ord, chunk_index, {base} AS base, weight, penalty FROM s JOIN sizes USING (doc_ord, chunk_index) JOIN kept USING (doc_ord, chunk_index)),
+lex AS (SELECT *, round(base * weight * penalty, 4) AS score FROM lb WHERE base * weight * penalty >= 0.25)"""
 
-query("lex_overlap_topk", _lexical_sql("CAST(occ AS DOUBLE) / asked"))(_lexical("overlap"))
-query("lex_containment_topk", _lexical_sql("CAST(shared AS DOUBLE) / asked"))(_lexical("containment"))
-query("lex_jaccard_topk", _lexical_sql("CAST(shared AS DOUBLE) / (asked + size - shared)"))(_lexical("jaccard"))
 
-_TFIDF = f"""{_INDEX},
-total AS (SELECT count(*) AS n FROM chunks),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-wt AS (SELECT post.*, ln((n + 1.0) / (df + 1)) + 1 AS idf FROM post JOIN df USING (term), total),
-norms AS (SELECT doc_ord, chunk_index, sqrt(sum((tf * idf) ** 2)) AS norm FROM wt GROUP BY ALL),
-qi AS (SELECT query_id, term, ln((n + 1.0) / (coalesce(df, 0) + 1)) + 1 AS qidf FROM qt LEFT JOIN df USING (term), total),
-qn AS (SELECT query_id, sqrt(sum(qidf ** 2)) AS qnorm FROM qi GROUP BY ALL),
-dots AS (SELECT query_id, doc_ord, chunk_index, sum(tf * idf * qidf) AS dot FROM wt JOIN qi USING (term) GROUP BY ALL),
-tfidf AS (SELECT query_id, doc_ord, chunk_index, dot / (norm * qnorm) AS base FROM dots JOIN norms USING (doc_ord, chunk_index)
-  JOIN qn USING (query_id))"""
+_OVERLAP, _CONTAINMENT, _JACCARD = "CAST(occ AS DOUBLE) / asked", "CAST(shared AS DOUBLE) / asked", "CAST(shared AS DOUBLE) / (asked + size - shared)"
 
 
-def _tfidf_scores(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    found = inputs.chunks(spark, sf_dir)
-    asked = retrieval.query_terms(inputs.queries(spark, sf_dir))
-    return found, retrieval.tfidf_scores(asked, retrieval.postings(found), found.count())
+def _top_sql(ctes: str, source: str) -> str:
+    return f"WITH {ctes}, o AS (SELECT query_id, {_RANK}, doc_ord, chunk_index, score FROM {source}) SELECT * FROM o WHERE rank <= 5"
 
 
-@query(
-    "tfidf_topk",
-    f"""WITH {_TFIDF}, r AS (SELECT query_id, doc_ord, chunk_index, round(base, 4) AS score FROM tfidf WHERE base >= 0.25),
-    o AS (SELECT query_id, {_RANK}, doc_ord, chunk_index, score FROM r) SELECT * FROM o WHERE rank <= 5""",
+def _ranked(**changes) -> Query:
+    """The benchmark texts asked under some settings: filtered, scored, weighed and ranked."""
+
+    def run(spark, sf_dir):
+        found = retrievers.retrieve(inputs.request(spark, sf_dir, **changes))
+        return found.ranked.select("query_id", "rank", "doc_ord", "chunk_index", "score")
+
+    return run
+
+
+for _metric, _base in {"overlap": _OVERLAP, "containment": _CONTAINMENT, "jaccard": _JACCARD}.items():
+    query(f"lex_{_metric}_topk", _top_sql(f"{_kept_sql()}, {_lexical_cte(_base)}", "lex"))(_ranked(lexical_similarity_metric=_metric))
+
+query("metadata_weighted_topk", _top_sql(f"{_kept_sql(strength=0)}, {_lexical_cte(_OVERLAP)}", "lex"))(
+    _ranked(boilerplate_penalty_enabled=False)
 )
-def tfidf_topk(spark, sf_dir):
-    _, scores = _tfidf_scores(spark, sf_dir)
-    top = retrieval.ranked(retrieval.thresholded(scores, inputs.SETTINGS.min_retrieval_score), inputs.SETTINGS.top_k)
-    return top.select("query_id", "rank", "doc_ord", "chunk_index", "score")
+query("boilerplate_penalised_topk", _top_sql(f"{_kept_sql(weight='1.0', strength=0.5)}, {_lexical_cte(_CONTAINMENT)}", "lex"))(
+    _ranked(metadata_weighting_enabled=False, boilerplate_penalty_strength=0.5, lexical_similarity_metric="containment")
+)
+#: Settings under which most chunks are filtered, and the documents that stay.
+_STRICT = {"status_deny_list": ("retired",), "freshness_max_age_days": 180, "lifecycle_require_persisted_record": True}
+_STRICT_STAYS = """doc_ord IN (SELECT doc_id FROM labels WHERE toxic <> 1 AND quality <> 0
+  AND date_diff('day', TIMESTAMP '2023-01-01' + to_days(CAST(doc_id * 37 % 500 AS INTEGER)), TIMESTAMP '2024-02-01') <= 180)"""
+query("lifecycle_retained_topk", _top_sql(f"{_kept_sql(_STRICT_STAYS)}, {_lexical_cte(_OVERLAP)}", "lex"))(_ranked(**_STRICT))
 
+_TFIDF = f"""{_kept_sql()},
+total AS (SELECT count(*) AS n FROM kept),
+df AS (SELECT term, count(*) AS df FROM kpost GROUP BY term),
+wt AS (SELECT kpost.*, ln((n + 1.0) / (df + 1)) + 1 AS idf FROM kpost JOIN df USING (term), total),
+norms AS (SELECT doc_ord, chunk_index, sqrt(sum((tf * idf) ** 2)) AS norm FROM wt GROUP BY ALL),
+qi AS (SELECT query_id, term, ln((n + 1.0) / (coalesce(df, 0) + 1)) + 1 AS qidf FROM qt LEFT JOIN df USING (term), total),
+qn AS (SELECT query_id, sqrt(sum(qidf ** 2)) AS qnorm FROM qi GROUP BY ALL),
+dots AS (SELECT query_id, doc_ord, chunk_index, sum(tf * idf * qidf) AS dot FROM wt JOIN qi USING (term) GROUP BY ALL),
+tb AS (SELECT query_id, doc_ord, chunk_index, dot / (norm * qnorm) AS base, weight, penalty FROM dots JOIN norms USING (doc_ord, chunk_index)
+  JOIN qn USING (query_id) JOIN kept USING (doc_ord, chunk_index)),
+tfidf AS (SELECT *, round(base * weight * penalty, 4) AS score FROM tb WHERE base * weight * penalty >= 0.25)"""
 
-@query(
+tfidf_topk = query("tfidf_topk", _top_sql(_TFIDF, "tfidf"))(_ranked(retrieval_backend="tfidf"))
+query(
     "hybrid_rrf_topk",
-    f"""WITH {_TFIDF},
-    s AS (SELECT query_id, doc_ord, chunk_index, asked, sum(tf) AS occ FROM post JOIN qt USING (term) GROUP BY ALL),
-    l AS (SELECT query_id, doc_ord, chunk_index, round(CAST(occ AS DOUBLE) / asked, 4) AS score FROM s WHERE CAST(occ AS DOUBLE) / asked >= 0.25),
-    t AS (SELECT query_id, doc_ord, chunk_index, round(base, 4) AS score FROM tfidf WHERE base >= 0.25),
-    lr AS (SELECT *, {_RANK} FROM l), tr AS (SELECT *, {_RANK} FROM t),
+    _top_sql(
+        f"""{_TFIDF}, {_lexical_cte(_OVERLAP)},
+    lr AS (SELECT *, {_RANK} FROM lex), tr AS (SELECT *, {_RANK} FROM tfidf),
     f AS (SELECT query_id, doc_ord, chunk_index,
       round(coalesce(1.0::DOUBLE / (60 + lr.rank), 0) + coalesce(1.0::DOUBLE / (60 + tr.rank), 0), 6) AS score
-      FROM lr FULL JOIN tr USING (query_id, doc_ord, chunk_index)),
-    o AS (SELECT query_id, {_RANK}, doc_ord, chunk_index, score FROM f) SELECT * FROM o WHERE rank <= 5""",
-)
-def hybrid_rrf_topk(spark, sf_dir):
-    found = inputs.chunks(spark, sf_dir)
-    asked = retrieval.query_terms(inputs.queries(spark, sf_dir))
-    index = retrieval.postings(found)
-    least = inputs.SETTINGS.min_retrieval_score
-    lists = [
-        retrieval.ranked(retrieval.thresholded(s, least), None)
-        for s in (retrieval.lexical_scores(asked, index), retrieval.tfidf_scores(asked, index, found.count()))
-    ]
-    top = retrieval.ranked(retrieval.rrf(*lists, k=inputs.SETTINGS.hybrid_rrf_k), inputs.SETTINGS.top_k)
-    return top.select("query_id", "rank", "doc_ord", "chunk_index", "score")
+      FROM lr FULL JOIN tr USING (query_id, doc_ord, chunk_index))""",
+        "f",
+    ),
+)(_ranked(retrieval_backend="hybrid"))
 
 
 @query(
     "ranker_topk",
     rf"""WITH {_CHUNKS}, tok AS (SELECT doc_ord, chunk_index, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM chunks),
     qt AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM benchmark),
-    s AS (SELECT query_id, doc_ord, chunk_index, count(*) AS score FROM tok JOIN qt USING (term) GROUP BY ALL),
-    o AS (SELECT query_id, {_RANK}, doc_ord, chunk_index, score FROM s) SELECT * FROM o WHERE rank <= 5""",
+    s AS (SELECT query_id, doc_ord, chunk_index, count(*) AS n FROM tok JOIN qt USING (term) GROUP BY ALL),
+    a AS (SELECT item_id AS query_id, chunks.doc_ord, chunks.chunk_index, coalesce(n, 0) AS score FROM benchmark CROSS JOIN chunks
+      LEFT JOIN s ON s.query_id = item_id AND s.doc_ord = chunks.doc_ord AND s.chunk_index = chunks.chunk_index),
+    o AS (SELECT query_id, {_RANK}, doc_ord, chunk_index, score FROM a) SELECT * FROM o WHERE rank <= 5""",
 )
 def ranker_topk(spark, sf_dir):
-    top = retrieval.rank_by_counts(inputs.queries(spark, sf_dir), inputs.chunks(spark, sf_dir), inputs.SETTINGS.top_k)
+    top = retrieval.rank_by_counts(inputs.queries(spark, sf_dir), inputs.index(spark, sf_dir).chunks, inputs.SETTINGS.top_k)
     return top.select("query_id", "rank", "doc_ord", "chunk_index", "score")
 
 
 @query(
     "score_components",
-    f"""WITH {_INDEX},
-    m AS (SELECT doc_ord, chunk_index, CASE WHEN contains(lower(text), 'license') THEN 1.5 ELSE 1.0 END AS metadata_weight,
-      count(*) OVER (PARTITION BY sha1(lower(text))) AS n FROM chunks),
-    s AS (SELECT query_id, doc_ord, chunk_index, asked, count(*) AS shared FROM post JOIN qt USING (term) GROUP BY ALL),
-    b AS (SELECT query_id, doc_ord, chunk_index, CAST(shared AS DOUBLE) / asked AS base, metadata_weight,
-      CASE WHEN n <= 1 THEN 1.0 ELSE greatest(0.4, 1 / (1 + 0.25 * (n - 1))) END AS penalty
-      FROM s JOIN m USING (doc_ord, chunk_index)),
-    r AS (SELECT *, round(base * metadata_weight * penalty, 4) AS score FROM b WHERE base * metadata_weight * penalty >= 0.25),
-    o AS (SELECT *, {_RANK} FROM r)
-    SELECT query_id, rank, doc_ord, chunk_index, score, round(base, 6) AS base_similarity,
-      CAST(metadata_weight AS DOUBLE) AS metadata_weight, round(CAST(penalty AS DOUBLE), 6) AS boilerplate_penalty,
-      1.0::DOUBLE AS table_boost FROM o WHERE rank <= 5""",
+    f"""WITH {_kept_sql()}, {_lexical_cte(_CONTAINMENT)}, o AS (SELECT *, {_RANK} FROM lex)
+    SELECT query_id, rank, doc_ord, chunk_index, score, round(base, 6) AS base_similarity, round(weight, 6) AS metadata_weight,
+      round(penalty, 6) AS boilerplate_penalty, 1.0::DOUBLE AS table_boost, round(base * weight * penalty, 6) AS final_score
+    FROM o WHERE rank <= 5""",
 )
 def score_components(spark, sf_dir):
-    settings = replace(inputs.SETTINGS, metadata_weight_rules={"doc_type": {"legal": 1.5}})
-    asked = retrieval.query_terms(inputs.queries(spark, sf_dir))
-    found = chunking.with_boilerplate(inputs.chunks(spark, sf_dir))
-    scores = retrieval.lexical_scores(asked, retrieval.postings(found), "containment")
-    kind = F.when(F.contains(F.lower("text"), F.lit("license")), "legal").otherwise("note")
-    factors = found.withColumn("doc_type", kind).select(
-        *retrieval.KEY,
-        retrieval.metadata_weight(settings).alias("metadata_weight"),
-        retrieval.boilerplate_factor(settings).alias("boilerplate_penalty"),
-        F.lit(1.0).alias("table_boost"),
-    )
-    final = F.col("base") * F.col("metadata_weight") * F.col("boilerplate_penalty") * F.col("table_boost")
-    top = retrieval.ranked(
-        retrieval.thresholded(scores.join(factors, retrieval.KEY), settings.min_retrieval_score, final), settings.top_k
-    )
-    return top.select(
+    found = retrievers.retrieve(inputs.request(spark, sf_dir, lexical_similarity_metric="containment"))
+    return found.ranked.select("query_id", "rank", *retrieval.KEY, "score", "score_components.*")
+
+
+@query(
+    "retrieval_diagnostics",
+    f"""WITH {_TFIDF}, o AS (SELECT *, {_RANK} FROM tfidf),
+    top AS (SELECT query_id, array_to_string(list(chunk_id ORDER BY rank), ' ') AS explained FROM o JOIN chunks USING (doc_ord, chunk_index) WHERE rank <= 2 GROUP BY 1)
+    SELECT query_id, 'tfidf' AS backend, array_to_string(list_sort(terms), ' ') AS query_terms, (SELECT count(*) FROM chunks) AS candidates,
+      (SELECT count(*) FROM chunks) - (SELECT n FROM total) AS filtered_soft_deleted, (SELECT n FROM total) AS retained, coalesce(explained, '') AS explained
+    FROM q LEFT JOIN top USING (query_id)""",
+)
+def retrieval_diagnostics(spark, sf_dir):
+    verbose = {"retrieval_diagnostics_mode": "verbose", "retrieval_diagnostics_top_n": 2}
+    found = retrievers.retrieve(inputs.request(spark, sf_dir, retrieval_backend="tfidf", **verbose)).diagnostics
+    return found.select(
         "query_id",
-        "rank",
-        *retrieval.KEY,
-        "score",
-        F.round("base", 6).alias("base_similarity"),
-        "metadata_weight",
-        F.round("boilerplate_penalty", 6).alias("boilerplate_penalty"),
-        "table_boost",
+        "backend",
+        F.array_join("query_terms", " ").alias("query_terms"),
+        "candidates",
+        "filtered_soft_deleted",
+        "retained",
+        F.coalesce(F.array_join("final_rank_explanations.chunk_id", " "), F.lit("")).alias("explained"),
     )
 
 
@@ -320,50 +334,29 @@ def query_expansion(spark, sf_dir):
 
 
 def _vectors(metric: str) -> Query:
-    def run(spark, sf_dir):
-        rows = inputs.table(spark, sf_dir, "embeddings")
-        asked = rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-        scores = retrieval.vector_scores(asked, rows.select("vec_id", F.col("embedding").alias("vector")), metric)
-        top = retrieval.ranked(retrieval.thresholded(scores, 0.25), 5, ties=["vec_id"])
-        return top.select("query_id", "rank", "vec_id", "score")
-
-    return run
-
-
-def _vector_sql(value: str) -> str:
-    return f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {value} AS base FROM embeddings q, embeddings v WHERE q.vec_id < 10),
-    r AS (SELECT query_id, vec_id, round(base, 4) AS score FROM s WHERE base >= 0.25),
-    o AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM r)
-    SELECT * FROM o WHERE rank <= 5"""
-
-
-_DOT = "list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
-query("vec_cosine_topk", _vector_sql(_DOT))(_vectors("cosine"))
-query("vec_l2_topk", _vector_sql("1 / (1 + list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]))"))(_vectors("euclidean"))
-
-
-def _vector_search(metric: str) -> Query:
     """Every row whose id is divisible by 20 against all rows."""
 
     def run(spark, sf_dir):
         rows = inputs.table(spark, sf_dir, "embeddings")
         asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-        scores = retrieval.vector_scores_in_blocks(asked, rows.select("vec_id", F.col("embedding").alias("vector")), metric)
+        scores = retrieval.vector_scores(asked, rows.select("vec_id", F.col("embedding").alias("vector")), metric, 0.25)
         top = retrieval.ranked(retrieval.thresholded(scores, 0.25), 5, ties=["vec_id"])
         return top.select("query_id", "rank", "vec_id", "score")
 
     return run
 
 
-def _vector_search_sql(value: str) -> str:
+def _vector_sql(value: str) -> str:
     return f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {value} AS base FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
     r AS (SELECT query_id, vec_id, round(base, 4) AS score FROM s WHERE base >= 0.25),
     o AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM r)
     SELECT * FROM o WHERE rank <= 5"""
 
 
-query("vec_cosine_search", _vector_search_sql(_DOT))(_vector_search("cosine"))
-query("vec_l2_search", _vector_search_sql("1 / (1 + list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]))"))(_vector_search("euclidean"))
+_DOT = "list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
+query("vec_cosine_topk", _vector_sql(_DOT))(_vectors("cosine"))
+query("vec_dot_topk", _vector_sql(_DOT))(_vectors("dot"))
+query("vec_l2_topk", _vector_sql("1 / (1 + list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]))"))(_vectors("euclidean"))
 
 
 @query(
@@ -383,15 +376,7 @@ def hash_embed_buckets(spark, sf_dir):
     return retrieval.hashed_features(texts, "query_id").select("query_id", "idx", F.round("weight", 4).alias("weight"))
 
 
-@query("hash_vector_topk")
-def hash_vector_topk(spark, sf_dir):
-    found = inputs.chunks(spark, sf_dir)
-    texts = found.select("chunk_id", "text")
-    asked = inputs.queries(spark, sf_dir).select("query_id", F.col("query").alias("text"))
-    vectors = retrieval.embed(texts, "chunk_id")
-    scores = retrieval.vector_scores(retrieval.embed(asked, "query_id").withColumnRenamed("vector", "query_vector"), vectors)
-    top = retrieval.ranked(retrieval.thresholded(scores, 0.25), 5, ties=["chunk_id"])
-    return top.select("query_id", "rank", "chunk_id", "score")
+query("hash_vector_topk")(_ranked(retrieval_backend="vector"))
 
 
 # --- lifecycle ---------------------------------------------------------------------------------
@@ -402,9 +387,7 @@ _REASONS = f"""{_RECORDS}, j AS (SELECT d.doc_id, CASE WHEN r.doc_id IS NULL THE
   WHEN status = 'soft_deleted' THEN 'soft_deleted' WHEN status = 'retired' THEN 'status_denied'
   WHEN date_diff('day', TIMESTAMP '2023-01-01' + to_days(CAST(days AS INTEGER)), TIMESTAMP '2024-02-01') > 180 THEN 'freshness_stale' END AS filter_reason
   FROM documents d LEFT JOIN r USING (doc_id))"""
-_GOVERNED = replace(
-    inputs.SETTINGS, status_deny_list=("retired",), freshness_max_age_days=180, lifecycle_require_persisted_record=True
-)
+_GOVERNED = inputs.SETTINGS.replace(**_STRICT)
 
 
 def _now():
@@ -453,17 +436,52 @@ def lifecycle_upsert_actions(spark, sf_dir):
 
 @query(
     "soft_delete_purge",
-    f"""WITH {_RECORDS} SELECT 'unit-' || doc_id AS source_unit_id, CASE WHEN status <> 'soft_deleted' THEN 'keep'
+    f"""WITH {_RECORDS} SELECT 'unit-' || doc_id AS source_unit_id, CASE WHEN doc_id % 5 = 0 THEN 'soft_deleted' ELSE status END AS status,
+    CASE WHEN doc_id % 5 = 0 THEN 'keep' WHEN status <> 'soft_deleted' THEN 'keep'
     WHEN date_diff('day', TIMESTAMP '2023-01-01' + to_days(CAST(days AS INTEGER)), TIMESTAMP '2024-02-01') < 90 THEN 'keep' ELSE 'purge' END AS purge FROM r""",
 )
 def soft_delete_purge(spark, sf_dir):
-    return lifecycle.purge_plan(inputs.records(spark, sf_dir), _now(), 90).select("source_unit_id", "purge")
+    """Every fifth unit is deleted a month before the purge of what has been deleted for ninety days."""
+    commands = inputs.units(spark, sf_dir).where("doc_id % 5 = 0").select("source_unit_id")
+    deleted = lifecycle.soft_delete(inputs.records(spark, sf_dir), commands, "2024-01-01T00:00:00Z")
+    return lifecycle.purge_plan(deleted, _now(), 90).select("source_unit_id", "status", "purge")
+
+
+@query(
+    "purge_report",
+    f"""WITH {_RECORDS}, p AS (SELECT status = 'soft_deleted' AND date_diff('day', TIMESTAMP '2023-01-01' + to_days(CAST(days AS INTEGER)), TIMESTAMP '2024-02-01') >= 90 AS gone FROM r)
+    SELECT count(*) AS inspected_records, count(*) FILTER (WHERE gone) AS purged_count, 0 AS skipped_missing_deletion_mark_iso_ts,
+      0 AS skipped_invalid_deletion_mark_iso_ts, count(*) FILTER (WHERE NOT gone) AS remaining_records FROM p""",
+)
+def purge_report(spark, sf_dir):
+    return lifecycle.purge_report(inputs.records(spark, sf_dir), _now(), 90)
+
+
+@query(
+    "freshness_policy",
+    f"""WITH {_RECORDS}, x AS (SELECT doc_id, days, doc_id % 5 AS kind FROM r)
+    SELECT 'unit-' || doc_id AS source_unit_id, CASE WHEN kind = 0 THEN 'freshness_missing_timestamp' WHEN kind = 1 THEN 'freshness_invalid_timestamp'
+      WHEN date_diff('day', TIMESTAMP '2023-01-01' + to_days(CAST(days AS INTEGER)), TIMESTAMP '2024-02-01') > 200 THEN 'freshness_stale' END AS filter_reason FROM x""",
+)
+def freshness_policy(spark, sf_dir):
+    """Every fifth record has no time, every other fifth an unreadable one."""
+    kind = F.regexp_extract("source_unit_id", r"\d+", 0).cast("long") % 5
+    spoil = lambda c: F.when(kind == 0, " ").when(kind == 1, "soon").otherwise(F.col(c)).alias(c)
+    records = inputs.records(spark, sf_dir)
+    records = records.select(*[spoil(c) if c.endswith("ion_iso_ts") or c.endswith("upsert_iso_ts") else F.col(c) for c in records.columns])
+    settings = inputs.SETTINGS.replace(
+        exclude_soft_deleted=False, freshness_max_age_days=200, freshness_missing_ts_policy="exclude", freshness_invalid_ts_policy="exclude"
+    )
+    found = lifecycle.with_filter_reason(records.select("source_unit_id"), records, settings, _now())
+    return found.select("source_unit_id", "filter_reason")
 
 
 @query(
     "audit_report",
     f"""WITH {_RECORDS} SELECT 'status' AS section, status AS name, count(*) AS n FROM r GROUP BY 2
     UNION ALL SELECT 'timestamps', unnest(['missing_ingestion_iso_ts', 'invalid_ingestion_iso_ts', 'missing_last_upsert_iso_ts', 'invalid_last_upsert_iso_ts']), 0
+    UNION ALL SELECT 'state', unnest(['total_records', 'active_count', 'soft_deleted_count']), unnest([count(*), count(*) FILTER (WHERE status = 'active'), count(*) FILTER (WHERE status = 'soft_deleted')]) FROM r
+    UNION ALL SELECT 'reingestion', unnest(['created', 'updated', 'unchanged_skipped']), 0
     UNION ALL SELECT 'events', event_type, count(*) FROM events GROUP BY 2""",
 )
 def audit_report(spark, sf_dir):
@@ -503,6 +521,81 @@ def table_windows(spark, sf_dir):
     )
 
 
+@query(
+    "table_header_sections",
+    """WITH t AS (SELECT s_nationkey AS doc_ord, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 4 AS section_index,
+      s_suppkey || ' | ' || s_name AS line, s_suppkey FROM supplier),
+    g AS (SELECT doc_ord, section_index, list(line ORDER BY s_suppkey) AS rows FROM t GROUP BY ALL),
+    c AS (SELECT *, count(*) OVER (PARTITION BY doc_ord) AS n FROM g)
+    SELECT CAST(doc_ord AS BIGINT) AS doc_ord, section_index, 'Key | Name' AS header, section_index + 1 AS header_repeat_index,
+      n AS header_repeat_count, len(rows) AS section_row_count, 'table_metadata' AS header_source, sha1(array_to_string(rows, chr(10))) AS fingerprint FROM c""",
+)
+def table_header_sections(spark, sf_dir):
+    found = chunking.table_sections(inputs.headed_documents(spark, sf_dir))
+    return found.select(
+        "doc_ord", "section_index", "header", "header_repeat_index", "header_repeat_count", "section_row_count", "header_source",
+        t.fingerprint(F.array_join("rows", "\n")).alias("fingerprint"),
+    )
+
+
+_BOOSTED = {"table_chunk_rows": 3, "table_overlap_rows": 1, "lexical_similarity_metric": "containment"}
+
+
+def _table_index(spark, sf_dir) -> retrievers.Index:
+    chunks, _ = builder.build_chunks(inputs.table_documents(spark, sf_dir), inputs.SETTINGS.replace(**_BOOSTED), now=inputs.NOW)
+    return retrievers.Index.write(chunks, storage.new_folder(spark, "table-index"))
+
+
+@query(
+    "tabular_boost",
+    f"""WITH {_TABLES}, x AS (SELECT *, unnest(range(0, len(rows), 2)) AS start FROM t),
+    y AS (SELECT doc_ord, start, rows[start + 1 : start + 3] AS part FROM x),
+    w AS (SELECT doc_ord, row_number() OVER (PARTITION BY doc_ord ORDER BY start) - 1 AS chunk_index, part FROM y WHERE start = 0 OR len(part) > 1),
+    v AS (SELECT doc_ord, chunk_index, part, list_distinct({_TOKENS.format("'key name ' || array_to_string(part, ' ')")}) AS ts,
+      list_distinct({_TOKENS.format("array_to_string(part, ' ')")}) AS rs FROM w),
+    qq AS (SELECT s_nationkey AS query_id, list_distinct({_TOKENS.format("(CASE WHEN s_nationkey % 2 = 0 THEN 'the table name ' ELSE 'which of all ' END) || min(s_name)")}) AS terms FROM supplier GROUP BY 1),
+    b AS (SELECT query_id, doc_ord, chunk_index, CAST(len(list_intersect(ts, terms)) AS DOUBLE) / len(terms) AS base,
+      CASE WHEN list_contains(terms, 'table') THEN 1.0 + 0.2 + CASE WHEN len(list_intersect(['key', 'name'], terms)) > 0 THEN 0.2 ELSE 0.0 END
+        + CASE WHEN len(list_intersect(rs, terms)) > 0 THEN 0.15 ELSE 0.0 END ELSE 1.0 END::DOUBLE AS boost FROM v, qq),
+    r AS (SELECT *, round(base * boost, 4) AS score FROM b WHERE base > 0 AND base * boost >= 0.25), o AS (SELECT *, {_RANK} FROM r)
+    SELECT CAST(query_id AS BIGINT) AS query_id, rank, CAST(doc_ord AS BIGINT) AS doc_ord, chunk_index, score, round(boost, 6) AS table_boost FROM o WHERE rank <= 5""",
+)
+def tabular_boost(spark, sf_dir):
+    names = inputs.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("query_id")).agg(F.min("s_name").alias("n"))
+    head = F.when(F.col("query_id") % 2 == 0, "the table name ").otherwise("which of all ")
+    queries = names.select("query_id", F.concat(head, F.col("n")).alias("query"))
+    thesaurus = {"intent_groups": inputs.THESAURUS["intent_groups"]}
+    request = retrievers.Request(queries, _table_index(spark, sf_dir), inputs.SETTINGS.replace(**_BOOSTED), thesaurus, None, _now())
+    found = retrievers.retrieve(request).ranked
+    return found.select("query_id", "rank", "doc_ord", "chunk_index", "score", F.col("score_components.table_boost").alias("table_boost"))
+
+
+@query(
+    "chunk_table",
+    f"""WITH {_CHUNKS}, kinds AS (SELECT doc_ord, {_KIND} AS doc_type FROM k), u AS (SELECT *, 'su_' || substr(sha1(source), 1, 16) AS unit FROM chunks)
+    SELECT chunk_id, unit AS source_unit_id, unit || ':prose:0' AS local_id, doc_type, sha1(text) AS content_fingerprint, 'prose' AS kind, start_word, end_word,
+      'active' AS status, 'plain_text_parse' AS tier FROM u JOIN kinds USING (doc_ord)""",
+)
+def chunk_table(spark, sf_dir):
+    found = inputs.index(spark, sf_dir).chunks
+    return found.select(
+        "chunk_id", "source_unit_id", F.col("source_unit_local_id").alias("local_id"), "doc_type", "content_fingerprint",
+        F.col("source_unit_kind").alias("kind"), F.col("prose_chunk_metadata.chunk_start_word_index").alias("start_word"),
+        F.col("prose_chunk_metadata.chunk_end_word_index").alias("end_word"), "status", F.col("confidence_inputs.base_extraction_tier").alias("tier"),
+    )
+
+
+@query(
+    "source_statistics",
+    f"""WITH {_CHUNKS}, kinds AS (SELECT doc_ord, {_KIND} AS doc_type FROM k)
+    SELECT source, count(*) AS chunk_count, 0::BIGINT AS tabular_chunk_count, count(*) AS prose_chunk_count, any_value(doc_type) AS inferred_doc_types
+    FROM chunks JOIN kinds USING (doc_ord) GROUP BY 1""",
+)
+def source_statistics(spark, sf_dir):
+    found = builder.source_statistics(inputs.index(spark, sf_dir).chunks)
+    return found.withColumn("inferred_doc_types", F.array_join("inferred_doc_types", " "))
+
+
 @query(
     "tabular_grounding_rows",
     f"""WITH {_TABLES}, x AS (SELECT doc_ord, unnest(rows) AS row_text FROM t),
@@ -518,19 +611,15 @@ def tabular_grounding_rows(spark, sf_dir):
 
 # --- answers -----------------------------------------------------------------------------------
 
-_TOP = f"""{_INDEX},
-s AS (SELECT query_id, doc_ord, chunk_index, asked, count(*) AS shared FROM post JOIN qt USING (term) GROUP BY ALL),
-rr AS (SELECT query_id, doc_ord, chunk_index, round(CAST(shared AS DOUBLE) / asked, 4) AS score FROM s WHERE CAST(shared AS DOUBLE) / asked >= 0.9),
-o AS (SELECT *, {_RANK} FROM rr),
+_TOP = f"""{_kept_sql()}, {_lexical_cte(_OVERLAP)},
+o AS (SELECT query_id, {_RANK}, doc_ord, chunk_index, score FROM lex),
 e AS (SELECT query_id, rank, score, chunks.* FROM o JOIN chunks USING (doc_ord, chunk_index) WHERE rank <= 5)"""
 
 
 def _evidence(spark, sf_dir) -> DataFrame:
-    found = inputs.chunks(spark, sf_dir)
-    asked = retrieval.query_terms(inputs.queries(spark, sf_dir))
-    scores = retrieval.lexical_scores(asked, retrieval.postings(found), "containment")
-    top = retrieval.ranked(retrieval.thresholded(scores, 0.9), 5).select("query_id", "rank", "score", *retrieval.KEY)
-    return top.join(found, retrieval.KEY).withColumn("doc_type", F.lit("note"))
+    """The chunks that the default backend ranks, under the filter, the factors and the configured threshold."""
+    asked = inputs.request(spark, sf_dir)
+    return retrievers.evidence(retrievers.retrieve(asked), asked.index)
 
 
 @query(
@@ -561,7 +650,7 @@ def answers_extractive(spark, sf_dir):
 )
 def citations_quality(spark, sf_dir):
     evidence = _evidence(spark, sf_dir)
-    sources = inputs.chunks(spark, sf_dir).select("chunk_id", "source")
+    sources = inputs.index(spark, sf_dir).chunks.select("chunk_id", "source")
     judged = answers.quality_failures(answers.citations(evidence), sources)
     return answers.split_citations(judged).select(
         "query_id", "rank", "id", "title", "document", "snippet", "score", "visible", F.array_join("failures", " ").alias("failures")
@@ -577,7 +666,7 @@ def citations_quality(spark, sf_dir):
 )
 def provenance_report(spark, sf_dir):
     evidence = _evidence(spark, sf_dir)
-    sources = inputs.chunks(spark, sf_dir).select("chunk_id", "source")
+    sources = inputs.index(spark, sf_dir).chunks.select("chunk_id", "source")
     return answers.provenance(answers.quality_failures(answers.citations(evidence), sources))
 
 
@@ -595,7 +684,8 @@ def confidence_labels(spark, sf_dir):
     records = inputs.records(spark, sf_dir).select(
         F.regexp_extract("source_unit_id", r"\d+", 0).cast("long").alias("doc_ord"), "status", "last_upsert_iso_ts", "deletion_mark_iso_ts"
     )
-    evidence = _evidence(spark, sf_dir).join(records, "doc_ord", "left")
+    found = _evidence(spark, sf_dir).drop("status", "last_upsert_iso_ts", "deletion_mark_iso_ts", "is_tabular")
+    evidence = found.join(records, "doc_ord", "left")
     rows = evidence.withColumns(
         {
             "tier": t.extraction_tier(F.lit("text_parser")),
@@ -608,6 +698,35 @@ def confidence_labels(spark, sf_dir):
     return found.select("query_id", F.round("score", 4).alias("score"), "label")
 
 
+def _cited(spark, sf_dir) -> DataFrame:
+    """Citations of the evidence, spoiled in a few places so that reports have something to find."""
+    bad = F.col("query_id") % 4
+    found = answers.citations(_evidence(spark, sf_dir))
+    return found.withColumn("title", F.when(bad == 0, " ").otherwise(F.col("title"))).withColumn(
+        "document", F.when(bad == 1, "elsewhere").otherwise(F.col("document"))
+    )
+
+
+@query(
+    "citation_fields",
+    f"""WITH {_TOP} SELECT query_id, count(*) AS total, count(*) FILTER (WHERE query_id % 4 <> 0) AS valid, count(*) FILTER (WHERE query_id % 4 = 0) AS invalid,
+    0::BIGINT AS missing_id, count(*) FILTER (WHERE query_id % 4 = 0) AS missing_title, 0::BIGINT AS missing_document, 0::BIGINT AS missing_snippet,
+    0::BIGINT AS missing_score, 0::BIGINT AS missing_chunk_id, 0::BIGINT AS missing_doc_type,
+    round(avg(CASE WHEN query_id % 4 = 0 THEN 0.0 ELSE 1.0 END), 4) AS completeness_rate FROM e GROUP BY 1""",
+)
+def citation_fields(spark, sf_dir):
+    return provenance.validate_citations(_cited(spark, sf_dir), "query_id")
+
+
+@query(
+    "complete_citations",
+    f"""WITH {_TOP} SELECT query_id, rank, chunk_id FROM e WHERE query_id % 4 > 1 AND length(text) >= 10 AND len({_TOKENS.format("substr(text, 1, 280)")}) >= 2""",
+)
+def complete_citations(spark, sf_dir):
+    sources = inputs.index(spark, sf_dir).chunks.select("chunk_id", "source")
+    return provenance.complete_citations(_cited(spark, sf_dir), sources).select("query_id", "rank", "chunk_id")
+
+
 # --- evaluation --------------------------------------------------------------------------------
 
 _SAMPLES = """(SELECT item_id AS query_id, list(doc_id) AS relevant FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1)"""
@@ -617,15 +736,16 @@ def _samples(spark, sf_dir) -> DataFrame:
     """Documents that hold each benchmark text; the benchmark is the stated query set."""
     items = inputs.queries(spark, sf_dir)
     docs = inputs.documents(spark, sf_dir)
-    pairs = docs.join(F.broadcast(items), F.contains(F.col("text"), F.col("query"))).select("query_id", "doc_ord")
+    # The stated items go to the texts: as a list if they are few, else in blocks.
+    items = F.broadcast(items) if items.count() <= 10_000 else items.hint("shuffle_replicate_nl")
+    pairs = docs.join(items, F.contains(F.col("text"), F.col("query"))).select("query_id", "doc_ord")
     held = pairs.groupBy("query_id").agg(F.collect_set("doc_ord").alias("relevant"))
-    return items.select("query_id").join(held, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
+    return inputs.queries(spark, sf_dir).select("query_id").join(held, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
 
 
 @query(
     "eval_metrics",
-    f"""WITH {_TFIDF}, r AS (SELECT query_id, doc_ord, chunk_index, round(base, 4) AS score FROM tfidf WHERE base >= 0.25),
-    o AS (SELECT query_id, {_RANK}, doc_ord FROM r), l AS {_SAMPLES},
+    f"""WITH {_TFIDF}, o AS (SELECT query_id, {_RANK}, doc_ord FROM tfidf), l AS {_SAMPLES},
     p AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE list_contains(relevant, doc_ord)) AS hits,
       min(rank) FILTER (WHERE list_contains(relevant, doc_ord)) AS first FROM o JOIN l USING (query_id) WHERE rank <= 5 GROUP BY 1),
     a AS (SELECT query_id, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits, first FROM l LEFT JOIN p USING (query_id))
@@ -637,6 +757,61 @@ def eval_metrics(spark, sf_dir):
     return evaluation.retrieval_metrics(_samples(spark, sf_dir), tfidf_topk(spark, sf_dir))
 
 
+_FINE = f"length(text) >= 10 AND len({_TOKENS.format('substr(text, 1, 280)')}) >= 2"
+_PROXY = "list_distinct(list_filter({0}, lambda x: length(x) >= 3 AND NOT list_contains({1}, x)))"
+
+
+@query(
+    "eval_report",
+    f"""WITH {_TOP}, {_RECORDS}, l AS {_SAMPLES},
+    sm AS (SELECT query_id, relevant, CASE query_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE '' END AS hope,
+      lower(substr(text, 1, 12)) AS phrase FROM l JOIN benchmark ON item_id = query_id),
+    p AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE list_contains(relevant, doc_ord)) AS hits,
+      min(rank) FILTER (WHERE list_contains(relevant, doc_ord)) AS first, bool_or(contains(source, 'src3/')) AS bad, bool_and({_FINE}) AS fine,
+      array_to_string(list(text ORDER BY rank) FILTER (WHERE rank <= 3 AND {_FINE.replace('substr(text, 1, 280)', 'text')}), chr(10)) AS answer,
+      array_to_string(list(text), ' ') AS context FROM e JOIN l USING (query_id) GROUP BY 1),
+    xx AS (SELECT query_id, rank, least(1.0, score) AS score, CASE WHEN status = 'retired' THEN 0.5 ELSE 1.0 END AS alive,
+      CASE WHEN r.doc_id IS NULL THEN 1.0 ELSE greatest(0.35, 0.5 ** ((396 - days) / 365.0)) END AS decay FROM e LEFT JOIN r ON doc_id = doc_ord),
+    gg AS (SELECT query_id, avg(score) FILTER (WHERE rank <= 3) AS st, avg(alive) AS al, avg(least(1.0, decay)) AS de, count(*) AS n FROM xx GROUP BY 1),
+    cc AS (SELECT query_id, least(1.0, (st * 0.45 + 0.65 * 0.25 + al * 0.2 + least(1.0, n / 3.0) * 0.1) * de) AS score FROM gg),
+    a AS (SELECT sm.*, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits, first, bad, fine, coalesce(answer, 'cannot') AS answer, coalesce(context, '') AS context,
+      CASE WHEN score >= 0.72 THEN 'high' WHEN score >= 0.45 THEN 'low' ELSE 'abstain' END AS label FROM sm LEFT JOIN p USING (query_id) LEFT JOIN cc USING (query_id)),
+    f AS (SELECT *, contains(lower(answer), 'cannot') OR contains(lower(answer), 'abstain') AS gone,
+      {_PROXY.format(_TOKENS.format("answer"), list(t.PROXY_STOPWORDS))} AS said, {_PROXY.format(_TOKENS.format("context"), list(t.PROXY_STOPWORDS))} AS held FROM a)
+    SELECT count(*) AS sample_count, round(avg(CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_rate_at_k,
+      round(avg(coalesce(1.0::DOUBLE / first, 0)), 4) AS mrr_at_k, round(avg(CAST(hits AS DOUBLE) / greatest(1, n)), 4) AS context_precision_at_k,
+      round(avg(CASE WHEN coalesce(fine, true) THEN 1.0::DOUBLE ELSE 0 END), 4) AS provenance_completeness,
+      round(avg(CASE WHEN gone OR label = 'abstain' THEN 1.0::DOUBLE ELSE 0 END), 4) AS abstention_rate, 0.0::DOUBLE AS tabular_grounding_compliance,
+      round(coalesce(avg(CASE WHEN hope = label THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE hope <> ''), 0), 4) AS confidence_alignment_rate,
+      round(avg(CASE WHEN coalesce(bad, false) THEN 0.0::DOUBLE ELSE 1 END), 4) AS lifecycle_exclusion_compliance, 0.0::DOUBLE AS tabular_row_term_match_rate,
+      0.0::DOUBLE AS tabular_answer_success_rate, 0.0::DOUBLE AS tabular_abstention_correctness,
+      round(coalesce(avg(CAST(len(list_intersect(said, held)) AS DOUBLE) / len(said)) FILTER (WHERE NOT gone AND len(said) > 0 AND len(held) > 0), 0), 4) AS faithfulness_proxy,
+      round(avg((CASE WHEN list_contains(said, 'license') THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN contains(lower(answer), trim(phrase)) THEN 1 ELSE 0 END) / 2), 4) AS correctness_proxy
+    FROM f""",
+)
+def eval_report(spark, sf_dir):
+    asked = inputs.request(spark, sf_dir)
+    samples = _samples(spark, sf_dir).join(inputs.queries(spark, sf_dir), "query_id").select(
+        "query_id",
+        F.transform("relevant", lambda i: F.concat(F.lit("/"), i.cast("string"), F.lit(".txt"))).alias("expected_sources"),
+        F.array(F.lit("src3/")).alias("excluded_sources"),
+        F.element_at(F.array(F.lit("high"), F.lit("low"), F.lit("")), (F.col("query_id") % 3 + 1).cast("int")).alias("expected_confidence"),
+        F.array(F.lit("license")).alias("expected_answer_terms"),
+        F.array(F.substring("query", 1, 12)).alias("expected_answer_contains"),
+    )
+    queries = asked.queries.withColumn("tabular", F.lit(False))
+    found = _evidence(spark, sf_dir)
+    records = inputs.document_records(spark, sf_dir).select("source_unit_id", *[F.col(c).alias(f"r_{c}") for c in ("status", "last_upsert_iso_ts")])
+    governed = found.drop("status", "last_upsert_iso_ts").join(records, "source_unit_id", "left")
+    governed = governed.withColumnsRenamed({"r_status": "status", "r_last_upsert_iso_ts": "last_upsert_iso_ts"})
+    context, _ = answers.ground(queries, governed)
+    cited = answers.citations(context)
+    sound = provenance.validate_provenance(queries, context, cited, context.select("chunk_id", "source"))
+    trust = service.trusted(queries, context, asked.settings, _now(), None)
+    judged = evaluation.judge(samples, found, context, service.answered(queries, context, "extractive"), trust, sound)
+    return evaluation.summarise(judged)
+
+
 @query(
     "faithfulness_proxy",
     f"""WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
@@ -690,7 +865,7 @@ def ingestion_diagnostics(spark, sf_dir):
     files = inputs.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("data/"), F.col("doc_id"), suffix).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")
     )
-    return parsers.diagnostics(parsers.parse_files(files))
+    return parsers.diagnostics(parsers.parse_files(files)).select("total", "loaded", "skipped", "unsupported", "internal")
 
 
 @query(

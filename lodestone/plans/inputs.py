@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import storage
 from lodestone.config import Settings
-from lodestone.operators import chunking
+from lodestone.functions import text as t
+from lodestone.operators import builder, chunking
+from lodestone.operators.retrievers import Index, Request
 
 NOW = "2024-02-01T00:00:00Z"
-SETTINGS = Settings()
 #: An example configuration: the taxonomy and thesaurus that the registered queries use.
 TAXONOMY = {
     "source_overrides": [{"contains": ["src1/"], "doc_type": "manual"}],
@@ -20,6 +22,9 @@ THESAURUS = {
     "terms": {"table": ["tabular", "matrix", "spreadsheet"], "score": ["rating", "metric", "value"], "the": ["la", "der"]},
     "intent_groups": {"tabular": ["table", "row", "column", "matrix", "matrice"]},
 }
+#: Weights of document types, and all else by default.
+WEIGHTS = {"policy": 1.1, "procedure": 1.1, "report": 1.1, "faq": 1.1, "manual": 1.2, "legal": 1.5}
+SETTINGS = Settings(taxonomy=TAXONOMY, metadata_weight_rules={"doc_type": WEIGHTS})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +43,27 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.prose_chunks(chunking.first_by_content(documents(spark, sf_dir)), SETTINGS)
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of all documents: written once for a session and a state of the table, then read by every query."""
+    path = f"{sf_dir.rstrip('/')}/documents.parquet"
+    key = (spark.sparkContext.applicationId, path, storage.version(spark, path))
+    if key not in _INDEXES or not storage.exists(spark, _INDEXES[key].path):
+        chunks, _ = builder.build_chunks(documents(spark, sf_dir), SETTINGS, now=NOW)
+        _INDEXES[key] = Index.write(chunks, storage.new_folder(spark, "index"))
+    found = _INDEXES[key]
+    return Index.open(spark, found.path)
+
+
+def request(spark: SparkSession, sf_dir: str, **changes) -> Request:
+    """Every benchmark text against the index, governed by the records."""
+    settings = SETTINGS.replace(**changes)
+    now = F.to_timestamp(F.lit(NOW))
+    return Request(queries(spark, sf_dir), index(spark, sf_dir), settings, None, document_records(spark, sf_dir), now)
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents of one paragraph a turn.  Their sizes are those of a dialogue, so they fit a row."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
@@ -68,6 +94,15 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of labelled documents under the identity of their path."""
+    path = documents(spark, sf_dir).select(
+        F.concat(F.lit("unit-"), F.col("doc_ord")).alias("named"), "doc_ord", t.source_unit_id("source").alias("unit"), "source"
+    )
+    found = records(spark, sf_dir).withColumnRenamed("source_unit_id", "named").drop("source").join(path, "named")
+    return found.drop("named").withColumnRenamed("unit", "source_unit_id")
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("unit-"), F.col("doc_id")).alias("source_unit_id"))
 
@@ -84,6 +119,25 @@ def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def headed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of each nation under a header line that recurs before every fourth of them, after a line of prose."""
+    rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(
+        F.array_sort(F.collect_list(F.struct("s_suppkey", F.concat_ws(" | ", F.col("s_suppkey").cast("string"), "s_name").alias("line")))).alias("r")
+    )
+    lines = F.flatten(F.transform("r.line", lambda x, i: F.when(i % 4 == 0, F.array(F.lit("Key | Name"), x)).otherwise(F.array(x))))
+    meta = F.struct(
+        F.lit("t").alias("table_id"), F.lit(None).cast("int").alias("row_count"), F.lit(2).alias("column_count"),
+        F.array(F.lit("Key"), F.lit("Name")).alias("header_fields"), F.lit(True).alias("has_header"), F.lit(None).cast("string").alias("sheet_name"),
+        *[F.lit(None).cast("int").alias(c) for c in ("page_index", "slide_index", "line_start_index", "line_end_index", "data_row_start_index", "data_row_end_index")],
+    )
+    return rows.select(
+        F.col("s_nationkey").cast("long").alias("doc_ord"),
+        F.concat(F.lit("tables/"), F.col("s_nationkey"), F.lit(".docx")).alias("source"),
+        F.concat(F.lit("a line of prose\n"), F.array_join(lines, "\n")).alias("text"),
+        F.array(meta).alias("table_metadata"),
+    )
+
+
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("ts"), F.concat(F.lit("unit-"), F.col("user_id")).alias("source_unit_id"), F.col("event_type").alias("action")

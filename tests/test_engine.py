@@ -212,7 +212,7 @@ def test_vector_search_asks_every_twentieth_row(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
     path = "/root/testdata/sf0.001"
     vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()}
-    found = __spark_entry__.queries()["vec_cosine_search"](spark, path)
+    found = __spark_entry__.queries()["vec_cosine_topk"](spark, path)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     got = sorted(map(tuple, found.collect()))
     want = []

@@ -5,7 +5,8 @@ from urllib.request import Request, urlopen
 import pytest
 
 from lodestone.config import Settings
-from lodestone.service import Service
+from lodestone.operators import builder
+from lodestone.service import Service, display
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +34,34 @@ def test_http(chunks):
     server = Service(chunks, Settings(retrieval_backend="tfidf"), "2024-02-01T00:00:00Z").serve(port=0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
-    assert json.load(urlopen(f"{base}/health")) == {"status": "ok"}
+    health = json.load(urlopen(f"{base}/api/health"))
+    assert health["status"] == "ok" and health["chunks_indexed"] == 2
+    assert json.load(urlopen(f"{base}/ingestion/diagnostics"))["files"] == []
     found = json.load(urlopen(Request(f"{base}/chat", json.dumps({"query": "gamma"}).encode(), method="POST")))
     assert found["answer"] == "alpha beta gamma delta"
     server.shutdown()
+
+
+def test_tables_are_answered_by_their_rows(spark):
+    docs = spark.createDataFrame([(0, "data/t.txt", "name | quarter\nalpha | q1\nbeta | q2"), (1, "data/p.txt", "alpha is a word of prose")], "doc_ord long, source string, text string")
+    index, _ = builder.build_chunks(docs, Settings(), now="2024-01-01T00:00:00Z")
+    thesaurus = {"intent_groups": {"tabular": ["table"]}}
+    service = Service(index, Settings(retrieval_diagnostics_mode="verbose"), "2024-02-01T00:00:00Z", thesaurus=thesaurus)
+    found = service.chat("table alpha q1")
+    assert found["answer"] == "alpha | q1" and found["message"]["tabular_trace"]["matched_rows"] == 1
+    assert found["message"]["generation"]["grounding_policy"] == "tabular_row_grounded"
+    assert found["message"]["provenance_validation"]["complete"] and found["citations"][0]["chunk_id"] == "t.txt:0"
+    assert found["message"]["retrieval_diagnostics"]["backend"] == "lexical"
+    lost = service.chat("table gamma q4")
+    assert lost["abstained"] and lost["reason_code"] == "tabular_row_evidence_missing"
+    shown = display(found, "m")
+    assert shown["citations"][0]["id"] == "m-0" and [s["status"] for s in shown["signals"]] == ["pass", "pass", "info"]
+
+
+def test_deleted_sources_are_not_answered_from(spark, chunks):
+    from lodestone.operators.retrievers import RECORD
+    from lodestone.functions import text as t
+
+    unit = chunks.select(t.source_unit_id("source").alias("u")).where("source = 'data/a.txt'").first().u
+    records = spark.createDataFrame([(unit, "data/a.txt", "f", "", "", "2024-01-01T00:00:00Z", "soft_deleted")], RECORD)
+    assert Service(chunks, Settings(), "2024-02-01T00:00:00Z", records=records).chat("alpha beta")["abstained"]
