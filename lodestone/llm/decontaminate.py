@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import column, materialise, numbered, small_batches
+from lodestone.llm.shared import column, listed, numbered, small_batches
 
 #: Tokens of the window that a leak must agree in, and the share that must agree.
 WINDOW = 13
@@ -262,4 +262,4 @@ def drop_leaks(
     """The rows of ``docs`` whose text leaks no benchmark item, all columns kept; rows are told apart by number."""
     rows, (text,), restore = numbered(docs, "leak-rows", text_col)
     leaked = benchmark_leaks(rows, benchmark, "row", text, min_item=min_item).select(F.col("doc_id").alias("row"))
-    return restore(rows.join(materialise(leaked.distinct(), "leaks"), "row", "left_anti"))
+    return restore(rows.where(~listed(leaked.distinct(), "leaks")))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import column, materialise, numbered, small_batches, text_bytes
+from lodestone.llm.shared import column, listed, materialise, new_folder, numbered, small_batches, text_bytes, workspace
 
 #: Distinct keys that one bucket should hold, and neighbouring buckets that an owner takes.
 BUCKET_ENTRIES, OWNED_BUCKETS = 4096, 4
@@ -331,7 +331,10 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without exact copies, all columns kept; rows are told apart by number."""
+    spark = docs.sparkSession
     rows, (doc_id, text), restore = numbered(docs, "dedup-rows", id_col, text_col)
-    _, index = _indexed(rows, doc_id, text, BUCKET_ENTRIES, default_hash, "row")
-    kept = index.select(F.col("keep_row").alias("row")).distinct()
-    return restore(rows.join(kept, "row", "left_semi"))
+    path = new_folder(spark, "dedup-kept")
+    with workspace(spark):
+        _, index = _indexed(rows, doc_id, text, BUCKET_ENTRIES, default_hash, "row")
+        kept = listed(index.select(F.col("keep_row").alias("row")).distinct(), "dedup-kept", path)
+    return restore(rows.where(kept))

@@ -7,7 +7,13 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +89,56 @@ def numbered(docs: DataFrame, name: str, *used: str) -> tuple[DataFrame, list[st
     return table, [f"c{docs.columns.index(u)}" for u in used], restore
 
 
+#: A row's number holds the part of the table that it was written in.
+PART_BITS = 33
+
+
+def parts_of(found: DataFrame, row_col: str, name: str, path: str | None = None) -> str:
+    """Write a table of row numbers, one folder for each part that they lie in; returns its path."""
+    spark = found.sparkSession
+    path = path or new_folder(spark, name)
+    rows = found.withColumn("part", F.shiftright(row_col, PART_BITS))
+    rows.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
+    return path
+
+
+def read_part(path: str, part: int, columns: list[str]) -> pa.Table | None:
+    """The rows of one part, as a task of its own reads them; None if there are none."""
+    fs, base = pyarrow.fs.FileSystem.from_uri(f"{path}/part={part}")
+    found = []
+    for info in fs.get_file_info(pyarrow.fs.FileSelector(base, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as source:
+                found.append(pyarrow.parquet.ParquetFile(source).read(columns))
+    return pa.concat_tables(found) if found else None
+
+
+@lru_cache(maxsize=4)
+def _numbers(path: str, part: int) -> np.ndarray:
+    found = read_part(path, part, ["row"])
+    return np.empty(0, np.int64) if found is None else found["row"].to_numpy()
+
+
+def listed(found: DataFrame, name: str, path: str | None = None) -> Column:
+    """Whether the ``row`` of a numbered table is among the rows of ``found`` (row).
+
+    A task looks up the parts that it reads, so neither texts nor other columns are moved.
+    """
+    path = parts_of(found.select("row"), "row", name, path)
+
+    @F.pandas_udf("boolean")
+    def there(rows: pd.Series) -> pd.Series:
+        values = rows.to_numpy()
+        parts = values >> PART_BITS
+        out = np.zeros(len(values), bool)
+        for part in np.unique(parts).tolist():
+            here = parts == part
+            out[here] = np.isin(values[here], _numbers(path, part))
+        return pd.Series(out)
+
+    return there("row")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts can hold."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components, join_hubs
-from lodestone.llm.shared import column, materialise, new_folder, numbered, small_batches, text_bytes
+from lodestone.llm.shared import column, listed, materialise, new_folder, numbered, small_batches, text_bytes, workspace
 
 RADIUS = 3
 SHINGLE = 3
@@ -313,8 +313,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null ids come last; of rows that repeat the smallest id the first as read stays.
     """
+    spark = docs.sparkSession
     rows, (doc_id, text), restore = numbered(docs, "near-rows", id_col, text_col)
-    found = near_duplicates(rows, doc_id, text, row_col="row")
+    path = new_folder(spark, "near-kept")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
-    kept = found.groupBy("root").agg(least).select(F.col("least.row").alias("row"))
-    return restore(rows.join(kept, "row", "left_semi"))
+    with workspace(spark):
+        found = near_duplicates(rows, doc_id, text, row_col="row")
+        kept = listed(found.groupBy("root").agg(least).select(F.col("least.row").alias("row")), "near-kept", path)
+    return restore(rows.where(kept))

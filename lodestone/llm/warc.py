@@ -30,12 +30,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-import pyarrow.parquet
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import column, materialise, new_folder, small_batches, text_bytes
+from lodestone.llm.shared import PART_BITS, column, materialise, new_folder, parts_of, read_part, small_batches, text_bytes
 
 REVISIT_BYTES = 100
 #: Reader tasks, at most; each takes an equal share of the ranges.
@@ -79,20 +78,10 @@ def _one_line(url: str | None) -> str:
     return "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "")
 
 
-#: A row's number holds the part of the table that it was written in.
-PART_BITS = 33
-
-
 def _repeats(folder: str, part: int) -> dict[str, tuple[int, int | None]]:
     """Digests of a part that repeat anywhere, with row and page id of their response."""
-    fs, base = pyarrow.fs.FileSystem.from_uri(f"{folder}/part={part}")
-    found = {}
-    for info in fs.get_file_info(pyarrow.fs.FileSelector(base, allow_not_found=True)):
-        if info.path.endswith(".parquet"):
-            with fs.open_input_file(info.path) as source:
-                rows = pyarrow.parquet.ParquetFile(source).read(["digest", "first_row", "first_page"])
-            found |= {d: (r, p) for d, r, p in zip(*(c.to_pylist() for c in rows.columns))}
-    return found
+    found = read_part(folder, part, ["digest", "first_row", "first_page"])
+    return {} if found is None else {d: (r, p) for d, r, p in zip(*(c.to_pylist() for c in found.columns))}
 
 
 def _write(folder: str, repeats: str):
@@ -150,10 +139,11 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     local = rows.where(F.col("size") >= REVISIT_BYTES).groupBy(F.shiftright("row", PART_BITS).alias("part"), "digest")
     local = materialise(local.agg(F.min(place).alias("first"), F.count("*").alias("copies")), "warc-digests")
     heads = local.groupBy("digest").agg(F.min("first").alias("first"), F.sum("copies").alias("copies")).where("copies > 1")
-    repeats = new_folder(spark, "warc-repeats")
     found = local.select("part", "digest").join(heads, "digest")
-    found = found.select("part", "digest", F.col("first.row").alias("first_row"), F.col("first.page_id").alias("first_page"))
-    found.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(repeats)
+    found = found.select(
+        F.shiftleft("part", PART_BITS).alias("row"), "digest", F.col("first.row").alias("first_row"), F.col("first.page_id").alias("first_page")
+    )
+    repeats = parts_of(found, "row", "warc-repeats")
     return materialise(
         rows.select("page_id", "url", "payload", "digest", "size", "row").mapInArrow(
             _write(folder, repeats), "archive string, size long"
