@@ -71,20 +71,21 @@ def _pieces(tokenizer_path: str, sequence: int, end_id: int, with_ids: bool):
         cache = _cache(tokenizer_path)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            found = cache.batch(batch.column(1))
-            data = found.ids.tobytes()
-            ends = (4 * found.ends).tolist()
-            out, begin = [], 0
-            for doc_id, stop in zip(batch.column(0).to_pylist(), ends):
-                ids = data[begin:stop] + end
-                begin = stop
-                total = len(ids) // 4
-                for start in range(0, total, sequence):
-                    piece = ids[4 * start : 4 * (start + sequence)]
-                    out.append(
-                        (row, doc_id, start, len(piece) // 4, zlib.crc32(piece), total, piece if with_ids else None)
-                    )
-                row += 1
+            out = []
+            for at, texts in subwords.slices(batch.column(1)):
+                found = cache.batch(texts)
+                data = found.ids.tobytes()
+                begin = 0
+                for doc_id, stop in zip(batch.column(0).slice(at, len(texts)).to_pylist(), (4 * found.ends).tolist()):
+                    ids = data[begin:stop] + end
+                    begin = stop
+                    total = len(ids) // 4
+                    for start in range(0, total, sequence):
+                        piece = ids[4 * start : 4 * (start + sequence)]
+                        out.append(
+                            (row, doc_id, start, len(piece) // 4, zlib.crc32(piece), total, piece if with_ids else None)
+                        )
+                    row += 1
             columns = zip(*out) if out else [[]] * len(_ARROW)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW

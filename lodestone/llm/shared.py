@@ -156,4 +156,7 @@ def id_crc32(doc_id: str | Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table of the data; one of fewer parts than there are cores, such as one small file, is dealt to all of them."""
+    found = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found

@@ -11,7 +11,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -29,8 +29,16 @@ class WordCache:
     A full generation becomes the older one and its predecessor goes; what is used moves to the younger.
     """
 
-    def __init__(self, encode: Callable[[bytes], bytes], limit: int = CACHE_WORDS, any_case: bool = False) -> None:
+    def __init__(
+        self,
+        encode: Callable[[bytes], bytes],
+        limit: int = CACHE_WORDS,
+        any_case: bool = False,
+        encode_many: Callable[[list[bytes]], list[bytes]] | None = None,
+    ) -> None:
         self.encode = encode
+        #: Ids of several chunks; in one call of the library where that is known to give the same.
+        self.encode_many = encode_many or (lambda chunks: list(map(encode, chunks)))
         self.limit = limit
         #: Whether ids do not depend on the case of A-Z, special tokens aside.
         self.any_case = any_case
@@ -44,8 +52,8 @@ class WordCache:
         if any(absent):
             missing = list(compress(chunks, absent))
             ids = list(map(self._old.get, missing))
-            encode = self.encode
-            ids = [encode(chunk) if known is None else known for chunk, known in zip(missing, ids)]
+            fresh = iter(self.encode_many([chunk for chunk, known in zip(missing, ids) if known is None]))
+            ids = [next(fresh) if known is None else known for known in ids]
             fresh = iter(ids)
             found = [next(fresh) if none else known for none, known in zip(absent, found)]
             self._make_room(len(missing))
@@ -118,6 +126,28 @@ def distinct_chunks(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarra
     return distinct, which, ends
 
 
+#: Bytes of texts that are cut into chunks at a time.
+SLICE_BYTES = 8 << 20
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(place of the first, texts) in runs of bounded size; a longer text is a run of its own."""
+    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)).astype(np.int64)
+    start = held = 0
+    for at, size in enumerate(sizes.tolist()):
+        if held and held + size > SLICE_BYTES:
+            yield start, texts.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if len(texts) > start:
+        yield start, texts.slice(start)
+
+
+def lowered(texts: pa.Array) -> pa.Array:
+    """Texts (a binary array that holds UTF-8) with A-Z in lower case."""
+    return pc.ascii_lower(texts.view(pa.string())).view(pa.binary())
+
+
 #: What special tokens of the vocabulary files begin with.
 SPECIAL = "<|"
 #: Fixed values of the vocabulary file: how it cuts a normalised text into words.
@@ -189,11 +219,26 @@ def byte_bpe(path: str, pattern: str, limit: int = CACHE_WORDS) -> WordCache:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encode_text = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    opens = np.zeros(max(ranks.values(), default=0) + 1, bool)  # ids that begin with a space
+    for word, number in ranks.items():
+        opens[number] = word.startswith(b" ")
 
     def encode(chunk: bytes) -> bytes:
         return np.array(encode_text(" " + chunk.decode("utf-8", "replace")), np.uint32).tobytes()
 
-    return WordCache(encode, limit)
+    def encode_many(chunks: list[bytes]) -> list[bytes]:
+        if not chunks:
+            return []
+        text = " " + b" ".join(chunks).decode("utf-8", "replace")
+        ids = np.array(encode_text(text), np.uint32)
+        starts = np.flatnonzero(opens[ids])
+        # Without other blanks inside, every chunk begins with the one id that holds its space.
+        if len(text.split()) != len(chunks) or len(starts) != len(chunks) or starts[0]:
+            return list(map(encode, chunks))
+        data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    return WordCache(encode, limit, encode_many=encode_many)
 
 
 def _byte_letters() -> dict[int, str]:
