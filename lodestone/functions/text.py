@@ -24,6 +24,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), rf"^{WS}+|{WS}+$", "")
 

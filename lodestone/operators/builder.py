@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone import storage
 from lodestone.config import Settings
 from lodestone.functions import text as t
 from lodestone.operators import chunking, lifecycle
@@ -63,14 +64,20 @@ def _complete(documents: DataFrame) -> DataFrame:
 
 
 def build_chunks(
-    documents: DataFrame, settings: Settings = Settings(), records: DataFrame | None = None, now: str = "", keep_skipped: bool = False
+    documents: DataFrame,
+    settings: Settings = Settings(),
+    records: DataFrame | None = None,
+    now: str = "",
+    keep_skipped: bool = False,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """(chunks, state): the chunk table of ``documents`` (doc_ord, source, text and any of ``OPTIONAL``), and
     the lifecycle records after it.
 
     With ``records`` every document is upserted first, and the chunk carries its record; documents that are
     skipped as unchanged give no chunks, unless ``keep_skipped``.  Without them every document counts as
-    active since ``now``.
+    active since ``now``.  With a ``folder`` the documents left are written there before they are cut, so that
+    what prose and tables share is done once.
     """
     docs = chunking.first_by_content(_complete(documents)).withColumn("source_unit_id", t.source_unit_id("source"))
     docs = docs.withColumn("extraction_method", F.coalesce("extraction_method", F.lit("text_file_parser")))
@@ -103,6 +110,8 @@ def build_chunks(
             "document_metadata": document_metadata(settings.chunk_include_document_level_details),
         }
     )
+    if folder is not None:
+        docs = storage.written(docs, folder)
     chunks = _prose(docs.where("not is_tabular"), settings).unionByName(_tables(docs.where("is_tabular"), settings))
     chunks = chunks.withColumn("text", t.strip("text")).where("text <> ''")
     chunks = chunks.withColumns(

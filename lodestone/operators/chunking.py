@@ -160,7 +160,7 @@ def prose_windows(units: DataFrame, size: int = 120, overlap: int = 20, least: i
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), heads - 1), window))
 
     # The words are bound once for all windows of a unit, and each window leaves with its own words alone.
-    found = F.get(F.transform(F.array(t.words("unit_text")), windows), F.lit(0))
+    found = t.bound(t.words("unit_text"), windows)
     rows = units.select(*units.columns, F.explode(found).alias("w"))
     return rows.select(*units.columns, "w.*", F.lit(overlap).alias("overlap_words"))
 
@@ -211,42 +211,46 @@ def with_boilerplate(chunks: DataFrame, repeats: DataFrame | None = None) -> Dat
 
 def looks_tabular(text: Column | str) -> Column:
     """Whether the first thirty lines have the profile of a table cut at bars or at commas."""
-    first = F.slice(t.lines(text), 1, 30)
-    return (F.size(first) >= 2) & (_profile(first, "|", 2) | _profile(first, ",", 3))
+
+    def judge(first):
+        return (F.size(first) >= 2) & (_profile(first, "|", 2) | _profile(first, ",", 3))
+
+    return t.bound(F.slice(t.lines(text), 1, 30), judge)
 
 
 def _profile(found: Column, mark: str, least: int) -> Column:
-    rows = F.filter(
-        F.transform(
-            F.filter(found, lambda x: F.contains(x, F.lit(mark))),
-            lambda x: F.struct(
-                x.alias("line"),
-                F.filter(F.transform(F.split(x, rf"\{mark}" if mark == "|" else mark), t.strip), lambda c: c != "").alias("cells"),
-            ),
+    cut = F.transform(
+        F.filter(found, lambda x: F.contains(x, F.lit(mark))),
+        lambda x: F.struct(
+            x.alias("line"),
+            F.filter(F.transform(F.split(x, rf"\{mark}" if mark == "|" else mark), t.strip), lambda c: c != "").alias("cells"),
         ),
-        lambda r: F.size(r["cells"]) >= 2,
     )
-    n = F.size(rows)
-    widths = F.transform(rows, lambda r: F.size(r["cells"]))
-    common = F.array_max(
-        F.transform(
-            F.array_distinct(widths),
-            lambda w: F.struct(F.size(F.filter(widths, lambda x: x == w)).alias("times"), w.alias("width")),
-        )
-    )
-    share = lambda condition: F.size(F.filter(rows, condition)) / n
     wordy = lambda c: F.size(t.words(c))
-    good = (
-        (common["times"] / n >= 0.6)
-        & (share(lambda r: F.array_max(F.transform(r["cells"], wordy)) <= 8) >= 0.6)
-        & (share(lambda r: r["line"].rlike("[.!?]$")) <= 0.4)
-    )
-    if mark == ",":
-        pairs = (share(lambda r: F.get(r["cells"], F.lit(1)).rlike(r"^-?\d+(\.\d+)?$")) >= 0.5) & (
-            share(lambda r: wordy(F.get(r["cells"], F.lit(0))) <= 3) >= 0.5
+
+    def judge(rows):
+        n = F.size(rows)
+        widths = F.transform(rows, lambda r: F.size(r["cells"]))
+        common = F.array_max(
+            F.transform(
+                F.array_distinct(widths),
+                lambda w: F.struct(F.size(F.filter(widths, lambda x: x == w)).alias("times"), w.alias("width")),
+            )
+        )
+        share = lambda condition: F.size(F.filter(rows, condition)) / n
+        good = (
+            (common["times"] / n >= 0.6)
+            & (share(lambda r: F.array_max(F.transform(r["cells"], wordy)) <= 8) >= 0.6)
+            & (share(lambda r: r["line"].rlike("[.!?]$")) <= 0.4)
         )
-        good = good & ((common["width"] >= 3) | pairs)
-    return F.coalesce((n >= least) & good, F.lit(False))
+        if mark == ",":
+            pairs = (share(lambda r: F.get(r["cells"], F.lit(1)).rlike(r"^-?\d+(\.\d+)?$")) >= 0.5) & (
+                share(lambda r: wordy(F.get(r["cells"], F.lit(0))) <= 3) >= 0.5
+            )
+            good = good & ((common["width"] >= 3) | pairs)
+        return F.when(n >= least, F.coalesce(good, F.lit(False))).otherwise(False)
+
+    return t.bound(F.filter(cut, lambda r: F.size(r["cells"]) >= 2), judge)
 
 
 #: What is known of a table in a document.

@@ -116,11 +116,12 @@ FREQUENT = 0.05
 def _with_idf(index: DataFrame, weights: DataFrame, n: Column) -> DataFrame:
     """Postings with the idf of their term; frequent terms come by a small broadcast, no task gets all of "the"."""
     often = weights.where(F.col("df") > n * FREQUENT).select("term", F.col("idf").alias("often"))
-    seldom = weights.where(F.col("df") <= n * FREQUENT).select("term", F.col("idf").alias("seldom"))
+    seldom = weights.where(F.col("df") <= n * FREQUENT).select(F.col("term").alias("looked_up"), F.col("idf").alias("seldom"))
     marked = index.join(F.broadcast(often), "term", "left")
-    frequent = marked.where("often is not null").withColumnRenamed("often", "idf")
-    rest = marked.where("often is null").drop("often").join(seldom, "term").withColumnRenamed("seldom", "idf")
-    return frequent.select(*index.columns, "idf").unionByName(rest.select(*index.columns, "idf"))
+    # What is known already looks up a key that no term has, one for each document, so it is spread evenly.
+    key = F.when(F.col("often").isNull(), F.col("term")).otherwise(F.concat(F.lit("\n"), F.col("doc_ord")))
+    found = marked.withColumn("looked_up", key).join(seldom, "looked_up", "left")
+    return found.select(*index.columns, F.coalesce("often", "seldom").alias("idf"))
 
 
 def tfidf_scores(queries: DataFrame, index: DataFrame, candidates: int) -> DataFrame:

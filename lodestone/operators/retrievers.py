@@ -144,15 +144,23 @@ def asked_terms(request: Request) -> DataFrame:
 
 
 def _weighed(scores: DataFrame, kept: DataFrame, asked: DataFrame, settings: Settings, least: float) -> DataFrame:
-    """Scores of kept chunks times their factors, from the threshold on."""
+    """Scores of kept chunks times their factors, from the threshold on.
+
+    Scores that no factor can lift to the threshold go before the join; table texts meet queries only where a
+    table can be boosted at all.
+    """
+    scores = scores.where(F.col("base") * _largest_factor(settings) >= least)
     rows = scores.join(kept.where("filter_reason is null").drop("filter_reason"), KEY)
-    tables = rows.where("is_tabular").join(asked.select("query_id", "terms", "tabular"), "query_id")
-    boost = retrieval.table_boost(settings, F.col("tabular"))
-    boosted = tables.withColumn("text", F.col("table_text")).withColumn("table_boost", boost)
     names = ["query_id", *KEY, "base", "metadata_weight", "boilerplate_penalty", "table_boost"]
-    both = rows.where("not is_tabular").withColumn("table_boost", F.lit(1.0)).select(*names).unionByName(boosted.select(*names))
+    plain = F.lit(1.0).alias("table_boost")
+    if settings.table_aware_boost_enabled and not kept.where("is_tabular").isEmpty() and not asked.where("tabular").isEmpty():
+        tables = rows.where("is_tabular").join(asked.select("query_id", "terms", "tabular"), "query_id")
+        boosted = tables.withColumn("text", F.col("table_text")).withColumn("table_boost", retrieval.table_boost(settings, F.col("tabular")))
+        rows = rows.where("not is_tabular").select(*names[:-1], plain).unionByName(boosted.select(*names))
+    else:
+        rows = rows.select(*names[:-1], plain)
     final = F.col("base") * F.col("metadata_weight") * F.col("boilerplate_penalty") * F.col("table_boost")
-    return retrieval.thresholded(both, least, final)
+    return retrieval.thresholded(rows, least, final)
 
 
 def score_components() -> Column:

@@ -54,6 +54,7 @@ _RANK = """row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_ord
 def query(name: str, oracle: str | None = None):
     def register(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            storage.steady(spark)
             found = f(spark, sf_dir)
             return found.select(*[F.col(c).cast("long").alias(c) if kind == "int" else F.col(c) for c, kind in found.dtypes])
 
@@ -617,9 +618,11 @@ e AS (SELECT query_id, rank, score, chunks.* FROM o JOIN chunks USING (doc_ord,
 
 
 def _evidence(spark, sf_dir) -> DataFrame:
-    """The chunks that the default backend ranks, under the filter, the factors and the configured threshold."""
+    """The chunks that the default backend ranks, under the filter, the factors and the configured threshold;
+    a table of ``top_k`` rows a query, as several plans start from it."""
     asked = inputs.request(spark, sf_dir)
-    return retrievers.evidence(retrievers.retrieve(asked), asked.index)
+    found = retrievers.evidence(retrievers.retrieve(asked), asked.index)
+    return storage.written(found, storage.new_folder(spark, "evidence"))
 
 
 @query(

@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return storage.spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("doc_ord"),
         F.concat(F.lit("data/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("source"),
         F.coalesce("text", F.lit("")).alias("text"),
@@ -51,8 +51,9 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     path = f"{sf_dir.rstrip('/')}/documents.parquet"
     key = (spark.sparkContext.applicationId, path, storage.version(spark, path))
     if key not in _INDEXES or not storage.exists(spark, _INDEXES[key].path):
-        chunks, _ = builder.build_chunks(documents(spark, sf_dir), SETTINGS, now=NOW)
-        _INDEXES[key] = Index.write(chunks, storage.new_folder(spark, "index"))
+        folder = storage.new_folder(spark, "index")
+        chunks, _ = builder.build_chunks(documents(spark, sf_dir), SETTINGS, now=NOW, folder=f"{folder}/documents")
+        _INDEXES[key] = Index.write(chunks, folder)
     found = _INDEXES[key]
     return Index.open(spark, found.path)
 

@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def steady(spark: SparkSession) -> None:
+    """Keep unions from passing on the partitioning of their sides: adaptive execution may change one side's
+    after an aggregation above the union has been planned on it, and groups then come out in parts."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,10 +31,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def written(table: DataFrame, path: str) -> DataFrame:
     """``table`` as Parquet at ``path``, read back, so its plan ends there."""
+    steady(table.sparkSession)
     table.write.mode("overwrite").parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table of fewer parts than there are cores, such as one small file, dealt to all of them; others as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def _target(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
