@@ -14,12 +14,12 @@ message before it.  Conversations are put in reply order: every message is follo
 first, replies by age.  The order comes from an Euler tour of the reply tree ranked by pointer
 doubling, in a logarithmic number of joins on unique keys.
 
-No conversation, and no line that recurs in one, is ever gathered in one task: ranks, as-of lookups
-and next siblings are found in blocks of 1024 places, and only one row of each block meets the
-others of its group.
+No conversation, and no line that recurs in one, is ever gathered in one task: messages are numbered in
+sorted ranges; as-of lookups and next siblings are found in blocks of 1024 places, and only one row of
+each block meets the others of its group.
 
 Defined cases: a null text is empty; null conversation ids form one conversation; null turns come
-first in theirs; rows that repeat a turn are ordered by role and text; quotes of nothing said before stay
+first in theirs; rows that repeat a turn are ordered by role and text, those alike in all as they are read; quotes of nothing said before stay
 unlinked and are dropped from the body like all others; an empty table gives an empty one; other columns
 are ignored.
 """
@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import materialise
+from lodestone.llm.shared import column, materialise
 
 _BLOCK_BITS = 10
 _QUOTE = r"^(?:[ \t]{0,3}>)+[ \t]?"
@@ -47,19 +47,26 @@ def _block(place: str) -> Column:
 
 
 def _numbered(messages: DataFrame) -> DataFrame:
-    """Messages with ``seq``, their place in the conversation by turn, role and text, from 0."""
-    rows = messages.withColumn("block", F.coalesce(_block("turn"), F.lit(-(1 << 62))))
-    sizes = rows.groupBy("conv", "block").count()
-    before = F.sum("count").over(
-        Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.select("conv", "block", F.coalesce(before, F.lit(0)).alias("offset"))
-    within = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
-    return (
-        rows.withColumn("nth", F.row_number().over(within))
-        .join(offsets, ["conv", "block"])
-        .withColumn("seq", (F.col("offset") + F.col("nth") - 1).cast("long"))
-        .drop("block", "nth", "offset")
+    """Messages with ``seq``, their place in the conversation by turn, role and text, from 0.
+
+    Messages are sorted into ranges, so one conversation may fill many of them, and rows alike in all of that
+    are told apart by their place in the input.  A range numbers its rows by itself; counts of the ranges and
+    the first number of each conversation make those numbers places.
+    """
+    order = ["conv", "turn", "role", "text", "read"]
+    ranged = messages.withColumn("read", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(ranged.withColumn("at", F.monotonically_increasing_id()).drop("read"), "ordered-messages")
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("part")).count()
+    before = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = counts.select("part", F.coalesce(before, F.lit(0)).alias("offset"))  # one row for each range
+    rows = placed.withColumn("part", part).join(F.broadcast(firsts), "part").withColumn("number", F.col("offset") + within)
+    local = rows.groupBy("part", "conv").agg(F.min("number").alias("first"))
+    starts = local.groupBy("conv").agg(F.min("first").alias("start"))
+    # A conversation meets its start once for each of its ranges, then range by range.
+    known = local.select("part", "conv").join(starts, "conv")
+    return rows.join(known, ["part", "conv"]).withColumn("seq", F.col("number") - F.col("start")).drop(
+        "at", "part", "offset", "number", "start"
     )
 
 
@@ -205,10 +212,10 @@ def link_quotations(
     """One row per message: conv_id, turn, role, seq, position (in reply order), reply_to_turn, passages,
     linked (passages with an original), body (the text without quotes) and chat (body under its role)."""
     rows = messages.select(
-        F.col(conv_col).cast("long").alias("conv_id"),
-        F.col(turn_col).cast("long").alias("turn"),
-        F.col(role_col).alias("role"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        column(conv_col).cast("long").alias("conv_id"),
+        column(turn_col).cast("long").alias("turn"),
+        column(role_col).alias("role"),
+        F.coalesce(column(text_col), F.lit("")).alias("text"),
     ).withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
     numbered = materialise(_numbered(rows), "messages")
     links = materialise(_links(numbered), "links")

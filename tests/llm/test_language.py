@@ -88,3 +88,44 @@ def test_degenerate_training(spark):
     one = spark.createDataFrame([(i, "abc", "en") for i in range(9)], "doc_id long, text string, lang string")
     assert {(r.lang_pred, r.score) for r in lg.predict(one, lg.train(one)).collect()} == {("en", 1.0)}
     assert lg.predict(one.where("false"), lg.train(one)).count() == 0
+
+
+def step_by_step(net, text):
+    """Distribution over languages of one whole text, one byte and one number at a time."""
+    squash = lambda x: x / (1 + abs(x))
+    h = net.ahead.carry.shape[1]
+
+    def read(gated, codes):
+        state, out = [0.0] * h, []
+        for c in codes:
+            carried = [sum(float(gated.carry[r, k]) * state[k] for k in range(h)) for r in range(3 * h)]
+            given = [float(gated.inputs[r, c]) for r in range(3 * h)]
+            update = [0.5 + 0.5 * squash(given[k] + carried[k]) for k in range(h)]
+            reset = [0.5 + 0.5 * squash(given[h + k] + carried[h + k]) for k in range(h)]
+            fresh = [squash(given[2 * h + k] + reset[k] * carried[2 * h + k]) for k in range(h)]
+            state = [update[k] * state[k] + (1 - update[k]) * fresh[k] for k in range(h)]
+            out.append(state)
+        return out
+
+    total = [0.0] * len(net.languages)
+    for at in range(0, len(text), lg.SEGMENT):
+        codes = list(text[at : at + lg.SEGMENT])
+        full = codes + [256] * (lg.SEGMENT - len(codes))
+        ahead, back = read(net.ahead, full), read(net.back, full[::-1])[::-1]
+        for t in range(len(codes)):
+            both = [*ahead[t], *back[t], 1.0]
+            logits = [sum(float(w) * x for w, x in zip(row, both)) for row in net.output]
+            log_z = np.log(sum(np.exp(x - max(logits)) for x in logits)) + max(logits)
+            total = [a + x - log_z for a, x in zip(total, logits)]
+    shares = np.exp(np.array(total) / max(1, len(text)))
+    return shares / shares.sum()
+
+
+def test_predictions_equal_a_network_of_single_steps(scored):
+    rows, _, net, found = scored
+    texts = {i: t for i, t, _ in rows if i is not None and t and len(t) < 400}
+    some = [r for r in found if r.doc_id in texts and r.lang_pred != "und"][:12]
+    assert len(some) == 12
+    for r in some:
+        shares = step_by_step(net, texts[r.doc_id].encode())
+        assert net.languages[int(shares.argmax())] == r.lang_pred and abs(shares.max() - r.score) < 1e-3

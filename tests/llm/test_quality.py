@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import zlib
 
@@ -121,3 +122,21 @@ def test_without_labels_and_rows(spark, docs_of, awkward):
     assert quality.score(awkward.where("false"), model).count() == 0
     one = spark.createDataFrame([(3, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
     assert {round(r.score, 3) for r in quality.score(awkward, quality.train(awkward, one)).collect()} <= {1.0}
+
+
+def test_document_scores_equal_sums_over_labellings(fitted):
+    docs, _, table, _, model = fitted
+    found = {r.doc_id: r.score for r in quality.score(table, model).collect() if r.doc_id is not None}
+    tried = 0
+    for doc_id, text in docs:
+        features, sizes, counts = quality.line_features([text.encode()])
+        if counts[0] > 8 or doc_id < 20:  # the awkward rows repeat the first ids
+            continue
+        good, _, _ = brute_chain(np.clip(features @ model.weights, -30, 30), model.change)
+        mean = sum(s * g for s, g in zip(sizes, good)) / sum(sizes)
+        odds = math.log(min(max(mean, 1e-4), 1 - 1e-4) / (1 - min(max(mean, 1e-4), 1 - 1e-4)))
+        assert abs(found[doc_id] - 1 / (1 + math.exp(-(model.slope * odds + model.shift)))) < 1e-6
+        tried += 1
+        if tried == 40:
+            break
+    assert tried == 40
