@@ -152,6 +152,16 @@ def vector_similarity(a: Column | str, b: Column | str, metric: str = "cosine")
     return F.when(F.size(_col(a)) == F.size(_col(b)), 1 / (1 + F.sqrt(total))).otherwise(0.0)
 
 
+def number(value: Column | str) -> Column:
+    """A value as a number, 0 if it is none."""
+    return F.coalesce(_col(value).try_cast("double"), F.lit(0.0))
+
+
+def share(part: Column, whole: Column) -> Column:
+    """A quotient, 0 for a whole of 0."""
+    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+
+
 def low_fidelity(text: Column | str) -> Column:
     """Whether text from a legacy binary format is too noisy to trust."""
     body = strip(text)

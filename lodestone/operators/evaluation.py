@@ -170,6 +170,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return found.where("occurrences > 2")
 
 
+def most_frequent(found: DataFrame, n: int = 20) -> DataFrame:
+    """The first groups by occurrences, for a report."""
+    return found.orderBy(F.desc("occurrences"), "fingerprint").limit(n)
+
+
 #: Fields of a sample that are lists of strings, and those that are one string.
 _LISTS = [n for n, k in EXPECTATIONS.items() if k == "array<string>"]
 _STRINGS = [n for n, k in EXPECTATIONS.items() if k == "string"]

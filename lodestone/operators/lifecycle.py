@@ -198,6 +198,11 @@ def get(records: DataFrame, source_unit_id: str) -> dict | None:
     return None if found is None else found.asDict()
 
 
+def as_dict(records: DataFrame) -> dict[str, dict]:
+    """All records by unit, for states that a single process is meant to hold."""
+    return {r.source_unit_id: r.asDict() for r in records.toLocalIterator()}
+
+
 #: What an upsert can do to a unit.
 INGESTED = ("created", "updated", "unchanged_skipped")
 

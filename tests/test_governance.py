@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from lodestone import cli
 from lodestone.config import OPTIONS, Settings, read_thesaurus
 from lodestone.operators import answers, builder, evaluation, lifecycle, provenance, retrieval, retrievers
 from lodestone.operators.retrievers import RECORD, Index, Request
@@ -289,6 +290,39 @@ def test_options_and_files(tmp_path):
     assert evaluation.select_fallback("zzzzz", entries) == evaluation.NO_FALLBACK
 
 
+def test_commands(spark, tmp_path):
+    data, sets = tmp_path / "data", tmp_path / "a.jsonl"
+    data.mkdir()
+    (data / "leave.txt").write_text("leave is granted by the manager after a written request")
+    (data / "copy.txt").write_text("leave is granted by  the manager after a written request")
+    (data / "t.txt").write_text("name | quarter\nalpha | q1\nbeta | q2")
+    rows = [
+        {"query": "who is leave granted by", "expected_sources": ["copy.txt"], "excluded_sources": ["t.txt"], "expected_answer_terms": ["manager"]},
+        {"query": "table row of alpha", "expected_sources": ["t.txt"], "expected_tabular_terms": ["alpha"], "expected_tabular_outcome": "answer", "is_tabular_intent": True},
+    ]
+    sets.write_text("\n".join(map(json.dumps, rows)) + "\n{bad\n")
+    thesaurus = tmp_path / "s.json"
+    thesaurus.write_text('{"intent_groups": {"tabular": ["table"]}}')
+    out = cli.run(spark, cli.arguments().parse_args(["evaluate", "--data", str(data), "--dataset", str(sets), "--thesaurus", str(thesaurus), "--reports", str(tmp_path / "r"), "--profile", "none.json"]))
+    report = json.loads(open(out.split("\n")[0]).read())
+    assert report["sample_count"] == 2 and report["dataset_sanity"]["parse_errors"] == 1
+    assert {k: report["metrics"][k] for k in ("hit_rate_at_k", "tabular_answer_success_rate", "lifecycle_exclusion_compliance", "correctness_proxy", "provenance_completeness")} == {
+        "hit_rate_at_k": 1.0, "tabular_answer_success_rate": 1.0, "lifecycle_exclusion_compliance": 1.0, "correctness_proxy": 1.0, "provenance_completeness": 1.0,
+    }
+    found = json.loads(cli.run(spark, cli.arguments().parse_args(["dedupe", "--data", str(data)])))
+    assert [g["occurrences"] for g in found["files"]] == [2] and found["lines"] == []
+    records = spark.createDataFrame([("u", "s", "f", NOW, NOW, "2023-01-01T00:00:00Z", "soft_deleted"), ("v", "s", "f", NOW, NOW, None, "active")], RECORD)
+    store = state.StateStore(spark, str(tmp_path / "st"))
+    store.write(records)
+    words = ["cleanup", "--state", str(tmp_path / "st")]
+    assert json.loads(cli.run(spark, cli.arguments().parse_args([*words, "--dry-run"])))["purged_count"] == 1 and store.read().count() == 2
+    cli.run(spark, cli.arguments().parse_args(words))
+    assert list(lifecycle.as_dict(store.read())) == ["v"]
+    audit = cli.run(spark, cli.arguments().parse_args(["audit", "--state", str(tmp_path / "st"), "--log", str(tmp_path / "none")]))
+    assert json.loads(audit)["state"]["active_count"] == 1
+    assert "2 would be removed" in cli.run(spark, cli.arguments().parse_args(["reset", "--reports", str(tmp_path / "r")]))
+
+
 # --- queries that SQL cannot express, against plain Python ------------------------------------------
 
 
