@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,6 +64,7 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), pa
     """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor
     costs only the tasks that were running on it."""
     spark = df.sparkSession
+    steady(spark)
     path = path or new_folder(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
@@ -139,8 +141,21 @@ def listed(found: DataFrame, name: str, path: str | None = None) -> Column:
     return there("row")
 
 
+def steady(spark: SparkSession) -> None:
+    """Keep unions from passing on the partitioning of their sides: adaptive execution may change one side's
+    after an aggregation above the union has been planned on it, and groups then come out in parts."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that are done with."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts can hold."""
+    steady(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -155,8 +170,13 @@ def id_crc32(doc_id: str | Column) -> Column:
     return F.crc32((column(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary"))
 
 
+#: Bytes of a table that is dealt to all cores if it has fewer parts than there are.
+SMALL_TABLE = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data; one of fewer parts than there are cores, such as one small file, is dealt to all of them."""
+    """A table of the data; one small file, which Spark would read in one task, is dealt to all cores."""
     found = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    small = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL_TABLE
     cores = spark.sparkContext.defaultParallelism
-    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
+    return found.repartition(cores) if small and found.rdd.getNumPartitions() < cores else found
