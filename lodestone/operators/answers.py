@@ -226,6 +226,16 @@ def query_intents(queries: DataFrame, thesaurus: dict | None = None) -> DataFram
 SHARES, HIGH, LOW = (0.45, 0.25, 0.20, 0.10), 0.72, 0.45
 
 
+#: Weights of extraction tiers and of lifecycle statuses, each with that of all others.
+TIER_WEIGHTS, OTHER_TIER = {"structured": 1.0, "document": 0.8, "plain": 0.65}, 0.6
+STATUS_WEIGHTS, OTHER_STATUS = {"": 1.0, "active": 1.0, "pending_review": 0.5, "retired": 0.5}, 0.7
+
+
+def _weight(value: Column, weights: dict[str, float], other: float) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, value), F.lit(other))
+
+
 def normalised_label(label: Column | str) -> Column:
     """``high``, ``low`` or ``abstain``; whatever else there is abstains."""
     found = F.lower(t.strip(F.col(label) if isinstance(label, str) else label))
@@ -241,14 +251,10 @@ def confidence(
     an array in which ``tabular`` stands for the intent that needs table evidence.  Queries without evidence
     abstain; they have a row if ``queries`` names them.
     """
-    tier = F.when(F.col("tier") == "structured", 1.0).when(F.col("tier") == "document", 0.8).when(F.col("tier") == "plain", 0.65).otherwise(0.6)
+    tier = _weight(F.col("tier"), TIER_WEIGHTS, OTHER_TIER)
     state = F.lower(t.strip(F.coalesce("status", F.lit(""))))
-    alive = (
-        F.when(F.col("deleted") | (state == "soft_deleted"), 0.0)
-        .when(state.isin("", "active"), 1.0)
-        .when(state.isin("pending_review", "retired"), 0.5)
-        .otherwise(0.7)
-    )
+    gone = F.col("deleted") | (state == "soft_deleted")
+    alive = F.when(gone, 0.0).otherwise(_weight(state, STATUS_WEIGHTS, OTHER_STATUS))
     age = F.greatest(F.lit(0.0), (F.unix_timestamp(now) - F.unix_timestamp("ts")) / 86400)
     floor = max(0.0, min(1.0, settings.confidence_decay_floor))
     half = max(1.0, settings.confidence_half_life_days)

@@ -36,10 +36,15 @@ def written(table: DataFrame, path: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+#: Bytes of a table that is dealt to all cores if it has fewer parts than there are.
+SMALL_TABLE = 64 << 20
+
+
 def spread(table: DataFrame) -> DataFrame:
-    """A table of fewer parts than there are cores, such as one small file, dealt to all of them; others as they are."""
+    """A small table of fewer parts than there are cores, such as one file, dealt to all of them; others as they are."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    small = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL_TABLE
+    return table.repartition(cores) if small and table.rdd.getNumPartitions() < cores else table
 
 
 def _target(spark: SparkSession, path: str):
