@@ -377,7 +377,29 @@ def hash_embed_buckets(spark, sf_dir):
     return retrieval.hashed_features(texts, "query_id").select("query_id", "idx", F.round("weight", 4).alias("weight"))
 
 
-query("hash_vector_topk")(_ranked(retrieval_backend="vector"))
+def _features_sql(texts: str, keys: str) -> str:
+    """Buckets of hashed words and character n-grams of ``texts`` (keys, body)."""
+    return rf"""(SELECT {keys}, ('0x' || substr(sha1(f), 1, 16))::UBIGINT % 256 AS idx, CAST(sum(w) AS DOUBLE) AS w FROM (
+      SELECT {keys}, 'tok:' || unnest(list_filter(regexp_split_to_array(body, '\s+'), lambda x: x <> '')) AS f, 1.0::DOUBLE AS w FROM {texts}
+      UNION ALL SELECT {keys}, 'ch' || n || ':' || substr(j, i, n) AS f, 0.35::DOUBLE AS w FROM (
+        SELECT {keys}, j, n, unnest(range(1, len(j) - n + 2)) AS i FROM (SELECT {keys}, replace(body, ' ', '_') AS j, unnest([3, 4, 5]) AS n FROM {texts})))
+      GROUP BY ALL)"""
+
+
+query(
+    "hash_vector_topk",
+    _top_sql(
+        f"""{_kept_sql()}, ct AS (SELECT doc_ord, chunk_index, lower(text) AS body FROM chunks JOIN kept USING (doc_ord, chunk_index)),
+    qb AS (SELECT query_id, array_to_string(list_sort(terms), ' ') AS body FROM q),
+    cf AS {_features_sql("ct", "doc_ord, chunk_index")}, qf AS {_features_sql("qb", "query_id")},
+    cn AS (SELECT doc_ord, chunk_index, sqrt(sum(w * w)) AS norm FROM cf GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(w * w)) AS qnorm FROM qf GROUP BY ALL),
+    dots AS (SELECT query_id, doc_ord, chunk_index, sum(cf.w * qf.w) AS dot FROM cf JOIN qf USING (idx) GROUP BY ALL),
+    vb AS (SELECT query_id, doc_ord, chunk_index, dot / (norm * qnorm) * weight * penalty AS final FROM dots JOIN cn USING (doc_ord, chunk_index)
+      JOIN qn USING (query_id) JOIN kept USING (doc_ord, chunk_index)),
+    vec AS (SELECT *, round(final, 4) AS score FROM vb WHERE final >= 0.25)""",
+        "vec",
+    ),
+)(_ranked(retrieval_backend="vector"))
 
 
 # --- lifecycle ---------------------------------------------------------------------------------
@@ -494,7 +516,29 @@ def audit_report(spark, sf_dir):
 _TABLES = """t AS (SELECT s_nationkey AS doc_ord, list(s_suppkey || ' | ' || s_name ORDER BY s_suppkey) AS rows FROM supplier GROUP BY 1)"""
 
 
-@query("table_classify")
+def _profile_sql(mark: str, least: int, extra: str) -> str:
+    """Whether the lines of ``ls`` that hold the mark have the profile of a table."""
+    cells = f"list_filter(list_transform(string_split(x, '{mark}'), lambda c: trim(c)), lambda c: c <> '')"
+    rows = f"list_filter(list_transform(list_filter(ls, lambda x: contains(x, '{mark}')), lambda x: {{'line': x, 'cells': {cells}}}), lambda r: len(r.cells) >= 2)"
+    return f"""SELECT source FROM (SELECT *, list_transform(rows, lambda r: len(r.cells)) AS widths, CAST(len(rows) AS DOUBLE) AS n FROM (SELECT source, {rows} AS rows FROM l))
+      WHERE n >= {least} AND list_max(list_transform(widths, lambda v: len(list_filter(widths, lambda y: y = v)))) / n >= 0.6
+      AND len(list_filter(rows, lambda r: list_max(list_transform(r.cells, lambda c: len(regexp_split_to_array(c, '\\s+')))) <= 8)) / n >= 0.6
+      AND len(list_filter(rows, lambda r: regexp_matches(r.line, '[.!?]$'))) / n <= 0.4 {extra}"""
+
+
+_WIDE = """AND (list_max(list_filter(widths, lambda v: len(list_filter(widths, lambda y: y = v)) / n >= 0.6)) >= 3
+  OR (len(list_filter(rows, lambda r: regexp_matches(r.cells[2], '^-?[0-9]+([.][0-9]+)?$'))) / n >= 0.5
+  AND len(list_filter(rows, lambda r: len(regexp_split_to_array(r.cells[1], '\\s+')) <= 3)) / n >= 0.5))"""
+
+
+@query(
+    "table_classify",
+    f"""WITH {_TABLES}, b AS (SELECT 'tables/' || doc_ord || '.txt' AS source, 'key | name' || chr(10) || array_to_string(rows, chr(10)) AS text FROM t
+      UNION ALL SELECT 'data/' || source || '/' || doc_id || '.txt', coalesce(text, '') FROM documents),
+    l AS (SELECT source, list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c]'), lambda x: {_STRIP.format("x")}), lambda x: x <> '')[1:30] AS ls FROM b),
+    yes AS ({_profile_sql("|", 2, "")} UNION {_profile_sql(",", 3, _WIDE)})
+    SELECT b.source, yes.source IS NOT NULL AS is_tabular FROM b LEFT JOIN yes USING (source)""",
+)
 def table_classify(spark, sf_dir):
     both = inputs.table_documents(spark, sf_dir).unionByName(inputs.documents(spark, sf_dir))
     return both.select("source", chunking.looks_tabular("text").alias("is_tabular"))
@@ -850,7 +894,12 @@ def html_text(spark, sf_dir):
     return parsers.parse_files(files).select("source", "status", "text")
 
 
-@query("json_flatten")
+@query(
+    "json_flatten",
+    """WITH x AS (SELECT event_id, unnest(json_keys(props)) AS k, props, generate_subscripts(json_keys(props), 1) AS n FROM events)
+    SELECT 'events/' || event_id || '.json' AS source, 'loaded' AS status, string_agg(k || ': ' || json_extract(props, '$."' || k || '"'), chr(10) ORDER BY n) AS text
+    FROM x GROUP BY event_id""",
+)
 def json_flatten(spark, sf_dir):
     files = inputs.table(spark, sf_dir, "events").select(
         F.concat(F.lit("events/"), F.col("event_id"), F.lit(".json")).alias("path"), F.col("props").cast("binary").alias("content")
