@@ -8,6 +8,8 @@ top rows are known.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -238,19 +240,45 @@ def hashed_features(texts: DataFrame, key: str, settings: Settings = Settings())
     return summed.groupBy(key, t.hash_index("f", dim).alias("idx")).agg(F.sum("w").alias("weight"))
 
 
+#: Buckets of features that a worker remembers.
+KNOWN_FEATURES = 1_000_000
+
+
 def embed(texts: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
-    """(key, vector): unit vectors; texts without features get zeros."""
+    """(key, vector): unit vectors of hashed features, as ``hashed_features`` has them; texts without features get zeros.
+
+    A text has thousands of features and most are shared, so they are counted and looked up in Python batches
+    rather than sent through a shuffle each.
+    """
     dim = max(16, settings.vector_dimension)
-    rows = hashed_features(texts, key, settings).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("m"),
-        F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"),
-    )
-    places = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
-    dense = F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)))
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    # Vectors are made below the join, once for each text, whatever is computed from them above it.
-    made = rows.select(key, dense.alias("made"))
-    return texts.select(key).join(made, key, "left").select(key, F.coalesce("made", zeros).alias("vector"))
+    sizes = range(settings.vector_char_ngram_min, settings.vector_char_ngram_max + 1) if settings.vector_use_char_ngrams else ()
+    known: dict[str, int] = {}
+
+    def bucket(feature: str) -> int:
+        if (found := known.get(feature)) is None:
+            if len(known) >= KNOWN_FEATURES:
+                known.clear()
+            found = known[feature] = int.from_bytes(hashlib.sha1(feature.encode()).digest()[:8]) % dim
+        return found
+
+    @F.pandas_udf("array<double>")
+    def vectors(bodies: pd.Series) -> pd.Series:
+        out = []
+        for body in bodies:
+            counts = Counter({f"tok:{w}": n for w, n in Counter(body.split()).items()})
+            joined = body.replace(" ", "_")
+            weights = [float(n) for n in counts.values()]
+            features = list(counts)
+            for n in sizes:
+                grams = Counter(joined[i : i + n] for i in range(len(joined) - n + 1))
+                features += [f"ch{n}:{g}" for g in grams]
+                weights += [0.35 * c for c in grams.values()]
+            vector = np.bincount([bucket(f) for f in features], weights, dim) if features else np.zeros(dim)
+            norm = np.sqrt((vector * vector).sum())
+            out.append(vector / norm if norm else vector)
+        return pd.Series(out)
+
+    return texts.select(key, vectors(F.coalesce(F.lower(t.strip("text")), F.lit(""))).alias("vector"))
 
 
 def metadata_weight(settings: Settings) -> Column:

@@ -51,7 +51,7 @@ class Index:
         sizes = [settings.vector_char_ngram_min, settings.vector_char_ngram_max] if settings.vector_use_char_ngrams else []
         path = "-".join(map(str, [f"{self.path}/vectors", settings.vector_dimension, *sizes]))
         if not storage.exists(spark, f"{path}/_SUCCESS"):
-            texts = self.chunks.select(F.struct(*KEY).alias("key"), "text")
+            texts = storage.spread(self.chunks.select(F.struct(*KEY).alias("key"), "text"))
             made = retrieval.embed(texts, "key", settings).select("key.*", "vector")
             storage.written(made, path)
         return spark.read.parquet(path)
