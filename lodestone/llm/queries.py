@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, exact_dedup, language, lm_scoring, packing, quality, quotations, sharding, simhash, warc
+from lodestone.llm import decontaminate, exact_dedup, language, lm_scoring, oracles, packing, quality, quotations, repair, sharding, simhash, warc
 from lodestone.llm.shared import table
 
 #: Where the box keeps the vocabulary; operators take it as a parameter.
@@ -118,3 +118,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_quotation_linking")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.link_quotations(table(spark, sf_dir, "conversations")).drop("seq")
+
+
+@query("op13_conversation_repair", oracles.CONVERSATION_REPAIR)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"), damage=True)
