@@ -83,3 +83,23 @@ def _conversation_repair() -> str:
 
 
 CONVERSATION_REPAIR = _conversation_repair()
+
+
+HARD_NEGATIVES = """
+    WITH v AS (
+      SELECT row_number() OVER () AS i, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS ints
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.i AS anchor, a.vec_id AS anchor_id, r.i AS other, r.vec_id, a.label = r.label AS alike,
+        list_inner_product(a.ints, r.ints)::BIGINT AS score
+      FROM v a JOIN v r ON a.i <> r.i WHERE a.vec_id % 100 = 0),
+    p AS (
+      SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score, other FROM s WHERE alike
+      QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, other) <= 5)
+    SELECT p.anchor_id, positive_id, row_number() OVER w AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+    FROM p JOIN s ON p.anchor = s.anchor AND NOT s.alike AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+    WINDOW w AS (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.vec_id NULLS LAST, s.other)
+    QUALIFY row_number() OVER w <= 5
+    """
