@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, exact_dedup, language, lm_scoring, negatives, oracles, packing, quality, quotations, repair, sharding, simhash, warc
+from lodestone.llm import decontaminate, exact_dedup, language, lm_scoring, negatives, oracles, packing, pii, quality, quotations, repair, sharding, simhash, warc
 from lodestone.llm.shared import table
 
 #: Where the box keeps the vocabulary; operators take it as a parameter.
@@ -120,6 +120,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.link_quotations(table(spark, sf_dir, "conversations")).drop("seq")
 
 
+@query("op11_personal_data")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 @query("op12_hard_negatives", oracles.HARD_NEGATIVES)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
