@@ -44,6 +44,8 @@ LABELS = len(KINDS) + 1  # 0: plain
 EMAIL, IP, CARD, PHONE = 1, 2, 3, 4
 #: Pieces of chains that weights are learned from, and tokens of one.
 SAMPLE, PIECE = 20_000, 32
+#: Weight of the squares of all weights: forms never met then say little, and likeness decides.
+RIDGE = 1e-3
 ROUNDS, STEPS = 10, 120
 #: Log potential of a known label.
 KNOWN = 12.0
@@ -380,7 +382,7 @@ def fit(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], agree: int = 0,
         pairs = (nodes + forward)[right - 1][:, :, None] + change[None] + (nodes + backward)[right][:, None, :]
         pairs = np.exp(pairs - _log_sum(pairs.reshape(len(right), -1), 1)[:, None, None]) if len(right) else np.zeros((0, LABELS, LABELS))
         gradient[FEATURES:] = pairs.sum(0) - seen
-        gradient = gradient / n + 1e-4 * at
+        gradient = gradient / n + RIDGE * at
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
         moments[1] = 0.99 * moments[1] + 0.01 * gradient**2
         at = at - 0.1 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)

@@ -127,7 +127,8 @@ def corpus():
             f"version {rng.randint(1, 9)}.{rng.randint(0, 9)}",
             f"{rng.randint(1, 500)} items",
         ]
-        rows.append((i, f"{say(5)} {found[i % 7]} {say(5)} {found[(i // 7) % 7]} {say(3)}."))
+        again = found[i % 7] if i % 3 == 0 else say(2)
+        rows.append((i, f"{say(5)} {found[i % 7]} {say(5)} {found[(i // 7) % 7]} {say(3)} {again} {say(1)}."))
     return rows
 
 
