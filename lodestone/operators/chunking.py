@@ -198,13 +198,25 @@ def repeated_keys(chunks: DataFrame) -> DataFrame:
     return counts.where("repeat_count > 1")
 
 
-def with_boilerplate(chunks: DataFrame, repeats: DataFrame | None = None) -> DataFrame:
-    """Adds boilerplate_key, repeat_count and is_repeated; ``repeats`` if they are known already.
+#: Chunks of one text that a task may meet; a text with more, or more than a ``HEAVY_KEYS``-th of all, is a heavy one.
+HEAVY_ROWS, HEAVY_KEYS = 4096, 500
 
-    Only texts that do repeat are joined back, so the shared keys are few beside the chunks.
+
+def repeat_counts(keys: DataFrame, repeats: DataFrame, total: int) -> DataFrame:
+    """``keys`` (any columns and boilerplate_key) of the chunks that repeat, with their repeat_count.
+
+    Heavy texts, fewer than ``HEAVY_KEYS`` whatever the size of the table, come to their chunks by a broadcast; the
+    chunks of all others meet theirs in a shuffle, so no task gets all chunks of a text that fills the corpus.
     """
-    keyed = chunks if "boilerplate_key" in chunks.columns else chunks.withColumn("boilerplate_key", t.boilerplate_key("text"))
-    found = keyed.join(repeated_keys(keyed) if repeats is None else repeats, "boilerplate_key", "left")
+    heavy = F.col("repeat_count") > max(HEAVY_ROWS, total // HEAVY_KEYS)
+    marked = keys.join(F.broadcast(repeats.where(heavy)), "boilerplate_key", "left")
+    rest = marked.where("repeat_count is null").drop("repeat_count")
+    return marked.where("repeat_count is not null").unionByName(rest.join(repeats.where(~heavy), "boilerplate_key").select(marked.columns))
+
+
+def with_boilerplate(chunks: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds repeat_count and is_repeated to chunks, by the ``keys`` that name one chunk."""
+    found = chunks.join(counts.select(*keys, "repeat_count"), keys, "left")
     found = found.withColumn("repeat_count", F.coalesce("repeat_count", F.lit(1).cast("long")))
     return found.withColumn("is_repeated", F.col("repeat_count") > 1)
 

@@ -88,7 +88,7 @@ def lexical_scores(queries: DataFrame, index: DataFrame, metric: str = "overlap"
     """(query_id, doc_ord, chunk_index, base): ``overlap`` counts occurrences per query term, ``containment`` is
     the share of query terms present, ``jaccard`` that of all terms of both."""
     asked = queries.select("query_id", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
-    hits = index.join(F.broadcast(asked) if _small(asked) else asked, "term")
+    hits = index.join(F.broadcast(asked) if small(asked) else asked, "term")
     grouped = hits.groupBy("query_id", "asked", *KEY).agg(F.sum("tf").alias("occurrences"), F.count("*").alias("shared"))
     if metric == "jaccard":
         sizes = index.groupBy(*KEY).agg(F.count("*").alias("distinct_terms"))
@@ -105,7 +105,7 @@ def lexical_scores(queries: DataFrame, index: DataFrame, metric: str = "overlap"
 BROADCAST_TERMS = 1_000_000
 
 
-def _small(asked: DataFrame) -> bool:
+def small(asked: DataFrame) -> bool:
     """Counted, not assumed: at most ``BROADCAST_TERMS`` rows, else a shuffle join is left to Spark."""
     return asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
 
@@ -115,8 +115,14 @@ def _small(asked: DataFrame) -> bool:
 FREQUENT = 0.05
 
 
-def _with_idf(index: DataFrame, weights: DataFrame, n: Column) -> DataFrame:
-    """Postings with the idf of their term; frequent terms come by a small broadcast, no task gets all of "the"."""
+def with_idf(index: DataFrame, weights: DataFrame, n: Column) -> DataFrame:
+    """Postings with the ``idf`` of their term, from ``weights`` (term, df, idf).
+
+    A vocabulary that is counted to be small is broadcast.  Else frequent terms alone are, and no task gets
+    all of "the".
+    """
+    if small(weights):
+        return index.join(F.broadcast(weights.select("term", "idf")), "term").select(*index.columns, "idf")
     often = weights.where(F.col("df") > n * FREQUENT).select("term", F.col("idf").alias("often"))
     seldom = weights.where(F.col("df") <= n * FREQUENT).select(F.col("term").alias("looked_up"), F.col("idf").alias("seldom"))
     marked = index.join(F.broadcast(often), "term", "left")
@@ -135,13 +141,12 @@ def tfidf_scores(queries: DataFrame, index: DataFrame, candidates: int) -> DataF
     n = F.lit(float(candidates))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
-    norms = _with_idf(index, weights, n).groupBy(*KEY).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
+    norms = with_idf(index, weights, n).groupBy(*KEY).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
     terms = queries.select("query_id", F.explode("terms").alias("term"))
     unseen = F.log(n + 1) + 1
     asked = terms.join(weights, "term", "left").select("query_id", "term", F.coalesce("idf", unseen).alias("idf"))
     lengths = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("q_norm"))
-    small = F.broadcast(asked) if _small(terms) else asked
-    dots = index.join(small, "term").groupBy("query_id", *KEY).agg(
+    dots = index.join(F.broadcast(asked) if small(terms) else asked, "term").groupBy("query_id", *KEY).agg(
         F.sum(F.col("tf") * F.col("idf") * F.col("idf")).alias("dot")
     )
     return (
@@ -326,10 +331,7 @@ def ranked(scores: DataFrame, k: int | None, score: str = "score", ties: list[st
 
 
 def thresholded(scores: DataFrame, least: float, value: Column | None = None) -> DataFrame:
-    """Scores that reach the threshold before rounding to four places.
-
-    A threshold of zero or less would also admit chunks that share no term; join candidates first for that.
-    """
+    """Scores that reach the threshold before rounding to four places."""
     value = F.col("base") if value is None else value
     return scores.withColumn("final", value).where(F.col("final") >= least).withColumn("score", F.round("final", 4))
 

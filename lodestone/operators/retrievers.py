@@ -1,21 +1,23 @@
 """Governed retrieval: filter by lifecycle, score, weigh, threshold, rank.
 
 A request is a batch of queries against an index; an answer is a table of ranked chunks and one row of
-diagnostics for each query.  The index is written once: chunks, their postings, and texts that repeat.
+diagnostics for each query.  The index is written once: chunks, their postings in blocks with largest
+impacts, lengths, and the counts of texts that repeat.  ``pruning`` finds the best rows without scoring all pairs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import storage
 from lodestone.config import Settings
 from lodestone.functions import text as t
-from lodestone.operators import chunking, lifecycle, retrieval
+from lodestone.operators import chunking, lifecycle, pruning, retrieval
 from lodestone.operators.retrieval import KEY
 
 
@@ -26,25 +28,46 @@ class Index:
     path: str
     chunks: DataFrame
     postings: DataFrame
+    maxima: DataFrame
+    lengths: DataFrame
+    frequencies: DataFrame
     repeats: DataFrame
 
+    TABLES = ("chunks", "postings", "maxima", "lengths", "frequencies", "repeats")
+
     @classmethod
     def write(cls, chunks: DataFrame, path: str) -> Index:
         """The index of a chunk table, at ``path``."""
+        spark = chunks.sparkSession
         if "boilerplate_key" not in chunks.columns:
             chunks = chunks.withColumn("boilerplate_key", t.boilerplate_key("text"))
-        held = storage.written(chunks, f"{path}/chunks")
-        postings = storage.written(retrieval.postings(held), f"{path}/postings")
-        repeats = storage.written(chunking.repeated_keys(held), f"{path}/repeats")
-        return cls(path, held, postings, repeats)
+        held = storage.written(pruning.with_blocks(chunks), f"{path}/chunks")
+        n = held.count()
+        by_term = ["term", "block"]
+        postings = storage.written(pruning.flat_postings(held).sortWithinPartitions(*by_term), f"{path}/postings")
+        df = postings.groupBy("term").agg(F.count("*").alias("df"))
+        weights = storage.written(df.withColumn("idf", pruning.idf(F.lit(float(n)), F.col("df"))), f"{path}/frequencies")
+        lengths = storage.written(pruning.lengths(postings, weights, float(n)), f"{path}/lengths")
+        storage.written(pruning.maxima(postings, lengths).sortWithinPartitions(*by_term), f"{path}/maxima")
+        with storage.scratch(spark, "repeats") as work:
+            keys = held.select(*KEY, "boilerplate_key")
+            repeats = storage.written(chunking.repeated_keys(keys), work)
+            storage.written(chunking.repeat_counts(keys, repeats, n), f"{path}/repeats")
+        return cls.open(spark, path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
-        return cls(path, *[spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "repeats")])
+        return cls(path, *[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES])
 
     def counted(self) -> DataFrame:
         """Chunks with their boilerplate counts."""
-        return chunking.with_boilerplate(self.chunks, self.repeats)
+        return chunking.with_boilerplate(self.chunks, self.repeats, KEY)
+
+    def statistics(self, gone: DataFrame) -> pruning.Statistics:
+        """Document frequencies and lengths without the chunks of ``gone`` (keys)."""
+        spark = self.chunks.sparkSession
+        whole = pruning.Statistics(self.chunks.count(), self.frequencies, self.lengths, 1.0)
+        return pruning.statistics(spark, self.path, self.postings, whole, gone)
 
     def vectors(self, settings: Settings) -> DataFrame:
         spark = self.chunks.sparkSession
@@ -112,10 +135,10 @@ def candidates(request: Request) -> DataFrame:
     unit = F.col("source_unit_id") if "source_unit_id" in chunks.columns else t.source_unit_id("source")
     rows = chunks.select(
         *KEY,
+        "block",
         unit.alias("source_unit_id"),
         *[c for c in rules if c not in own],
         *own,
-        "boilerplate_key",
         F.coalesce(tabular, F.lit(False)).alias("is_tabular"),
         F.when(tabular, header).alias("header_text"),
         F.when(tabular, F.col("text")).alias("table_text"),
@@ -125,9 +148,10 @@ def candidates(request: Request) -> DataFrame:
     settings = request.settings
     weights = settings.replace(metadata_weight_rules={k: v for k, v in settings.metadata_weight_rules.items() if k in rules})
     filtered = lifecycle.with_filter_reason(rows, records, settings, now)
-    counted = chunking.with_boilerplate(filtered, request.index.repeats)
+    counted = chunking.with_boilerplate(filtered, request.index.repeats, KEY)
     return counted.select(
         *KEY,
+        "block",
         "filter_reason",
         "is_tabular",
         "header_text",
@@ -143,7 +167,11 @@ def asked_terms(request: Request) -> DataFrame:
     return found.withColumn("tabular", retrieval.tabular_intent("query", request.thesaurus))
 
 
-def _weighed(scores: DataFrame, kept: DataFrame, asked: DataFrame, settings: Settings, least: float) -> DataFrame:
+def _boosted(settings: Settings, kept: DataFrame, asked: DataFrame) -> bool:
+    return settings.table_aware_boost_enabled and not kept.where("is_tabular").isEmpty() and not asked.where("tabular").isEmpty()
+
+
+def _weighed(scores: DataFrame, kept: DataFrame, asked: DataFrame, settings: Settings, least: float, boosted: bool) -> DataFrame:
     """Scores of kept chunks times their factors, from the threshold on.
 
     Scores that no factor can lift to the threshold go before the join; table texts meet queries only where a
@@ -153,7 +181,7 @@ def _weighed(scores: DataFrame, kept: DataFrame, asked: DataFrame, settings: Set
     rows = scores.join(kept.where("filter_reason is null").drop("filter_reason"), KEY)
     names = ["query_id", *KEY, "base", "metadata_weight", "boilerplate_penalty", "table_boost"]
     plain = F.lit(1.0).alias("table_boost")
-    if settings.table_aware_boost_enabled and not kept.where("is_tabular").isEmpty() and not asked.where("tabular").isEmpty():
+    if boosted:
         tables = rows.where("is_tabular").join(asked.select("query_id", "terms", "tabular"), "query_id")
         boosted = tables.withColumn("text", F.col("table_text")).withColumn("table_boost", retrieval.table_boost(settings, F.col("tabular")))
         rows = rows.where("not is_tabular").select(*names[:-1], plain).unionByName(boosted.select(*names))
@@ -189,76 +217,217 @@ def _diagnostics(request: Request, backend: str, asked: DataFrame, kept: DataFra
     return rows.join(said, "query_id", "left")
 
 
+def _largest_boost(settings: Settings) -> float:
+    """A bound of the table boost."""
+    gains = (settings.table_intent_base_boost, settings.table_header_match_boost, settings.table_row_match_boost)
+    return 1 + sum(max(0.0, g) for g in gains) if settings.table_aware_boost_enabled else 1.0
+
+
+def _largest_factor(settings: Settings) -> float:
+    """A bound of the product of all factors of a chunk."""
+    out = 1.0
+    if settings.metadata_weighting_enabled:
+        for weights in settings.metadata_weight_rules.values():
+            out *= max([1.0, *[float(w) for w in weights.values() if isinstance(w, (int, float))]])
+    return out * _largest_boost(settings)
+
+
+@dataclass(frozen=True)
+class Work:
+    """What a request has at hand: its chunks with their factors, its terms, and a folder that is deleted after it."""
+
+    request: Request
+    kept: DataFrame
+    asked: DataFrame
+    folder: str
+
+    @cached_property
+    def boosted(self) -> bool:
+        """Whether any table can be boosted for any query."""
+        return _boosted(self.request.settings, self.kept, self.asked)
+
+    @cached_property
+    def rows(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The asked (query_id, asked, term), and the index's postings and largest impacts of those terms."""
+        asked = self.asked.select("query_id", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
+        terms = self.written(asked.select("term").distinct(), "terms")
+        index = self.request.index
+        held = [self.written(pruning.of_terms(x, terms), name) for x, name in ((index.postings, "postings"), (index.maxima, "maxima"))]
+        return asked, *held
+
+    def weighed(self, scores: DataFrame) -> DataFrame:
+        settings = self.request.settings
+        return _weighed(scores, self.kept, self.asked, settings, settings.min_retrieval_score, self.boosted)
+
+    def written(self, table: DataFrame, name: str) -> DataFrame:
+        return storage.written(table, f"{self.folder}/{name}")
+
+    def bounds(self, scorer: pruning.Scorer, name: str) -> DataFrame:
+        """(query_id, block, bound) of final scores."""
+        settings = self.request.settings
+        factor = F.max(F.col("metadata_weight") * F.col("boilerplate_penalty")).alias("factor")
+        factors = self.kept.where("filter_reason is null").groupBy("block").agg(factor, F.max("is_tabular").alias("tables"))
+        boost = F.when(F.col("tables"), _largest_boost(settings)).otherwise(1.0)
+        found = scorer.bounds().join(factors, "block").withColumn("bound", F.col("bound") * F.col("factor") * boost)
+        return self.written(found.select("query_id", "block", "bound"), f"{name}-bounds")
+
+    def best(self, scorer: pruning.Scorer, depth: int | DataFrame, name: str) -> DataFrame:
+        """The ``depth`` best rows of each query, or as many as (query_id, depth) say, with rank and components, exactly."""
+        least = self.request.settings.min_retrieval_score
+        depths = self.asked.select("query_id", F.lit(depth).alias("depth")) if isinstance(depth, int) else depth
+        bounds = self.bounds(scorer, name)
+        first = pruning.best_blocks(bounds, depths)
+        pairs = pruning.reaching(bounds, None, least)
+        if pairs.count() > pruning.WORTH_A_FLOOR * first.count():
+            floors = self.written(pruning.floors(self.weighed(scorer.exact(first)), depths), f"{name}-floors")
+            pairs = pruning.reaching(bounds, floors, least)
+        pairs = self.written(pairs, f"{name}-pairs")
+        rows = self.weighed(scorer.exact(pairs))
+        if least <= 0:
+            rows = self.filled(rows, depths)
+        top = retrieval.ranked(rows, None).join(F.broadcast(depths) if retrieval.small(depths) else depths, "query_id")
+        return self.written(top.where("rank <= depth").drop("depth"), name)
+
+    def down_to(self, scorer: pruning.Scorer, floors: DataFrame, name: str) -> DataFrame:
+        """All rows from each query's floor on, ranked; queries without a floor have none."""
+        bounds = self.request.index.chunks.sparkSession.read.parquet(f"{self.folder}/{name}-bounds")
+        own = bounds.join(floors.select("query_id"), "query_id", "left_semi")
+        pairs = pruning.reaching(own, floors, self.request.settings.min_retrieval_score)
+        rows = self.weighed(scorer.exact(pairs)).join(floors, "query_id").where(F.col("final") >= F.col("floor")).drop("floor")
+        return self.written(retrieval.ranked(rows, None), f"{name}-deep")
+
+    def filled(self, rows: DataFrame, depths: DataFrame) -> DataFrame:
+        """A threshold of zero or less also admits chunks that share no term, in corpus order behind all hits.
+
+        For that the first chunks of the corpus are enough, twice as many as are asked for: fewer than the
+        depth of them can be hits of a query that needs any.
+        """
+        depth = depths.agg(F.max("depth")).first()[0] or 0
+        top = retrieval.ranked(rows, depth).drop("rank")
+        stay = self.kept.where("filter_reason is null")
+        first = stay.join(self.request.index.lengths.select(*KEY), KEY, "left_semi")
+        first = first.select(*KEY, "metadata_weight", "boilerplate_penalty").orderBy(*KEY).limit(min(2 * depth, 1 << 20))
+        queries = self.asked.where(F.size("terms") > 0).select("query_id")
+        zero = {"base": F.lit(0.0), "table_boost": F.lit(1.0), "final": F.lit(0.0), "score": F.lit(0.0)}
+        zeros = queries.crossJoin(F.broadcast(first)).withColumns(zero)  # a stated number of rows for each query
+        hits = top.select("query_id", *KEY)
+        return top.unionByName(zeros.join(hits, ["query_id", *KEY], "left_anti").select(top.columns))
+
+
 @dataclass(frozen=True)
 class _Scored:
     """Shared course of the retrievers: candidates, terms, scores by the backend, rank."""
 
-    def lists(self, request: Request, asked: DataFrame, kept: DataFrame) -> DataFrame:
+    def top(self, work: Work) -> DataFrame:
+        """The best rows of each query: rank, keys, score and its parts."""
         raise NotImplementedError
 
     def retrieve(self, request: Request) -> Response:
-        kept, asked = candidates(request), asked_terms(request)
-        rows = self.lists(request, asked, kept).withColumn("score_components", score_components())
-        ranked = retrieval.ranked(rows, request.settings.top_k)
-        ranked = ranked.select("query_id", "rank", *KEY, "score", "score_components")
-        return Response(ranked, _diagnostics(request, self.name, asked, kept, ranked))
-
-
-def _retained(request: Request, kept: DataFrame) -> DataFrame:
-    """Postings of the chunks that stay; those that go are looked up, as they are the fewer."""
-    gone = kept.where("filter_reason is not null").select(*KEY)
-    return request.index.postings.join(gone, KEY, "left_anti")
+        spark = request.index.chunks.sparkSession
+        found = storage.new_folder(spark, "answers")
+        with storage.scratch(spark, "request") as folder:
+            kept = storage.written(candidates(request), f"{folder}/kept")
+            asked = storage.written(asked_terms(request), f"{folder}/asked")
+            rows = self.top(Work(request, kept, asked, folder)).withColumn("score_components", score_components())
+            ranked = storage.written(rows.select("query_id", "rank", *KEY, "score", "score_components"), f"{found}/ranked")
+            diagnostics = storage.written(_diagnostics(request, self.name, asked, kept, ranked), f"{found}/diagnostics")
+        return Response(ranked, diagnostics)
 
 
 @dataclass(frozen=True)
 class LexicalRetriever(_Scored):
     name: str = "lexical"
 
-    def lists(self, request, asked, kept):
-        settings = request.settings
-        scores = retrieval.lexical_scores(asked, request.index.postings, settings.lexical_similarity_metric)
-        return _weighed(scores, kept, asked, settings, settings.min_retrieval_score)
+    def scorer(self, work: Work) -> pruning.Scorer:
+        return pruning.Lexical(*work.rows, work.request.settings.lexical_similarity_metric, work.request.index.lengths)
+
+    def top(self, work):
+        return work.best(self.scorer(work), work.request.settings.top_k, self.name)
 
 
 @dataclass(frozen=True)
 class TfidfRetriever(_Scored):
     name: str = "tfidf"
 
-    def lists(self, request, asked, kept):
-        n = kept.where("filter_reason is null").count()
-        scores = retrieval.tfidf_scores(asked, _retained(request, kept), n)
-        return _weighed(scores, kept, asked, request.settings, request.settings.min_retrieval_score)
+    def scorer(self, work: Work) -> pruning.Scorer:
+        statistics = work.request.index.statistics(work.kept.where("filter_reason is not null").select(*KEY))
+        asked, *rows = work.rows
+        terms = work.written(pruning.Tfidf.terms(asked, statistics), f"{self.name}-terms")
+        return pruning.Tfidf(terms, *rows, statistics)
+
+    def top(self, work):
+        return work.best(self.scorer(work), work.request.settings.top_k, self.name)
 
 
 @dataclass(frozen=True)
 class HybridRrfRetriever(_Scored):
-    """Reciprocal ranks of the whole lexical and tf-idf lists; components are those of the first list with the row."""
+    """Reciprocal ranks of the whole lexical and tf-idf lists; components are those of the first list with the row.
+
+    The lists are never made whole.  Both are read to a depth at which a row that neither shows cannot be
+    among the best any more, even if it came next in both.  A row that one of them shows gets between nothing and one more
+    rank of the other list; only if that decides, the other list is read down to the row's own score, which
+    gives its rank.
+    """
 
     name: str = "hybrid_rrf"
 
-    def lists(self, request, asked, kept):
-        first, second = (
-            retrieval.ranked(r.lists(request, asked, kept), None) for r in (LexicalRetriever(), TfidfRetriever())
-        )
-        fused = retrieval.rrf(first, second, request.settings.hybrid_rrf_k)
-        parts = ["base", "metadata_weight", "boilerplate_penalty", "table_boost", "final"]
+    def top(self, work):
+        settings = work.request.settings
+        k, offset = settings.top_k, max(1, settings.hybrid_rrf_k)
+        depth = 2 * (offset + 2 * k)
+        if 2 / (offset + depth + 1) + 1e-6 >= 1 / (offset + k):  # ranks too many for six places
+            depth = 1 << 30
+        backends = LexicalRetriever(), TfidfRetriever()
+        scorers = [b.scorer(work) for b in backends]
+        second = work.best(scorers[1], depth, backends[1].name)
+        # Beside a list that is whole, rows of the other alone are decided by its own best k.
+        deep = second.groupBy("query_id").count().where(F.col("count") >= depth).select("query_id", F.lit(depth).alias("depth"))
+        depths = work.asked.select("query_id").join(deep, "query_id", "left").fillna(k, ["depth"])
+        depths = work.written(depths.withColumnRenamed("depth", "a_depth").withColumn("b_depth", F.lit(depth)), "depths")
+        first = work.best(scorers[0], depths.select("query_id", F.col("a_depth").alias("depth")), backends[0].name)
+        both = work.written(_side_by_side(first, second).join(depths, "query_id"), "both")
+        share = lambda c: F.coalesce(1 / (F.lit(offset) + F.col(c)), F.lit(0.0))
+        open_ = lambda c: F.col(f"{c}_rank").isNull() & (F.col(f"{c}_rows") >= F.col(f"{c}_depth"))
+        more = lambda c: F.when(open_(c), 1 / (offset + 1 + F.col(f"{c}_depth"))).otherwise(0.0)
+        known = both.withColumns({"low": share("a_rank") + share("b_rank"), "a_open": open_("a"), "b_open": open_("b")})
+        known = known.withColumn("high", F.col("low") + more("a") + more("b"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("low"), *KEY)
+        kth = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select("query_id", F.col("low").alias("bar"))
+        viable = known.join(kth, "query_id", "left").where(F.col("high") >= F.coalesce("bar", F.lit(0.0)) - 1e-6)
+        viable = work.written(viable.drop("bar"), "viable")
+        for c, scorer, backend in zip("ab", scorers, backends):
+            viable = self._deeper(work, viable, c, scorer, backend.name)
+        fused = viable.withColumn("score", F.round(share("a_rank") + share("b_rank"), 6)).withColumn("p", F.coalesce("a", "b"))
+        return retrieval.ranked(fused.select("query_id", *KEY, "score", "p.*"), k)
+
+    @staticmethod
+    def _deeper(work: Work, viable: DataFrame, c: str, scorer: pruning.Scorer, name: str) -> DataFrame:
+        """``viable`` with the ranks that list ``c`` does not show and that may decide."""
         keys = ["query_id", *KEY]
-        a = first.select(*keys, F.struct(*parts).alias("first"))
-        b = second.select(*keys, F.struct(*parts).alias("second"))
-        rows = fused.join(a, keys, "left").join(b, keys, "left").withColumn("p", F.coalesce("first", "second"))
-        return rows.select(*keys, "score", "p.*")
+        missing = viable.where(f"{c}_open").select(*keys)
+        if missing.isEmpty():
+            return viable
+        places = work.kept.select(*KEY, "block")
+        pairs = missing.join(places, KEY).select("query_id", "block").distinct()
+        own = work.weighed(scorer.exact(pairs)).join(missing, keys, "left_semi")
+        floors = own.groupBy("query_id").agg((F.min("score") - pruning.ROUNDING).alias("floor"))
+        deep = work.down_to(scorer, work.written(floors, f"{name}-down"), name)
+        found = deep.join(missing, keys, "left_semi").select(*keys, F.col("rank").alias("r"), F.struct(*PARTS).alias("s"))
+        return viable.join(found, keys, "left").withColumns({f"{c}_rank": F.coalesce(f"{c}_rank", "r"), c: F.coalesce(c, "s")}).drop("r", "s")
 
 
-def _largest_factor(settings: Settings) -> float:
-    """A bound of the product of all factors of a chunk."""
-    out = 1.0
-    if settings.metadata_weighting_enabled:
-        for weights in settings.metadata_weight_rules.values():
-            out *= max([1.0, *[float(w) for w in weights.values() if isinstance(w, (int, float))]])
-    if settings.table_aware_boost_enabled:
-        gains = (settings.table_intent_base_boost, settings.table_header_match_boost, settings.table_row_match_boost)
-        out *= 1 + sum(max(0.0, g) for g in gains)
-    return out
+PARTS = ["base", "metadata_weight", "boilerplate_penalty", "table_boost", "final"]
+
+
+def _side_by_side(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(query_id, keys, a_rank, a, a_rows, b_rank, b, b_rows): two lists joined once, with how many rows each has."""
+    sides = []
+    for c, rows in zip("ab", (first, second)):
+        sides.append(rows.select("query_id", *KEY, F.col("rank").alias(f"{c}_rank"), F.struct(*PARTS).alias(c)))
+        sides.append(rows.groupBy("query_id").agg(F.count("*").alias(f"{c}_rows")))
+    a, a_rows, b, b_rows = sides
+    found = a.join(b, ["query_id", *KEY], "full_outer").join(a_rows, "query_id", "left").join(b_rows, "query_id", "left")
+    return found.fillna(0, ["a_rows", "b_rows"])
 
 
 @dataclass(frozen=True)
@@ -268,7 +437,8 @@ class VectorRetriever(_Scored):
     embedder: VectorEmbedder = field(default_factory=HashingEmbedder)
     name: str = "vector"
 
-    def lists(self, request, asked, kept):
+    def top(self, work):
+        request, asked, kept = work.request, work.asked, work.kept
         settings = request.settings
         said = F.when(F.size("terms") > 0, F.array_join(F.array_sort("terms"), " ")).otherwise(F.col("query"))
         texts = asked.select("query_id", said.alias("text")).where(t.strip("text") != "")
@@ -282,7 +452,7 @@ class VectorRetriever(_Scored):
         # What cannot reach the threshold by any factor is not needed.
         least = settings.min_retrieval_score / max(1.0, _largest_factor(settings))
         scores = retrieval.vector_scores(queries, vectors.join(stay, KEY, "left_semi"), settings.vector_similarity_metric, least)
-        return _weighed(scores, kept, asked, settings, settings.min_retrieval_score)
+        return retrieval.ranked(work.weighed(scores), settings.top_k)
 
 
 BACKENDS: dict[str, type] = {

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,16 @@ def written(table: DataFrame, path: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of the shared one, deleted at the end; nothing may read its tables after that."""
+    path = new_folder(spark, name)
+    try:
+        yield path
+    finally:
+        discard(spark, path)
+
+
 #: Bytes of a table that is dealt to all cores if it has fewer parts than there are.
 SMALL_TABLE = 64 << 20
 
