@@ -15,6 +15,57 @@ from pyspark.sql import functions as F
 
 from lodestone import storage
 from lodestone.functions import text as t
+from lodestone.operators.retrieval import small
+
+
+#: Blank-separated words from which on a phrase has two whole words in its inside.
+ANCHORED_WORDS = 4
+
+
+def _pairs(words: str) -> Column:
+    """Neighbouring words of an array column."""
+    n = F.size(words) - 1
+    zipped = F.arrays_zip(F.slice(words, 1, F.greatest(n, F.lit(0))).alias("a"), F.slice(words, 2, F.greatest(n, F.lit(0))).alias("b"))
+    return F.explode(zipped)
+
+
+def containing(texts: DataFrame, phrases: DataFrame, id_col: str, key_col: str) -> DataFrame:
+    """(key, id) of every phrase (key, phrase) and every text (id, text) that holds it as a substring.
+
+    A text that holds a phrase holds the words inside the phrase as whole words.  So each phrase is anchored
+    on its pair of inner words that the fewest texts have; pairs are looked up by equality while the texts
+    are read, and only texts with a phrase's anchor are searched for it.  Phrases of fewer than
+    ``ANCHORED_WORDS`` words have no such pair and go to the texts in a nested loop of their own.
+    Null texts and phrases hold nothing; an empty phrase is in every text.
+    """
+    spark = texts.sparkSession
+    texts = texts.select(F.col(id_col).alias("id"), "text").where("text is not null")
+    asked = phrases.select(F.col(key_col).alias("key"), "phrase").where("phrase is not null").withColumn("words", F.split("phrase", r"\s+"))
+    long = F.size("words") >= ANCHORED_WORDS
+    unit = F.concat_ws(" ", "pair.a", "pair.b").alias("unit")
+    inner = asked.where(long).select("key", F.slice("words", F.lit(2), F.size("words") - 2).alias("words"))
+    units = inner.select("key", _pairs("words").alias("pair")).select("key", unit).distinct()
+    wanted = units.select("unit").distinct()
+    held = lambda df: F.broadcast(df) if small(df) else df
+    out = storage.new_folder(spark, "phrases")
+    with storage.scratch(spark, "anchors") as folder:
+        words = texts.select("id", F.split("text", r"\s+").alias("words"))
+        hits = words.select("id", _pairs("words").alias("pair")).select("id", unit).join(held(wanted), "unit", "left_semi").distinct()
+        hits = storage.written(hits, f"{folder}/hits")
+        often = hits.groupBy("unit").agg(F.count("*").alias("n"))
+        # A phrase with a pair that no text has is nowhere.
+        known = units.join(often, "unit", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        anchors = known.groupBy("key").agg(F.min(F.struct("n", "unit")).alias("least")).where("least.n > 0").select("key", "least.unit")
+        anchors = storage.written(anchors, f"{folder}/anchors")
+        likely = storage.written(hits.join(held(anchors), "unit").select("id", "key"), f"{folder}/likely")
+        asked = asked.select("key", "phrase", long.alias("long"))
+        found = texts.join(held(likely), "id").join(held(asked.where("long")), "key").where(F.contains("text", "phrase"))
+        short = asked.where("not long")
+        looped = texts.join(F.broadcast(short) if small(short) else short.hint("shuffle_replicate_nl"), F.contains("text", "phrase"))
+        pairs = found.select("key", "id")
+        if not short.isEmpty():
+            pairs = pairs.unionByName(looped.select("key", "id"))
+        return storage.written(pairs, out).toDF(key_col, id_col)
 
 
 def retrieval_metrics(samples: DataFrame, ranked: DataFrame) -> DataFrame:

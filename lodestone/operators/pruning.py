@@ -131,13 +131,15 @@ class Scorer:
         hits = self.tops.join(F.broadcast(self.asked) if self.few else self.asked, "term")
         return hits.groupBy("query_id", "block").agg(self.bound(F.sum(self.impact())).alias("bound"))
 
-    def hits(self, pairs: DataFrame) -> DataFrame:
-        """The postings of the asked terms in the blocks of ``pairs`` (query_id, block)."""
+    def hits(self, pairs: DataFrame | None) -> DataFrame:
+        """The postings of the asked terms in the blocks of ``pairs`` (query_id, block), in all blocks without them."""
+        if pairs is None:
+            return self.postings.join(F.broadcast(self.asked) if self.few else self.asked, "term")
         wanted = self.asked.join(pairs, "query_id")
         return self.postings.join(F.broadcast(wanted) if small(wanted) else wanted, ["block", "term"])
 
-    def exact(self, pairs: DataFrame) -> DataFrame:
-        """(query_id, keys, base) of the chunks of ``pairs`` that share a term."""
+    def exact(self, pairs: DataFrame | None) -> DataFrame:
+        """(query_id, keys, base) of the chunks of ``pairs`` that share a term, of all that do without them."""
         raise NotImplementedError
 
 
@@ -197,6 +199,8 @@ class Tfidf(Scorer):
 
 #: Blocks that are scored first, besides one for each asked row, as the best rows may all lie in different ones.
 FIRST_BLOCKS = 8
+#: Postings of all asked terms up to which every pair is scored in one plan, as bounds would cost more than they save.
+DIRECT_HITS = 2_000_000
 #: Where the threshold alone leaves fewer blocks than so many times the first ones, no floor is looked for.
 WORTH_A_FLOOR = 16
 

@@ -246,10 +246,19 @@ class Work:
         """Whether any table can be boosted for any query."""
         return _boosted(self.request.settings, self.kept, self.asked)
 
+    @cached_property
+    def direct(self) -> bool:
+        """Whether all asked terms together have so few postings that every pair is scored."""
+        terms = self.asked.select(F.explode("terms").alias("term"))
+        hits = self.request.index.frequencies.join(F.broadcast(terms) if retrieval.small(terms) else terms, "term")
+        return (hits.agg(F.sum("df")).first()[0] or 0) <= pruning.DIRECT_HITS
+
     @cached_property
     def rows(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The asked (query_id, asked, term), and the index's postings and largest impacts of those terms."""
         asked = self.asked.select("query_id", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
+        if self.direct:
+            return asked, self.request.index.postings, self.request.index.maxima
         terms = self.written(asked.select("term").distinct(), "terms")
         index = self.request.index
         held = [self.written(pruning.of_terms(x, terms), name) for x, name in ((index.postings, "postings"), (index.maxima, "maxima"))]
@@ -275,6 +284,8 @@ class Work:
         """The ``depth`` best rows of each query, or as many as (query_id, depth) say, with rank and components, exactly."""
         least = self.request.settings.min_retrieval_score
         depths = self.asked.select("query_id", F.lit(depth).alias("depth")) if isinstance(depth, int) else depth
+        if self.direct and isinstance(depth, int):
+            return retrieval.ranked(self.filled(self.weighed(scorer.exact(None))), depth)
         bounds = self.bounds(scorer, name)
         first = pruning.best_blocks(bounds, depths)
         pairs = pruning.reaching(bounds, None, least)
@@ -282,10 +293,7 @@ class Work:
             floors = self.written(pruning.floors(self.weighed(scorer.exact(first)), depths), f"{name}-floors")
             pairs = pruning.reaching(bounds, floors, least)
         pairs = self.written(pairs, f"{name}-pairs")
-        rows = self.weighed(scorer.exact(pairs))
-        if least <= 0:
-            rows = self.filled(rows, depths)
-        top = retrieval.ranked(rows, None).join(F.broadcast(depths) if retrieval.small(depths) else depths, "query_id")
+        top = retrieval.ranked(self.filled(self.weighed(scorer.exact(pairs))), None).join(F.broadcast(depths) if retrieval.small(depths) else depths, "query_id")
         return self.written(top.where("rank <= depth").drop("depth"), name)
 
     def down_to(self, scorer: pruning.Scorer, floors: DataFrame, name: str) -> DataFrame:
@@ -296,22 +304,22 @@ class Work:
         rows = self.weighed(scorer.exact(pairs)).join(floors, "query_id").where(F.col("final") >= F.col("floor")).drop("floor")
         return self.written(retrieval.ranked(rows, None), f"{name}-deep")
 
-    def filled(self, rows: DataFrame, depths: DataFrame) -> DataFrame:
+    def filled(self, rows: DataFrame) -> DataFrame:
         """A threshold of zero or less also admits chunks that share no term, in corpus order behind all hits.
 
-        For that the first chunks of the corpus are enough, twice as many as are asked for: fewer than the
-        depth of them can be hits of a query that needs any.
+        For the best ``top_k`` the first chunks of the corpus are enough, twice as many: fewer than ``top_k`` of
+        them can be hits of a query that needs any.
         """
-        depth = depths.agg(F.max("depth")).first()[0] or 0
-        top = retrieval.ranked(rows, depth).drop("rank")
+        if self.request.settings.min_retrieval_score > 0:
+            return rows
         stay = self.kept.where("filter_reason is null")
         first = stay.join(self.request.index.lengths.select(*KEY), KEY, "left_semi")
-        first = first.select(*KEY, "metadata_weight", "boilerplate_penalty").orderBy(*KEY).limit(min(2 * depth, 1 << 20))
+        first = first.select(*KEY, "metadata_weight", "boilerplate_penalty").orderBy(*KEY).limit(2 * self.request.settings.top_k)
         queries = self.asked.where(F.size("terms") > 0).select("query_id")
         zero = {"base": F.lit(0.0), "table_boost": F.lit(1.0), "final": F.lit(0.0), "score": F.lit(0.0)}
         zeros = queries.crossJoin(F.broadcast(first)).withColumns(zero)  # a stated number of rows for each query
-        hits = top.select("query_id", *KEY)
-        return top.unionByName(zeros.join(hits, ["query_id", *KEY], "left_anti").select(top.columns))
+        hits = rows.select("query_id", *KEY)
+        return rows.unionByName(zeros.join(hits, ["query_id", *KEY], "left_anti").select(rows.columns))
 
 
 @dataclass(frozen=True)
@@ -352,7 +360,8 @@ class TfidfRetriever(_Scored):
     def scorer(self, work: Work) -> pruning.Scorer:
         statistics = work.request.index.statistics(work.kept.where("filter_reason is not null").select(*KEY))
         asked, *rows = work.rows
-        terms = work.written(pruning.Tfidf.terms(asked, statistics), f"{self.name}-terms")
+        terms = pruning.Tfidf.terms(asked, statistics)
+        terms = terms if work.direct else work.written(terms, f"{self.name}-terms")
         return pruning.Tfidf(terms, *rows, statistics)
 
     def top(self, work):
@@ -375,10 +384,13 @@ class HybridRrfRetriever(_Scored):
         settings = work.request.settings
         k, offset = settings.top_k, max(1, settings.hybrid_rrf_k)
         depth = 2 * (offset + 2 * k)
-        if 2 / (offset + depth + 1) + 1e-6 >= 1 / (offset + k):  # ranks too many for six places
+        if work.direct or 2 / (offset + depth + 1) + 1e-6 >= 1 / (offset + k):  # or ranks too many for six places
             depth = 1 << 30
         backends = LexicalRetriever(), TfidfRetriever()
         scorers = [b.scorer(work) for b in backends]
+        if work.direct:
+            rows = _side_by_side(*[work.best(s, depth, b.name) for s, b in zip(scorers, backends)])
+            return self._fused(rows, offset, k)
         second = work.best(scorers[1], depth, backends[1].name)
         # Beside a list that is whole, rows of the other alone are decided by its own best k.
         deep = second.groupBy("query_id").count().where(F.col("count") >= depth).select("query_id", F.lit(depth).alias("depth"))
@@ -397,7 +409,13 @@ class HybridRrfRetriever(_Scored):
         viable = work.written(viable.drop("bar"), "viable")
         for c, scorer, backend in zip("ab", scorers, backends):
             viable = self._deeper(work, viable, c, scorer, backend.name)
-        fused = viable.withColumn("score", F.round(share("a_rank") + share("b_rank"), 6)).withColumn("p", F.coalesce("a", "b"))
+        return self._fused(viable, offset, k)
+
+    @staticmethod
+    def _fused(rows: DataFrame, offset: int, k: int) -> DataFrame:
+        """The ``k`` best rows by the sum of their reciprocal ranks."""
+        share = lambda c: F.coalesce(1 / (F.lit(offset) + F.col(c)), F.lit(0.0))
+        fused = rows.withColumn("score", F.round(share("a_rank") + share("b_rank"), 6)).withColumn("p", F.coalesce("a", "b"))
         return retrieval.ranked(fused.select("query_id", *KEY, "score", "p.*"), k)
 
     @staticmethod

@@ -781,11 +781,8 @@ _SAMPLES = """(SELECT item_id AS query_id, list(doc_id) AS relevant FROM benchma
 
 def _samples(spark, sf_dir) -> DataFrame:
     """Documents that hold each benchmark text; the benchmark is the stated query set."""
-    items = inputs.queries(spark, sf_dir)
-    docs = inputs.documents(spark, sf_dir)
-    # The stated items go to the texts: as a list if they are few, else in blocks.
-    items = F.broadcast(items) if items.count() <= 10_000 else items.hint("shuffle_replicate_nl")
-    pairs = docs.join(items, F.contains(F.col("text"), F.col("query"))).select("query_id", "doc_ord")
+    phrases = inputs.queries(spark, sf_dir).withColumnRenamed("query", "phrase")
+    pairs = evaluation.containing(inputs.documents(spark, sf_dir), phrases, "doc_ord", "query_id")
     held = pairs.groupBy("query_id").agg(F.collect_set("doc_ord").alias("relevant"))
     return inputs.queries(spark, sf_dir).select("query_id").join(held, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
 
