@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,21 +118,33 @@ def prose_units(docs: DataFrame, cohesion: float = 0.0) -> DataFrame:
     )
 
 
+def cohesive_runs(sentences: list[str], threshold: float) -> list[str]:
+    """Sentences folded into units: a sentence opens a unit if it shares too few tokens with the unit so far.
+
+    The unit's tokens are carried as a set, so a sentence costs its own tokens, however long the unit is.
+    """
+    starts: list[int] = []
+    seen: set[str] = set()
+    for i, sentence in enumerate(sentences):
+        own = {x.lower() for x in re.findall(t.TOKEN, sentence)}
+        shared = len(own & seen) if len(own) <= len(seen) else len(seen & own)
+        near = bool(shared) and shared / (len(own) + len(seen) - shared) >= threshold
+        if not starts or not near:
+            starts.append(i)
+            seen = own
+        else:
+            seen |= own
+    return [" ".join(sentences[a:b]) for a, b in zip(starts, [*starts[1:], len(sentences)])]
+
+
 def _cohesive(paragraph: Column, threshold: float) -> Column:
-    """Sentences folded into units: a sentence opens a unit if it shares too few tokens with the unit so far."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("text"))
+    """The units of a paragraph; a fold over its sentences, in Python batches, as built-in folds copy their state in each step."""
 
-    def step(state, sentence):
-        fresh = (state["text"] != "") & (
-            t.jaccard(F.array_distinct(t.tokens(state["text"])), F.array_distinct(t.tokens(sentence))) < threshold
-        )
-        joined = F.when(state["text"] == "", sentence).otherwise(F.concat(state["text"], F.lit(" "), sentence))
-        return F.struct(
-            F.when(fresh, F.concat(state["done"], F.array(state["text"]))).otherwise(state["done"]).alias("done"),
-            F.when(fresh, sentence).otherwise(joined).alias("text"),
-        )
+    @F.pandas_udf("array<string>")
+    def runs(found: pd.Series) -> pd.Series:
+        return pd.Series([cohesive_runs(list(sentences), threshold) for sentences in found])
 
-    return F.aggregate(t.sentences(paragraph), start, step, lambda s: F.concat(s["done"], F.array(s["text"])))
+    return runs(t.sentences(paragraph))
 
 
 def prose_windows(units: DataFrame, size: int = 120, overlap: int = 20, least: int = 40) -> DataFrame:

@@ -152,7 +152,24 @@ def conversation_source_units(spark, sf_dir):
     )
 
 
-@query("cohesion_units")
+@query(
+    "cohesion_units",
+    rf"""WITH RECURSIVE d AS (SELECT conv_id AS doc_ord, array_to_string(list(text ORDER BY turn, text), chr(10) || chr(10)) AS text FROM conversations GROUP BY 1),
+    pr AS (SELECT doc_ord, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n+'), lambda x: {_STRIP.format("x")}), lambda x: x <> '') AS ps FROM d),
+    pp AS (SELECT doc_ord, generate_subscripts(ps, 1) AS para, unnest(ps) AS whole FROM pr),
+    sr AS (SELECT doc_ord, para, list_filter(string_split(regexp_replace(whole, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM pp),
+    s AS (SELECT doc_ord, para, len(ss) AS total, generate_subscripts(ss, 1) AS nth, unnest(ss) AS sentence FROM sr),
+    k AS (SELECT *, list_distinct({_TOKENS.format("sentence")}) AS own, len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda x: x <> '')) AS n FROM s),
+    f AS (SELECT doc_ord, para, nth, 0 AS unit, own AS seen, n, total FROM k WHERE nth = 1
+      UNION ALL
+      SELECT doc_ord, para, nth, CASE WHEN near THEN unit ELSE unit + 1 END, CASE WHEN near THEN list_distinct(list_concat(seen, own)) ELSE own END, n, total
+      FROM (SELECT k.doc_ord, k.para, k.nth, f.unit, f.seen, k.own, k.n, k.total,
+        CASE WHEN len(seen) = 0 OR len(own) = 0 THEN false ELSE CAST(len(list_intersect(seen, own)) AS DOUBLE) / len(list_distinct(list_concat(seen, own))) >= 0.1 END AS near
+        FROM f JOIN k ON k.doc_ord = f.doc_ord AND k.para = f.para AND k.nth = f.nth + 1)),
+    u AS (SELECT doc_ord, para, unit, sum(n) AS n, max(total) > 1 AS cohesion_split_applied FROM f GROUP BY 1, 2, 3)
+    SELECT doc_ord, row_number() OVER w - 1 AS unit_index, CAST(sum(n) OVER w - n + 1 AS BIGINT) AS unit_start, CAST(sum(n) OVER w AS BIGINT) AS unit_end, cohesion_split_applied
+    FROM u WINDOW w AS (PARTITION BY doc_ord ORDER BY para, unit)""",
+)
 def cohesion_units(spark, sf_dir):
     units = chunking.prose_units(inputs.conversations(spark, sf_dir), cohesion=0.1)
     return units.select("doc_ord", "unit_index", "unit_start", "unit_end", "cohesion_split_applied")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,13 @@ def test_document_types(spark):
 def test_first_by_content(spark):
     docs = spark.createDataFrame([(2, "a "), (1, "a"), (3, " "), (4, "b")], "doc_ord long, text string")
     assert sorted(r.doc_ord for r in chunking.first_by_content(docs).collect()) == [1, 4]
+
+
+def test_cohesion_of_a_long_paragraph_is_linear():
+    """Twenty thousand sentences in one unit take seconds; a fold that cut the unit again in each step would take hours."""
+    rng = random.Random(1)
+    sentences = [f"Anchor word{rng.randrange(5000)} word{rng.randrange(5000)} s{i}." for i in range(20_000)]
+    began = time.perf_counter()
+    units = chunking.cohesive_runs(sentences, 1e-9)
+    assert time.perf_counter() - began < 10 and units == [" ".join(sentences)]
+    assert chunking.cohesive_runs(["a b.", "b c.", "x.", "...", "x."], 0.3) == ["a b. b c.", "x.", "...", "x."]
