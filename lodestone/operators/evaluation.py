@@ -342,7 +342,11 @@ def choose_fallback(
     best, score = None, 0.0
     for entry in entries:
         for example in entry.get("question_examples", []):
-            ratio = SequenceMatcher(None, asked, str(example).lower()).ratio()
+            likeness = SequenceMatcher(None, asked, str(example).lower())
+            # Lengths, then counts of letters, bound the ratio; most examples need no more.
+            if likeness.real_quick_ratio() <= score or likeness.quick_ratio() <= score:
+                continue
+            ratio = likeness.ratio()
             if ratio > score:
                 best, score = entry, ratio
     limit = best.get("confidence_threshold") if best else None

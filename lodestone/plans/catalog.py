@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -291,6 +292,29 @@ query(
 )(_ranked(retrieval_backend="hybrid"))
 
 
+def _first_words(spark, sf_dir, **changes):
+    """The first word of every benchmark text and one word that no text has, asked without a threshold."""
+    asked = inputs.request(spark, sf_dir, min_retrieval_score=0.0, **changes)
+    words = asked.queries.select("query_id", F.get(F.split("query", " "), 0).alias("query"))
+    nowhere = asked.queries.select((-1 - F.col("query_id")).alias("query_id"), F.concat(F.lit("q0z_"), "query_id").alias("query"))
+    return retrievers.retrieve(replace(asked, queries=words.unionByName(nowhere))).ranked.select("query_id", "rank", *retrieval.KEY, "score")
+
+
+def _first_words_sql(ctes: str, source: str) -> str:
+    """Chunks with tokens that share no term follow all hits with a score of zero."""
+    own = ctes.replace(
+        "q AS (SELECT item_id AS query_id, list_distinct(", "q AS (SELECT query_id, list_distinct("
+    ).replace("AS terms FROM benchmark)", "AS terms FROM asked)", 1).replace(">= 0.25", ">= 0.0")
+    return f"""WITH asked AS (SELECT item_id AS query_id, string_split(text, ' ')[1] AS text FROM benchmark UNION ALL SELECT -1 - item_id, 'q0z_' || item_id FROM benchmark),
+    {own}, every AS (SELECT query_id, doc_ord, chunk_index, coalesce(x.score, 0) AS score FROM q CROSS JOIN (SELECT DISTINCT doc_ord, chunk_index FROM kpost) c
+      LEFT JOIN {source} x USING (query_id, doc_ord, chunk_index) WHERE len(terms) > 0),
+    o AS (SELECT query_id, {_RANK}, doc_ord, chunk_index, score FROM every) SELECT * FROM o WHERE rank <= 5"""
+
+
+query("lex_zero_threshold_topk", _first_words_sql(f"{_kept_sql()}, {_lexical_cte(_OVERLAP)}", "lex"))(_first_words)
+query("tfidf_zero_threshold_topk", _first_words_sql(_TFIDF, "tfidf"))(lambda spark, sf_dir: _first_words(spark, sf_dir, retrieval_backend="tfidf"))
+
+
 @query(
     "ranker_topk",
     rf"""WITH {_CHUNKS}, tok AS (SELECT doc_ord, chunk_index, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM chunks),
