@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -41,15 +42,36 @@ class StateStore:
             return self.spark.createDataFrame([], RECORD)
         return self.spark.read.schema(RECORD).parquet(f"{self.folder}/v={found[-1]}")
 
-    def write(self, records: DataFrame, keep: int = 2) -> int:
-        """A new snapshot; older ones than the last ``keep`` go."""
+    def write(self, records: DataFrame, keep: int = 2, after: int | None = None) -> int:
+        """A new snapshot; older ones than the last ``keep`` go.
+
+        It follows the snapshot ``after`` that its records were made from, by default the latest.  The next number is
+        claimed by a file that only one writer can create, so of two writers the later gets ``StateChanged``,
+        and neither overwrites what the other wrote.  Rows are written under another name and renamed when whole.
+        """
         found = self.versions()
-        number = found[-1] + 1 if found else 1
-        records.select(FIELDS).write.mode("overwrite").parquet(f"{self.folder}/v={number}")
+        number = (after if after is not None else found[-1] if found else 0) + 1
+        made = f"{self.folder}/new-{uuid.uuid4().hex}"
+        records.select(FIELDS).write.parquet(made)
+        claim = f"{self.folder}/claim-{number}"
+        if number in found or not storage.claimed(self.spark, claim):
+            storage.discard(self.spark, made)
+            raise StateChanged(f"snapshot {number} of {self.folder} was written, or is being written, by another writer")
+        storage.renamed(self.spark, made, f"{self.folder}/v={number}")
         for old in found[: max(0, len(found) + 1 - keep)]:
             storage.discard(self.spark, f"{self.folder}/v={old}")
+            storage.discard(self.spark, f"{self.folder}/claim-{old}")
         return number
 
+    def give_up(self, number: int) -> None:
+        """Free the number of a writer that is known to have died between its claim and its snapshot."""
+        if number not in self.versions():
+            storage.discard(self.spark, f"{self.folder}/claim-{number}")
+
+
+class StateChanged(RuntimeError):
+    """Another writer was first; read the state again."""
+
 
 def import_json(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON object keyed by unit; none if the file is absent or unreadable."""

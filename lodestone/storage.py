@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -69,11 +71,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
-def version(spark: SparkSession, path: str) -> tuple[int, int]:
-    """(last change, size) of a file or folder, to tell whether a table is the one it was."""
+def version(spark: SparkSession, path: str) -> str:
+    """A digest of the files that a Parquet table has, with their total size and the last change of its top folder, to
+    tell whether a table is the one it was; writers name their files anew, so a replaced file is noticed."""
     target, files = _target(spark, path)
-    found = files.getFileStatus(target)
-    return found.getModificationTime(), found.getLen()
+    names = sorted(spark.read.parquet(path).inputFiles())
+    found = files.getContentSummary(target).getLength(), files.getFileStatus(target).getModificationTime()
+    return hashlib.sha256("\n".join([*map(str, found), *names]).encode()).hexdigest()
+
+
+def claimed(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; false if it is there already, also if another process creates it just now."""
+    target, files = _target(spark, path)
+    try:
+        files.create(target, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName() or files.exists(target):
+            return False
+        raise
+    return True
+
+
+def renamed(spark: SparkSession, path: str, to: str) -> None:
+    target, files = _target(spark, path)
+    if not files.rename(target, _target(spark, to)[0]):
+        raise OSError(f"{path} could not be renamed to {to}")
 
 
 def discard(spark: SparkSession, path: str) -> None:
