@@ -248,10 +248,11 @@ class Work:
 
     @cached_property
     def direct(self) -> bool:
-        """Whether all asked terms together have so few postings that every pair is scored."""
+        """Whether all asked terms together have so few postings, for the cores there are, that every pair is scored."""
+        cores = self.asked.sparkSession.sparkContext.defaultParallelism
         terms = self.asked.select(F.explode("terms").alias("term"))
         hits = self.request.index.frequencies.join(F.broadcast(terms) if retrieval.small(terms) else terms, "term")
-        return (hits.agg(F.sum("df")).first()[0] or 0) <= pruning.DIRECT_HITS
+        return (hits.agg(F.sum("df")).first()[0] or 0) <= pruning.DIRECT_HITS * cores
 
     @cached_property
     def rows(self) -> tuple[DataFrame, DataFrame, DataFrame]:
