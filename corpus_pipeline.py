@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, exact_dedup, packing, quality, simhash
+from lodestone.llm import decontaminate, exact_dedup, likeness, packing, quality
 from lodestone.llm.queries import WORD_BPE
 from lodestone.llm.shared import discard, new_folder, table, workspace
 
@@ -30,8 +30,8 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group of near copies: linked fingerprints, or a similarity of 0.8 over five words."""
+    return likeness.drop_similar(docs)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
