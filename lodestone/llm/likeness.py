@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components, join_hubs
-from lodestone.llm.shared import listed, materialise, new_folder, numbered, small_batches, text_bytes, workspace
+from lodestone.llm.shared import among, listed, materialise, new_folder, numbered, parts_of, small_batches, text_bytes, workspace
 from lodestone.llm.simhash import OWNED_NODES, OWNERS, SEED, GrayIndex, gray_rank, near_duplicates, spanning_star
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -96,23 +96,43 @@ def _sampled_masks() -> np.ndarray:
     return masks.view(np.int64)
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chosen(batch: pa.RecordBatch, lists: tuple[str, ...]) -> tuple[list[int], list[bytes]]:
+    """(row numbers, texts) of the rows of a batch that all lists name.
+
+    Lists are read where texts are hashed: a filter before that would need a second worker for each task.
+    """
+    rows = batch.column(0).to_numpy()
+    keep = np.ones(len(rows), bool)
+    for path in lists:
+        keep &= among(path, rows)
+    return rows[keep].tolist(), batch.column(1).filter(pa.array(keep)).to_pylist()
+
+
+def _prints(lists: tuple[str, ...]):
     names = ["row", *[f"p{w}" for w in range(WORDS)]]
-    for batch in batches:
-        rows, prints = [], []
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            hashes = shingles(text)
-            if len(hashes):
-                rows.append(row)
-                prints.append(wide_fingerprint(hashes))
-        held = np.array(prints, np.uint64).reshape(-1, WORDS).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *[pa.array(held[:, w]) for w in range(WORDS)]], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, prints = [], []
+            for row, text in zip(*_chosen(batch, lists)):
+                hashes = shingles(text)
+                if len(hashes):
+                    rows.append(row)
+                    prints.append(wide_fingerprint(hashes))
+            held = np.array(prints, np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *[pa.array(held[:, w]) for w in range(WORDS)]], names=names)
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [shingles(text).view(np.int64) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["row", "hashes"])
+    return run
+
+
+def _sets(lists: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, texts = _chosen(batch, lists)
+            found = [shingles(text).view(np.int64) for text in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["row", "hashes"])
+
+    return run
 
 
 class Forest:
@@ -210,18 +230,22 @@ def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(alike).select("a", "b")
 
 
-def similar_links(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """(a, b) of ``row`` numbers whose texts have a similarity of at least ``SIMILARITY``: edges that connect like texts."""
+def similar_links(rows: DataFrame, text_col: str = "text", lists: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b) of ``row`` numbers whose texts have a similarity of at least ``SIMILARITY``: edges that connect like texts.
+
+    Only rows that every list of ``lists``, written by ``parts_of``, names take part.
+    """
     spark = rows.sparkSession
     small_batches(spark)
     source = rows.select("row", text_bytes(text_col).alias("text"))
-    prints = materialise(source.mapInArrow(_prints, ", ".join(["row long", *[f"p{w} long" for w in range(WORDS)]])), "wide-prints")
-    sets, links = None, spark.createDataFrame([], "a long, b long")
+    prints = materialise(source.mapInArrow(_prints(lists), ", ".join(["row long", *[f"p{w} long" for w in range(WORDS)]])), "wide-prints")
+    # An empty table of the driver's would be a Python one, with workers of its own.
+    sets, links = None, spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     while active := prints.count():
         edges = suggested(prints, active)
         if sets is None:  # later edges have no other ends
-            asked = source.where(listed(ends_of(edges), "like-ends"))
-            sets = materialise(asked.mapInArrow(_sets, "row long, hashes array<long>"), "like-sets")
+            ends = parts_of(ends_of(edges).select("row"), "row", "like-ends")
+            sets = materialise(source.mapInArrow(_sets((*lists, ends)), "row long, hashes array<long>"), "like-sets")
         found = materialise(verified(edges, sets), "like-links")
         if found.isEmpty():
             break
@@ -247,7 +271,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with workspace(spark):
         found = near_duplicates(rows, doc_id, text, row_col="row")
         stay = materialise(found.groupBy("root").agg(least).select("least.row", "least.doc_id"), "near-stay")
-        links = materialise(similar_links(rows.where(listed(stay, "near-first", first)), text), "near-links")
+        parts_of(stay.select("row"), "row", "near-first", first)
+        links = materialise(similar_links(rows, text, (first,)), "near-links")
         roots = components(links).withColumnRenamed("node", "row")
         groups = stay.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
         kept = listed(groups.groupBy("root").agg(least).select(F.col("least.row").alias("row")), "near-kept", path)

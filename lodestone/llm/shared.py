@@ -121,6 +121,16 @@ def _numbers(path: str, part: int) -> np.ndarray:
     return np.empty(0, np.int64) if found is None else found["row"].to_numpy()
 
 
+def among(path: str, rows: np.ndarray) -> np.ndarray:
+    """Which of the ``rows`` numbers are in the list that ``parts_of`` wrote at ``path``."""
+    parts = rows >> PART_BITS
+    out = np.zeros(len(rows), bool)
+    for part in np.unique(parts).tolist():
+        here = parts == part
+        out[here] = np.isin(rows[here], _numbers(path, part))
+    return out
+
+
 def listed(found: DataFrame, name: str, path: str | None = None) -> Column:
     """Whether the ``row`` of a numbered table is among the rows of ``found`` (row).
 
@@ -130,13 +140,7 @@ def listed(found: DataFrame, name: str, path: str | None = None) -> Column:
 
     @F.pandas_udf("boolean")
     def there(rows: pd.Series) -> pd.Series:
-        values = rows.to_numpy()
-        parts = values >> PART_BITS
-        out = np.zeros(len(values), bool)
-        for part in np.unique(parts).tolist():
-            here = parts == part
-            out[here] = np.isin(values[here], _numbers(path, part))
-        return pd.Series(out)
+        return pd.Series(among(path, rows.to_numpy()))
 
     return there("row")
 
