@@ -32,17 +32,17 @@ def ground_rows(evidence: DataFrame, least: int = 1) -> DataFrame:
     ``evidence`` has query and text; adds matched_rows (array of row_text and matched_terms), matched_row_count,
     matched_terms and tabular_grounded.
     """
-    found = t.lines("text")
-    header = F.get(found, F.lit(0))
-    terms = t.grounding_terms("query")
+    own = lambda found: F.struct(t.tokens(F.get(found, F.lit(0))).alias("header"), t.grounding_terms("query").alias("terms"))
 
-    def match(row):
-        here = F.array_union(t.tokens(row), t.tokens(header))
-        return F.struct(row.alias("row_text"), F.array_sort(F.array_intersect(here, terms)).alias("matched_terms"))
+    def matched(found, known):
+        def match(row):
+            here = F.array_union(t.tokens(row), known["header"])
+            return F.struct(row.alias("row_text"), F.array_sort(F.array_intersect(here, known["terms"])).alias("matched_terms"))
 
-    rows = F.filter(
-        F.transform(F.slice(found, 2, 1 << 30), match), lambda r: F.size(r["matched_terms"]) >= max(1, least)
-    )
+        return F.filter(F.transform(F.slice(found, 2, 1 << 30), match), lambda r: F.size(r["matched_terms"]) >= max(1, least))
+
+    # Lines, header and terms are bound once for all rows of a text, else every row would cut the whole text again.
+    rows = t.bound(t.lines("text"), lambda found: t.bound(own(found), lambda known: matched(found, known)))
     out = evidence.withColumn("matched_rows", F.coalesce(rows, F.array().cast(_ROWS)))
     return out.withColumns(
         {
