@@ -25,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lodestone import storage
 from lodestone.config import Settings
 from lodestone.functions import text as t
+from lodestone.operators import scan
 
 KEY = ["doc_ord", "chunk_index"]
 
@@ -170,7 +171,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]
     return out, widths
 
 
-def _products(path: str, metric: str, least: float, out: pa.Schema):
+def _products(path: str, metric: str, least: float, depth: int | None, keys: list[str], factors: list[str], out: pa.Schema):
     def similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         width = max(a.shape[1], b.shape[1])
         a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
@@ -180,47 +181,68 @@ def _products(path: str, metric: str, least: float, out: pa.Schema):
             found = 1 / (1 + np.sqrt(np.maximum(squares, 0)))
         return found
 
+    def asked_blocks(fs, files: list[str]) -> Iterator[pa.RecordBatch]:
+        for file in files:
+            with fs.open_input_file(file) as source:
+                yield from pyarrow.parquet.ParquetFile(source).iter_batches(QUERY_BLOCK)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors: dict[int, np.ndarray] = {}
         fs, base = pyarrow.fs.FileSystem.from_uri(path)
         files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".parquet")]
         for whole in batches:
             for at in range(0, whole.num_rows, VECTOR_BLOCK):
                 batch = whole.slice(at, VECTOR_BLOCK)
+                if depth is not None:
+                    batch = batch.take(pa.array(np.lexsort([batch.column(k).to_numpy() for k in reversed(keys)])))
                 vectors, widths = _matrix(batch.column("vector"))
-                for file in files:
-                    with fs.open_input_file(file) as source:
-                        for asked in pyarrow.parquet.ParquetFile(source).iter_batches(QUERY_BLOCK):
-                            queries, query_widths = _matrix(asked.column("query_vector"))
-                            found = similarities(vectors, queries)
-                            found[widths[:, None] != query_widths[None, :]] = 0.0
-                            i, j = np.nonzero(found >= least)
-                            if len(i):
-                                rows, picked = pa.array(i), pa.array(j)
-                                columns = [asked.column("query_id").take(picked), *[batch.column(n).take(rows) for n in out.names[1:-1]]]
-                                arrays = [*columns, pa.array(found[i, j])]
-                                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(arrays, out)], schema=out)
+                weight = [batch.column(f).to_numpy()[None, :] for f in factors]
+                for n, asked in enumerate(asked_blocks(fs, files)):
+                    queries, query_widths = _matrix(asked.column("query_vector"))
+                    found = similarities(queries, vectors)
+                    found[query_widths[:, None] != widths[None, :]] = 0.0
+                    final = found
+                    for w in weight:
+                        final = final * w
+                    if depth is None:
+                        i, j = np.nonzero(found >= least)
+                    else:
+                        score = np.where(final >= least, scan.rounded(final), -np.inf)
+                        i, j = scan.best(score, depth, floors.setdefault(n, np.full(len(score), -np.inf)))
+                    if len(i):
+                        picked, rows = pa.array(i), pa.array(j)
+                        held = [batch.column(c).take(rows) for c in (*keys, *factors)]
+                        numbers = [found[i, j]] if depth is None else [found[i, j], final[i, j], score[i, j] / scan.PLACES]
+                        arrays = [asked.column("query_id").take(picked), *held, *map(pa.array, numbers)]
+                        yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(arrays, out)], schema=out)
 
     return run
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame, metric: str = "cosine", least: float = 0.0) -> DataFrame:
+def vector_scores(
+    queries: DataFrame, vectors: DataFrame, metric: str = "cosine", least: float = 0.0, depth: int | None = None, factors: tuple[str, ...] = ()
+) -> DataFrame:
     """(query_id, keys of vectors, base) of the pairs from ``least`` on: the stated queries (query_id, query_vector)
     against all vectors; vectors of different lengths score zero.
 
+    With a ``depth``, (query_id, keys, factors, base, final, score): final is the base times the ``factors``, columns of
+    ``vectors``, and of each query at least its ``depth`` best rows by score, then keys, come that reach ``least``.
+
     Queries are written once, and every task multiplies its vectors with them block by block: none is
-    broadcast, no pair below ``least`` leaves its task, and the work is cut by products, not by rows.
+    broadcast, no pair below ``least`` or beyond the ``depth`` leaves its task, and the work is cut by products, not by rows.
     """
     spark = vectors.sparkSession
-    keys = [c for c in vectors.columns if c != "vector"]
+    keys = [c for c in vectors.columns if c not in ("vector", *factors)]
     as_numbers = lambda c: F.col(c).cast("array<double>").alias(c)
     path = storage.new_folder(spark, "query-vectors")
     held = storage.written(queries.where("query_vector is not null").select("query_id", as_numbers("query_vector")), path)
-    rows = vectors.where("vector is not null").select(*keys, as_numbers("vector"))
+    rows = vectors.where("vector is not null").select(*keys, *factors, as_numbers("vector"))
     tasks = min(100_000, -(-held.count() * vectors.count() // TASK_PRODUCTS))
     if tasks > 1:
         rows = rows.repartition(tasks)
-    out = T.StructType([held.schema["query_id"], *[rows.schema[k] for k in keys], T.StructField("base", T.DoubleType())])
-    return rows.mapInArrow(_products(path, metric, least, to_arrow_schema(out)), out)
+    numbers = [T.StructField(c, T.DoubleType()) for c in (("base",) if depth is None else ("base", "final", "score"))]
+    out = T.StructType([held.schema["query_id"], *[rows.schema[k] for k in (*keys, *factors)], *numbers])
+    return rows.mapInArrow(_products(path, metric, least, depth, keys, list(factors), to_arrow_schema(out)), out)
 
 
 def hashed_features(texts: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
@@ -345,15 +367,26 @@ def rrf(first: DataFrame, second: DataFrame, k: int = 60) -> DataFrame:
     )
 
 
+#: Pairs of a query and a word that any query asks, up to which the ranker scores every chunk in one pass.
+SCANNED = 8_000_000
+
+
 def rank_by_counts(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The plain ranker: occurrences of the distinct blank-separated words of the query, no threshold or governance.
 
     A query with fewer than ``k`` hits is filled up with chunks that score zero, in corpus order; for that
     the first ``k`` chunks and those behind its hits are enough, so nothing is crossed with the corpus.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(t.words(F.lower("query")))).alias("term"))
-    held = chunks.select(*KEY, F.explode(t.words(F.lower("text"))).alias("term")).groupBy(*KEY, "term").count()
-    hits = held.join(asked, "term").groupBy("query_id", *KEY).agg(F.sum("count").alias("score"))
+    words = F.array_distinct(t.words(F.lower("query")))
+    asked = queries.select("query_id", F.size(words).alias("asked"), F.explode(words).alias("term"))
+    terms, ids = asked.agg(F.count_distinct("term"), F.count_distinct("query_id")).first()
+    if terms * ids <= SCANNED:
+        held = chunks.select(*KEY, t.words(F.lower("text")).alias("terms"))
+        hits = scan.best_rows(held, queries, scan.Asked.of(asked, "count"), 0.0, k, KEY, [])
+        hits = hits.select("query_id", *KEY, F.col("final").cast("long").alias("score"))
+    else:
+        held = chunks.select(*KEY, F.explode(t.words(F.lower("text"))).alias("term")).groupBy(*KEY, "term").count()
+        hits = held.join(asked, "term").groupBy("query_id", *KEY).agg(F.sum("count").alias("score"))
     best = ranked(hits, k).drop("rank")
     # Of the first 2k chunks fewer than k can be hits of a query that needs filling up.
     first = chunks.select(*KEY).orderBy(*KEY).limit(2 * k)

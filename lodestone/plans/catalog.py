@@ -381,8 +381,8 @@ def _vectors(metric: str) -> Query:
     def run(spark, sf_dir):
         rows = inputs.table(spark, sf_dir, "embeddings")
         asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-        scores = retrieval.vector_scores(asked, rows.select("vec_id", F.col("embedding").alias("vector")), metric, 0.25)
-        top = retrieval.ranked(retrieval.thresholded(scores, 0.25), 5, ties=["vec_id"])
+        scores = retrieval.vector_scores(asked, rows.select("vec_id", F.col("embedding").alias("vector")), metric, 0.25, 5)
+        top = retrieval.ranked(scores, 5, ties=["vec_id"])
         return top.select("query_id", "rank", "vec_id", "score")
 
     return run
