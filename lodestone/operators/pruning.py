@@ -17,10 +17,18 @@ bounds what a share can have grown to, so bounds stay bounds and scores are exac
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone import storage
 from lodestone.functions import text as t
@@ -39,10 +47,44 @@ def with_blocks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
 
 
-def flat_postings(chunks: DataFrame) -> DataFrame:
-    """(block, keys, term, tf) of all tokens; texts are dealt by block once, all groups below need no more shuffle."""
-    dealt = chunks.select("block", *KEY, "text").repartition("block")
-    return dealt.select("block", *KEY, F.explode(t.tokens("text")).alias("term")).groupBy("block", *KEY, "term").agg(F.count("*").alias("tf"))
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """(block, keys, terms, tfs): a row for each chunk, its distinct tokens and how often it has them."""
+    held = chunks.select("block", *KEY, "text")
+    out = T.StructType([f for f in held.schema if f.name != "text"]).add("terms", T.ArrayType(T.StringType())).add("tfs", T.ArrayType(T.LongType()))
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = re.compile(t.TOKEN)
+        for batch in batches:
+            # Cut before lower-casing, as ``text.tokens`` does.
+            found = [Counter(map(str.lower, cut.findall(x or ""))) for x in batch.column("text").to_pylist()]
+            offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            flat = pa.array([x for c in found for x in c], pa.string()), pa.array([n for c in found for n in c.values()], pa.int64())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in flat]
+            columns = [*batch.drop_columns(["text"]).columns, *lists]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, schema)], schema=schema)
+
+    return held.mapInArrow(run, out)
+
+
+def exploded(counts: DataFrame) -> DataFrame:
+    """(term, tf) of every row of ``counts`` beside its other columns."""
+    rest = [c for c in counts.columns if c not in ("terms", "tfs")]
+    return counts.select(*rest, F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(*rest, F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+
+
+#: Chunks that a task sorts or groups the postings of; some hundred terms each.
+TASK_CHUNKS = 4096
+
+
+def dealt(rows: DataFrame, chunks: int) -> DataFrame:
+    """``rows`` by block in tasks of about ``TASK_CHUNKS`` of ``chunks``, so a task's memory does not grow with the table."""
+    return rows.repartition(max(1, -(-chunks // TASK_CHUNKS)), "block")
+
+
+def flat_postings(counts: DataFrame, n: int) -> DataFrame:
+    """(block, keys, term, tf) of all tokens, sorted; rows of chunks are dealt, so no posting is moved."""
+    return exploded(dealt(counts, n)).sortWithinPartitions("term", "block")
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -55,11 +97,12 @@ def lengths(postings: DataFrame, weights: DataFrame, n: float) -> DataFrame:
     return weighed.groupBy(*KEY).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"), F.count("*").alias("distinct_terms"))
 
 
-def maxima(postings: DataFrame, lengths: DataFrame) -> DataFrame:
+def maxima(counts: DataFrame, lengths: DataFrame, n: int) -> DataFrame:
     """(block, term, top_tf, top_share): the largest impacts of every term in every block."""
-    # Dealt by block like the postings, so sums of a block's terms later need no rows of other tasks.
-    held = postings.join(lengths.select(*KEY, "norm"), KEY).repartition("block")
-    return held.groupBy("block", "term").agg(F.max("tf").alias("top_tf"), F.max(F.col("tf") / F.col("norm")).alias("top_share"))
+    # Chunks meet their norms before they are dealt and cut into terms, so all terms of a block are in one task.
+    held = exploded(dealt(counts.join(lengths.select(*KEY, "norm"), KEY), n))
+    tops = held.groupBy("block", "term").agg(F.max("tf").alias("top_tf"), F.max(F.col("tf") / F.col("norm")).alias("top_share"))
+    return tops.sortWithinPartitions("term", "block")
 
 
 #: Asked terms up to which a scan is told their names, so that row groups without them are skipped.
@@ -84,7 +127,7 @@ class Statistics:
     growth: float
 
 
-def statistics(spark, path: str, postings: DataFrame, whole: Statistics, gone: DataFrame) -> Statistics:
+def statistics(spark, path: str, counts: DataFrame, whole: Statistics, gone: DataFrame) -> Statistics:
     """Statistics without the chunks of ``gone`` (keys).
 
     They are written under ``path`` by the set of chunks that are gone, so requests under one state of the
@@ -98,13 +141,13 @@ def statistics(spark, path: str, postings: DataFrame, whole: Statistics, gone: D
     n = whole.n - count
     folder = f"{path}/statistics-{count}-{xor & (1 << 64) - 1:x}-{abs(int(total)):x}"
     if not storage.exists(spark, f"{folder}/norms/_SUCCESS"):
-        lost = postings.join(gone.select(*KEY), KEY, "left_semi").groupBy("term").agg(F.count("*").alias("lost"))
+        lost = exploded(counts.join(gone.select(*KEY), KEY, "left_semi")).groupBy("term").agg(F.count("*").alias("lost"))
         left = F.col("df") - F.coalesce("lost", F.lit(0))
         old = F.col("idf").alias("old")
         weights = whole.weights.select("term", "df", old).join(lost, "term", "left").withColumn("df", left).where("df > 0").drop("lost")
         weights = storage.written(weights.withColumn("idf", idf(F.lit(float(n)), F.col("df"))), f"{folder}/weights")
-        stay = postings.join(gone.select(*KEY), KEY, "left_anti")
-        storage.written(lengths(stay, weights, float(n)), f"{folder}/norms")
+        stay = counts.join(gone.select(*KEY), KEY, "left_anti")
+        storage.written(lengths(exploded(stay), weights, float(n)), f"{folder}/norms")
     weights = spark.read.parquet(f"{folder}/weights")
     growth = weights.agg(F.max(F.col("old") / F.col("idf"))).first()[0]
     return Statistics(n, weights, spark.read.parquet(f"{folder}/norms"), float(growth or 1.0))
@@ -112,11 +155,22 @@ def statistics(spark, path: str, postings: DataFrame, whole: Statistics, gone: D
 
 class Scorer:
     """Scores before any factor.  ``asked`` has (query_id, asked, term) and what a term weighs in its query;
-    ``postings`` and ``tops`` are the index's rows of the asked terms."""
+    ``postings`` and ``tops`` are the index's rows of the asked terms, or functions that open them when they are needed."""
+
+    def __init__(self, asked: DataFrame, postings: DataFrame | Callable, tops: DataFrame | Callable):
+        self.asked, self._postings, self._tops = asked, postings, tops
+
+    @cached_property
+    def few(self) -> bool:
+        return small(self.asked)
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self._postings() if callable(self._postings) else self._postings
 
-    def __init__(self, asked: DataFrame, postings: DataFrame, tops: DataFrame):
-        self.asked, self.postings, self.tops = asked, postings, tops
-        self.few = small(asked)
+    @cached_property
+    def tops(self) -> DataFrame:
+        return self._tops() if callable(self._tops) else self._tops
 
     def impact(self) -> Column:
         """The most that a term of a block can add."""
@@ -138,6 +192,10 @@ class Scorer:
         wanted = self.asked.join(pairs, "query_id")
         return self.postings.join(F.broadcast(wanted) if small(wanted) else wanted, ["block", "term"])
 
+    def scanned(self, counts: DataFrame) -> tuple[str, DataFrame]:
+        """The metric of ``scan``, and ``counts`` with what it needs of a chunk."""
+        raise NotImplementedError
+
     def exact(self, pairs: DataFrame | None) -> DataFrame:
         """(query_id, keys, base) of the chunks of ``pairs`` that share a term, of all that do without them."""
         raise NotImplementedError
@@ -155,6 +213,9 @@ class Lexical(Scorer):
         # Shares of both sides' terms are at most those of a chunk with no other terms than the shared ones.
         return total / F.max("asked")
 
+    def scanned(self, counts):
+        return self.metric if self.metric in ("jaccard", "containment") else "overlap", counts
+
     def exact(self, pairs):
         grouped = self.hits(pairs).groupBy("query_id", "asked", *KEY).agg(F.sum("tf").alias("occurrences"), F.count("*").alias("shared"))
         if self.metric == "jaccard":
@@ -190,6 +251,9 @@ class Tfidf(Scorer):
     def bound(self, total):
         return total / F.max("q_norm")
 
+    def scanned(self, counts):
+        return "tfidf", counts.join(self.statistics.norms.select(*KEY, "norm"), KEY)
+
     def exact(self, pairs):
         dots = self.hits(pairs).groupBy("query_id", "q_norm", *KEY).agg(F.sum(F.col("tf") * F.col("idf") * F.col("idf")).alias("dot"))
         return dots.join(self.statistics.norms.select(*KEY, "norm"), KEY).select(
@@ -199,8 +263,8 @@ class Tfidf(Scorer):
 
 #: Blocks that are scored first, besides one for each asked row, as the best rows may all lie in different ones.
 FIRST_BLOCKS = 8
-#: Postings of all asked terms, for each core, up to which every pair is scored in one plan.  Bounds cost some ten
-#: jobs and a sum over blocks: with 27 million postings on 8 cores they took longer than the scores that they saved.
+#: Pairs of a query and a term that any query asks, up to which every chunk is scored in one pass; also the postings of all
+#: asked terms, for each core, up to which requests that boost tables are scored in one plan.
 DIRECT_HITS = 8_000_000
 #: Where the threshold alone leaves fewer blocks than so many times the first ones, no floor is looked for.
 WORTH_A_FLOOR = 16

@@ -7,6 +7,7 @@ impacts, lengths, and the counts of texts that repeat.  ``pruning`` finds the be
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 from typing import Protocol
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestone import storage
 from lodestone.config import Settings
 from lodestone.functions import text as t
-from lodestone.operators import chunking, lifecycle, pruning, retrieval
+from lodestone.operators import chunking, lifecycle, pruning, retrieval, scan
 from lodestone.operators.retrieval import KEY
 
 
@@ -27,13 +28,12 @@ class Index:
 
     path: str
     chunks: DataFrame
-    postings: DataFrame
-    maxima: DataFrame
+    counts: DataFrame
     lengths: DataFrame
     frequencies: DataFrame
     repeats: DataFrame
 
-    TABLES = ("chunks", "postings", "maxima", "lengths", "frequencies", "repeats")
+    TABLES = ("chunks", "counts", "lengths", "frequencies", "repeats")
 
     @classmethod
     def write(cls, chunks: DataFrame, path: str) -> Index:
@@ -43,12 +43,10 @@ class Index:
             chunks = chunks.withColumn("boilerplate_key", t.boilerplate_key("text"))
         held = storage.written(pruning.with_blocks(chunks), f"{path}/chunks")
         n = held.count()
-        by_term = ["term", "block"]
-        postings = storage.written(pruning.flat_postings(held).sortWithinPartitions(*by_term), f"{path}/postings")
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))
+        counts = storage.written(pruning.term_counts(held), f"{path}/counts")
+        df = pruning.exploded(counts.select("terms", "tfs")).groupBy("term").agg(F.count("*").alias("df"))
         weights = storage.written(df.withColumn("idf", pruning.idf(F.lit(float(n)), F.col("df"))), f"{path}/frequencies")
-        lengths = storage.written(pruning.lengths(postings, weights, float(n)), f"{path}/lengths")
-        storage.written(pruning.maxima(postings, lengths).sortWithinPartitions(*by_term), f"{path}/maxima")
+        storage.written(pruning.lengths(pruning.exploded(counts), weights, float(n)), f"{path}/lengths")
         with storage.scratch(spark, "repeats") as work:
             keys = held.select(*KEY, "boilerplate_key")
             repeats = storage.written(chunking.repeated_keys(keys), work)
@@ -59,6 +57,22 @@ class Index:
     def open(cls, spark: SparkSession, path: str) -> Index:
         return cls(path, *[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES])
 
+    @property
+    def postings(self) -> DataFrame:
+        """(block, keys, term, tf), sorted by term; written when it is first asked for, as ``maxima``."""
+        return self._made("postings", lambda: pruning.flat_postings(self.counts, self.chunks.count()))
+
+    @property
+    def maxima(self) -> DataFrame:
+        """The largest impacts of every term in every block."""
+        return self._made("maxima", lambda: pruning.maxima(self.counts, self.lengths, self.chunks.count()))
+
+    def _made(self, name: str, table: Callable[[], DataFrame]) -> DataFrame:
+        spark, path = self.chunks.sparkSession, f"{self.path}/{name}"
+        if not storage.exists(spark, f"{path}/_SUCCESS"):
+            storage.written(table(), path)
+        return spark.read.parquet(path)
+
     def counted(self) -> DataFrame:
         """Chunks with their boilerplate counts."""
         return chunking.with_boilerplate(self.chunks, self.repeats, KEY)
@@ -67,7 +81,7 @@ class Index:
         """Document frequencies and lengths without the chunks of ``gone`` (keys)."""
         spark = self.chunks.sparkSession
         whole = pruning.Statistics(self.chunks.count(), self.frequencies, self.lengths, 1.0)
-        return pruning.statistics(spark, self.path, self.postings, whole, gone)
+        return pruning.statistics(spark, self.path, self.counts, whole, gone)
 
     def vectors(self, settings: Settings) -> DataFrame:
         spark = self.chunks.sparkSession
@@ -246,6 +260,15 @@ class Work:
         """Whether any table can be boosted for any query."""
         return _boosted(self.request.settings, self.kept, self.asked)
 
+    @cached_property
+    def scans(self) -> bool:
+        """Whether so few terms of so few queries are asked that one pass scores them against all chunks."""
+        if self.boosted:
+            return False
+        terms = self.asked.select("query_id", F.explode("terms").alias("term"))
+        asked, queries = terms.agg(F.count_distinct("term"), F.count_distinct("query_id")).first()
+        return asked * queries < pruning.DIRECT_HITS
+
     @cached_property
     def direct(self) -> bool:
         """Whether all asked terms together have so few postings, for the cores there are, that every pair is scored."""
@@ -258,6 +281,8 @@ class Work:
     def rows(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The asked (query_id, asked, term), and the index's postings and largest impacts of those terms."""
         asked = self.asked.select("query_id", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
+        if self.scans:
+            return asked, lambda: self.request.index.postings, lambda: self.request.index.maxima
         if self.direct:
             return asked, self.request.index.postings, self.request.index.maxima
         terms = self.written(asked.select("term").distinct(), "terms")
@@ -281,9 +306,35 @@ class Work:
         found = scorer.bounds().join(factors, "block").withColumn("bound", F.col("bound") * F.col("factor") * boost)
         return self.written(found.select("query_id", "block", "bound"), f"{name}-bounds")
 
+    def factors(self) -> DataFrame:
+        """(keys, metadata_weight, boilerplate_penalty) of the chunks that stay."""
+        return self.kept.where("filter_reason is null").select(*KEY, *FACTORS)
+
+    def scan(self, scorer: pruning.Scorer, depth: int | None, only: DataFrame | None = None) -> DataFrame:
+        """Weighed rows of all chunks, or those of ``only`` (keys): at least the ``depth`` best of each query, all without it."""
+        metric, rows = scorer.scanned(self.request.index.counts.drop("block").join(self.factors(), KEY))
+        rows = rows if only is None else rows.join(only, KEY, "left_semi")
+        asked = scan.Asked.of(scorer.asked, metric)
+        found = scan.best_rows(rows, self.asked, asked, self.request.settings.min_retrieval_score, depth, KEY, FACTORS)
+        return found.withColumn("table_boost", F.lit(1.0)).select("query_id", *KEY, *PARTS, "score")
+
+    def ranks(self, scorer: pruning.Scorer, missing: DataFrame, name: str) -> DataFrame:
+        """The rows of ``missing`` (query_id, keys) that the whole list has, with their rank in it: rows ahead are counted, not kept."""
+        keys = ["query_id", *KEY]
+        own = self.scan(scorer, None, missing.select(*KEY).distinct()).join(missing, keys, "left_semi")
+        own = self.written(own, f"{name}-own")
+        metric, rows = scorer.scanned(self.request.index.counts.drop("block").join(self.factors(), KEY))
+        asked = scan.Asked.of(scorer.asked, metric)
+        ahead = scan.rows_ahead(rows, own, asked, self.request.settings.min_retrieval_score, KEY, FACTORS)
+        return own.join(ahead.groupBy(*keys).agg((F.sum("ahead") + 1).alias("rank")), keys)
+
     def best(self, scorer: pruning.Scorer, depth: int | DataFrame, name: str) -> DataFrame:
         """The ``depth`` best rows of each query, or as many as (query_id, depth) say, with rank and components, exactly."""
         least = self.request.settings.min_retrieval_score
+        if self.scans:
+            deepest = depth if isinstance(depth, int) else depth.agg(F.max("depth")).first()[0] or 0
+            rows = self.written(retrieval.ranked(self.filled(self.scan(scorer, deepest)), deepest), name)
+            return rows if isinstance(depth, int) else rows.join(F.broadcast(depth), "query_id").where("rank <= depth").drop("depth")
         depths = self.asked.select("query_id", F.lit(depth).alias("depth")) if isinstance(depth, int) else depth
         if self.direct and isinstance(depth, int):
             return retrieval.ranked(self.filled(self.weighed(scorer.exact(None))), depth)
@@ -362,7 +413,7 @@ class TfidfRetriever(_Scored):
         statistics = work.request.index.statistics(work.kept.where("filter_reason is not null").select(*KEY))
         asked, *rows = work.rows
         terms = pruning.Tfidf.terms(asked, statistics)
-        terms = terms if work.direct else work.written(terms, f"{self.name}-terms")
+        terms = terms if work.scans or work.direct else work.written(terms, f"{self.name}-terms")
         return pruning.Tfidf(terms, *rows, statistics)
 
     def top(self, work):
@@ -385,11 +436,12 @@ class HybridRrfRetriever(_Scored):
         settings = work.request.settings
         k, offset = settings.top_k, max(1, settings.hybrid_rrf_k)
         depth = 2 * (offset + 2 * k)
-        if work.direct or 2 / (offset + depth + 1) + 1e-6 >= 1 / (offset + k):  # or ranks too many for six places
+        direct = not work.scans and work.direct
+        if direct or 2 / (offset + depth + 1) + 1e-6 >= 1 / (offset + k):  # or ranks too many for six places
             depth = 1 << 30
         backends = LexicalRetriever(), TfidfRetriever()
         scorers = [b.scorer(work) for b in backends]
-        if work.direct:
+        if direct:
             rows = _side_by_side(*[work.best(s, depth, b.name) for s, b in zip(scorers, backends)])
             return self._fused(rows, offset, k)
         second = work.best(scorers[1], depth, backends[1].name)
@@ -426,16 +478,26 @@ class HybridRrfRetriever(_Scored):
         missing = viable.where(f"{c}_open").select(*keys)
         if missing.isEmpty():
             return viable
+        if work.scans:
+            deep = work.ranks(scorer, missing, name)
+            return _with_ranks(viable, deep, missing, c)
         places = work.kept.select(*KEY, "block")
         pairs = missing.join(places, KEY).select("query_id", "block").distinct()
         own = work.weighed(scorer.exact(pairs)).join(missing, keys, "left_semi")
         floors = own.groupBy("query_id").agg((F.min("score") - pruning.ROUNDING).alias("floor"))
         deep = work.down_to(scorer, work.written(floors, f"{name}-down"), name)
-        found = deep.join(missing, keys, "left_semi").select(*keys, F.col("rank").alias("r"), F.struct(*PARTS).alias("s"))
-        return viable.join(found, keys, "left").withColumns({f"{c}_rank": F.coalesce(f"{c}_rank", "r"), c: F.coalesce(c, "s")}).drop("r", "s")
+        return _with_ranks(viable, deep, missing, c)
+
+
+FACTORS = ["metadata_weight", "boilerplate_penalty"]
+PARTS = ["base", *FACTORS, "table_boost", "final"]
 
 
-PARTS = ["base", "metadata_weight", "boilerplate_penalty", "table_boost", "final"]
+def _with_ranks(viable: DataFrame, deep: DataFrame, missing: DataFrame, c: str) -> DataFrame:
+    """``viable`` with the ranks and parts of list ``c`` that ``deep`` has of its ``missing`` rows."""
+    keys = ["query_id", *KEY]
+    found = deep.join(missing, keys, "left_semi").select(*keys, F.col("rank").alias("r"), F.struct(*PARTS).alias("s"))
+    return viable.join(found, keys, "left").withColumns({f"{c}_rank": F.coalesce(f"{c}_rank", "r"), c: F.coalesce(c, "s")}).drop("r", "s")
 
 
 def _side_by_side(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -468,6 +530,12 @@ class VectorRetriever(_Scored):
             keyed = request.index.chunks.select(F.struct(*KEY).alias("key"), "text")
             vectors = self.embedder.embed(keyed, "key", settings).select("key.*", "vector")
         stay = kept.where("filter_reason is null").select(*KEY)
+        if not work.boosted:
+            held = vectors.join(work.factors(), KEY)
+            found = retrieval.vector_scores(
+                queries, held, settings.vector_similarity_metric, settings.min_retrieval_score, settings.top_k, tuple(FACTORS)
+            )
+            return retrieval.ranked(found.withColumn("table_boost", F.lit(1.0)), settings.top_k)
         # What cannot reach the threshold by any factor is not needed.
         least = settings.min_retrieval_score / max(1.0, _largest_factor(settings))
         scores = retrieval.vector_scores(queries, vectors.join(stay, KEY, "left_semi"), settings.vector_similarity_metric, least)
