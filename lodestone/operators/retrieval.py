@@ -387,7 +387,8 @@ def rank_by_counts(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     else:
         held = chunks.select(*KEY, F.explode(t.words(F.lower("text"))).alias("term")).groupBy(*KEY, "term").count()
         hits = held.join(asked, "term").groupBy("query_id", *KEY).agg(F.sum("count").alias("score"))
-    best = ranked(hits, k).drop("rank")
+    # Written, as it is read twice below.
+    best = storage.written(ranked(hits, k).drop("rank"), storage.new_folder(chunks.sparkSession, "ranker"))
     # Of the first 2k chunks fewer than k can be hits of a query that needs filling up.
     first = chunks.select(*KEY).orderBy(*KEY).limit(2 * k)
     zeros = queries.select("query_id").crossJoin(F.broadcast(first)).withColumn("score", F.lit(0).cast("long"))

@@ -479,7 +479,8 @@ class HybridRrfRetriever(_Scored):
         if missing.isEmpty():
             return viable
         if work.scans:
-            deep = work.ranks(scorer, missing, name)
+            # Written, as the other list's turn starts from it several times.
+            deep = work.written(work.ranks(scorer, missing, name), f"{name}-ranks")
             return _with_ranks(viable, deep, missing, c)
         places = work.kept.select(*KEY, "block")
         pairs = missing.join(places, KEY).select("query_id", "block").distinct()
