@@ -10,9 +10,9 @@ the subword counts.  The attention weights start from a fit on a sample of train
 (``sample_docs``) and then pass over all training documents, whole texts, in ``PASSES`` rounds: documents
 are dealt by hash to groups whose number grows with the corpus, each group learns from the weights of the
 round before, and the new weights are the mean of the groups' by blocks.  How often a word is written
-whole maximises the likelihood of training documents that the weights had not seen yet, one of every
-``FITTED`` of the groups' documents, each word left out of its own count; expectation maximisation needs
-only a histogram of the log ratio of the two probabilities.
+whole maximises the likelihood of all training documents, each scored before the weights see it and each word
+left out of its own count; expectation maximisation needs only a histogram of the log ratio of the two
+probabilities.
 
 *Scores.*  The most frequent words, at most ``TOP_WORDS`` of them, go to the tasks as a table of bounded
 size; every occurrence of a word beyond it is sent, with its probability by spelling, to the word table by
@@ -51,8 +51,6 @@ TOP_WORDS, COUNTED_WORDS = 250_000, 500_000
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 6000
 #: Rounds that share out the training documents, and words of one group.
 PASSES, GROUP_WORDS = 2, 1_000_000
-#: The mixture is fitted on one of every so many texts, before the weights see it.
-FITTED = 8
 #: Steps of a unit of the natural logarithm in the histogram that the mixture is fitted on.
 RATIO_STEPS = 64
 SMOOTH = 0.1
@@ -212,13 +210,12 @@ def _learn(shared, shared_table, path: str, pattern: str):
         for batch in batches:
             for _, texts in subwords.slices(subwords.lowered(batch.column(0))):
                 found = cache.batch(texts)
-                fresh = cache.batch(texts.take(pa.array(np.arange(0, len(texts), FITTED))))
-                spelled, _ = _word_scores(model, fresh)
-                shares = table.of(fresh.distinct)[fresh.which]
+                spelled, _ = _word_scores(model, found)  # before the weights see these texts
+                shares = table.of(found.distinct)[found.which]
                 rare = np.flatnonzero(shares == 0)
                 ratios.add(table.without_itself(shares[shares < 0]) - spelled[shares < 0])
                 if len(rare):
-                    beyond = pa.array(fresh.distinct, pa.binary()).take(pa.array(fresh.which[rare]))
+                    beyond = pa.array(found.distinct, pa.binary()).take(pa.array(found.which[rare]))
                     zeros = np.zeros(len(rare), np.int64)
                     yield rows(_BEYOND, zeros, zeros, spelled[rare], beyond)
                 blocks += learn(adam, found.ids, _sizes(found), rng)

@@ -3,9 +3,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import attention as at
@@ -210,3 +212,20 @@ def test_mixture_of_ratios_equals_occurrence_by_occurrence():
         share = float(np.mean(share * np.exp(ratio) / (share * np.exp(ratio) + 1 - share)))
     steps, place = np.unique(np.floor(ratio * lm.RATIO_STEPS), return_inverse=True)
     assert abs(lm._mixture(zip(np.bincount(place), np.bincount(place, ratio))) - share) < 1e-3
+
+
+def test_the_mixture_is_fitted_on_every_training_document():
+    """Every word of every text enters the histogram or, beyond the table, goes on to the counts."""
+    texts = [b"one two two", b"three", b"", b"one four five"] * 5
+    table = lm.Table({b"one": -1.0, b"two": -1.2}, 2.0, -1.0)
+    shared = lambda x: SimpleNamespace(value=x)
+    run = lm._learn(shared(at.fit(tiny_bytes(), [])), shared(table), PATH, public_tokenizers.PATTERN)
+    found = [r for b in run(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])])) for r in b.to_pylist()]
+    assert sum(r["n"] for r in found if r["kind"] == lm._RATIO) == 5 * 4
+    assert sum(r["kind"] == lm._BEYOND for r in found) == 5 * 3
+
+
+def tiny_bytes():
+    """A vocabulary of all byte-level ids, each met once."""
+    counts = np.ones(lm.IDS + 1, np.int64)
+    return at.Vocabulary.of_counts(counts, lm._starts_word(PATH))
