@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Blanks as Unicode-aware text processing understands them, spelled out: a plain class is matched faster.
 WS = r"[\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same as characters, to trim by: that reads the ends of a text, where a pattern is tried at every place of it.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TOKEN = "[A-Za-z0-9_]+"
 
 #: Stop-words of row grounding.
@@ -30,7 +32,7 @@ def bound(value: Column, body) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), rf"^{WS}+|{WS}+$", "")
+    return F.trim(_col(text), F.lit(BLANKS))
 
 
 def collapse(text: Column | str) -> Column:
@@ -107,8 +109,8 @@ def is_header(line: Column | str) -> Column:
 
 
 def lines(text: Column | str) -> Column:
-    """Stripped lines that are not blank."""
-    return F.filter(F.transform(F.split(_col(text), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), strip), lambda x: x != "")
+    """Stripped lines that are not blank; the two characters of one end of line have a blank line between them."""
+    return F.filter(F.transform(F.split(_col(text), r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), strip), lambda x: x != "")
 
 
 def grounding_terms(query: Column | str) -> Column:

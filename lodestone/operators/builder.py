@@ -119,7 +119,8 @@ def build_chunks(
             "content_fingerprint": t.fingerprint("text"),
             "domain_area": F.lit("unknown"),
             "confidence_inputs": confidence_inputs("extraction_method", "status", "deletion_mark_iso_ts", "is_tabular"),
-            "boilerplate_key": t.boilerplate_key("text"),
+            # Words of prose windows have one space between them, so their blanks are collapsed already.
+            "boilerplate_key": F.when(F.col("source_unit_kind") == "prose", t.fingerprint(F.lower("text"))).otherwise(t.boilerplate_key("text")),
         }
     )
     return chunks, state

@@ -1,10 +1,12 @@
 import hashlib
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.config import Settings
 from lodestone.functions import text as t
 from lodestone.operators import chunking
 
@@ -134,3 +136,36 @@ def test_cohesion_of_a_long_paragraph_is_linear():
     units = chunking.cohesive_runs(sentences, 1e-9)
     assert time.perf_counter() - began < 10 and units == [" ".join(sentences)]
     assert chunking.cohesive_runs(["a b.", "b c.", "x.", "...", "x."], 0.3) == ["a b. b c.", "x.", "...", "x."]
+
+
+def _plan(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_cut_where_they_lie(spark):
+    """Chunks equal the windows of the units, without moving a text to number them."""
+    texts = ["", " \u2003 ", "one", "a b\n \x0b\nc d e\n\n\n", "\x1cx\u00a0y\u3000z. New\n\none? two! three", " ".join(f"w{i}" for i in range(403)) + "\n\n" + " ".join("\u00e9" * 5 for _ in range(77))]
+    docs = spark.createDataFrame([(i, f"s/{i}.txt", x, str(i)) for i, x in enumerate(texts)], "doc_ord long, source string, text string, content_fingerprint string").coalesce(1)
+    places = ["start_word", "end_word", "word_count", "unit_start", "unit_end", "cohesion_split_applied"]
+    for settings in (Settings(), Settings(chunk_size=20, overlap=5, min_chunk_words=9), Settings(cohesion_threshold=0.2)):
+        found = chunking.prose_chunks(docs, settings)
+        assert "Exchange" not in _plan(found)
+        units = chunking.prose_units(docs, settings.cohesion_threshold).drop("text")
+        rows = chunking.prose_windows(units, settings.chunk_size, settings.overlap, settings.min_chunk_words).collect()
+        rows.sort(key=lambda r: (r.doc_ord, r.unit_index, r.window))
+        counts = Counter()
+        expected = []
+        for r in rows:
+            expected.append((r.doc_ord, counts[r.doc_ord], r.text_window, *[r[c] for c in places], r.start_word + r.unit_start - 1))
+            counts[r.doc_ord] += 1
+        got = [(r.doc_ord, r.chunk_index, r.text, *[r[c] for c in places], r.absolute_start_word) for r in found.collect()]
+        assert sorted(got) == expected and len(got) >= 5
+
+
+def test_texts_are_stripped_without_a_pattern(spark):
+    """Of the blanks of Unicode, at both ends and no others."""
+    blanks = "".join(c for c in map(chr, range(0x3100)) if c.isspace())
+    assert set(t.BLANKS) == set(blanks)
+    rows = spark.createDataFrame([(blanks + "\u200ba" + blanks + "b\u00e9" + blanks,), (blanks,), ("",), (None,)], "text string")
+    found = rows.select("text", t.strip("text").alias("s"))
+    assert [r.s for r in found.collect()] == [r.text and r.text.strip() for r in rows.collect()] and "regexp" not in _plan(found)
