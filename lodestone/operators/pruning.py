@@ -18,13 +18,13 @@ bounds what a share can have grown to, so bounds stay bounds and scores are exac
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +47,26 @@ def with_blocks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
 
 
+#: What a byte of UTF-8 is in a token: letters in lower case, digits and ``_`` as they are, all else a blank.  Bytes of letters
+#: beyond ASCII are blanks too, so no other letter turns into one of a token.
+_IN_TOKENS = bytes(ord(chr(b).lower()) if re.fullmatch(t.TOKEN, chr(b)) else 32 for b in range(256))
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(offsets, places in it, words, counts): the distinct tokens of each text and how often it has them."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    lowered = pa.py_buffer((data.to_pybytes() if data is not None else b"").translate(_IN_TOKENS))
+    found = pa.compute.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, lowered], offset=texts.offset))
+    row = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(found).to_numpy())
+    words = found.flatten().dictionary_encode()
+    place, n = words.indices.to_numpy().astype(np.int64), max(1, len(words.dictionary))
+    # Blanks at the ends of a text leave an empty word.
+    said = place != pa.compute.index(words.dictionary, "").as_py()
+    pairs, counts = np.unique(row[said] * n + place[said], return_counts=True)
+    return np.searchsorted(pairs // n, np.arange(len(texts) + 1)), pairs % n, words.dictionary.cast(pa.string()), counts
+
+
 def term_counts(chunks: DataFrame) -> DataFrame:
     """(block, keys, terms, tfs): a row for each chunk, its distinct tokens and how often it has them."""
     held = chunks.select("block", *KEY, "text")
@@ -54,13 +74,9 @@ def term_counts(chunks: DataFrame) -> DataFrame:
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = re.compile(t.TOKEN)
         for batch in batches:
-            # Cut before lower-casing, as ``text.tokens`` does.
-            found = [Counter(map(str.lower, cut.findall(x or ""))) for x in batch.column("text").to_pylist()]
-            offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-            flat = pa.array([x for c in found for x in c], pa.string()), pa.array([n for c in found for n in c.values()], pa.int64())
-            lists = [pa.ListArray.from_arrays(offsets, x) for x in flat]
+            offsets, place, words, counts = _cut(batch.column("text"))
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (words.take(pa.array(place)), pa.array(counts))]
             columns = [*batch.drop_columns(["text"]).columns, *lists]
             yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, schema)], schema=schema)
 
@@ -91,9 +107,9 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
 
-def lengths(postings: DataFrame, weights: DataFrame, n: float) -> DataFrame:
+def lengths(postings: DataFrame, weights: DataFrame) -> DataFrame:
     """(keys, norm, distinct_terms) of all chunks of ``postings``."""
-    weighed = with_idf(postings, weights, F.lit(n))
+    weighed = with_idf(postings, weights)
     return weighed.groupBy(*KEY).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"), F.count("*").alias("distinct_terms"))
 
 
@@ -123,7 +139,7 @@ class Statistics:
 
     n: int
     weights: DataFrame
-    norms: DataFrame
+    norms: DataFrame | None
     growth: float
 
 
@@ -147,7 +163,7 @@ def statistics(spark, path: str, counts: DataFrame, whole: Statistics, gone: Dat
         weights = whole.weights.select("term", "df", old).join(lost, "term", "left").withColumn("df", left).where("df > 0").drop("lost")
         weights = storage.written(weights.withColumn("idf", idf(F.lit(float(n)), F.col("df"))), f"{folder}/weights")
         stay = counts.join(gone.select(*KEY), KEY, "left_anti")
-        storage.written(lengths(exploded(stay), weights, float(n)), f"{folder}/norms")
+        storage.written(lengths(exploded(stay), weights), f"{folder}/norms")
     weights = spark.read.parquet(f"{folder}/weights")
     growth = weights.agg(F.max(F.col("old") / F.col("idf"))).first()[0]
     return Statistics(n, weights, spark.read.parquet(f"{folder}/norms"), float(growth or 1.0))
@@ -202,9 +218,13 @@ class Scorer:
 
 
 class Lexical(Scorer):
-    def __init__(self, asked: DataFrame, postings: DataFrame, tops: DataFrame, metric: str, lengths: DataFrame):
+    def __init__(self, asked: DataFrame, postings: DataFrame | Callable, tops: DataFrame | Callable, metric: str, lengths: Callable):
         super().__init__(asked, postings, tops)
-        self.metric, self.lengths = metric, lengths
+        self.metric, self._lengths = metric, lengths
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        return self._lengths()
 
     def impact(self):
         return F.lit(1) if self.metric in ("jaccard", "containment") else F.col("top_tf")

@@ -111,26 +111,29 @@ def small(asked: DataFrame) -> bool:
     return asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
 
 
-#: Share of all chunks from which on a term is a frequent one.  A chunk has some hundred terms, so there are
-#: at most a few thousand frequent ones however large the table.
-FREQUENT = 0.05
+def frequent(weights: DataFrame) -> int:
+    """The least power of two such that at most ``BROADCAST_TERMS`` terms of ``weights`` (term, df) are in so many chunks or more."""
+    bits, held = F.length(F.bin("df")), 0
+    for n, terms in sorted(map(tuple, weights.groupBy(bits).count().collect()), reverse=True):  # at most 63 rows
+        if (held := held + terms) > BROADCAST_TERMS:
+            return 1 << n
+    return 1
 
 
-def with_idf(index: DataFrame, weights: DataFrame, n: Column) -> DataFrame:
+def with_idf(index: DataFrame, weights: DataFrame) -> DataFrame:
     """Postings with the ``idf`` of their term, from ``weights`` (term, df, idf).
 
-    A vocabulary that is counted to be small is broadcast.  Else frequent terms alone are, and no task gets
-    all of "the".
+    A vocabulary that is counted to be small is broadcast.  Else its most frequent terms are, as many as a broadcast may hold.
+    Nearly all postings are theirs and stay where they are; the others, of terms of few chunks each, are moved.
     """
     if small(weights):
         return index.join(F.broadcast(weights.select("term", "idf")), "term").select(*index.columns, "idf")
-    often = weights.where(F.col("df") > n * FREQUENT).select("term", F.col("idf").alias("often"))
-    seldom = weights.where(F.col("df") <= n * FREQUENT).select(F.col("term").alias("looked_up"), F.col("idf").alias("seldom"))
-    marked = index.join(F.broadcast(often), "term", "left")
-    # What is known already looks up a key that no term has, one for each document, so it is spread evenly.
-    key = F.when(F.col("often").isNull(), F.col("term")).otherwise(F.concat(F.lit("\n"), F.col("doc_ord")))
-    found = marked.withColumn("looked_up", key).join(seldom, "looked_up", "left")
-    return found.select(*index.columns, F.coalesce("often", "seldom").alias("idf"))
+    least = frequent(weights)
+    often = F.broadcast(weights.where(F.col("df") >= least).select("term", "idf"))
+    seldom = weights.where(F.col("df") < least).select("term", "idf")
+    known = index.join(often, "term").select(*index.columns, "idf")
+    rest = index.join(often, "term", "left_anti").join(seldom, "term", "left")
+    return known.unionByName(rest.select(*index.columns, "idf"))
 
 
 def tfidf_scores(queries: DataFrame, index: DataFrame, candidates: int) -> DataFrame:
@@ -142,7 +145,7 @@ def tfidf_scores(queries: DataFrame, index: DataFrame, candidates: int) -> DataF
     n = F.lit(float(candidates))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
-    norms = with_idf(index, weights, n).groupBy(*KEY).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
+    norms = with_idf(index, weights).groupBy(*KEY).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
     terms = queries.select("query_id", F.explode("terms").alias("term"))
     unseen = F.log(n + 1) + 1
     asked = terms.join(weights, "term", "left").select("query_id", "term", F.coalesce("idf", unseen).alias("idf"))

@@ -8,7 +8,7 @@ impacts, lengths, and the counts of texts that repeat.  ``pruning`` finds the be
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 from typing import Protocol
 
@@ -29,11 +29,10 @@ class Index:
     path: str
     chunks: DataFrame
     counts: DataFrame
-    lengths: DataFrame
     frequencies: DataFrame
     repeats: DataFrame
 
-    TABLES = ("chunks", "counts", "lengths", "frequencies", "repeats")
+    TABLES = ("chunks", "counts", "frequencies", "repeats")
 
     @classmethod
     def write(cls, chunks: DataFrame, path: str) -> Index:
@@ -44,9 +43,8 @@ class Index:
         held = storage.written(pruning.with_blocks(chunks), f"{path}/chunks")
         n = held.count()
         counts = storage.written(pruning.term_counts(held), f"{path}/counts")
-        df = pruning.exploded(counts.select("terms", "tfs")).groupBy("term").agg(F.count("*").alias("df"))
-        weights = storage.written(df.withColumn("idf", pruning.idf(F.lit(float(n)), F.col("df"))), f"{path}/frequencies")
-        storage.written(pruning.lengths(pruning.exploded(counts), weights, float(n)), f"{path}/lengths")
+        df = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        storage.written(df.withColumn("idf", pruning.idf(F.lit(float(n)), F.col("df"))), f"{path}/frequencies")
         with storage.scratch(spark, "repeats") as work:
             keys = held.select(*KEY, "boilerplate_key")
             repeats = storage.written(chunking.repeated_keys(keys), work)
@@ -57,9 +55,15 @@ class Index:
     def open(cls, spark: SparkSession, path: str) -> Index:
         return cls(path, *[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES])
 
+    @property
+    def lengths(self) -> DataFrame:
+        """(keys, norm, distinct_terms) of the chunks that have tokens; written when it is first asked for, as ``postings``
+        and ``maxima``: lexical requests that are scored in one pass, and requests under a filter, do without it."""
+        return self._made("lengths", lambda: pruning.lengths(pruning.exploded(self.counts), self.frequencies))
+
     @property
     def postings(self) -> DataFrame:
-        """(block, keys, term, tf), sorted by term; written when it is first asked for, as ``maxima``."""
+        """(block, keys, term, tf), sorted by term."""
         return self._made("postings", lambda: pruning.flat_postings(self.counts, self.chunks.count()))
 
     @property
@@ -80,8 +84,9 @@ class Index:
     def statistics(self, gone: DataFrame) -> pruning.Statistics:
         """Document frequencies and lengths without the chunks of ``gone`` (keys)."""
         spark = self.chunks.sparkSession
-        whole = pruning.Statistics(self.chunks.count(), self.frequencies, self.lengths, 1.0)
-        return pruning.statistics(spark, self.path, self.counts, whole, gone)
+        whole = pruning.Statistics(self.chunks.count(), self.frequencies, None, 1.0)
+        found = pruning.statistics(spark, self.path, self.counts, whole, gone)
+        return replace(found, norms=self.lengths) if found is whole else found
 
     def vectors(self, settings: Settings) -> DataFrame:
         spark = self.chunks.sparkSession
@@ -365,7 +370,7 @@ class Work:
         if self.request.settings.min_retrieval_score > 0:
             return rows
         stay = self.kept.where("filter_reason is null")
-        first = stay.join(self.request.index.lengths.select(*KEY), KEY, "left_semi")
+        first = stay.join(self.request.index.counts.where(F.size("terms") > 0).select(*KEY), KEY, "left_semi")
         first = first.select(*KEY, "metadata_weight", "boilerplate_penalty").orderBy(*KEY).limit(2 * self.request.settings.top_k)
         queries = self.asked.where(F.size("terms") > 0).select("query_id")
         zero = {"base": F.lit(0.0), "table_boost": F.lit(1.0), "final": F.lit(0.0), "score": F.lit(0.0)}
@@ -399,7 +404,7 @@ class LexicalRetriever(_Scored):
     name: str = "lexical"
 
     def scorer(self, work: Work) -> pruning.Scorer:
-        return pruning.Lexical(*work.rows, work.request.settings.lexical_similarity_metric, work.request.index.lengths)
+        return pruning.Lexical(*work.rows, work.request.settings.lexical_similarity_metric, lambda: work.request.index.lengths)
 
     def top(self, work):
         return work.best(self.scorer(work), work.request.settings.top_k, self.name)
@@ -560,5 +565,5 @@ def retrieve(request: Request, retriever: Retriever | None = None) -> Response:
 
 
 def evidence(response: Response, index: Index) -> DataFrame:
-    """Ranked rows with their chunks."""
-    return response.ranked.join(index.counted(), KEY)
+    """Ranked rows with their chunks.  Counts meet the ranked rows alone, so no other chunk's text is moved for its count."""
+    return chunking.with_boilerplate(response.ranked.join(index.chunks, KEY), index.repeats, KEY)

@@ -1,5 +1,8 @@
 """Few queries against all chunks in one pass: what leaves a task, and that nothing of the best is lost."""
 
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -52,3 +55,24 @@ def test_tasks_of_postings_hold_a_stated_number_of_chunks(spark, monkeypatch):
     counts = pruning.term_counts(held)
     assert {tuple(sorted(zip(r.terms, r.tfs))) for r in counts.collect()} == {(("aa", 2), ("b_1", 1))}
     assert pruning.flat_postings(counts, 100).rdd.getNumPartitions() == 10
+
+
+def test_postings_of_frequent_terms_stay_where_they_are(spark, monkeypatch):
+    """Beyond what a broadcast holds, terms of fewer chunks are looked up in a shuffle, and no others."""
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 20)
+    n = F.col("id") % 64
+    index = spark.range(0, 4096, 1, 8).select(F.col("id").alias("doc_ord"), F.concat(F.lit("t"), F.when(n < 16, n).otherwise(F.col("id"))).alias("term"))
+    index = index.withColumn("home", F.spark_partition_id())
+    weights = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", 1 / F.col("df"))
+    assert retrieval.frequent(weights) == 2
+    found = retrieval.with_idf(index, weights).withColumn("at", F.spark_partition_id()).collect()
+    assert len(found) == 4096 and all(r.idf == (1 / 64 if r.doc_ord % 64 < 16 else 1.0) for r in found)
+    assert all(r.at == r.home for r in found if r.doc_ord % 64 < 16)
+
+
+def test_counts_equal_tokens(spark):
+    """Tokens of all kinds of texts, against a plain count; letters that lower-case to ASCII are none of a token's."""
+    texts = ["", None, " ", "a", " A b_1  a\n9Z ", "\u212a \u0130x na\u00efve \u4e2d\u6587ab\U0001f600C", "x" * 70_000, "\x00a\x00\u00a0b"]
+    rows = spark.createDataFrame([(i, 0, i, x) for i, x in enumerate(texts)], "block long, chunk_index int, doc_ord long, text string").coalesce(1)
+    got = {r.doc_ord: dict(zip(r.terms, r.tfs)) for r in pruning.term_counts(rows).collect()}
+    assert got == {i: dict(Counter(x.lower() for x in re.findall("[A-Za-z0-9_]+", text or ""))) for i, text in enumerate(texts)}
