@@ -108,9 +108,21 @@ def is_header(line: Column | str) -> Column:
     return (F.size(parts) >= 2) & ~numeric & (lettered >= F.greatest(F.lit(1), F.floor(F.size(parts) / 2)))
 
 
+#: Characters that end a line, beside the usual one.
+_OTHER_ENDS = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+
+
 def lines(text: Column | str) -> Column:
-    """Stripped lines that are not blank; the two characters of one end of line have a blank line between them."""
-    return F.filter(F.transform(F.split(_col(text), r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), strip), lambda x: x != "")
+    """Stripped lines that are not blank; the two characters of one end of line have a blank line between them.
+
+    Nearly all texts have the usual end of line alone, at which they are cut by search, not by a pattern.
+    """
+    text = _col(text)
+    other = F.contains(text, F.lit(_OTHER_ENDS[0]))
+    for end in _OTHER_ENDS[1:]:
+        other = other | F.contains(text, F.lit(end))
+    cut = F.when(other, F.split(text, "[\n" + "".join(_OTHER_ENDS) + "]")).otherwise(F.split(text, "\n"))
+    return F.filter(F.transform(cut, strip), lambda x: x != "")
 
 
 def grounding_terms(query: Column | str) -> Column:

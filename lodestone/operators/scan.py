@@ -86,6 +86,11 @@ def _last(places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def product(matrix: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Sums of queries by chunks."""
+    return (matrix @ held.T).astype(float)
+
+
 @dataclass(frozen=True)
 class Slice:
     """Chunks in the order of their keys, with bases, finals and scores (in units of the last place) of queries by chunks."""
@@ -98,8 +103,10 @@ class Slice:
 
 def _slices(batches: Iterator[pa.RecordBatch], asked: Asked, keys: list[str], factors: list[str]) -> Iterator[Slice]:
     """``batches`` have the keys, terms, counts of them as tfs or none, factors, and for ``tfidf`` norm."""
-    matrix, vocabulary = asked.matrix(), pa.array(asked.terms, pa.string())
-    width = len(vocabulary)
+    # Sums of whole numbers below 2 ** 24 are exact in single precision, at half the time of a product.
+    whole = asked.metric != "tfidf" and asked.weights.max(initial=0) == 1
+    single, vocabulary = asked.matrix().astype(np.float32 if whole else float), pa.array(asked.terms, pa.string())
+    width, presence = len(vocabulary), asked.metric in ("containment", "jaccard")
     step = max(1, min(SLICE_CHUNKS, SLICE // max(width, len(asked.ids), 1)))
     for batch in batches:
         batch = batch.take(pa.array(np.lexsort([batch.column(k).to_numpy() for k in reversed(keys)])))
@@ -109,12 +116,15 @@ def _slices(batches: Iterator[pa.RecordBatch], asked: Asked, keys: list[str], fa
         known = place >= 0
         counts = (batch.column("tfs").flatten().to_numpy() if "tfs" in batch.schema.names else np.ones(len(place)))[known]
         row, place = np.repeat(np.arange(len(widths)), widths)[known], place[known].astype(np.int64)
+        # A chunk's counts together bound each of its sums.
+        exact = whole and np.bincount(row, counts, 1).max() < 1 << 24
+        matrix, kind = (single, np.float32) if exact else (single.astype(float), float)
         for at in range(0, batch.num_rows, step):
             rows = batch.slice(at, step)
             n = rows.num_rows
             a, b = np.searchsorted(row, (at, at + n))
             held = np.bincount((row[a:b] - at) * width + place[a:b], counts[a:b], n * width).reshape(n, width)
-            total = matrix @ (held > 0 if asked.metric in ("containment", "jaccard") else held).T
+            total = product(matrix, (held > 0 if presence else held).astype(kind, copy=False))
             if asked.metric == "tfidf":
                 base = total / (rows.column("norm").to_numpy()[None, :] * asked.norms[:, None])
             elif asked.metric == "jaccard":

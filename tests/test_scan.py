@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.operators import pruning, retrieval, scan
@@ -76,3 +77,15 @@ def test_counts_equal_tokens(spark):
     rows = spark.createDataFrame([(i, 0, i, x) for i, x in enumerate(texts)], "block long, chunk_index int, doc_ord long, text string").coalesce(1)
     got = {r.doc_ord: dict(zip(r.terms, r.tfs)) for r in pruning.term_counts(rows).collect()}
     assert got == {i: dict(Counter(x.lower() for x in re.findall("[A-Za-z0-9_]+", text or ""))) for i, text in enumerate(texts)}
+
+
+def test_products_are_of_single_precision_where_that_is_exact(monkeypatch):
+    """Counts of half the size of 2 ** 24 in single precision, twice as large ones in double, with exact sums in both."""
+    asked = scan.Asked([1], np.array([2.0]), np.ones(1), ["a", "b"], np.array([0, 0]), np.array([0, 1]), np.ones(2), "count")
+    kinds, product = [], scan.product
+    monkeypatch.setattr(scan, "product", lambda m, held: kinds.append(held.dtype) or product(m, held))
+    for n in (1 << 22, 1 << 24):
+        rows = pa.RecordBatch.from_pydict({"doc_ord": [0], "terms": [["a", "b"]], "tfs": [[n, n + 1]]})
+        (part,) = scan._slices(iter([rows]), asked, ["doc_ord"], [])
+        assert part.base.tolist() == [[2.0 * n + 1]] and part.base.dtype == float
+    assert kinds == [np.float32, np.float64]

@@ -169,3 +169,13 @@ def test_texts_are_stripped_without_a_pattern(spark):
     rows = spark.createDataFrame([(blanks + "\u200ba" + blanks + "b\u00e9" + blanks,), (blanks,), ("",), (None,)], "text string")
     found = rows.select("text", t.strip("text").alias("s"))
     assert [r.s for r in found.collect()] == [r.text and r.text.strip() for r in rows.collect()] and "regexp" not in _plan(found)
+
+
+def test_lines_are_cut_by_search_where_no_rare_end_is(spark):
+    ends = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+    texts = [c.join(["a", " b ", "", "c"]) for c in ends] + ["a\r\nb\nc", "a\n\n b\nc \n", "c"]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    found = {r.text: r.got for r in rows.select("text", t.lines("text").alias("got")).collect()}
+    assert found == {x: [y.strip() for y in x.splitlines() if y.strip()] for x in texts}
+    plan = rows.select(t.lines("text").alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(text") == 2  # the plain end of line has a cut of its own
