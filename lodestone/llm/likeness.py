@@ -218,10 +218,10 @@ def ends_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
 
 
-def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges whose texts have a similarity of at least ``SIMILARITY``; ``sets`` are (row, hashes)."""
+def verified(edges: DataFrame, sets: DataFrame, ends: DataFrame) -> DataFrame:
+    """The edges whose texts have a similarity of at least ``SIMILARITY``; ``sets`` are (row, hashes), ``ends`` those of ``edges``."""
     total = edges.count()
-    held = sets.join(ends_of(edges), "row")
+    held = sets.join(ends, "row")
     side = lambda end: held.select(F.col("row").alias(end), F.col("hashes").alias(f"of_{end}"), "degree")
     both = join_hubs(join_hubs(edges, side("a"), "a", total), side("b"), "b", total)
     shared = F.size(F.array_intersect("of_a", "of_b"))
@@ -243,10 +243,11 @@ def similar_links(rows: DataFrame, text_col: str = "text", lists: tuple[str, ...
     sets, links = None, spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     while active := prints.count():
         edges = suggested(prints, active)
+        ends = materialise(ends_of(edges), "like-degrees")  # edges become their ends once, not in each of the steps below
         if sets is None:  # later edges have no other ends
-            ends = parts_of(ends_of(edges).select("row"), "row", "like-ends")
-            sets = materialise(source.mapInArrow(_sets((*lists, ends)), "row long, hashes array<long>"), "like-sets")
-        found = materialise(verified(edges, sets), "like-links")
+            named = parts_of(ends.select("row"), "row", "like-ends")
+            sets = materialise(source.mapInArrow(_sets((*lists, named)), "row long, hashes array<long>"), "like-sets")
+        found = materialise(verified(edges, sets, ends), "like-links")
         if found.isEmpty():
             break
         links = links.unionByName(found)
@@ -254,7 +255,7 @@ def similar_links(rows: DataFrame, text_col: str = "text", lists: tuple[str, ...
         hub = F.max_by("row", F.struct("degree", -F.col("row"))).alias("row")
         hubs = members.join(ends_of(found), "row").groupBy("root").agg(hub)
         gone = members.join(hubs, "row", "left_anti").select("row")
-        left = ends_of(edges).join(gone, "row", "left_anti")
+        left = ends.join(gone, "row", "left_anti")
         prints = materialise(prints.join(left, "row", "left_semi"), "wide-prints")
     return links
 

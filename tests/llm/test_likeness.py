@@ -77,6 +77,17 @@ def test_large_group_of_copies_is_a_forest_not_all_pairs(spark):
     assert root.count(0) >= 0.9 * len(texts)
 
 
+def test_edges_become_their_ends_once_a_round(spark, monkeypatch):
+    """Edges of a large group are many, so each step of a round reads the same ends."""
+    ends, rounds, plain, deal = [], [], likeness.ends_of, likeness.suggested
+    monkeypatch.setattr(likeness, "ends_of", lambda edges: ends.append(1) or plain(edges))
+    monkeypatch.setattr(likeness, "suggested", lambda *args: rounds.append(1) or deal(*args))
+    texts = [" ".join(f"w{i}" if i != at else "y" for i in range(90)) for at in range(0, 90, 3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(4)
+    assert likeness.similar_links(rows).count() >= len(texts) - 1
+    assert len(ends) <= 2 * len(rounds)  # those of what is suggested and of what is found
+
+
 def test_forest_equals_plain_kruskal():
     rng = np.random.default_rng(3)
     n = 60
