@@ -7,6 +7,7 @@ import re
 from datetime import datetime, timezone
 from difflib import SequenceMatcher
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from lodestone import cli
 from lodestone.config import OPTIONS, Settings, read_thesaurus
 from lodestone.operators import answers, builder, evaluation, lifecycle, provenance, retrieval, retrievers
 from lodestone.operators.retrievers import RECORD, Index, Request
-from lodestone.plans import inputs
+from lodestone.plans import catalog, inputs
 from lodestone.sources import parsers, state
 
 SMALL = "/root/testdata/sf0.001"
@@ -259,6 +260,16 @@ def test_folders_are_read_in_the_order_of_paths(spark, tmp_path):
     assert parsers.scan(spark, str(tmp_path / "absent")).count() == 0
 
 
+def test_files_without_text_are_loaded(spark, tmp_path):
+    """Blank and null texts, and a null id, against the query's SQL."""
+    rows = [(i, x) for i, x in enumerate(["skipped", "", None, " \n\t", "\u00a0", "text", *["more"] * 5])] + [(None, "no path"), (-10, ""), (-3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["ingestion_diagnostics"](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert [tuple(r) for r in got.collect()] == con.execute(catalog.ORACLES["ingestion_diagnostics"]).fetchall() == [(14, 10, 3, 3, 0)]
+
+
 def test_helpers_and_quality(monkeypatch):
     assert parsers.doc_quality(" ") == 0.0 and parsers.doc_quality("plain words") > parsers.doc_quality("bjbj \x00 12 BT 3")
     monkeypatch.setattr(parsers.shutil, "which", lambda name: None)
