@@ -8,8 +8,8 @@ top rows are known.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,6 +162,8 @@ def tfidf_scores(queries: DataFrame, index: DataFrame, candidates: int) -> DataF
 
 #: Queries and vectors that a task multiplies at a time, and products that make one task.
 QUERY_BLOCK, VECTOR_BLOCK, TASK_PRODUCTS = 1024, 4096, 1 << 28
+#: Bytes of a table that Spark reads in one part.
+PART_BYTES = 128 << 20
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -169,11 +171,27 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     widths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
     values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(values) and (widths == widths[0]).all():
+        return values.reshape(len(widths), -1), widths
     out = np.zeros((len(widths), int(widths.max(initial=0))))
     out[np.repeat(np.arange(len(widths)), widths), np.arange(len(values)) - np.repeat(np.cumsum(widths) - widths, widths)] = values
     return out, widths
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``size``, the last one shorter, however many came at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= size:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            full = whole.num_rows // size * size
+            yield from (whole.slice(at, size) for at in range(0, full, size))
+            held = [whole.slice(full)]
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _products(path: str, metric: str, least: float, depth: int | None, keys: list[str], factors: list[str], out: pa.Schema):
     def similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         width = max(a.shape[1], b.shape[1])
@@ -193,9 +211,8 @@ def _products(path: str, metric: str, least: float, depth: int | None, keys: lis
         floors: dict[int, np.ndarray] = {}
         fs, base = pyarrow.fs.FileSystem.from_uri(path)
         files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".parquet")]
-        for whole in batches:
-            for at in range(0, whole.num_rows, VECTOR_BLOCK):
-                batch = whole.slice(at, VECTOR_BLOCK)
+        for batch in _blocks(batches, VECTOR_BLOCK):
+            if batch.num_rows:
                 if depth is not None:
                     batch = batch.take(pa.array(np.lexsort([batch.column(k).to_numpy() for k in reversed(keys)])))
                 vectors, widths = _matrix(batch.column("vector"))
@@ -232,7 +249,8 @@ def vector_scores(
     ``vectors``, and of each query at least its ``depth`` best rows by score, then keys, come that reach ``least``.
 
     Queries are written once, and every task multiplies its vectors with them block by block: none is
-    broadcast, no pair below ``least`` or beyond the ``depth`` leaves its task, and the work is cut by products, not by rows.
+    broadcast, no pair below ``least`` or beyond the ``depth`` leaves its task, and the work is cut by products, not by rows,
+    unless the vectors come in as many parts by their size: then they are not moved.
     """
     spark = vectors.sparkSession
     keys = [c for c in vectors.columns if c not in ("vector", *factors)]
@@ -241,7 +259,8 @@ def vector_scores(
     held = storage.written(queries.where("query_vector is not null").select("query_id", as_numbers("query_vector")), path)
     rows = vectors.where("vector is not null").select(*keys, *factors, as_numbers("vector"))
     tasks = min(100_000, -(-held.count() * vectors.count() // TASK_PRODUCTS))
-    if tasks > 1:
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if tasks > max(1, size // PART_BYTES):
         rows = rows.repartition(tasks)
     numbers = [T.StructField(c, T.DoubleType()) for c in (("base",) if depth is None else ("base", "final", "score"))]
     out = T.StructType([held.schema["query_id"], *[rows.schema[k] for k in (*keys, *factors)], *numbers])
@@ -270,43 +289,138 @@ def hashed_features(texts: DataFrame, key: str, settings: Settings = Settings())
     return summed.groupBy(key, t.hash_index("f", dim).alias("idx")).agg(F.sum("w").alias("weight"))
 
 
-#: Buckets of features that a worker remembers.
-KNOWN_FEATURES = 1_000_000
+#: Buckets of features that a worker remembers, texts that it counts at a time, and bits of a character's number.
+KNOWN_FEATURES, TEXT_SLICE, LETTER_BITS = 1_000_000, 256, 12
+
+
+class FeatureBuckets:
+    """Buckets of words and n-grams, looked up by arrays of n-grams; a feature is hashed once while it is remembered.
+
+    An n-gram is one number, made of the numbers that its characters got as they were met, and lies in an open table at the
+    first free place from that of its hash on.
+    """
+
+    #: The longest n-gram that a number holds; its length takes the bits above.
+    LONGEST = 60 // LETTER_BITS
+
+    def __init__(self, dim: int):
+        self.dim, self.words = dim, {}
+        self.bits = (2 * KNOWN_FEATURES).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.letters, self.met = np.zeros(0x110000, np.uint16), 0
+        self.keys, self.buckets, self.held = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32), 0
+
+    def bucket(self, feature: str) -> int:
+        return int.from_bytes(hashlib.sha1(feature.encode()).digest()[:8]) % self.dim
+
+    def of_words(self, words: list[str]) -> list[int]:
+        if len(self.words) > KNOWN_FEATURES:
+            self.words.clear()
+        known = self.words
+        for w in set(words) - known.keys():
+            known[w] = self.bucket(f"tok:{w}")
+        return [known[w] for w in words]
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray | None:
+        """Numbers of characters from 1, none if the texts have more than there are numbers."""
+        for _ in range(2):
+            new = np.flatnonzero(np.bincount(codes[self.letters[codes] == 0]))
+            if self.met + len(new) < 1 << LETTER_BITS:
+                self.letters[new] = self.met + 1 + np.arange(len(new))
+                self.met += len(new)
+                return self.letters[codes].astype(np.uint64)
+            self.clear()
+        return None
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of_grams(self, keys: np.ndarray, at: np.ndarray, n: int, text: str) -> np.ndarray:
+        """Buckets of the n-grams ``keys``, which stand ``at`` their places of ``text``."""
+        place, open_ = self._places(keys), np.arange(len(keys))
+        while len(open_):
+            found = self.keys[place[open_]]
+            open_ = open_[(found != keys[open_]) & (found != 0)]
+            place[open_] = (place[open_] + 1) & ((1 << self.bits) - 1)
+        out = self.buckets[place]
+        missing = np.flatnonzero(self.keys[place] == 0)
+        if len(missing):
+            new, first, which = np.unique(keys[missing], return_index=True, return_inverse=True)
+            starts = at[missing[first]].tolist()
+            buckets = np.array([self.bucket(f"ch{n}:{text[i : i + n]}") for i in starts], np.int32)
+            out[missing] = buckets[which]
+            if self.held + len(new) <= KNOWN_FEATURES:
+                self._hold(new, buckets)
+            elif len(new) <= KNOWN_FEATURES:
+                self.keys[:], self.held = 0, 0
+                self._hold(new, buckets)
+        return out
+
+    def _hold(self, keys: np.ndarray, buckets: np.ndarray) -> None:
+        place, open_ = self._places(keys), np.arange(len(keys))
+        while len(open_):
+            free = open_[self.keys[place[open_]] == 0]
+            self.keys[place[free]] = keys[free]  # of several at one place one stays
+            open_ = open_[self.keys[place[open_]] != keys[open_]]
+            place[open_] = (place[open_] + 1) & ((1 << self.bits) - 1)
+        self.buckets[place] = buckets
+        self.held += len(keys)
+
+
+@functools.cache
+def feature_buckets(dim: int) -> FeatureBuckets:
+    """One for each worker and dimension."""
+    return FeatureBuckets(dim)
+
+
+def feature_weights(bodies: list[str], dim: int, sizes: range | tuple) -> np.ndarray:
+    """Texts by buckets: words at 1.0 and n-grams of ``sizes`` at 0.35, not yet normalised."""
+    known, total = feature_buckets(dim), len(bodies) * dim
+    sums = lambda owners, buckets: np.bincount(owners * dim + buckets, minlength=total)[:total].reshape(-1, dim)
+    cut = [body.split() for body in bodies]
+    owners = np.repeat(np.arange(len(bodies)), [len(x) for x in cut])
+    out = sums(owners, np.array(known.of_words([w for x in cut for w in x]), np.int64)).astype(float)
+    joined = [body.replace(" ", "_") for body in bodies]
+    text, lengths = "".join(joined), np.array([len(x) for x in joined], np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owners = np.repeat(np.arange(len(bodies)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+    letters = known.numbers(codes) if max(sizes, default=0) <= known.LONGEST else None
+    grams, keys = np.zeros_like(out, np.int64), letters
+    for n in range(1, max(sizes, default=0) + 1):
+        if n > 1 and keys is not None:
+            keys = (keys[: max(0, len(codes) - n + 1)] << np.uint64(LETTER_BITS)) | letters[n - 1 :]
+        if n not in sizes:
+            continue
+        at = np.flatnonzero(left >= n)
+        if keys is not None:
+            buckets = known.of_grams(keys[at] | np.uint64(n << 60), at, n, text)
+        else:
+            buckets = np.array([known.bucket(f"ch{n}:{text[i : i + n]}") for i in at.tolist()], np.int64)
+        grams += sums(owners[at], buckets)
+    return out + 0.35 * grams
 
 
 def embed(texts: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
     """(key, vector): unit vectors of hashed features, as ``hashed_features`` has them; texts without features get zeros.
 
-    A text has thousands of features and most are shared, so they are counted and looked up in Python batches
-    rather than sent through a shuffle each.
+    A text has thousands of features and most are shared, so they are counted and looked up in Python batches, as
+    arrays, rather than sent through a shuffle each.
     """
     dim = max(16, settings.vector_dimension)
     sizes = range(settings.vector_char_ngram_min, settings.vector_char_ngram_max + 1) if settings.vector_use_char_ngrams else ()
-    known: dict[str, int] = {}
-
-    def bucket(feature: str) -> int:
-        if (found := known.get(feature)) is None:
-            if len(known) >= KNOWN_FEATURES:
-                known.clear()
-            found = known[feature] = int.from_bytes(hashlib.sha1(feature.encode()).digest()[:8]) % dim
-        return found
 
-    @F.pandas_udf("array<double>")
-    def vectors(bodies: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def vectors(bodies: pa.Array) -> pa.Array:
         out = []
-        for body in bodies:
-            counts = Counter({f"tok:{w}": n for w, n in Counter(body.split()).items()})
-            joined = body.replace(" ", "_")
-            weights = [float(n) for n in counts.values()]
-            features = list(counts)
-            for n in sizes:
-                grams = Counter(joined[i : i + n] for i in range(len(joined) - n + 1))
-                features += [f"ch{n}:{g}" for g in grams]
-                weights += [0.35 * c for c in grams.values()]
-            vector = np.bincount([bucket(f) for f in features], weights, dim) if features else np.zeros(dim)
-            norm = np.sqrt((vector * vector).sum())
-            out.append(vector / norm if norm else vector)
-        return pd.Series(out)
+        for at in range(0, len(bodies), TEXT_SLICE):
+            found = feature_weights(bodies.slice(at, TEXT_SLICE).to_pylist(), dim, sizes)
+            norm = np.sqrt((found * found).sum(1, keepdims=True))
+            out.append(found / np.where(norm > 0, norm, 1))
+        values = np.concatenate(out).ravel() if out else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(bodies) + 1) * dim, pa.int32()), pa.array(values))
 
     return texts.select(key, vectors(F.coalesce(F.lower(t.strip("text")), F.lit(""))).alias("vector"))
 

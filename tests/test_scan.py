@@ -1,6 +1,8 @@
 """Few queries against all chunks in one pass: what leaves a task, and that nothing of the best is lost."""
 
+import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -37,6 +39,50 @@ def test_vectors_leave_their_tasks_only_as_best_rows(spark):
     assert best[1] == [(-1.5, 4999), (-1.0, 1), (-1.0, 2)] and best[2] == [(-0.9, 4999), (-0.6, 0), (-0.6, 1)]
 
 
+def test_vectors_meet_queries_in_blocks_however_they_come(spark, monkeypatch):
+    """Small batches of Arrow are gathered into blocks, so a block's best rows leave it and not each batch's."""
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + n), pa.int64())], ["a"]) for i, n in ((0, 0), (0, 3), (3, 9), (12, 1), (13, 2))]
+    found = [b.column(0).to_pylist() for b in retrieval._blocks(iter(batches), 4)]
+    assert [len(x) for x in found] == [4, 4, 4, 3] and sum(found, []) == list(range(15)) and not list(retrieval._blocks(iter([]), 4))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+        test_vectors_leave_their_tasks_only_as_best_rows(spark)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_features_are_counted_as_arrays(monkeypatch):
+    """Against one feature at a time: short and empty texts, wide alphabets, long n-grams, and tables that overflow and collide."""
+    texts = ["", "a", "ab", " x  y ", "\u4e2d\u6587ab\U0001f600 c", "x" * 3000, "a\nb\tc a", "".join(map(chr, range(0x4E00, 0x6000))), " ".join(f"w{i}" for i in range(400))]
+
+    def plain(body, dim, sizes):
+        out, joined = np.zeros(dim), body.replace(" ", "_")
+        found = [(f"tok:{w}", 1.0) for w in body.split()]
+        for f, w in found + [(f"ch{n}:{joined[i : i + n]}", 0.35) for n in sizes for i in range(len(joined) - n + 1)]:
+            out[int(hashlib.sha1(f.encode()).hexdigest()[:16], 16) % dim] += w
+        return out
+
+    for known, dim, sizes in ((retrieval.KNOWN_FEATURES, 256, range(3, 6)), (700, 17, range(1, 6)), (700, 64, range(2, 8)), (700, 31, ())):
+        monkeypatch.setattr(retrieval, "KNOWN_FEATURES", known)
+        retrieval.feature_buckets.cache_clear()
+        for _ in range(2):
+            got = np.vstack([retrieval.feature_weights(texts[i : i + 4], dim, sizes) for i in range(0, len(texts), 4)])
+            assert np.allclose(got, [plain(x, dim, sizes) for x in texts], rtol=0, atol=1e-9)
+    retrieval.feature_buckets.cache_clear()
+
+
+def test_embedding_takes_a_part_of_the_time(monkeypatch):
+    """A text of 120 words has some two thousand features: hashed or looked up one by one they took 3 ms."""
+    rng = np.random.default_rng(1)
+    words = ["".join(map(chr, rng.integers(97, 105, rng.integers(2, 9)))) for _ in range(2000)]
+    texts = [" ".join(rng.choice(words, 120)) for _ in range(1024)]
+    retrieval.feature_weights(texts, 256, range(3, 6))
+    began = time.perf_counter()
+    retrieval.feature_weights(texts, 256, range(3, 6))
+    assert time.perf_counter() - began < 1.2
+
+
 def test_ranker_scans_and_joins_alike(spark, monkeypatch):
     chunks = spark.createDataFrame([(i, 0, " ".join(["a"] * (i % 5) + ["b"] * (i % 3) + ["c"])) for i in range(300)], "doc_ord long, chunk_index int, text string")
     queries = spark.createDataFrame([(1, "a b"), (2, "b zz"), (3, "zz"), (4, "")], "query_id long, query string")
