@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone import storage
 from lodestone.functions import text as t
-from lodestone.operators.retrieval import BROADCAST_TERMS, KEY, small, with_idf
+from lodestone.operators.retrieval import BROADCAST_TERMS, KEY, blocks, frequent, parquet_table, small
 
 BLOCK_BITS = 4
 BLOCK = 1 << BLOCK_BITS
@@ -107,10 +107,51 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
 
-def lengths(postings: DataFrame, weights: DataFrame) -> DataFrame:
-    """(keys, norm, distinct_terms) of all chunks of ``postings``."""
-    weighed = with_idf(postings, weights)
-    return weighed.groupBy(*KEY).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"), F.count("*").alias("distinct_terms"))
+#: Chunks whose terms are looked up at a time.
+LOOKED_UP = 16384
+
+
+def _squares(path: str, schema: pa.Schema) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = parquet_table(path)
+        names, idfs = known["term"].combine_chunks(), np.append(known["idf"].to_numpy(), 0.0)
+        for batch in blocks(batches, LOOKED_UP):
+            lists, n = batch.column("terms"), batch.num_rows
+            widths = np.diff(lists.offsets.to_numpy())
+            terms, tfs = lists.flatten(), batch.column("tfs").flatten()
+            place = pa.compute.index_in(terms, value_set=names).fill_null(-1).to_numpy()
+            row, rest = np.repeat(np.arange(n), widths), np.flatnonzero(place < 0)
+            squares = np.bincount(row, (tfs.to_numpy() * idfs[place]) ** 2, n)
+            offsets = pa.array(np.searchsorted(row[rest], np.arange(n + 1)), pa.int32())
+            left = [pa.ListArray.from_arrays(offsets, x.take(pa.array(rest))) for x in (terms, tfs)]
+            columns = [*(batch.column(k) for k in KEY), pa.array(squares), pa.array(widths), *left]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
+def lengths(counts: DataFrame, weights: DataFrame, path: str) -> DataFrame:
+    """(keys, norm, distinct_terms) of the chunks of ``counts`` that have tokens, written at ``path``.
+
+    ``weights`` are (term, df, idf).  A chunk looks its terms up where it lies; of a vocabulary too large for that the most
+    frequent ones, and only the postings of the others, of few chunks each, are moved.
+    """
+    held = counts.where(F.size("terms") > 0).select(*KEY, "terms", "tfs")
+    numbers = [T.StructField("squares", T.DoubleType()), T.StructField("distinct_terms", T.LongType())]
+    out = T.StructType([*(held.schema[k] for k in KEY), *numbers, held.schema["terms"], held.schema["tfs"]])
+    whole = small(weights)
+    often = F.lit(True) if whole else F.col("df") >= frequent(weights)
+    with storage.scratch(counts.sparkSession, "lengths") as work:
+        storage.written(weights.where(often).select("term", "idf"), f"{work}/known")
+        found = held.mapInArrow(_squares(f"{work}/known", to_arrow_schema(out)), out)
+        total = F.col("squares")
+        if not whole:
+            found = storage.written(found, f"{work}/found")
+            rest = exploded(found.where(F.size("terms") > 0).select(*KEY, "terms", "tfs"))
+            rest = rest.join(weights.where(~often).select("term", "idf"), "term")
+            found = found.join(rest.groupBy(*KEY).agg(F.sum((F.col("tf") * F.col("idf")) ** 2).alias("more")), KEY, "left")
+            total = total + F.coalesce("more", F.lit(0.0))
+        return storage.written(found.select(*KEY, F.sqrt(total).alias("norm"), "distinct_terms"), path)
 
 
 def maxima(counts: DataFrame, lengths: DataFrame, n: int) -> DataFrame:
@@ -163,7 +204,7 @@ def statistics(spark, path: str, counts: DataFrame, whole: Statistics, gone: Dat
         weights = whole.weights.select("term", "df", old).join(lost, "term", "left").withColumn("df", left).where("df > 0").drop("lost")
         weights = storage.written(weights.withColumn("idf", idf(F.lit(float(n)), F.col("df"))), f"{folder}/weights")
         stay = counts.join(gone.select(*KEY), KEY, "left_anti")
-        storage.written(lengths(exploded(stay), weights), f"{folder}/norms")
+        lengths(stay, weights, f"{folder}/norms")
     weights = spark.read.parquet(f"{folder}/weights")
     growth = weights.agg(F.max(F.col("old") / F.col("idf"))).first()[0]
     return Statistics(n, weights, spark.read.parquet(f"{folder}/norms"), float(growth or 1.0))
@@ -208,10 +249,15 @@ class Scorer:
         wanted = self.asked.join(pairs, "query_id")
         return self.postings.join(F.broadcast(wanted) if small(wanted) else wanted, ["block", "term"])
 
-    def scanned(self, counts: DataFrame) -> tuple[str, DataFrame]:
-        """The metric of ``scan``, and ``counts`` with what it needs of a chunk."""
+    @property
+    def scan_metric(self) -> str:
+        """The metric of ``scan``."""
         raise NotImplementedError
 
+    def scanned(self, counts: DataFrame) -> DataFrame:
+        """``counts`` with what ``scan`` needs of a chunk."""
+        return counts
+
     def exact(self, pairs: DataFrame | None) -> DataFrame:
         """(query_id, keys, base) of the chunks of ``pairs`` that share a term, of all that do without them."""
         raise NotImplementedError
@@ -233,8 +279,9 @@ class Lexical(Scorer):
         # Shares of both sides' terms are at most those of a chunk with no other terms than the shared ones.
         return total / F.max("asked")
 
-    def scanned(self, counts):
-        return self.metric if self.metric in ("jaccard", "containment") else "overlap", counts
+    @property
+    def scan_metric(self):
+        return self.metric if self.metric in ("jaccard", "containment") else "overlap"
 
     def exact(self, pairs):
         grouped = self.hits(pairs).groupBy("query_id", "asked", *KEY).agg(F.sum("tf").alias("occurrences"), F.count("*").alias("shared"))
@@ -271,8 +318,12 @@ class Tfidf(Scorer):
     def bound(self, total):
         return total / F.max("q_norm")
 
+    @property
+    def scan_metric(self):
+        return "tfidf"
+
     def scanned(self, counts):
-        return "tfidf", counts.join(self.statistics.norms.select(*KEY, "norm"), KEY)
+        return counts.join(self.statistics.norms.select(*KEY, "norm"), KEY)
 
     def exact(self, pairs):
         dots = self.hits(pairs).groupBy("query_id", "q_norm", *KEY).agg(F.sum(F.col("tf") * F.col("idf") * F.col("idf")).alias("dot"))

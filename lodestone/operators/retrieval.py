@@ -178,7 +178,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]
     return out, widths
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of ``size``, the last one shorter, however many came at a time."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -192,6 +192,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def parquet_files(path: str) -> tuple[pyarrow.fs.FileSystem, list[str]]:
+    """The files of a written table, and where they are."""
+    fs, base = pyarrow.fs.FileSystem.from_uri(path)
+    return fs, [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".parquet")]
+
+
+def parquet_table(path: str) -> pa.Table:
+    """A written table that a task holds whole."""
+    fs, files = parquet_files(path)
+    found = []
+    for file in files:
+        with fs.open_input_file(file) as source:
+            found.append(pyarrow.parquet.ParquetFile(source).read())
+    return pa.concat_tables(found)
+
+
 def _products(path: str, metric: str, least: float, depth: int | None, keys: list[str], factors: list[str], out: pa.Schema):
     def similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         width = max(a.shape[1], b.shape[1])
@@ -202,22 +218,21 @@ def _products(path: str, metric: str, least: float, depth: int | None, keys: lis
             found = 1 / (1 + np.sqrt(np.maximum(squares, 0)))
         return found
 
-    def asked_blocks(fs, files: list[str]) -> Iterator[pa.RecordBatch]:
+    def askedblocks(fs, files: list[str]) -> Iterator[pa.RecordBatch]:
         for file in files:
             with fs.open_input_file(file) as source:
                 yield from pyarrow.parquet.ParquetFile(source).iter_batches(QUERY_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors: dict[int, np.ndarray] = {}
-        fs, base = pyarrow.fs.FileSystem.from_uri(path)
-        files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".parquet")]
-        for batch in _blocks(batches, VECTOR_BLOCK):
+        fs, files = parquet_files(path)
+        for batch in blocks(batches, VECTOR_BLOCK):
             if batch.num_rows:
                 if depth is not None:
                     batch = batch.take(pa.array(np.lexsort([batch.column(k).to_numpy() for k in reversed(keys)])))
                 vectors, widths = _matrix(batch.column("vector"))
                 weight = [batch.column(f).to_numpy()[None, :] for f in factors]
-                for n, asked in enumerate(asked_blocks(fs, files)):
+                for n, asked in enumerate(askedblocks(fs, files)):
                     queries, query_widths = _matrix(asked.column("query_vector"))
                     found = similarities(queries, vectors)
                     found[query_widths[:, None] != widths[None, :]] = 0.0

@@ -59,22 +59,22 @@ class Index:
     def lengths(self) -> DataFrame:
         """(keys, norm, distinct_terms) of the chunks that have tokens; written when it is first asked for, as ``postings``
         and ``maxima``: lexical requests that are scored in one pass, and requests under a filter, do without it."""
-        return self._made("lengths", lambda: pruning.lengths(pruning.exploded(self.counts), self.frequencies))
+        return self._made("lengths", lambda path: pruning.lengths(self.counts, self.frequencies, path))
 
     @property
     def postings(self) -> DataFrame:
         """(block, keys, term, tf), sorted by term."""
-        return self._made("postings", lambda: pruning.flat_postings(self.counts, self.chunks.count()))
+        return self._made("postings", lambda path: storage.written(pruning.flat_postings(self.counts, self.chunks.count()), path))
 
     @property
     def maxima(self) -> DataFrame:
         """The largest impacts of every term in every block."""
-        return self._made("maxima", lambda: pruning.maxima(self.counts, self.lengths, self.chunks.count()))
+        return self._made("maxima", lambda path: storage.written(pruning.maxima(self.counts, self.lengths, self.chunks.count()), path))
 
-    def _made(self, name: str, table: Callable[[], DataFrame]) -> DataFrame:
+    def _made(self, name: str, write: Callable[[str], DataFrame]) -> DataFrame:
         spark, path = self.chunks.sparkSession, f"{self.path}/{name}"
         if not storage.exists(spark, f"{path}/_SUCCESS"):
-            storage.written(table(), path)
+            write(path)
         return spark.read.parquet(path)
 
     def counted(self) -> DataFrame:
@@ -315,11 +315,17 @@ class Work:
         """(keys, metadata_weight, boilerplate_penalty) of the chunks that stay."""
         return self.kept.where("filter_reason is null").select(*KEY, *FACTORS)
 
+    def scanned(self, scorer: pruning.Scorer) -> tuple[DataFrame, scan.Asked]:
+        """(chunks that stay with their factors and asked terms, the queries) as ``scan`` takes them."""
+        asked, counts = scan.Asked.of(scorer.asked, scorer.scan_metric), self.request.index.counts.drop("block")
+        if scorer.scan_metric != "jaccard":  # which needs the number of all terms
+            counts = scan.narrowed(counts, asked.terms)
+        return scorer.scanned(counts.join(self.factors(), KEY)), asked
+
     def scan(self, scorer: pruning.Scorer, depth: int | None, only: DataFrame | None = None) -> DataFrame:
         """Weighed rows of all chunks, or those of ``only`` (keys): at least the ``depth`` best of each query, all without it."""
-        metric, rows = scorer.scanned(self.request.index.counts.drop("block").join(self.factors(), KEY))
+        rows, asked = self.scanned(scorer)
         rows = rows if only is None else rows.join(only, KEY, "left_semi")
-        asked = scan.Asked.of(scorer.asked, metric)
         found = scan.best_rows(rows, self.asked, asked, self.request.settings.min_retrieval_score, depth, KEY, FACTORS)
         return found.withColumn("table_boost", F.lit(1.0)).select("query_id", *KEY, *PARTS, "score")
 
@@ -328,8 +334,7 @@ class Work:
         keys = ["query_id", *KEY]
         own = self.scan(scorer, None, missing.select(*KEY).distinct()).join(missing, keys, "left_semi")
         own = self.written(own, f"{name}-own")
-        metric, rows = scorer.scanned(self.request.index.counts.drop("block").join(self.factors(), KEY))
-        asked = scan.Asked.of(scorer.asked, metric)
+        rows, asked = self.scanned(scorer)
         ahead = scan.rows_ahead(rows, own, asked, self.request.settings.min_retrieval_score, KEY, FACTORS)
         return own.join(ahead.groupBy(*keys).agg((F.sum("ahead") + 1).alias("rank")), keys)
 
@@ -338,7 +343,10 @@ class Work:
         least = self.request.settings.min_retrieval_score
         if self.scans:
             deepest = depth if isinstance(depth, int) else depth.agg(F.max("depth")).first()[0] or 0
-            rows = self.written(retrieval.ranked(self.filled(self.scan(scorer, deepest)), deepest), name)
+            rows = self.scan(scorer, deepest)
+            if least <= 0:
+                rows = self.written(rows, f"{name}-hits")  # read twice where it is filled up
+            rows = self.written(retrieval.ranked(self.filled(rows), deepest), name)
             return rows if isinstance(depth, int) else rows.join(F.broadcast(depth), "query_id").where("rank <= depth").drop("depth")
         depths = self.asked.select("query_id", F.lit(depth).alias("depth")) if isinstance(depth, int) else depth
         if self.direct and isinstance(depth, int):

@@ -139,6 +139,25 @@ def _slices(batches: Iterator[pa.RecordBatch], asked: Asked, keys: list[str], fa
             yield Slice(rows, base, final, np.where((total > 0) & (final >= asked.least), rounded(final), -np.inf))
 
 
+def narrowed(counts: DataFrame, terms: list[str]) -> DataFrame:
+    """The rows of ``counts`` that hold any of ``terms``, with these alone in their ``terms`` and ``tfs``; nothing is moved."""
+    schema, rest = to_arrow_schema(counts.schema), [c for c in counts.columns if c not in ("terms", "tfs")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(terms, pa.string())
+        for batch in batches:
+            lists = batch.column("terms")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            held = np.flatnonzero(pa.compute.is_in(lists.flatten(), value_set=vocabulary).to_numpy(zero_copy_only=False))
+            rows, starts = np.unique(row[held], return_index=True)
+            offsets, taken = pa.array(np.append(starts, len(held)), pa.int32()), pa.array(held)
+            cut = {c: pa.ListArray.from_arrays(offsets, batch.column(c).flatten().take(taken)) for c in ("terms", "tfs")}
+            kept = {c: batch.column(c).take(pa.array(rows)) for c in rest}
+            yield pa.RecordBatch.from_arrays([(cut | kept)[f.name].cast(f.type) for f in schema], schema=schema)
+
+    return counts.mapInArrow(run, counts.schema)
+
+
 def _typed(arrays: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for x, f in zip(arrays, schema)], schema=schema)
 

@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.operators import pruning, retrieval, scan
+from lodestone.operators import pruning, retrieval, retrievers, scan
+from lodestone.plans import catalog
 
 
 def test_best_of_slices_with_many_ties():
@@ -42,8 +43,8 @@ def test_vectors_leave_their_tasks_only_as_best_rows(spark):
 def test_vectors_meet_queries_in_blocks_however_they_come(spark, monkeypatch):
     """Small batches of Arrow are gathered into blocks, so a block's best rows leave it and not each batch's."""
     batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + n), pa.int64())], ["a"]) for i, n in ((0, 0), (0, 3), (3, 9), (12, 1), (13, 2))]
-    found = [b.column(0).to_pylist() for b in retrieval._blocks(iter(batches), 4)]
-    assert [len(x) for x in found] == [4, 4, 4, 3] and sum(found, []) == list(range(15)) and not list(retrieval._blocks(iter([]), 4))
+    found = [b.column(0).to_pylist() for b in retrieval.blocks(iter(batches), 4)]
+    assert [len(x) for x in found] == [4, 4, 4, 3] and sum(found, []) == list(range(15)) and not list(retrieval.blocks(iter([]), 4))
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
@@ -117,6 +118,38 @@ def test_postings_of_frequent_terms_stay_where_they_are(spark, monkeypatch):
     assert all(r.at == r.home for r in found if r.doc_ord % 64 < 16)
 
 
+def test_lengths_are_summed_where_the_chunks_lie(spark, monkeypatch, tmp_path):
+    """With all terms looked up, and with only the most frequent ones, against plain sums; a small vocabulary moves no posting."""
+    rows = [(0, i, i % 3, [f"t{j}" for j in range(i % 7)] + [f"u{i}"] * (i % 4 == 1), [j + 1 for j in range(i % 7)] + [i] * (i % 4 == 1)) for i in range(300)]
+    counts = spark.createDataFrame(rows, "block long, doc_ord long, chunk_index int, terms array<string>, tfs array<long>").repartition(3)
+    df = Counter(x for r in rows for x in r[3])
+    idf = {x: 1 + 1 / n for x, n in df.items()}
+    weights = spark.createDataFrame([(x, n, idf[x]) for x, n in df.items()], "term string, df long, idf double")
+    want = {(r[1], r[2]): (sum((f * idf[x]) ** 2 for x, f in zip(r[3], r[4])) ** 0.5, len(r[3])) for r in rows if r[3]}
+    monkeypatch.setattr(pruning, "exploded", lambda rows, real=pruning.exploded: moved.append(rows.count()) or real(rows))
+    for limit, n in ((1_000_000, []), (10, [75])):
+        moved = []
+        monkeypatch.setattr(retrieval, "BROADCAST_TERMS", limit)
+        found = pruning.lengths(counts, weights, f"file://{tmp_path}/lengths{limit}").collect()
+        got = {(r.doc_ord, r.chunk_index): (r.norm, r.distinct_terms) for r in found}
+        assert got.keys() == want.keys() and moved == n
+        assert all(abs(got[k][0] - x) < 1e-9 and got[k][1] == n for k, (x, n) in want.items())
+
+
+def test_a_threshold_of_zero_scans_once(spark, monkeypatch):
+    """Rows that fill a list up are looked for beside the hits, not beside a second scan."""
+    plans, real = [], retrievers.Work.written
+    monkeypatch.setattr(retrievers.Work, "written", lambda work, table, name: plans.append(table._jdf.queryExecution().toString()) or real(work, table, name))
+    found = catalog.QUERIES["lex_zero_threshold_topk"](spark, "/root/testdata/sf0.001")
+    assert found.count() and ["MapInArrow" in plan for plan in plans] == [True, False]
+
+
+def test_only_asked_terms_are_moved_to_their_factors(spark):
+    counts = spark.createDataFrame([(1, 0, ["a", "b", "c"], [3, 1, 2]), (2, 0, ["d"], [1]), (3, 1, [], []), (4, 0, ["c", "x"], [7, 1])], "doc_ord long, chunk_index int, terms array<string>, tfs array<long>")
+    found = scan.narrowed(counts, ["c", "a", "zz"]).collect()
+    assert sorted((r.doc_ord, r.chunk_index, r.terms, r.tfs) for r in found) == [(1, 0, ["a", "c"], [3, 2]), (4, 0, ["c"], [7])]
+
+
 def test_counts_equal_tokens(spark):
     """Tokens of all kinds of texts, against a plain count; letters that lower-case to ASCII are none of a token's."""
     texts = ["", None, " ", "a", " A b_1  a\n9Z ", "\u212a \u0130x na\u00efve \u4e2d\u6587ab\U0001f600C", "x" * 70_000, "\x00a\x00\u00a0b"]
